@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact_dedup
+from factloom.llm import exact_dedup, packing
 from factloom.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -28,7 +28,14 @@ SELECT doc_id,
 FROM d
 """
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup}
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_exact_dedup": op3_exact_dedup}
 
 
 def queries() -> dict:
