@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact_dedup, packing
+from factloom.llm import exact_dedup, near_dedup, packing
 from factloom.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -35,7 +35,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_exact_dedup": op3_exact_dedup}
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.mark(docs).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+QUERIES = {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_exact_dedup": op3_exact_dedup}
 
 
 def queries() -> dict:
