@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact_dedup, near_dedup, packing
+from factloom.llm import exact_dedup, near_dedup, packing, sharding
 from factloom.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -40,7 +40,36 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.mark(docs).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
-QUERIES = {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_exact_dedup": op3_exact_dedup}
+def op6_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: SQL with a column ``text``: its CRC-32, by the byte table that the polynomial defines.
+_CRC32 = """
+  xor(list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(range(octet_length(encode(text))), lambda i: (16 * (instr('0123456789ABCDEF', substr(hex(encode(text)), 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(hex(encode(text)), 2 * i + 2, 1)) - 1)::UBIGINT)),
+    lambda c, b: xor(c // 256, crc_bytes[(xor(c, b) % 256 + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT"""
+_CRC_BYTES = """(SELECT list(list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END) ORDER BY i) AS crc_bytes FROM range(256) t(i))"""
+
+ORACLES["op6_jump_hash_sharding"] = f"""
+WITH RECURSIVE hop(doc_id, k, j) AS (
+  SELECT doc_id, doc_id::UHUGEINT, 0::BIGINT FROM documents
+  UNION ALL
+  SELECT doc_id, k2, floor((j + 1) * (2147483648::DOUBLE / (k2 // 8589934592 + 1)::DOUBLE))::BIGINT
+  FROM (SELECT doc_id, j, (k * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS k2 FROM hop WHERE j < 17)),
+placed AS (
+  SELECT doc_id, max(j) FILTER (WHERE j < 16)::INTEGER AS shard, max(j) FILTER (WHERE j < 17)::INTEGER AS grown_shard FROM hop GROUP BY doc_id),
+sized AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_CRC32} AS text_crc32
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents), {_CRC_BYTES}),
+stripes AS (SELECT greatest(1, ceil(count(*) / 32000.0))::BIGINT AS s FROM documents)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id % s, doc_id) - 1 AS slot, grown_shard
+FROM sized JOIN placed USING (doc_id), stripes
+"""
+
+QUERIES = {"op6_jump_hash_sharding": op6_jump_hash_sharding, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_exact_dedup": op3_exact_dedup}
 
 
 def queries() -> dict:
