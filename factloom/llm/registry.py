@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact_dedup, near_dedup, packing, sharding
+from factloom.llm import exact_dedup, fingerprint, near_dedup, packing, sharding
 from factloom.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -69,7 +69,11 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM sized JOIN placed USING (doc_id), stripes
 """
 
-QUERIES = {"op6_jump_hash_sharding": op6_jump_hash_sharding, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_exact_dedup": op3_exact_dedup}
+def op10_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op10_piecewise_fingerprints": op10_piecewise_fingerprints, "op6_jump_hash_sharding": op6_jump_hash_sharding, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_exact_dedup": op3_exact_dedup}
 
 
 def queries() -> dict:
