@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact_dedup, fingerprint, near_dedup, packing, sharding
+from factloom.llm import chat, exact_dedup, fingerprint, near_dedup, packing, sharding
 from factloom.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -73,7 +73,33 @@ def op10_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op10_piecewise_fingerprints": op10_piecewise_fingerprints, "op6_jump_hash_sharding": op6_jump_hash_sharding, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_exact_dedup": op3_exact_dedup}
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat.digests(rows.unionByName(extra))
+
+
+def _escaped_sql() -> str:
+    out = "replace(text, '\\', '\\\\')"
+    for control in chat.CONTROLS:
+        out = f"replace({out}, '{control}', '{chat.ESCAPES[control[0]]}{control[1:]}')"
+    return out
+
+
+ORACLES["op9_chat_formatting"] = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length({_escaped_sql()}) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 18 WHEN 'assistant' THEN 5 ELSE 20 + length(role) END)::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+QUERIES = {"op9_chat_formatting": op9_chat_formatting, "op10_piecewise_fingerprints": op10_piecewise_fingerprints, "op6_jump_hash_sharding": op6_jump_hash_sharding, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_exact_dedup": op3_exact_dedup}
 
 
 def queries() -> dict:
