@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import chat, exact_dedup, fingerprint, html_extract, near_dedup, packing, quality, sharding, toxicity
+from factloom.llm import chat, exact_dedup, fingerprint, html_extract, near_dedup, packing, quality, sentencepieces, sharding, toxicity
 from factloom.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -113,7 +113,13 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op4_html_extraction": op4_html_extraction, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_chat_formatting": op9_chat_formatting, "op10_piecewise_fingerprints": op10_piecewise_fingerprints, "op6_jump_hash_sharding": op6_jump_hash_sharding, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_exact_dedup": op3_exact_dedup}
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {"op5_sentencepiece": op5_sentencepiece, "op4_html_extraction": op4_html_extraction, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_chat_formatting": op9_chat_formatting, "op10_piecewise_fingerprints": op10_piecewise_fingerprints, "op6_jump_hash_sharding": op6_jump_hash_sharding, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_exact_dedup": op3_exact_dedup}
 
 
 def queries() -> dict:
