@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -222,7 +223,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def score_udf(model: Model):
     """A column function: text -> score."""
-    import pandas as pd
 
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(_score_texts(model, list(texts)), dtype="float64")

@@ -26,7 +26,7 @@ from factloom.llm.common import small_batches
 MARK = "▁"
 _GAP = 0xFF  # stands between words of the index; no byte of UTF-8
 #: Words that an encoder remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 
 
 class Pieces:
@@ -40,8 +40,7 @@ class Pieces:
         self.by_text = {t: k for k, t in enumerate(self.text)}
         self.byte_ids, self.unknown, self.merges, self.prefix = byte_ids, unknown, merges, prefix
         self.out = np.array([*self.ids, unknown], dtype=np.uint32)
-        self.of_id = dict(zip(self.ids, self.text))
-        self.of_byte = {i: b for b, i in byte_ids.items()}
+        self.written = dict(zip(self.ids, self.raw)) | {i: bytes([b]) for b, i in byte_ids.items()} | {unknown: " ⁇ ".encode()}
         self.words = -(-max(map(len, self.raw)) // 8)
         lengths = np.array([len(r) for r in self.raw])
         pad = lambda fill: np.frombuffer(b"".join(r.ljust(8 * self.words, fill) for r in self.raw), ">u8").reshape(-1, self.words).astype(np.uint64)
@@ -267,15 +266,8 @@ class Encoder:
 
 
 def decode(pieces: Pieces, ids: bytes) -> str:
-    """The text of little-endian 32-bit ids; bytes that are no UTF-8 become U+FFFD, unknown ids U+2047."""
-    out = bytearray()
-    for i in np.frombuffer(ids, "<u4").tolist():
-        if i in pieces.of_id:
-            out += pieces.of_id[i].encode()
-        elif i in pieces.of_byte:
-            out.append(pieces.of_byte[i])
-        elif i == pieces.unknown:
-            out += " ⁇ ".encode()
+    """The text of little-endian 32-bit ids; bytes that are no UTF-8 become U+FFFD, the unknown id U+2047."""
+    out = b"".join(map(pieces.written.__getitem__, np.frombuffer(ids, "<u4").tolist()))
     text = out.decode("utf-8", "replace")
     return text.removeprefix(" ") if pieces.prefix else text
 

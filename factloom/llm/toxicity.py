@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -363,7 +364,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def score_udf(model: Model):
     """A column function: text -> score."""
-    import pandas as pd
 
     def run(texts: pd.Series) -> pd.Series:
         lexicon = Lexicon(model.entries)
