@@ -13,6 +13,10 @@ rounds each member is compared with its most similar bucket representative, and
 buckets whose members already share a component drop out. What is left of a
 bucket, members of different components, is compared completely in the last
 round, so that no candidate pair that could still join two components is skipped.
+There the members of linked buckets form clusters; in each, those outside the
+largest component are compared with all members, block by block, as bitmaps of
+their full sets. A block gives one link for each pair of document and component
+it joins, never its pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import drop, materialise, small_batches
+from factloom.llm.common import drop, materialise, partitions, small_batches
 from factloom.llm.components import components
 
 SHINGLE = 2
@@ -34,7 +38,9 @@ K = BANDS * ROWS
 BITS = 2
 SLACK = 5.5
 #: Rounds with one comparison per member before the complete one.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Rows of a block of the complete round, on either side.
+LEFT_BLOCK, RIGHT_BLOCK = 256, 512
 
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _A = (_SEED.integers(0, 1 << 32, K, dtype=np.uint64) | 1).astype(np.uint32)
@@ -153,6 +159,68 @@ def _confirm(percent: int):
     return run
 
 
+def _with_tokens(batches):
+    """(id, the distinct shingle hashes as bytes)."""
+    for batch in batches:
+        ids, sets = [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            w = words(text)
+            ids.append(doc_id)
+            sets.append(shingle_hashes(b" ".join(w), len(w)).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "tokens"])
+
+
+def block_links(left: list[tuple], right: list[tuple], percent: int) -> list[tuple]:
+    """(a, b, component of a, component of b): a link for each left row and right component that meet the threshold.
+
+    Rows are (id, component, token bytes). Tokens that occur once in the block are
+    in no intersection; the others become bits, and intersections bit counts.
+    """
+    sets = [np.frombuffer(t, np.uint64) for _, _, t in (*left, *right)]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(counts > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    keep_ = counts[which] > 1
+    owner, bit = owner[keep_], shared[which[keep_]]
+    width = int(shared[-1] + 64) // 64 if len(shared) else 1
+    bits = np.zeros((len(sets), max(1, width)), np.uint64)
+    np.bitwise_or.at(bits, (owner, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    n, comps = len(left), np.array([c for _, c, _ in right])
+    out = []
+    for i, (a, comp, _) in enumerate(left):
+        both = np.bitwise_count(bits[i] & bits[n:]).sum(axis=1, dtype=np.int64)
+        hit = np.flatnonzero((comps != comp) & ((100 + percent) * both >= percent * (sizes[i] + sizes[n:])) & (both > 0))
+        for k in hit[np.unique(comps[hit], return_index=True)[1]].tolist():
+            out.append((a, right[k][0], comp, right[k][1]))
+    return out
+
+
+def _compare_blocks(percent: int):
+    """Rows come sorted by cluster, block and side; a block has a bounded number of rows."""
+
+    def run(batches):
+        key, left, right = None, [], []
+        for batch in batches:
+            out = []
+            for *now, side, doc_id, comp, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != key:
+                    if left and right:
+                        out += block_links(left, right, percent)
+                    key, left, right = now, [], []
+                (right if side else left).append((doc_id, comp, tokens))
+            if out:
+                yield _link_batch(out)
+        if left and right and (out := block_links(left, right, percent)):
+            yield _link_batch(out)
+
+    return run
+
+
+def _link_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b", "ca", "cb"])
+
+
 def estimate(x, y):
     """Similarity from two packed signatures: equal minima, corrected for low bits that agree by chance."""
     pairs = 0x5555555555555555  # the lower bit of each field of BITS = 2
@@ -175,7 +243,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROU
     """Per row of ``docs``: doc_id, n_shingles, class_id (smallest id with this word sequence), component_id.
 
     Null and empty texts have no shingles and no partner. A row with a null id
-    gets null classes. Rows that repeat an id count as one document: the links of
+    gets null classes, as nothing can name it. Rows that repeat an id count as one document: the links of
     each of their texts are its links. Ties go to the smaller id. An empty table
     gives an empty result. Band keys of a pair at the threshold meet with
     probability 1 - (1 - J ** ROWS) ** BANDS, over 0.9999995 at J = 0.8.
@@ -190,9 +258,10 @@ def classes(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROU
     reps = materialise(reps, "op2-reps")
 
     rows = reps.select("id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
+    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", "n")
     buckets = materialise(rows.join(shared, "key").distinct(), "op2-buckets")
-    members = materialise(buckets.select("id").distinct(), "op2-members")
+    # A member that meets many others stands in the middle of its group: the better representative.
+    members = materialise(buckets.groupBy("id").agg(F.sum("n").alias("degree")), "op2-members")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL").join(members, "id", "left_semi")
     # Copies of a class need no texts of their own: only ids that stand for a class are members.
     texts = materialise(texts, "op2-texts")
@@ -201,7 +270,8 @@ def classes(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROU
 
     enough = F.lit(least_estimate(percent))
     comp = members.select("id", F.col("id").alias("comp"))
-    tried, links = None, []
+    buckets = buckets.select("key", "id")
+    tried = None
 
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
         """Of (a, b, ca, cb) those whose full sets meet the threshold."""
@@ -215,8 +285,8 @@ def classes(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROU
         return materialise(comp.join(to, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")), label)
 
     for turn in range(star_rounds):
-        placed = buckets.join(comp, "id")
-        hub = F.min_by(F.struct("id", "comp"), F.struct(F.xxhash64("id", F.lit(turn)), "id"))
+        placed = buckets.join(comp if turn else members.withColumn("comp", F.col("id")), "id")
+        hub = F.min_by(F.struct("id", "comp"), F.struct(F.xxhash64("id", F.lit(turn)) if turn else -F.col("degree"), "id"))
         hubs = placed.groupBy("key").agg(hub.alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
         pairs = placed.join(hubs.select("key", F.col("hub.id").alias("b"), F.col("hub.comp").alias("cb")), "key").filter("comp <> cb")
         pairs = pairs.select(F.col("id").alias("a"), "b", F.col("comp").alias("ca"), "cb").distinct()
@@ -230,23 +300,28 @@ def classes(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROU
         found = confirmed(pairs, f"op2-links{turn}")
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = both if tried is None else tried.unionByName(both)
-        links.append(found)
         if found.isEmpty():
             break
         comp = relabelled(comp, found, f"op2-comp{turn}")
 
-    # The complete round: what shares a bucket but no component.
+    # The complete round: what shares a cluster of buckets but no component.
     placed = buckets.join(comp, "id")
     live = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    rest = materialise(placed.join(live, "key").join(marks, "id"), "op2-rest")
-    left = rest.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("signature").alias("x"))
-    right = rest.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("signature").alias("y"))
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("ca") < F.col("cb")) & (estimate(F.col("x"), F.col("y")) >= enough))
-    pairs = pairs.select("a", "b", "ca", "cb").distinct()
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    rest = materialise(placed.join(live, "key"), "op2-rest")
+    first = rest.groupBy("key").agg(F.min("id").alias("v"))
+    cluster = components(rest.join(first, "key").select(F.col("id").alias("u"), "v"))
+    alive = materialise(rest.select("id", "comp").distinct().join(cluster.withColumnRenamed("node", "id"), "id").withColumnRenamed("component", "cluster"), "op2-alive")
+    counts = alive.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster")
+    counts = counts.agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("apart"))
+    alive = alive.join(counts, "cluster").join(texts.select("id", "text").mapInArrow(_with_tokens, "id long, tokens binary"), "id")
+    lefts, rights = F.ceil(F.col("apart") / LEFT_BLOCK), F.ceil(F.col("members") / RIGHT_BLOCK)
+    place = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("long")
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    left = alive.filter("comp <> main").select("cluster", place(lefts, 1).alias("i"), span(rights).alias("j"), F.lit(0).alias("side"), "id", "comp", "tokens")
+    right = alive.select("cluster", span(lefts).alias("i"), place(rights, 2).alias("j"), F.lit(1).alias("side"), "id", "comp", "tokens")
+    blocks = left.unionByName(right).repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "id")
+    pairs = materialise(blocks.mapInArrow(_compare_blocks(percent), "a long, b long, ca long, cb long"), "op2-meet")
     found = confirmed(pairs, "op2-last")
-    links.append(found)
     comp = relabelled(comp, found, "op2-comp")
 
     # Components carry the smallest id, for a class's id is its smallest and a component's its smallest class.
@@ -254,7 +329,8 @@ def classes(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROU
     copied = owners.filter("copies > 1").select("digest", "class_id")
     out = signed.select("doc_id", "n_shingles", "digest").join(copied, "digest", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = out.join(comp, out["class_id"] == comp["id"], "left")
-    return out.select("doc_id", "n_shingles", "class_id", F.coalesce("comp", "class_id").alias("component_id"))
+    whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "class_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), whole.alias("component_id"))
 
 
 def mark(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
