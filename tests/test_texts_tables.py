@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,8 +92,14 @@ def test_rate_limit_counts_accepted_hits_only(spark, tmp_path):
     assert {r["event_id"]: r["accepted"] for r in stateful.rate_limit(rows, 2, 10).collect()} == want
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = stateful.rate_limit_stream(stream, 2, 10).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = stateful.rate_limit_stream(stream, 2, 10).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:  # state with a timeout asks for batches without data for ever, so the query is stopped once the rows are there
+        for _ in range(60):
+            if spark.table("limited").count() == len(want):
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
     assert {r["event_id"]: r["accepted"] for r in spark.table("limited").collect()} == want
 
 
