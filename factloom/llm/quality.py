@@ -38,6 +38,7 @@ _STOP = np.isin(np.arange(256), list(b".,;:"))
 _CRY = np.isin(np.arange(256), list(b"!?"))
 _SYMBOL = np.isin(np.arange(256), list(b"#$%&*@^~<>{}[]\\/=+_|`"))
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_HIGH = np.arange(256) >= 128
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -103,7 +104,7 @@ def encode(text: str | None) -> np.ndarray:
             np.log(mean), np.sqrt(np.maximum(0.0, summed(length**2) / counts - mean**2)) / 8, summed(upper) / total, summed(digit) / total, summed(symbol) / total,
             summed(stop) / total * 5, summed(cry) / total * 3, summed((upper == letter) & (letter > 1)) / counts, summed(_SYMBOL[last]) / counts, summed(_CRY[last]) / counts,
             distinct / counts, most / counts, summed(again) / counts, summed(earlier) / counts, lines / counts, summed(length == 1) / counts,
-            summed(data >= 128) / total if len(data) == n else np.add.reduceat(per_word(np.arange(256) >= 128).astype(np.float64), first) / total,
+            summed(per_word(_HIGH)) / total,
             summed((length == 1) & (data[starts] == 124)) / counts, summed(_UPPER[data[starts]]) / counts, summed(letter == 0) / counts, np.log(counts) / 4, np.full(len(first), np.log(n) / 8),
         ]
     )

@@ -136,10 +136,9 @@ class Lexicon:
     def __init__(self, entries: dict[str, float]):
         """``entries``: word -> weight, a word that ends in ``*`` being a beginning."""
         self.entries = entries
-        self.closed = {w: (OTHER, 0.0) for w in ()}
+        self.closed = {c: (REPORT, 0.0) for c in QUOTES}
         for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
             self.closed |= {w: (symbol, 0.0) for w in words}
-        self.closed |= {c: (REPORT, 0.0) for c in QUOTES}
         keys: dict[str, list] = {}
         for word, weight in entries.items():
             open_ = word.endswith("*")
