@@ -20,7 +20,7 @@ def duck():
 
 def _rows(frame):
     frame = frame[sorted(frame.columns)]
-    cell = lambda x: "null" if x is None or x != x else f"{float(x):.9g}" if isinstance(x, float) else str(x)
+    cell = lambda x: "null" if x is None or type(x).__name__ in ("NAType", "NaTType") or x != x else f"{float(x):.9g}" if isinstance(x, float) else str(x)
     return sorted(tuple(cell(x.item() if hasattr(x, "item") else x) for x in r) for r in frame.itertuples(index=False))
 
 
