@@ -41,6 +41,8 @@ SLACK = 5.5
 STAR_ROUNDS = 2
 #: Rows of a block of the complete round, on either side.
 LEFT_BLOCK, RIGHT_BLOCK = 256, 512
+#: Bytes of bitmaps that a block may take before it is halved.
+BLOCK_BYTES = 32 << 20
 
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _A = (_SEED.integers(0, 1 << 32, K, dtype=np.uint64) | 1).astype(np.uint32)
@@ -184,6 +186,11 @@ def block_links(left: list[tuple], right: list[tuple], percent: int) -> list[tup
     keep_ = counts[which] > 1
     owner, bit = owner[keep_], shared[which[keep_]]
     width = int(shared[-1] + 64) // 64 if len(shared) else 1
+    if len(sets) * width * 8 > BLOCK_BYTES and max(len(left), len(right)) > 1:  # long documents: smaller blocks
+        h, k = (len(left) + 1) // 2, (len(right) + 1) // 2
+        if len(left) > len(right):
+            return block_links(left[:h], right, percent) + block_links(left[h:], right, percent)
+        return block_links(left, right[:k], percent) + block_links(left, right[k:], percent)
     bits = np.zeros((len(sets), max(1, width)), np.uint64)
     np.bitwise_or.at(bits, (owner, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
     n, comps = len(left), np.array([c for _, c, _ in right])
