@@ -40,7 +40,7 @@ _PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start
 class _Words(dict):
     """Pre-token -> little-endian 32-bit ids, filled on demand and emptied when it grows large."""
 
-    MOST = 400_000
+    MOST = 120_000
 
     def __init__(self, encode):
         super().__init__()
