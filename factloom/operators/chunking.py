@@ -170,16 +170,48 @@ def retrieval_units(documents: DataFrame, document_id: str, text: str, target: i
     return documents.select(documents[document_id].cast("string"), text).mapInArrow(run, CHUNK_SCHEMA)
 
 
+def _rare_grams(rows: DataFrame, counts: DataFrame, size: int, most: Column) -> DataFrame:
+    """(name, rare): the first ``most`` distinct grams of each name, ordered from rare to frequent."""
+    own = rows.select("name", F.explode(_padded_grams("name", size)).alias("gram")).join(counts, "gram", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")))
+    return own.groupBy("name").agg(order.alias("o")).select("name", F.transform(F.slice("o", F.lit(1), most), lambda x: x["gram"]).alias("rare"))
+
+
+def _padded_grams(name: str, size: int) -> Column:
+    """Distinct grams with a pad in front, and one behind for pairs: one more than characters if all differ."""
+    padded = F.concat(F.lit("\x02"), name, F.lit("\x03" if size == 2 else ""))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.length(name)), lambda i: F.substring(padded, i + 1, F.lit(size))))
+
+
 def fuzzy_match(names: DataFrame, known: DataFrame, cutoff: float = 0.85) -> DataFrame:
-    """Names with their most alike known name by difflib ratio; candidates share a first character and a length within the cutoff."""
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-    score = F.pandas_udf(ratio, "double")
-    # ratio >= cutoff needs lengths within a factor of cutoff / (2 - cutoff).
-    bound = cutoff / (2 - cutoff)
-    a = names.select("name", F.substring("name", 1, 1).alias("initial"))
-    b = known.select(F.col("name").alias("match"), F.substring("name", 1, 1).alias("initial"))
-    pairs = a.join(b, "initial").filter((F.length("name") >= bound * F.length("match")) & (F.length("match") >= bound * F.length("name")))
-    scored = pairs.withColumn("ratio", score("name", "match")).filter(F.col("ratio") >= cutoff)
+    """Names with their most alike known name, as difflib.get_close_matches(name, known, 1, cutoff) finds it.
+
+    The candidates are exact. A ratio of at least c between names of a and b characters needs M >= c (a + b) / 2 matched
+    ones. In padded names the a + b - 2M others break at most a + 1 - T of the pairs of neighbours, T = 3M - (a + b) + 1;
+    below c = 2/3 that may be none, and T = M + 1 holds for single characters. So of the distinct grams of a name all but
+    a + 1 - T are in the other, and the rarest gram that both have is among the rarest a + 2 - T of either. T is least for
+    the shortest possible partner, of c / (2 - c) a characters. Pairs that share such a gram are compared, each once.
+    """
+    slack = 1e-9
+
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        matcher, out = difflib.SequenceMatcher(), []
+        for name, match in zip(a, b):
+            if matcher.b != name:
+                matcher.set_seq2(name)
+            matcher.set_seq1(match)
+            close = matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff
+            out.append(matcher.ratio() if close else None)
+        return pd.Series(out, dtype="float64")
+
+    score = F.pandas_udf(ratios, "double")
+    size, share = (2, (3 * cutoff - 2) / (2 - cutoff)) if cutoff >= 2 / 3 else (1, cutoff / (2 - cutoff))
+    most = (F.floor(F.length("name") * (1 - share) + slack) + 1).cast("int")
+    names, known = (rows.select("name").filter("name IS NOT NULL").distinct() for rows in (names, known))
+    counts = known.select(F.explode(_padded_grams("name", size)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    a = _rare_grams(names, counts, size, most).select("name", "rare", F.explode("rare").alias("gram"))
+    b = _rare_grams(known, counts, size, most).select(F.col("name").alias("match"), F.col("rare").alias("match_rare"), F.explode("rare").alias("gram"))
+    long_enough = 2 * F.least(F.length("name"), F.length("match")) >= (cutoff - slack) * (F.length("name") + F.length("match"))
+    pairs = a.join(b, "gram").filter(long_enough & (F.get(F.array_intersect("rare", "match_rare"), F.lit(0)) == F.col("gram")))
+    scored = pairs.select("name", "match", score("name", "match").alias("ratio")).filter(F.col("ratio") >= cutoff)
     return scored.groupBy("name").agg(F.max_by(F.struct("match", "ratio"), F.struct("ratio", "match")).alias("m")).select("name", "m.match", "m.ratio")
