@@ -6,6 +6,7 @@ import random
 import pytest
 
 from factloom.operators import chunking
+from factloom.plans import catalog
 
 FIRST = "old cold bold blue big tin tiny".split()
 SECOND = "anvil bolt gear gizmo ring widget".split()
@@ -46,3 +47,19 @@ def test_equals_brute_force(spark, cutoff):
         names.append("".join(letters))
     names += ["".join(rng.choice("ab ") for _ in range(rng.randint(1, 12))) for _ in range(30)]
     assert _found(spark, names, known, cutoff) == _best(names, known, cutoff)
+
+
+def test_query_asks_for_all_names_and_for_others(spark, tmp_path):
+    known = ["old anvil", "cold anvil", "cold bolt", "old bolt", "bold gear", "tin", "", None, "tin"]
+    spark.createDataFrame(enumerate(known, 1), "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    rows = catalog.queries()["fuzzy_match"](spark, str(tmp_path)).collect()
+    names = [x for name in known[:-2] for x in (name, name[1:], name[:-1])]
+    want = _best(names, known, 0.9)
+    assert {r["name"]: (r["match"], r["ratio"]) for r in rows} == want and len(rows) == len(want)
+    assert set(known) - {None} <= set(want) and any(name not in known for name in want)
+
+
+def test_query_equals_brute_force_on_the_smallest_scale(spark):
+    known = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_name").distinct().collect()]
+    rows = catalog.queries()["fuzzy_match"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["name"]: (r["match"], r["ratio"]) for r in rows} == _best([x for n in known for x in (n, n[1:], n[:-1])], known, 0.9)
