@@ -77,13 +77,10 @@ _GRAM_SQL = """list_distinct(list_transform(range({n} - 1), lambda i: substr({t}
     round(len(list_intersect(a.g, b.g))::DOUBLE / len(a.g), 6) AS score FROM t a JOIN t b ON a.id <> b.id WHERE a.id % 10 = 0)
   SELECT item_id, other_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, other_id) AS rank FROM p QUALIFY rank <= 3""")
 def ngram_recall_search(spark: SparkSession, sf: str) -> DataFrame:
-    """A stated query set, every tenth item, against all items."""
+    """The query set of the oracle, every tenth item, against all items; the operator takes any set."""
     grams = table(spark, sf, "benchmark").select("item_id", text.char_grams(F.col("text")).alias("g"))
-    asked = grams.filter("item_id % 10 = 0")
-    others = grams.select(F.col("item_id").alias("other_id"), F.col("g").alias("h"))
-    pairs = others.join(F.broadcast(asked), F.col("item_id") != F.col("other_id"))  # a benchmark has a few hundred items at any scale
-    scored = pairs.select("item_id", "other_id", F.round(text.gram_recall(F.col("g"), F.col("h")), 6).alias("score"))
-    return ops.top(scored, ["item_id"], "score", "other_id", 3)
+    others = grams.select(F.col("item_id").alias("other_id"), "g")
+    return ops.gram_recall_top(others, grams.filter("item_id % 10 = 0"), "other_id", "item_id", "g", 3)
 
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
