@@ -5,6 +5,11 @@ kept; all but the last return the columns of ``documents``. Both classifiers
 learn from the labelled rows of the whole input, whatever the earlier stages
 dropped. Rows without an id pass the near-duplicate stage, as nothing can name
 their group.
+
+Near copies share 80 % of their shingles of NEAR_SHINGLE words, the rule of op2,
+so that stage and query call the same texts near copies. Shingles of five words
+find fewer: one changed word breaks five of them, and short texts with a few
+changed words would stay.
 """
 
 from __future__ import annotations
@@ -14,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from factloom.llm import exact_dedup, near_dedup, packing, quality, toxicity
 from factloom.llm.common import materialise, table
 
+NEAR_SHINGLE = near_dedup.SHINGLE
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep(docs, toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
@@ -28,7 +35,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep(docs)
+    return near_dedup.keep(docs, size=NEAR_SHINGLE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

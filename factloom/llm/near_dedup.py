@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import drop, materialise, partitions, small_batches
 from factloom.llm.components import components
 
+#: Words of a shingle where the caller names no size: the contract of op2.
 SHINGLE = 2
 PERCENT = 80
 BANDS, ROWS = 48, 6
@@ -130,46 +131,53 @@ def packed(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=1).view(np.int64)
 
 
-def _sign(batches):
-    for batch in batches:
-        out = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            w = words(text)
-            joined = b" ".join(w)
-            hashes = shingle_hashes(joined, len(w))
-            if len(hashes):
-                least = minima(hashes)
-                out.append((doc_id, len(hashes), xxhash.xxh3_128_digest(joined), band_keys(least), packed(least)))
-            else:
-                out.append((doc_id, 0, None, None, None))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _SIG_ARROW)], schema=_SIG_ARROW)
+def _sign(size: int):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = words(text)
+                joined = b" ".join(w)
+                hashes = shingle_hashes(joined, len(w), size)
+                if len(hashes):
+                    least = minima(hashes)
+                    out.append((doc_id, len(hashes), xxhash.xxh3_128_digest(joined), band_keys(least), packed(least)))
+                else:
+                    out.append((doc_id, 0, None, None, None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _SIG_ARROW)], schema=_SIG_ARROW)
+
+    return run
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, size: int):
     def run(batches):
         text_b, set_b = None, set()
         for batch in batches:
             a, b, ca, cb = [], [], [], []
             for one, two, comp_a, comp_b, text_1, text_2 in zip(*(c.to_pylist() for c in batch.columns)):
                 if text_2 != text_b:  # rows come sorted by the second id
-                    text_b, set_b = text_2, shingle_set(text_2)
-                if similar(shingle_set(text_1), set_b, percent):
+                    text_b, set_b = text_2, shingle_set(text_2, size)
+                if similar(shingle_set(text_1, size), set_b, percent):
                     a.append(one), b.append(two), ca.append(comp_a), cb.append(comp_b)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "u": pa.array(ca, pa.int64()), "v": pa.array(cb, pa.int64())})
 
     return run
 
 
-def _with_tokens(batches):
+def _with_tokens(size: int):
     """(id, the distinct shingle hashes as bytes)."""
-    for batch in batches:
-        ids, sets = [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            w = words(text)
-            ids.append(doc_id)
-            sets.append(shingle_hashes(b" ".join(w), len(w)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "tokens"])
+
+    def run(batches):
+        for batch in batches:
+            ids, sets = [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = words(text)
+                ids.append(doc_id)
+                sets.append(shingle_hashes(b" ".join(w), len(w), size).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "tokens"])
+
+    return run
 
 
 def block_links(left: list[tuple], right: list[tuple], percent: int) -> list[tuple]:
@@ -246,10 +254,10 @@ def least_estimate(percent: int = PERCENT) -> float:
     return j - SLACK * (m * (1 - m) / K) ** 0.5 / (1 - chance)
 
 
-def classes(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def classes(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, size: int = SHINGLE) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, class_id (smallest id with this word sequence), component_id.
 
-    Null and empty texts have no shingles and no partner. A row with a null id
+    Shingles have ``size`` words. Null and empty texts have no shingles and no partner. A row with a null id
     gets null classes, as nothing can name it. Rows that repeat an id count as one document: the links of
     each of their texts are its links. Ties go to the smaller id. An empty table
     gives an empty result. Band keys of a pair at the threshold meet with
@@ -257,7 +265,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROU
     """
     spark = docs.sparkSession
     small_batches(spark)
-    signed = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, _SIG_SCHEMA), "op2-signed")
+    signed = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign(size), _SIG_SCHEMA), "op2-signed")
     named = signed.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
     owners = materialise(named.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "op2-owners")
     firsts = owners.select(F.col("class_id").alias("id")).distinct()
@@ -285,7 +293,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROU
         first = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
         second = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         both = pairs.join(first, "a").join(second, "b").select("a", "b", "ca", "cb", "text_a", "text_b")
-        return materialise(both.mapInArrow(_confirm(percent), "a long, b long, u long, v long"), label)
+        return materialise(both.mapInArrow(_confirm(percent, size), "a long, b long, u long, v long"), label)
 
     def relabelled(comp: DataFrame, found: DataFrame, label: str) -> DataFrame:
         to = components(found.select("u", "v")).withColumnRenamed("node", "comp")
@@ -320,7 +328,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROU
     alive = materialise(rest.select("id", "comp").distinct().join(cluster.withColumnRenamed("node", "id"), "id").withColumnRenamed("component", "cluster"), "op2-alive")
     counts = alive.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster")
     counts = counts.agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("apart"))
-    alive = alive.join(counts, "cluster").join(texts.select("id", "text").mapInArrow(_with_tokens, "id long, tokens binary"), "id")
+    alive = alive.join(counts, "cluster").join(texts.select("id", "text").mapInArrow(_with_tokens(size), "id long, tokens binary"), "id")
     lefts, rights = F.ceil(F.col("apart") / LEFT_BLOCK), F.ceil(F.col("members") / RIGHT_BLOCK)
     place = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("long")
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
@@ -340,12 +348,12 @@ def classes(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROU
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), whole.alias("component_id"))
 
 
-def mark(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def mark(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """Per row: doc_id, n_shingles, class_id, component_id, kept (its id is its component's)."""
-    return classes(docs, percent).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return classes(docs, percent, size=size).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row's id of each component stays, with the columns of ``docs``; rows with a null id stay."""
-    gone = mark(docs, percent).filter("NOT kept").select(F.col("doc_id").alias("__gone"))
+    gone = mark(docs, percent, size).filter("NOT kept").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
