@@ -47,8 +47,11 @@ BIAS, LOG_WORDS, LINKED, SENTENCE = -1.0, 0.35, -4.0, 0.5
 NEXT, SIBLING = 0.5, 1.0
 
 _SPLIT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
+#: Words that speak of a neighbour, such as with-sidebar; on main and article those of a side too, such as sidebar-right.
+_LAYOUT = re.compile(r"(?<![a-z])(?:with|without|has|have|no)[-_]+[\w-]+")
+_SIDE = re.compile(r"(?<![a-z])(?:sidebar|aside|nav|header|footer)[-_]+(?:left|right|top|bottom|open|closed|enabled|disabled|fixed|sticky|layout)(?![a-z])")
 
 
 @dataclass
@@ -68,8 +71,9 @@ def _element_weight(tag: str, attributes: str) -> float:
         if name == "role":
             weight += ROLE_WEIGHTS.get(value.strip(), 0.0)
         elif name in ("class", "id"):
-            words = set(_WORDS.findall(value))
-            if words & BOILERPLATE_WORDS:
+            value = _LAYOUT.sub(" ", value)
+            words = set(_WORDS.findall(_SIDE.sub(" ", value) if tag in ("main", "article") else value))
+            if words & BOILERPLATE_WORDS and tag not in ("html", "body"):  # the whole page is no boilerplate of itself
                 weight += BOILERPLATE_WORD
             elif words & CONTENT_WORDS:
                 weight += CONTENT_WORD
