@@ -320,6 +320,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS)
     """Learns from at most ``per_class`` training rows of each label value; held out rows are never read.
 
     Without rows of both values the seeds and fixed weights stand.
+    The lexicon comes from two thirds of the rows and the weights from the last third, unless that
+    third has fewer than 20 toxic rows: then both come from all rows, and the weights trust the
+    lexicon more than unseen rows would let them.
     """
     rows = labelled_sample(docs, labels, "toxic", per_class)
     seen = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("toxic").count().collect()
