@@ -3,16 +3,17 @@
 Documents become token sequences; one longer than a bin is cut, its short piece
 first. Pieces as long as a bin fill one each. The others are dealt into groups of
 bounded size; each group runs best-fit decreasing and compares its bins with a
-lower bound from dual-feasible functions. A group that meets its bound is optimal
-and final. A group with a gap gives up the documents of its bins that are not
-full; the documents given up are dealt anew, so that groups exchange them, and
-packed again. A repacking counts only if its groups need fewer bins.
+lower bound from dual-feasible functions, its certificate. Full bins are final.
+Until the bins of all groups together meet the bound of all pieces, groups give up
+the documents of their bins that are not full; these are dealt anew, so that
+groups exchange them, and packed again. A repacking counts only if its group needs
+fewer bins.
 """
 
 from __future__ import annotations
 
-import base64
 import math
+import re
 import zlib
 from functools import lru_cache
 
@@ -37,55 +38,60 @@ _PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start
 # --- tokens ---------------------------------------------------------------------------------
 
 
-class _Words(dict):
-    """Pre-token -> little-endian 32-bit ids, filled on demand and emptied when it grows large."""
+#: White space from here on is left to the tokenizer file's own library: the fast one keeps a stack frame for each character.
+LONG_RUN = 20_000
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 
-    MOST = 120_000
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.MOST:
-            self.clear()
-        ids = self[word] = np.asarray(self.encode(word), dtype="<u4").tobytes()
-        return ids
+def byte_letters() -> dict[str, int]:
+    """The letters by which a byte-level vocabulary writes bytes: printable Latin-1 as it is, the others from 256 on in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
 @lru_cache(maxsize=2)
-def tokenizer(ranks_path: str, pattern: str):
-    """Text -> bytes of its ids. The ranks are the vocabulary of the JSON tokenizer; tests hold both equal."""
-    import regex
+def tokenizer(json_path: str, pattern: str):
+    """Text -> its ids, as ``tokenizers`` gives them for this file without adding special tokens.
+
+    The vocabulary's ids are its merge ranks, so that another library can encode
+    with them; nothing is remembered from text to text. A text that holds a special
+    token's string or a very long run of white space goes through ``tokenizers``.
+    """
     import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = Tokenizer.from_file(json_path)
+    special = [t.content for t in own.get_added_tokens_decoder().values()]
+    byte = byte_letters()
+    ranks = {bytes(byte[c] for c in piece): rank for piece, rank in own.get_vocab(with_added_tokens=False).items() if piece not in special}
     plain = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    split, words = regex.compile(pattern).findall, _Words(plain.encode_ordinary)
-    return lambda text: b"".join(map(words.__getitem__, split(text)))
+
+    def encode(text: str) -> np.ndarray:
+        if any(s in text for s in special) or (len(text) >= LONG_RUN and _LONG_RUN.search(text)):
+            return np.array(own.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(plain.encode_ordinary(text), "<u4")
+
+    return encode
 
 
-def cut(ids: bytes, size: int = BIN) -> list[tuple[int, int]]:
-    """(start, length) of the pieces: the remainder first, then whole bins."""
-    n = len(ids) // 4
+def cut(n: int, size: int = BIN) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of ``n`` ids: the remainder first, then whole bins."""
     if n <= size:
         return [(0, n)]
     first = n % size or size
     return [(0, first)] + [(at, size) for at in range(first, n, size)]
 
 
-def _tokenise(ranks_path: str, pattern: str, size: int, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
+def _tokenise(json_path: str, pattern: str, size: int, end_id: int):
     def run(batches):
-        encode = tokenizer(ranks_path, pattern)
+        encode, end = tokenizer(json_path, pattern), np.array([end_id], "<u4")
         for batch in batches:
             out = []
             for doc_id, text, copy in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = encode(text or "") + end
-                for k, (at, n) in enumerate(cut(ids, size)):
-                    out.append((doc_id, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), copy))
+                ids = np.concatenate((encode(text or ""), end))
+                for k, (at, n) in enumerate(cut(len(ids), size)):
+                    out.append((doc_id, k, at, n, zlib.crc32(ids[at : at + n]), copy))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _PIECE_ARROW)], schema=_PIECE_ARROW)
 
@@ -102,9 +108,12 @@ def lower_bound(lengths: np.ndarray, size: int = BIN) -> int:
     nothing), and the functions u(k), which round x * (k + 1) down to multiples
     unless it is whole; both map any feasible bin to at most one bin.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=size + 1)[: size + 1].astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=size + 1)[: size + 1], size)
+
+
+def bound_of_counts(count: np.ndarray, size: int = BIN) -> int:
+    """``lower_bound`` of ``count[n]`` items of each length n."""
+    count = count.astype(np.int64)
     x = np.arange(size + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // size)
     items, weight = np.cumsum(count), np.cumsum(count * x)
@@ -161,7 +170,7 @@ def pack_group(frame: pd.DataFrame, size: int = BIN) -> pd.DataFrame:
     bound = lower_bound(lengths, size)
     filled = pd.Series(lengths).groupby(bins).transform("sum").to_numpy()
     out = frame[["doc_id", "piece", "start", "length", "ids_crc32", "copy"]].copy()
-    out["bin"], out["offset"], out["released"] = bins, offsets, (made > bound) & (filled < size)
+    out["bin"], out["offset"], out["released"] = bins, offsets, filled < size
     out["lower_bound"], out["made"] = np.int64(bound), np.int64(made)
     return out
 
@@ -169,26 +178,34 @@ def pack_group(frame: pd.DataFrame, size: int = BIN) -> pd.DataFrame:
 _PACKED = _PIECE_SCHEMA + ", bin long, offset long, released boolean, lower_bound long, made long"
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, size: int = BIN, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, json_path: str, pattern: str, size: int = BIN, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, copy (tells rows that repeat an id apart)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("copy"))
-    return rows.mapInArrow(_tokenise(ranks_path, pattern, size, end_id), _PIECE_SCHEMA)
+    return rows.mapInArrow(_tokenise(json_path, pattern, size, end_id), _PIECE_SCHEMA)
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, size: int = BIN, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """Per piece of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset, lower_bound, made.
+def pack(docs: DataFrame, json_path: str, pattern: str, size: int = BIN, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
+    """Per piece of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset, lower_bound, made, all_bound.
 
     A null text is empty and takes its end token alone; null ids and rows that
     repeat an id are packed like any other. ``lower_bound`` and ``made`` are the
     certificate of the group that packed the piece: equal means that its bins
-    cannot be fewer. An empty table gives an empty result.
+    cannot be fewer; ``all_bound`` bounds the bins of all documents together. An
+    empty table gives an empty result.
+
+    Bins that are not full meet those of other groups in up to ``rounds`` more
+    rounds, which end as soon as the bound of all pieces is met.
     """
-    made = materialise(pieces(docs, ranks_path, pattern, size, end_id), "op1-pieces")
+    made = materialise(pieces(docs, json_path, pattern, size, end_id), "op1-pieces")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    counts = np.zeros(size + 1, np.int64)
+    for row in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ``size`` rows
+        counts[row["length"]] = row["n"]
+    n, bound, closed = int(counts[:size].sum()), bound_of_counts(counts, size), int(counts[size])
     whole = made.filter(F.col("length") == size).withColumns({"bin": -1 - F.monotonically_increasing_id(), "offset": none, "lower_bound": one, "made": one})
     waiting = made.filter(F.col("length") < size).withColumns({"bin": F.lit(-1).cast("long"), "offset": none})
-    done, n = [whole], waiting.count()
+    done = [whole]
     for turn in range(rounds + 1):
         if not n:
             break
@@ -197,12 +214,16 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, size: int = BIN, end_id
         unit = [F.col("bin")] if turn else [F.col("copy"), F.col("piece")]
         dealt = waiting.withColumns({"round": F.lit(turn), "group": F.pmod(F.xxhash64(*unit, F.lit(turn)), F.lit(count))})
         packed = materialise(dealt.groupBy("group").applyInPandas(lambda frame: pack_group(frame, size), _PACKED), f"op1-round{turn}")
-        last = turn == rounds
-        done.append((packed if last else packed.filter("NOT released")).drop("released"))
-        if not last:
-            waiting = packed.filter("released").drop("released", "lower_bound", "made")
-            n = waiting.count()
+        first = F.col("offset") == 0  # one piece of each bin
+        state = packed.agg(F.count_if(first), F.count_if(first & ~F.col("released")), F.count_if("released")).first()
+        if turn == rounds or count == 1 or closed + state[0] <= bound:
+            done.append(packed.drop("released"))
+            break
+        closed, n = closed + state[1], state[2]
+        done.append(packed.filter("NOT released").drop("released"))
+        waiting = packed.filter("released").drop("released", "lower_bound", "made")
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset", "lower_bound", "made")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset", "lower_bound", "made"]
+    return out.select(*columns, F.lit(bound).cast("long").alias("all_bound"))

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 from factloom.llm import packing
 from tests.llm.conftest import HARD
 
-PATHS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+PATHS = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 @given(st.lists(st.integers(1, 20), max_size=9))
@@ -35,22 +36,24 @@ def test_best_fit_is_gapless():
 
 
 def test_tokens_equal_the_tokenizer_file():
-    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
+    own = Tokenizer.from_file(PATHS[0])
     encode = packing.tokenizer(*PATHS)
-    for text in [t or "" for _, t in HARD] + ["It's 12,345 déjà-vu\n\n  tab\t🎉", "<|endoftext|> x", "　 a b\r\n"]:
-        assert np.frombuffer(encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+    rng = random.Random(3)
+    letters = " \n\t\x1c\x85\u2003\u3000abé1٣日's.,!<|>"
+    odd = ["".join(rng.choice(letters) for _ in range(rng.randrange(24))) for _ in range(3000)]
+    for text in [t or "" for _, t in HARD] + odd + ["It's 12,345 déjà-vu\n\n  tab\t🎉", "<|endoftext|> x<|endoftext|>", "　 a b\r\n", "a" + " " * 1_000_000 + "b"]:
+        assert encode(text).tolist() == own.encode(text, add_special_tokens=False).ids
+    assert encode("<|endoftext|>").tolist() == [50256]
 
 
 def test_pack_places_every_token_once(hard, docs_of):
     got = packing.pack(hard, *PATHS, group_pieces=4).toPandas()
     encode = packing.tokenizer(*PATHS)
-    end = np.array([2], "<u4").tobytes()
-    texts = {i: encode(t or "") + end for i, t in HARD if i is not None}
+    texts = {i: encode(t or "").tobytes() + b"\x02\0\0\0" for i, t in HARD if i is not None}
     for r in got[got.doc_id.notna()].itertuples():
         ids = texts[int(r.doc_id)][4 * r.start : 4 * (r.start + r.length)]
         assert zlib.crc32(ids) == r.ids_crc32 and len(ids) == 4 * r.length
-    assert got.length.sum() == sum(len(encode(t or "")) // 4 + 1 for _, t in HARD)
+    assert got.length.sum() == sum(len(encode(t or "")) + 1 for _, t in HARD)
     for _, own in got.sort_values("offset").groupby("sequence_id"):
         assert (own.length.cumsum() - own.length == own.offset).all() and own.length.sum() <= 1024
     for _, own in got[got.doc_id == 10].groupby("doc_id"):
@@ -64,3 +67,11 @@ def test_certificate_holds(spark, docs_of):
     got = packing.pack(docs_of(rows), *PATHS, group_pieces=50).toPandas()
     assert (got.made >= got.lower_bound).all()
     assert got.sequence_id.nunique() <= 1.05 * packing.lower_bound(got.length.to_numpy())
+
+
+def test_groups_exchange_until_all_meet_the_bound(docs_of):
+    rows = [(k, "word " * (1 + 37 * k % 90)) for k in range(600)]
+    got = packing.pack(docs_of(rows), *PATHS, group_pieces=120).toPandas()
+    assert got.all_bound.max() == packing.lower_bound(got.length.to_numpy())
+    one_round = packing.pack(docs_of(rows), *PATHS, group_pieces=120, rounds=0).toPandas()
+    assert got.all_bound.max() <= got.sequence_id.nunique() < one_round.sequence_id.nunique()
