@@ -72,6 +72,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of one key that a task takes, however small its fair share is, before the key is split.
+HOT_ROWS = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` on ``key``, with the keys that many left rows share split over several tasks.
+
+    ``sizes`` has the number ``n`` of left rows of each key, for frequent keys at
+    least. A key is split by the hash of column ``salt`` where it has more rows than a
+    task's fair share; there are at most as many such keys as partitions, which
+    bounds the table that is broadcast. The right rows of a split key are copied to
+    each of its parts.
+    """
+    parts = partitions(left.sparkSession)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    share = max(HOT_ROWS, total // parts)
+    hot = F.broadcast(sizes.filter(F.col("n") > share).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / share).cast("int").alias("__parts")))
+    dealt = left.join(hot, left[key] == F.col("__hot"), "left")
+    parts_of = F.coalesce("__parts", F.when(F.col(key).isNull(), parts), F.lit(1))  # null keys match nothing and may stand anywhere
+    dealt = dealt.withColumn("__salt", F.pmod(F.xxhash64(salt), parts_of).cast("int"))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+    copied = right.join(hot, right[key] == F.col("__hot"), "left").withColumn("__salt", copies).drop("__hot", "__parts")
+    return dealt.drop("__hot", "__parts").join(copied, [key, "__salt"], how).drop("__salt")
+
+
 def held_out(doc_id):
     """Rows that never train a classifier: crc32 of the id as text is 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -13,21 +13,24 @@ rounds each member is compared with its most similar bucket representative, and
 buckets whose members already share a component drop out. What is left of a
 bucket, members of different components, is compared completely in the last
 round, so that no candidate pair that could still join two components is skipped.
-There the members of linked buckets form clusters; in each, those outside the
-largest component are compared with all members, block by block, as bitmaps of
-their full sets. A block gives one link for each pair of document and component
-it joins, never its pairs.
+There each bucket compares the signatures of its members outside its largest
+component with those of all its members, block by block. What is near enough forms
+clusters; in each, the same is done with bitmaps of full sets. A block gives a
+forest of near pairs, or one link for each pair of document and component it
+joins, never all its pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import drop, materialise, partitions, small_batches
+from factloom.llm.common import drop, materialise, partitions, small_batches, spread_join
 from factloom.llm.components import components
 
 #: Words of a shingle where the caller names no size: the contract of op2.
@@ -38,8 +41,8 @@ K = BANDS * ROWS
 #: Bits kept of each minimum, and how many standard deviations below the threshold an estimate may lie.
 BITS = 2
 SLACK = 5.5
-#: Rounds with one comparison per member before the complete one.
-STAR_ROUNDS = 2
+#: Rounds with one comparison per member before the complete one, at most.
+STAR_ROUNDS = 4
 #: Rows of a block of the complete round, on either side.
 LEFT_BLOCK, RIGHT_BLOCK = 256, 512
 #: Bytes of bitmaps that a block may take before it is halved.
@@ -165,6 +168,61 @@ def _confirm(percent: int, size: int):
     return run
 
 
+def forest(passes: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) pairs of ``passes`` that keep its connected components: fewer than rows and columns together."""
+    rows, cols = np.nonzero(passes)
+    if len(rows) < sum(passes.shape):
+        return list(zip(rows.tolist(), cols.tolist()))
+    out, root = [], list(range(sum(passes.shape)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, j in zip(rows.tolist(), cols.tolist()):
+        a, b = find(i), find(passes.shape[0] + j)
+        if a != b:
+            root[a] = b
+            out.append((i, j))
+    return out
+
+
+def _pairs_by_estimate(least: float):
+    """Rows (key, i, j, side, id, comp, signature) sorted by block: pairs of different components that may meet the threshold.
+
+    A block's pairs are thinned out to a forest with the same connected components.
+    """
+    limit = math.floor(K * (1 - (least * (1 - 2.0**-BITS) + 2.0**-BITS)))  # unequal minima at most
+    low = np.uint64(0x5555555555555555)
+
+    def links(left: list[tuple], right: list[tuple]) -> list[tuple]:
+        a, b = np.array([s for _, _, s in left], np.int64).view(np.uint64), np.array([s for _, _, s in right], np.int64).view(np.uint64)
+        unequal = np.zeros((len(a), len(b)), np.int64)
+        for w in range(a.shape[1]):
+            x = np.bitwise_xor.outer(a[:, w], b[:, w])
+            unequal += np.bitwise_count((x | x >> np.uint64(1)) & low)
+        other = np.array([c for _, c, _ in left])[:, None] != np.array([c for _, c, _ in right])
+        return [(left[i][0], right[j][0]) for i, j in forest((unequal <= limit) & other)]
+
+    def run(batches):
+        key, left, right = None, [], []
+        for batch in batches:
+            out = []
+            for *now, side, doc_id, comp, signature in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != key:
+                    if left and right:
+                        out += links(left, right)
+                    key, left, right = now, [], []
+                (right if side else left).append((doc_id, comp, signature))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
+        if left and right and (out := links(left, right)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
+
+    return run
+
+
 def _with_tokens(size: int):
     """(id, the distinct shingle hashes as bytes)."""
 
@@ -254,6 +312,28 @@ def least_estimate(percent: int = PERCENT) -> float:
     return j - SLACK * (m * (1 - m) / K) ** 0.5 / (1 - chance)
 
 
+def _blocks(rows: DataFrame, group: str, payload: DataFrame) -> DataFrame:
+    """Rows (group, id, comp) with their ``payload`` (id and one column), dealt into blocks: those outside their group's largest component against all of it.
+
+    Sorted by group, block (i, j) and side. A block has about LEFT_BLOCK and
+    RIGHT_BLOCK rows, whatever the size of its group.
+    """
+    counts = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("n")).groupBy(group)
+    counts = counts.agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("apart"))
+    sizes = counts.select(group, F.col("members").alias("n"))
+    rows = spread_join(rows, counts.filter("apart > 0"), group, "id", sizes)
+    lefts, rights = F.ceil(F.col("apart") / LEFT_BLOCK), F.ceil(F.col("members") / RIGHT_BLOCK)
+    place = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("long")
+    span = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+    block = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    left = F.when(F.col("comp") != F.col("main"), F.transform(span(rights), lambda j: block(place(lefts, 1), j, 0)))
+    right = F.transform(span(lefts), lambda i: block(i, place(rights, 2), 1))
+    own = rows.select(group, "id", "comp", F.when(left.isNotNull(), F.concat(left, right)).otherwise(right).alias("at")).join(payload, "id")
+    dealt = own.select(group, F.explode("at").alias("at"), "id", "comp", payload.columns[-1])
+    dealt = dealt.select(group, "at.i", "at.j", "at.side", "id", "comp", payload.columns[-1]).repartition(partitions(rows.sparkSession), group, "i", "j")
+    return dealt.sortWithinPartitions(group, "i", "j", "side", "id")
+
+
 def classes(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, size: int = SHINGLE) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, class_id (smallest id with this word sequence), component_id.
 
@@ -265,85 +345,100 @@ def classes(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROU
     """
     spark = docs.sparkSession
     small_batches(spark)
+    spent: list[DataFrame] = []
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        spent.append(materialise(df, f"op2-{label}"))
+        return spent[-1]
+
     signed = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign(size), _SIG_SCHEMA), "op2-signed")
     named = signed.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
     owners = materialise(named.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "op2-owners")
     firsts = owners.select(F.col("class_id").alias("id")).distinct()
     reps = named.join(firsts, named["doc_id"] == firsts["id"], "left_semi").select(F.col("doc_id").alias("id"), "bands", "signature")
-    reps = materialise(reps, "op2-reps")
+    reps = written(reps, "reps")
 
     rows = reps.select("id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", "n")
-    buckets = materialise(rows.join(shared, "key").distinct(), "op2-buckets")
+    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
+    shared = written(shared.select("key", "n"), "shared")
+    buckets = written(spread_join(rows, shared, "key", "id", shared).distinct(), "buckets")
     # A member that meets many others stands in the middle of its group: the better representative.
-    members = materialise(buckets.groupBy("id").agg(F.sum("n").alias("degree")), "op2-members")
+    members = written(buckets.groupBy("id").agg(F.sum("n").alias("degree")), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL").join(members, "id", "left_semi")
     # Copies of a class need no texts of their own: only ids that stand for a class are members.
-    texts = materialise(texts, "op2-texts")
-    marks = materialise(reps.select("id", "signature").join(members, "id", "left_semi"), "op2-marks")
-    drop(reps)
+    texts = written(texts, "texts")
+    marks = written(reps.select("id", "signature").join(members, "id", "left_semi"), "marks")
 
-    enough = F.lit(least_estimate(percent))
+    enough = least_estimate(percent)
     comp = members.select("id", F.col("id").alias("comp"))
     buckets = buckets.select("key", "id")
     tried = None
 
+    def by_second(pairs: DataFrame, columns: DataFrame) -> DataFrame:
+        """Pairs with columns of their second member: a hub that many pairs name is split."""
+        return spread_join(pairs, columns, "b", "a", pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
+
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
         """Of (a, b, ca, cb) those whose full sets meet the threshold."""
         first = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
         second = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.join(first, "a").join(second, "b").select("a", "b", "ca", "cb", "text_a", "text_b")
-        return materialise(both.mapInArrow(_confirm(percent, size), "a long, b long, u long, v long"), label)
+        both = by_second(pairs, second).join(first, "a").select("a", "b", "ca", "cb", "text_a", "text_b")
+        return written(both.mapInArrow(_confirm(percent, size), "a long, b long, u long, v long"), label)
 
     def relabelled(comp: DataFrame, found: DataFrame, label: str) -> DataFrame:
         to = components(found.select("u", "v")).withColumnRenamed("node", "comp")
-        return materialise(comp.join(to, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")), label)
+        return written(comp.join(to, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")), label)
 
+    n_members = members.count()
     for turn in range(star_rounds):
         placed = buckets.join(comp if turn else members.withColumn("comp", F.col("id")), "id")
         hub = F.min_by(F.struct("id", "comp"), F.struct(F.xxhash64("id", F.lit(turn)) if turn else -F.col("degree"), "id"))
         hubs = placed.groupBy("key").agg(hub.alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-        pairs = placed.join(hubs.select("key", F.col("hub.id").alias("b"), F.col("hub.comp").alias("cb")), "key").filter("comp <> cb")
+        hubs = hubs.select("key", F.col("hub.id").alias("b"), F.col("hub.comp").alias("cb"))
+        pairs = spread_join(placed, hubs, "key", "id", shared).filter("comp <> cb")
         pairs = pairs.select(F.col("id").alias("a"), "b", F.col("comp").alias("ca"), "cb").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = pairs.join(marks.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a")
-        pairs = pairs.join(marks.select(F.col("id").alias("b"), F.col("signature").alias("y")), "b").withColumn("near", estimate(F.col("x"), F.col("y")))
+        pairs = written(pairs, f"candidates{turn}")
+        rated = by_second(pairs, marks.select(F.col("id").alias("b"), F.col("signature").alias("y")))
+        rated = rated.join(marks.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a").withColumn("near", estimate(F.col("x"), F.col("y")))
         best = F.max_by(F.struct("b", "cb"), F.struct("near", F.col("b")))
-        pairs = pairs.filter(F.col("near") >= enough).groupBy("a", "ca").agg(best.alias("best"))
-        pairs = materialise(pairs.select("a", F.col("best.b").alias("b"), "ca", F.col("best.cb").alias("cb")), f"op2-pairs{turn}")
-        found = confirmed(pairs, f"op2-links{turn}")
+        pairs = rated.filter(F.col("near") >= enough).groupBy("a", "ca").agg(best.alias("best"))
+        pairs = written(pairs.select("a", F.col("best.b").alias("b"), "ca", F.col("best.cb").alias("cb")), f"pairs{turn}")
+        found = confirmed(pairs, f"links{turn}")
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = both if tried is None else tried.unionByName(both)
-        if found.isEmpty():
+        n_found = found.count()
+        if not n_found:
+            break
+        comp = relabelled(comp, found, f"comp{turn}")
+        if n_found * 50 < n_members:  # a further round would settle little
             break
-        comp = relabelled(comp, found, f"op2-comp{turn}")
 
-    # The complete round: what shares a cluster of buckets but no component.
+    # The complete round. Candidates are members of one bucket and of different components whose signatures are near
+    # enough; what they connect is a cluster, and only its members' full sets are read.
     placed = buckets.join(comp, "id")
     live = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    rest = materialise(placed.join(live, "key"), "op2-rest")
-    first = rest.groupBy("key").agg(F.min("id").alias("v"))
-    cluster = components(rest.join(first, "key").select(F.col("id").alias("u"), "v"))
-    alive = materialise(rest.select("id", "comp").distinct().join(cluster.withColumnRenamed("node", "id"), "id").withColumnRenamed("component", "cluster"), "op2-alive")
-    counts = alive.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster")
-    counts = counts.agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("apart"))
-    alive = alive.join(counts, "cluster").join(texts.select("id", "text").mapInArrow(_with_tokens(size), "id long, tokens binary"), "id")
-    lefts, rights = F.ceil(F.col("apart") / LEFT_BLOCK), F.ceil(F.col("members") / RIGHT_BLOCK)
-    place = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("long")
-    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
-    left = alive.filter("comp <> main").select("cluster", place(lefts, 1).alias("i"), span(rights).alias("j"), F.lit(0).alias("side"), "id", "comp", "tokens")
-    right = alive.select("cluster", span(lefts).alias("i"), place(rights, 2).alias("j"), F.lit(1).alias("side"), "id", "comp", "tokens")
-    blocks = left.unionByName(right).repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "id")
-    pairs = materialise(blocks.mapInArrow(_compare_blocks(percent), "a long, b long, ca long, cb long"), "op2-meet")
-    found = confirmed(pairs, "op2-last")
-    comp = relabelled(comp, found, "op2-comp")
+    rest = written(spread_join(placed, live, "key", "id", shared), "rest")
+    marked = _blocks(rest, "key", marks)
+    near = written(marked.mapInArrow(_pairs_by_estimate(enough), "u long, v long").distinct(), "near")
+    cluster = components(near).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
+    alive = written(cluster.join(comp, "id"), "alive")
+    tokens = texts.join(alive.select("id"), "id", "left_semi").select("id", "text").mapInArrow(_with_tokens(size), "id long, tokens binary")
+    blocks = _blocks(alive, "cluster", tokens)
+    pairs = written(blocks.mapInArrow(_compare_blocks(percent), "a long, b long, ca long, cb long"), "meet")
+    comp = materialise(relabelled(comp, confirmed(pairs, "last"), "comp"), "op2-components")
+    for df in spent:
+        drop(df)
 
     # Components carry the smallest id, for a class's id is its smallest and a component's its smallest class.
     # A text that occurs once is its own class, so that only copies are joined.
     copied = owners.filter("copies > 1").select("digest", "class_id")
-    out = signed.select("doc_id", "n_shingles", "digest").join(copied, "digest", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    out = out.join(comp, out["class_id"] == comp["id"], "left")
+    out = signed.select("doc_id", "n_shingles", "digest")
+    out = spread_join(out, copied, "digest", "doc_id", owners.select("digest", F.col("copies").alias("n")), "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    sizes = owners.groupBy("class_id").agg(F.sum("copies").alias("n"))
+    comp = comp.withColumnRenamed("id", "class_id")
+    out = spread_join(out, comp, "class_id", "doc_id", sizes, "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "class_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), whole.alias("component_id"))
 
