@@ -1,11 +1,15 @@
 """Main-content extraction by minimum-cut labelling.
 
-A page is cut into blocks at block-level tags. A linear classifier gives each
-block a cost for being called content and a cost for being called boilerplate;
-these become the capacities of its edges to the two terminals. Blocks that follow
-each other and blocks that share a parent element are tied by smoothness edges,
-stronger the closer they stand in the DOM. A maximum flow from source to sink
-gives the labelling of least total cost; the source side is content.
+A page is cut into blocks at block-level tags. A linear classifier of a block's
+own statistics (words, links, sentence ends, kind of element) gives it a cost for
+being called content and a cost for being called boilerplate; these become the
+capacities of its edges to the two terminals. Elements whose tag, role or class
+speaks for content or for boilerplate are nodes too, held by their terminal.
+Smoothness edges tie each block to the nearest such element above it, to the block
+that follows and to the next block of its parent element, stronger the closer they
+stand in the DOM. A maximum flow from source to sink gives the labelling of least
+total cost; the blocks of the source side are the main text. So a short line of an
+article stays and a long advert goes, whatever the classifier says of it alone.
 """
 
 from __future__ import annotations
@@ -28,23 +32,29 @@ BLOCK_TAGS = frozenset(
 )
 #: Elements without content, and elements whose content is no text.
 VOID_TAGS = frozenset("area base basefont br col embed frame hr img input keygen link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template svg math iframe object canvas textarea noframes xmp".split())
+RAW_TAGS = frozenset("title script style noscript template svg math iframe object canvas textarea noframes xmp".split())
 #: Elements that an opening tag of the same kind closes, up to the listed containers.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table menu select article section div aside nav main body blockquote form footer header".split())
 
-#: Classifier weights in favour of content: of an ancestor's tag, and of words in its class, id or role.
-TAG_WEIGHTS = {"article": 4.0, "main": 3.0, "p": 1.0, "h1": 1.5, "h2": 1.0, "h3": 1.0, "blockquote": 1.0, "pre": 1.0, "nav": -8.0, "footer": -8.0, "aside": -7.0, "header": -3.0, "form": -7.0, "button": -7.0, "select": -7.0, "menu": -7.0, "dialog": -7.0, "fieldset": -5.0, "head": -20.0, "title": -20.0, "label": -3.0}
+#: Elements that speak for content or for boilerplate by their tag, their role, or words of their class and id.
+CONTENT_TAGS = frozenset(("article", "main"))
+BOILERPLATE_TAGS = frozenset("nav footer aside form button select menu dialog fieldset".split())
+CONTENT_ROLES = frozenset(("main", "article"))
+BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 CONTENT_WORDS = frozenset("article content entry post story main body text prose".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising banner promo promoted promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar side aside widget related recommended popular trending comment comments reply replies discussion disqus share sharing social follow cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login toolbar pagination pager tags tagcloud copyright legal disclaimer search masthead skip hidden feedback rating".split()
 )
-ROLE_WEIGHTS = {"main": 3.0, "article": 3.0, "navigation": -8.0, "banner": -6.0, "contentinfo": -8.0, "complementary": -7.0, "search": -7.0, "dialog": -7.0, "alert": -5.0, "form": -6.0}
-CONTENT_WORD, BOILERPLATE_WORD = 1.5, -8.0
-#: Classifier weights of a block's own statistics: bias, log words, share of words in links, sentence ends.
-BIAS, LOG_WORDS, LINKED, SENTENCE = -1.0, 0.35, -4.0, 0.5
-#: Smoothness: neighbours in page order, neighbours below one parent, and what each step apart in the tree divides by.
-NEXT, SIBLING = 0.5, 1.0
+#: Capacity of a block's edge to the element above it that speaks: by tag, role or attribute, and by class words, milder.
+BY_TAG, BY_CLASS = 4.0, 2.5
+#: Classifier weights of a block's own statistics in favour of content, and the bound of their sum: bias, log words, share
+#: of characters in links, sentence ends, and the element that holds it.
+BIAS, LOG_WORDS, LINKED, SENTENCE, BOUND = -1.2, 0.6, -2.5, 0.3, 2.0
+HOLDERS = {"p": 0.6, "h1": 1.5, "h2": 0.6, "h3": 0.6, "blockquote": 0.6, "pre": 0.6}
+#: Smoothness: neighbours in page order, each step apart in the tree dividing it, and neighbours below one parent; between
+#: blocks that stand under different speaking elements so much of it is left.
+NEXT, SIBLING, BORDER = 0.4, 0.8, 0.25
 
 _SPLIT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -58,35 +68,47 @@ _SIDE = re.compile(r"(?<![a-z])(?:sidebar|aside|nav|header|footer)[-_]+(?:left|r
 class Block:
     text: str
     path: tuple[int, ...]  # element numbers from the root down
-    weight: float  # what the ancestors speak for
+    holder: str  # tag of the innermost block element
+    spoken: tuple[int, float] | None  # nearest element that speaks: its number, and its edge's capacity, negative for boilerplate
     linked: float  # share of characters inside links
 
 
-def _element_weight(tag: str, attributes: str) -> float:
-    weight = TAG_WEIGHTS.get(tag, 0.0)
-    if not attributes.strip(" /\n\t"):
-        return weight
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        value, name = "".join(values).lower(), name.lower()
-        if name == "role":
-            weight += ROLE_WEIGHTS.get(value.strip(), 0.0)
-        elif name in ("class", "id"):
-            value = _LAYOUT.sub(" ", value)
-            words = set(_WORDS.findall(_SIDE.sub(" ", value) if tag in ("main", "article") else value))
-            if words & BOILERPLATE_WORDS and tag not in ("html", "body"):  # the whole page is no boilerplate of itself
-                weight += BOILERPLATE_WORD
-            elif words & CONTENT_WORDS:
-                weight += CONTENT_WORD
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            weight += BOILERPLATE_WORD
-    return weight
+def _speaks(tag: str, attributes: str, above: tuple[int, float] | None) -> float:
+    """What an element says of its content: positive for content, negative for boilerplate, 0 for nothing.
+
+    Boilerplate is not redeemed by what stands inside it, and the header of an article is part of it.
+    """
+    says = []
+    if tag in BOILERPLATE_TAGS:
+        says.append(-BY_TAG)
+    elif tag in CONTENT_TAGS:
+        says.append(BY_TAG)
+    elif tag == "label" or (tag == "header" and not (above and above[1] > 0)):
+        says.append(-BY_CLASS)
+    if attributes.strip(" /\n\t"):
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            value, name = "".join(values).lower(), name.lower()
+            if name == "role":
+                role = value.strip()
+                says.append(-BY_TAG if role in BOILERPLATE_ROLES else BY_TAG if role in CONTENT_ROLES else 0.0)
+            elif name in ("class", "id"):
+                value = _LAYOUT.sub(" ", value)
+                words = set(_WORDS.findall(_SIDE.sub(" ", value) if tag in CONTENT_TAGS else value))
+                if words & BOILERPLATE_WORDS and tag not in ("html", "body"):  # the whole page is no boilerplate of itself
+                    says.append(-BY_CLASS)
+                elif words & CONTENT_WORDS:
+                    says.append(BY_CLASS)
+            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
+                says.append(-BY_TAG)
+    least, most = min(says, default=0.0), max(says, default=0.0)
+    return least if least < 0 else 0.0 if above and above[1] < 0 else most
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; raw elements and comments hold none."""
     out: list[Block] = []
-    # (tag, element number, weight of it and its ancestors, whether inside a link)
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
+    # (tag, element number, nearest element that speaks, whether inside a link)
+    stack: list[tuple[str, int, tuple[int, float] | None, bool]] = [("", 0, None, False)]
     parts: list[str] = []
     linked, number, at, raw = 0, 0, 0, ""
 
@@ -96,7 +118,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 holder = [e for e in stack if e[0] in BLOCK_TAGS or not e[0]]
-                out.append(Block(text, tuple(e[1] for e in holder), stack[-1][2], min(1.0, linked / len(text))))
+                out.append(Block(text, tuple(e[1] for e in holder), holder[-1][0], stack[-1][2], min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
@@ -133,7 +155,8 @@ def blocks(page: str) -> list[Block]:
                         break
             number += 1
             top = stack[-1]
-            stack.append((tag, number, top[2] + _element_weight(tag, m[3]), top[3] or tag == "a"))
+            says = _speaks(tag, m[3], top[2])
+            stack.append((tag, number, (number, says) if says else top[2], top[3] or tag == "a"))
         else:
             if tag in BLOCK_TAGS:
                 close_block()
@@ -151,9 +174,9 @@ def blocks(page: str) -> list[Block]:
 
 
 def costs(block: Block) -> tuple[float, float]:
-    """(cost of calling it boilerplate, cost of calling it content): negative log probabilities."""
-    n = block.text.count(" ") + 1
-    z = BIAS + block.weight + LOG_WORDS * math.log(n) + LINKED * block.linked + (SENTENCE if block.text[-1] in ".!?…。\"”»" else 0.0)
+    """(cost of calling it boilerplate, cost of calling it content) by its own statistics: negative log probabilities."""
+    z = BIAS + LOG_WORDS * math.log(block.text.count(" ") + 1) + LINKED * block.linked + HOLDERS.get(block.holder, 0.0)
+    z = max(-BOUND, min(BOUND, z + (SENTENCE if block.text[-1] in ".!?…。\"”»" else 0.0)))
     return max(z, 0.0) + math.log1p(math.exp(-abs(z))), max(-z, 0.0) + math.log1p(math.exp(-abs(z)))
 
 
@@ -173,7 +196,26 @@ def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
             j = last_of[parent]
             edges[j, i] = edges.get((j, i), 0.0) + SIBLING / (1 + math.log1p(i - j - 1))
         last_of[parent] = i
-    return [(i, j, c) for (i, j), c in edges.items()]
+    return [(i, j, c if found[i].spoken == found[j].spoken else c * BORDER) for (i, j), c in edges.items()]
+
+
+def graph(found: list[Block]) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
+    """Capacities from the source, to the sink, and between nodes: the blocks, then the elements that speak."""
+    pairs, edges = [costs(b) for b in found], smoothness(found)
+    source, sink = [a for a, _ in pairs], [b for _, b in pairs]
+    nodes: dict[tuple[int, float], int] = {}
+    ties: list[float] = []
+    for i, block in enumerate(found):
+        if block.spoken:
+            node = nodes.setdefault(block.spoken, len(found) + len(nodes))
+            if node == len(found) + len(ties):
+                ties.append(0.0)
+            ties[node - len(found)] += abs(block.spoken[1])
+            edges.append((i, node, abs(block.spoken[1])))
+    for (_, says), tie in zip(nodes, ties):  # more than all its edges: the element stays with its terminal
+        source.append(tie + 1 if says > 0 else 0.0)
+        sink.append(tie + 1 if says < 0 else 0.0)
+    return source, sink, edges
 
 
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -181,8 +223,8 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
 
     A node whose terminals differ by more than all its edges together takes its
     side in every minimum cut; such nodes are settled first and their edges become
-    terminal capacities of their neighbours. What remains goes through augmenting
-    paths of least length (Edmonds and Karp).
+    terminal capacities of their neighbours. What remains goes through a maximum
+    flow by blocking flows in layers (Dinic).
     """
     n = len(source)
     lean = [a - b for a, b in zip(source, sink)]
@@ -203,42 +245,54 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
             near[i].clear()
     open_ = [i for i in range(n) if side[i] is None]
     if open_:
-        s, t = n, n + 1
-        room: dict[int, dict[int, float]] = {i: dict(near[i]) for i in open_} | {s: {}, t: {}}
+        reached = _flow({i: near[i] for i in open_}, lean)
         for i in open_:
-            room[s][i], room[i][s] = max(lean[i], 0.0), 0.0
-            room[i][t], room[t][i] = max(-lean[i], 0.0), 0.0
-        while True:
-            came, queue = {s: s}, deque([s])
-            while queue and t not in came:
-                i = queue.popleft()
-                for j, c in room[i].items():
-                    if c > 1e-12 and j not in came:
-                        came[j] = i
-                        queue.append(j)
-            if t not in came:
-                break
-            path, j = [], t
-            while j != s:
-                path.append((came[j], j))
-                j = came[j]
-            flow = min(room[i][j] for i, j in path)
-            for i, j in path:
-                room[i][j] -= flow
-                room[j][i] = room[j].get(i, 0.0) + flow
-        for i in open_:
-            side[i] = i in came
+            side[i] = i in reached
     return [bool(x) for x in side]
 
 
+def _flow(near: dict[int, dict[int, float]], lean: list[float]) -> dict[int, int]:
+    """The nodes that the source still reaches once a maximum flow runs."""
+    s, t = -1, -2
+    room: dict[int, dict[int, float]] = {i: dict(c) for i, c in near.items()} | {s: {}, t: {}}
+    for i in near:
+        room[s][i], room[i][s] = max(lean[i], 0.0), 0.0
+        room[i][t], room[t][i] = max(-lean[i], 0.0), 0.0
+    while True:
+        layer, queue = {s: 0}, deque([s])
+        while queue:
+            i = queue.popleft()
+            for j, c in room[i].items():
+                if c > 1e-12 and j not in layer:
+                    layer[j] = layer[i] + 1
+                    queue.append(j)
+        if t not in layer:
+            return layer
+        arcs = {i: iter(list(room[i])) for i in layer}
+        path = [s]
+        while path:
+            i = path[-1]
+            if i == t:
+                flow = min(room[a][b] for a, b in zip(path, path[1:]))
+                for a, b in zip(path, path[1:]):
+                    room[a][b] -= flow
+                    room[b][a] = room[b].get(a, 0.0) + flow
+                cut = next(k for k, (a, b) in enumerate(zip(path, path[1:])) if room[a][b] <= 1e-12)
+                del path[cut + 1 :]  # back to where the path is now blocked
+                continue
+            for j in arcs[i]:
+                if room[i][j] > 1e-12 and layer.get(j) == layer[i] + 1:
+                    path.append(j)
+                    break
+            else:
+                layer.pop(i)  # a dead end
+                path.pop()
+
+
 def extract(page: str | None) -> str:
     """The main text: content blocks in page order, joined by a space; empty for null, empty and text-free pages."""
     found = blocks(page or "")
-    if not found:
-        return ""
-    pairs = [costs(b) for b in found]
-    content = min_cut([a for a, _ in pairs], [b for _, b in pairs], smoothness(found))
-    return " ".join(b.text for b, keep in zip(found, content) if keep)
+    return " ".join(b.text for b, keep in zip(found, min_cut(*graph(found))) if keep)
 
 
 _SCHEMA = "page_id long, url string, text string, n_chars long"
