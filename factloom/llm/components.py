@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import drop, materialise
+from factloom.llm.common import drop, materialise, spread_join
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Edges with the least neighbour of u; a node that many edges share is split over tasks."""
+    return spread_join(edges, least.select("u", "m"), "u", "v", least.select("u", "n"), total=total)
+
+
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    return _with_least(both.filter("v > u"), least, 2 * n_edges).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _with_least(down, least, n_edges).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -30,13 +35,13 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(u, v) pairs -> (node, component): the smallest node that each node reaches, for nodes with an edge.
 
     Every step keeps the components and shortens paths; both steps leave a star
-    forest as it is, and that is where the loop ends. A hub's edges stay spread
-    over partitions: only its minimum is aggregated.
+    forest as it is, and that is where the loop ends. Of a hub's edges only the
+    minimum is aggregated, and they are split where they meet it.
     """
     now = materialise(edges.select("u", "v").filter("u <> v").distinct(), "components")
     state = _state(now)
     for _ in range(most_rounds):
-        after = materialise(_small_star(_large_star(now)), "components")
+        after = materialise(_small_star(_large_star(now, state[0]), state[0]), "components")
         new = _state(after)
         drop(now)
         now = after
