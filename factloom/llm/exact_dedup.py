@@ -14,17 +14,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import partitions, small_batches
+from factloom.llm.common import materialise, partitions, small_batches, spread_join
 
 #: The characters that normalisation deletes.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 _DELETE = {ord(c): None for c in SPACES}
 
-#: Bytes of labels that a task's trie holds before it gives its largest subtrees away.
-TRIE_BYTES = 48 << 20
+#: Bytes that a task's trie takes before it gives its largest subtrees away, and what a node takes beside its label:
+#: itself, the headers of its label and its owner, its dictionary of children and the entry in its parent's.
+TRIE_BYTES = 96 << 20
+NODE_BYTES = 320
 
 _PART_SCHEMA = "norm_len long, content_hash long, content binary, best_chars long, keep_id long, copies long"
 _PART_ARROW = pa.schema(
@@ -74,7 +76,7 @@ class PatriciaTrie:
             kid = node.kids.get(key[at])
             if kid is None:
                 kid = node.kids[key[at]] = _Node(key[at:])
-                self.bytes += end - at
+                self.bytes += end - at + NODE_BYTES
                 node, at = kid, end
                 break
             same = _shared_prefix(kid.label, key, at)
@@ -83,6 +85,7 @@ class PatriciaTrie:
                 kid.label = kid.label[same:]
                 upper.kids[kid.label[0]] = kid
                 node.kids[key[at]] = kid = upper
+                self.bytes += NODE_BYTES
             node, at = kid, at + same
         if node.owner is None:
             node.owner = owner
@@ -110,7 +113,7 @@ class PatriciaTrie:
             stack, weight = [kid], 0
             while stack:
                 node = stack.pop()
-                weight += len(node.label)
+                weight += len(node.label) + NODE_BYTES
                 stack.extend(node.kids.values())
             weights[first] = weight
         for first in sorted(weights, key=weights.get, reverse=True):
@@ -144,8 +147,8 @@ def _combine(trie_bytes: int):
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 trie.insert(normalise(text), (len(text or ""), doc_id, 1))
-            if trie.bytes > trie_bytes:
-                yield from _rows(trie.spill(trie_bytes // 4))
+                if trie.bytes > trie_bytes:
+                    yield from _rows(trie.spill(trie_bytes // 4))
         yield from _rows(trie.items())
 
     return run
@@ -187,14 +190,13 @@ def text_sha256(text) -> F.Column:
 
 
 def _decide(docs: DataFrame, trie_bytes: int) -> DataFrame:
-    rows = docs.withColumn("__sha", text_sha256(F.col("text")))
-    # A text that occurs once needs no partner: the join only carries groups of two and more.
-    many = groups(docs, trie_bytes).filter("group_size > 1")
-    many = many.select(F.col("text_sha256").alias("__of"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
-    out = rows.join(many, F.col("__sha") == F.col("__of"), "left")
-    own = F.col("doc_id").cast("long")
-    out = out.withColumn("__keep", F.when(F.col("__of").isNull(), own).otherwise(F.col("__keep")))
-    return out.withColumn("__size", F.coalesce("__size", F.lit(1).cast("long"))).withColumn("__kept", own.eqNullSafe(F.col("__keep")))
+    # A text that occurs once needs no partner: the join only carries groups of two and more, and splits large ones.
+    many = materialise(groups(docs, trie_bytes).filter("group_size > 1"), "op3-groups")
+    many = many.select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
+    rows = docs.withColumns({"__sha": text_sha256(F.col("text")), "__own": F.col("doc_id").cast("long")})
+    out = spread_join(rows, many, "__sha", "__own", many.select("__sha", F.col("__size").alias("n")), "left")
+    out = out.withColumn("__keep", F.when(F.col("__size").isNull(), F.col("__own")).otherwise(F.col("__keep")))
+    return out.withColumn("__size", F.coalesce("__size", F.lit(1).cast("long"))).withColumn("__kept", F.col("__own").eqNullSafe(F.col("__keep")))
 
 
 def mark(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
@@ -202,7 +204,8 @@ def mark(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
 
     Null and empty texts form one group. Of equal texts the row with the most
     code points stays, then the smallest id; a null id comes last. Rows that
-    repeat an id within a group are all kept if that id is the owner's. Other
+    repeat an id within a group are all ``kept`` if that id is the owner's, as an id
+    is all that can name them; ``keep`` leaves the longest of them alone. Other
     columns pass through. An empty table gives an empty result.
     """
     added = {"keep_id": "__keep", "group_size": "__size", "kept": "__kept", "text_sha256": "__sha"}
@@ -211,5 +214,10 @@ def mark(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
 
 
 def keep(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns, whatever their names."""
-    return _decide(docs, trie_bytes).filter("__kept").select(*docs.columns)
+    """The rows of ``docs`` that stay, one for each text, with its columns, whatever their names."""
+    kept = _decide(docs, trie_bytes).filter("__kept")
+    # Where ids repeat, several rows may bear the owner's: this costs a further shuffle, and is asked first on the ids alone.
+    if not docs.select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        first = Window.partitionBy("__own", "__sha").orderBy(F.length("text").desc())
+        kept = kept.withColumn("__row", F.row_number().over(first)).filter("__row = 1")
+    return kept.select(*docs.columns)

@@ -21,8 +21,8 @@ def test_trie_spills_whole_subtrees():
     trie, keys = exact_dedup.PatriciaTrie(), {bytes([a, b]) * 50 for a in range(20) for b in range(20)}
     for k in keys:
         trie.insert(k, (1, 1, 1))
-    out = [k for k, _ in trie.spill(500)]
-    assert trie.bytes <= 500 and set(out) | {k for k, _ in trie.items()} == keys and len(out) + trie.size == len(keys)
+    out = [k for k, _ in trie.spill(30_000)]
+    assert trie.bytes <= 30_000 and trie.size > 0 and set(out) | {k for k, _ in trie.items()} == keys and len(out) + trie.size == len(keys)
 
 
 def _brute_exact(rows):
@@ -48,6 +48,11 @@ def test_exact_keep_has_the_columns_of_its_input(hard):
     assert {r["doc_id"] for r in kept.collect()} == {3, 4, 5, 8, 9, 10, 11}
 
 
+def test_exact_keep_leaves_one_row_of_repeated_ids(docs_of):
+    kept = exact_dedup.keep(docs_of([(7, "a b"), (7, "a b"), (7, "a  b"), (8, "ab"), (None, "x"), (None, "x"), (9, "y")])).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("7", "a  b"), ("9", "y"), ("None", "x")]
+
+
 def _brute_near(rows):
     sets = [near_dedup.shingle_set(t) for _, t in rows]
     ids = [i for i, _ in rows]
@@ -147,3 +152,21 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_trie_bytes_bound_the_memory_of_short_keys():
+    import pyarrow as pa
+
+    def batches():
+        for at in range(0, 200_000, 2000):
+            yield pa.RecordBatch.from_pydict({"doc_id": list(range(at, at + 2000)), "text": [f"{k * 7919 % 600_011}" for k in range(at, at + 2000)]})
+
+    import tracemalloc
+
+    tracemalloc.start()
+    rows = 0
+    for batch in exact_dedup._combine(8 << 20)(batches()):
+        rows += batch.num_rows
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 200_000 and most < 32 << 20
