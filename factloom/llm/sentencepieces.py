@@ -11,6 +11,7 @@ whose piece may follow the piece that ends where it starts, which is unique.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from functools import lru_cache
@@ -37,6 +38,7 @@ class Pieces:
         self.text = [pieces[i].replace(MARK, " ") for i in self.ids]
         self.raw = [t.encode() for t in self.text]
         self.score = np.array([scores[i] for i in self.ids])
+        self.scores = self.score.tolist()
         self.by_text = {t: k for k, t in enumerate(self.text)}
         self.byte_ids, self.unknown, self.merges, self.prefix = byte_ids, unknown, merges, prefix
         self.out = np.array([*self.ids, unknown], dtype=np.uint32)
@@ -58,18 +60,38 @@ class Pieces:
         self.fits: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[str]:
-        """Byte-pair merging as defined: the best-scored neighbours first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.by_text.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.score[k] > best):
-                    best, at = self.score[k], i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """Byte-pair merging as defined: the best-scored neighbours first, the leftmost of equals.
+
+        A heap holds the neighbours that may merge and links tell who is next, so that
+        a word of n characters takes n log n steps.
+        """
+        parts: list[str] = list(text)
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            both = parts[i] + parts[after[i]]
+            k = self.by_text.get(both)
+            if k is not None:
+                heapq.heappush(heap, (-self.scores[k], i, both))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            j = after[i]
+            # An offer whose parts have merged otherwise since then is void.
+            if j >= n or not parts[i] or parts[i] + parts[j] != both:
+                continue
+            parts[i], parts[j] = both, ""
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [p for p in parts if p]
 
     def may_follow(self, code: int) -> bool:
         """Whether merging the text of two pieces gives these two pieces; code: first * (n + 2) + second."""
@@ -144,7 +166,17 @@ def occurrences(pieces: Pieces, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def encode_words(pieces: Pieces, words: list[str]) -> list[bytes]:
-    """Little-endian 32-bit ids of each word."""
+    """Little-endian 32-bit ids of each word. Words with pieces of equal score are not indexed but merged as defined, as places decide them."""
+    if not pieces.has_tied:
+        return _indexed(pieces, words)
+    tied = [pieces.has_tied(w) is not None for w in words]
+    rest = iter(_indexed(pieces, [w for w, t in zip(words, tied) if not t]))
+    return [_merged(pieces, w) if t else next(rest) for w, t in zip(words, tied)]
+
+
+def _indexed(pieces: Pieces, words: list[str]) -> list[bytes]:
+    if not words:
+        return []
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
     data = np.frombuffer(bytes([_GAP]).join(raw) + bytes([_GAP]), np.uint8)
     sizes = np.array([len(r) for r in raw])
@@ -208,8 +240,6 @@ def encode_words(pieces: Pieces, words: list[str]) -> list[bytes]:
         edge_of.append(edge)
         here[live] = start[edge]
         live = live[here[live] > begins[live]]
-    if pieces.has_tied:
-        lost |= np.array([pieces.has_tied(w) is not None for w in words], bool)
     word_of = np.concatenate(steps_of) if steps_of else np.empty(0, np.int64)
     edge = np.concatenate(edge_of) if edge_of else np.empty(0, np.int64)
     order = np.lexsort((start[edge], word_of))
@@ -228,7 +258,7 @@ def encode_words(pieces: Pieces, words: list[str]) -> list[bytes]:
     stops = np.cumsum(per_word) * 4
     blob = ids.tobytes()
     out = [blob[a:b] for a, b in zip((stops - per_word * 4).tolist(), stops.tolist())]
-    for k in np.flatnonzero(lost).tolist():  # equal scores decide by place: these few words are merged as defined
+    for k in np.flatnonzero(lost).tolist():
         out[k] = _merged(pieces, words[k])
     return out
 

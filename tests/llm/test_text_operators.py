@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -81,6 +82,32 @@ def test_encoding_equals_the_library(texts):
         assert sentencepieces.decode(own.pieces, ids) == model.decode(want)
 
 
+def test_merging_equals_its_definition(encoder):
+    own = encoder.pieces
+
+    def slow(text):
+        parts = list(text)
+        while True:
+            best = max(((own.score[own.by_text[a + b]], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in own.by_text), default=None)
+            if best is None:
+                return parts
+            i = -best[1]
+            parts[i : i + 2] = ["".join(parts[i : i + 2])]
+
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        text = "".join(rng.choice(list("  aeinrst"), int(rng.integers(1, 40))))
+        assert own.merge(text) == slow(text)
+    assert own.merge("") == [] and own.merge(" " * 90) == slow(" " * 90)
+
+
+def test_long_runs_of_spaces_take_seconds(encoder):
+    text = "a" + " " * 1_000_000 + "b"
+    began = time.perf_counter()
+    (ids,) = encoder.encode([text])
+    assert time.perf_counter() - began < 30 and sentencepieces.decode(encoder.pieces, ids) == text
+
+
 def test_unigram_relaxation_equals_brute_force():
     pieces = {0: "a", 1: "b", 2: "ab", 3: "ba", 4: "aba", 5: "c", 6: "bc"}
     scores = dict(zip(pieces, (-1.5, -1.7, -2.1, -2.3, -3.9, -2.5, -2.9)))
