@@ -34,6 +34,8 @@ ESCAPES = {"<": "\\l", "[": "\\b", "\\": "\\\\"}
 _BACK = {v[1]: k for k, v in ESCAPES.items()}
 
 _BACKSLASH = 92
+#: Bytes of texts whose scatter indices are held at a time.
+WINDOW = 4 << 20
 
 
 def escape(text: str) -> str:
@@ -98,19 +100,24 @@ def assemble(roles: list[str], texts: pa.Array) -> pa.Array:
     begins = ends - (head_len + content_len + foot_len)
 
     out = np.empty(int(ends[-1]), np.uint8)
-    # Contents: byte i of a text goes behind its turn's header and behind the escapes before it.
-    moved = np.zeros(len(data) + 1, np.int64)
-    moved[marks + 1] = 1
-    shift = np.cumsum(moved)[:-1]
-    base = begins + head_len - starts[:-1] - marks_before[:-1]
-    target = np.arange(len(data)) + shift + np.repeat(base, np.diff(starts))
     letters = data.copy()
     for plain, coded in ESCAPES.items():
         here = marks[data[marks] == ord(plain)]
         letters[here] = ord(coded[1])
-    out[target] = letters
-    out[target[marks]] = _BACKSLASH
-    out[target[marks] + 1] = letters[marks]
+    # Contents: byte i of a text goes behind its turn's header and behind the escapes before it. Scatter indices are made
+    # for WINDOW bytes at a time, as they take far more room than what they place.
+    base = begins + head_len - starts[:-1] - marks_before[:-1]
+    for lo in range(0, len(data), WINDOW):
+        hi = min(len(data), lo + WINDOW)
+        first, last = np.searchsorted(starts, lo, side="right") - 1, np.searchsorted(starts, hi)
+        done, stop = np.searchsorted(marks, (lo, hi))
+        moved = np.zeros(hi - lo + 1, np.int64)
+        moved[marks[done:stop] - lo + 1] = 1
+        target = np.arange(lo + done, hi + done) + np.cumsum(moved[:-1]) + np.repeat(base[first:last], np.diff(np.clip(starts[first : last + 1], lo, hi)))
+        out[target] = letters[lo:hi]
+        escaped = target[marks[done:stop] - lo]
+        out[escaped] = _BACKSLASH
+        out[escaped + 1] = letters[marks[done:stop]]
     for parts, lengths, where in ((heads, head_len, begins), (foots, foot_len, begins + head_len + content_len)):
         for k, part in enumerate(parts):
             code = np.frombuffer(part, np.uint8)
