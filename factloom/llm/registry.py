@@ -65,7 +65,7 @@ sized AS (
   FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents), {_CRC_BYTES}),
 stripes AS (SELECT greatest(1, ceil(count(*) / 32000.0))::BIGINT AS s FROM documents)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY doc_id % s, doc_id) - 1 AS slot, grown_shard
+       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::UBIGINT % s::UBIGINT, doc_id) - 1 AS slot, grown_shard
 FROM sized JOIN placed USING (doc_id), stripes
 """
 

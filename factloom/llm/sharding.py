@@ -3,7 +3,7 @@
 A row's shard is a function of its key and the number of shards alone; there is
 no ring table. With one more shard, the only rows that move are those that go to
 the new one. Slots number the rows of a shard without gaps: a shard is cut into
-stripes by id, stripes are numbered side by side, and the small table of stripe
+stripes by a hash of the id, stripes are numbered side by side, and the small table of stripe
 sizes gives each its first slot.
 """
 
@@ -68,7 +68,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, stripe_rows: int = STRIPE_ROWS)
     rows = rows.select("*", jump_udf(shards)("__key").alias("shard"), jump_udf(shards + 1)("__key").alias("grown_shard"))
     rows = materialise(rows, "op6-rows")
     stripes = max(1, math.ceil(rows.count() / (shards * stripe_rows)))
-    rows = rows.withColumn("__stripe", F.pmod("__key", F.lit(stripes)))
+    # By a hash of the id, as ids with a common factor would fill few stripes.
+    mixed = F.conv(F.substring(F.md5(F.col("__key").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    rows = rows.withColumn("__stripe", F.pmod(mixed, F.lit(stripes)))
     # One row per shard and stripe: its size grows only with the number of tasks.
     sizes = rows.groupBy("shard", "__stripe").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("__stripe").rowsBetween(Window.unboundedPreceding, -1)
