@@ -9,6 +9,7 @@ it; two fingerprints are compared by edit distance where their sizes meet.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,9 @@ GATE_FROM, GATE_RUN = 8, 4
 #: The characters of a signature, by six-bit number.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
+#: Rows of a range of ids.
+AREA_ROWS = 20_000
+
 _CHARS = np.frombuffer(ALPHABET.encode(), np.uint8)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -226,20 +230,21 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     order of their texts, null texts being empty. A table of one row is its own
     neighbour; an empty table gives an empty result.
 
-    Rows are dealt in ranges of ids. Each range also gets the first row of the
+    Rows are dealt in ranges of ids, of about AREA_ROWS rows where the table is large:
+    the driver holds one bound for each. Each range also gets the first row of the
     next one, so that no row waits for another task: at most one extra row for
-    each range.
+    each range. Rows that repeat one id, or have none, stay in one range.
     """
     spark = docs.sparkSession
     small_batches(spark)
     least = -(1 << 63)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long"), text, F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("key"))
-    n = partitions(spark)
+    n = max(partitions(spark), math.ceil(rows.count() / AREA_ROWS))
     cuts = rows.filter("doc_id IS NOT NULL").approxQuantile("key", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
     bounds = sorted({int(x) for x in cuts or []})
     rows = rows.withColumn("area", _area_udf(bounds)("key"))
-    # The tables of firsts have a row for each range, no more: at most as many as there are partitions.
+    # The tables of firsts have a row for each range, no more.
     firsts = rows.groupBy("area").agg(F.min("key").alias("key"))
     first_rows = rows.join(F.broadcast(firsts), ["area", "key"]).groupBy("area", "doc_id", "key").agg(F.min("text").alias("text"))
     order = Window.orderBy("area")
