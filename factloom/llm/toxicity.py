@@ -1,12 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A lexical transducer turns the words of a clause into symbols: insult, threat,
-target, negation, reported speech, other. Three small transducers read these
-symbols: one remembers a negation for a few words, one remembers that speech is
-reported, one remembers that somebody is addressed. They are composed into one
-machine, which gives each insult or threat of a clause its reading; the clause,
-not the word, gets a weight. Clause weights are summed up in three numbers, which
-a logistic function turns into the score.
+target, intent, negation, reported speech, other. Five small transducers are
+composed into one machine, each reading what the one before writes: the target
+transducer marks what is said to somebody, the insult transducer weighs insults by
+it and by how many came before, the threat transducer drops threats to nobody and
+weighs those with an intent, the negation transducer weakens what a negation
+reaches and the reported-speech transducer what is only quoted. So each insult or
+threat of a clause gets its reading; the clause, not the word, gets a weight.
+Clause weights are summed up in three numbers, which a logistic function turns
+into the score.
 
 The insult lexicon, words and word beginnings, and the logistic weights are
 learned from labelled training rows; seeds stand in where there are none.
@@ -17,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -31,6 +35,8 @@ from factloom.llm.common import held_out, labelled_sample, small_batches
 THRESHOLD = 0.3
 #: Training rows of each label value that the lexicon and the weights are learned from, at most.
 TRAIN_PER_CLASS = 2000
+#: Folds of the cross-fitting.
+FOLDS = 3
 
 #: Seed words of the lexical transducer, in English, German, French and Spanish.
 INSULTS = ("idiot", "moron", "imbecile", "stupid", "dumb", "fool", "jerk", "loser", "scum", "trash", "vermin", "filth", "worthless", "pathetic", "disgusting", "clown", "coward", "dummkopf", "abschaum", "salaud", "ordure", "imbécil", "basura")
@@ -38,16 +44,18 @@ THREATS = ("kill", "hurt", "destroy", "burn", "shoot", "stab", "strangle", "töt
 TARGETS = ("you", "your", "yours", "yourself", "he", "she", "they", "him", "her", "them", "du", "dich", "dir", "ihr", "euch", "sie", "tu", "toi", "vous", "lui", "usted", "ustedes", "tú", "él", "ella", "ellos")
 NEGATIONS = ("not", "no", "never", "neither", "nor", "without", "isn't", "aren't", "wasn't", "don't", "nicht", "kein", "keine", "nie", "pas", "jamais", "ni", "nunca", "jamás", "sin")
 REPORTS = ("said", "says", "wrote", "writes", "called", "calls", "quoted", "claimed", "sagte", "sagt", "schrieb", "nannte", "dit", "écrit", "appelé", "dijo", "escribió", "llamó")
+INTENTS = ("will", "shall", "gonna", "going", "i'll", "we'll", "werde", "werden", "vais", "allons", "voy", "vamos")
 QUOTES = "\"“”„«»"
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-SYMBOLS = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, INSULT_AT, THREAT_AT = range(9)
+SYMBOLS = range(9)
+HITS = (INSULT, THREAT, INSULT_AT, THREAT_AT)
 #: How much more often a lexicon entry stands in toxic rows, and what a clean row that it hits costs.
 LEAST_ODDS, CLEAN_COST = 6.0, 3.0
 #: Words after a negation that it reaches.
 REACH = 3
-#: What a reading leaves of a match's weight, and what an addressed clause gains.
-NEGATED, REPORTED, AIMED = 0.25, 0.6, 1.5
+#: What a reading leaves of a match's weight, and what an addressed insult, a further insult and a threat with intent gain.
+NEGATED, REPORTED, AIMED, FURTHER, INTENDED = 0.25, 0.6, 1.5, 0.5, 1.5
 
 _TOKEN = re.compile(rf"[\w'’]+|[{QUOTES}]")
 _BREAK = re.compile(r"[.!?;:\n]")
@@ -58,71 +66,86 @@ _BREAK = re.compile(r"[.!?;:\n]")
 
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic: (state, symbol) -> (next state, factor on the weight of a match)."""
+    """Deterministic: (state, symbol) -> (next state, symbol written, factor on the weight of a match)."""
 
     start: int
-    arcs: dict[tuple[int, int], tuple[int, float]] = field(hash=False)
+    arcs: dict[tuple[int, int], tuple[int, int, float]] = field(hash=False)
+
+
+def _machine(states: int, step) -> Transducer:
+    """``step(state, symbol)`` gives the next state, what is written in the symbol's place, and the factor."""
+    return Transducer(0, {(q, s): step(q, s) for q in range(states) for s in SYMBOLS})
+
+
+def target() -> Transducer:
+    """State 1 once somebody is addressed: what is said then is said to them."""
+    aimed = {INSULT: INSULT_AT, THREAT: THREAT_AT}
+    return _machine(2, lambda q, s: (1 if q or s == TARGET else 0, aimed.get(s, s) if q else s, 1.0))
+
+
+def insult() -> Transducer:
+    """State 1 after the first insult of a clause: each further one adds less; one that is aimed weighs more."""
+
+    def step(q: int, s: int) -> tuple[int, int, float]:
+        if s not in (INSULT, INSULT_AT):
+            return q, s, 1.0
+        return 1, s, (AIMED if s == INSULT_AT else 1.0) * (FURTHER if q else 1.0)
+
+    return _machine(2, step)
+
+
+def threat() -> Transducer:
+    """State 1 after a word of intent: a threat to nobody is none, one that is intended weighs more."""
+
+    def step(q: int, s: int) -> tuple[int, int, float]:
+        if s == THREAT_AT:
+            return q, s, INTENDED if q else 1.0
+        return 1 if q or s == INTENT else 0, OTHER if s == THREAT else s, 0.0 if s == THREAT else 1.0
+
+    return _machine(2, step)
 
 
 def negation() -> Transducer:
     """The state counts the words that a negation still reaches."""
-    arcs = {}
-    for left in range(REACH + 1):
-        for s in SYMBOLS:
-            after = REACH if s == NEGATION else max(0, left - 1)
-            arcs[left, s] = (after, NEGATED if left and s in (INSULT, THREAT) else 1.0)
-    return Transducer(0, arcs)
+    return _machine(REACH + 1, lambda q, s: (REACH if s == NEGATION else max(0, q - 1), s, NEGATED if q and s in HITS else 1.0))
 
 
 def reported_speech() -> Transducer:
     """State 1 from a verb of saying or a quotation mark to the end of the clause."""
-    arcs = {}
-    for said in (0, 1):
-        for s in SYMBOLS:
-            arcs[said, s] = (1 if said or s == REPORT else 0, REPORTED if said and s in (INSULT, THREAT) else 1.0)
-    return Transducer(0, arcs)
-
-
-def address() -> Transducer:
-    """State 1 once somebody is addressed; what is said to somebody weighs more."""
-    arcs = {}
-    for aimed in (0, 1):
-        for s in SYMBOLS:
-            arcs[aimed, s] = (1 if aimed or s == TARGET else 0, AIMED if aimed and s in (INSULT, THREAT) else 1.0)
-    return Transducer(0, arcs)
+    return _machine(2, lambda q, s: (1 if q or s == REPORT else 0, s, REPORTED if q and s in HITS else 1.0))
 
 
 def compose(first: Transducer, second: Transducer) -> Transducer:
-    """Both read every symbol; states pair up and factors multiply."""
+    """The second reads what the first writes; states pair up and factors multiply."""
     names = {(first.start, second.start): 0}
     arcs, queue = {}, [(first.start, second.start)]
     while queue:
         pair = queue.pop()
         for s in SYMBOLS:
-            (a, fa), (b, fb) = first.arcs[pair[0], s], second.arcs[pair[1], s]
+            a, written, fa = first.arcs[pair[0], s]
+            b, out, fb = second.arcs[pair[1], written]
             if (a, b) not in names:
                 names[a, b] = len(names)
                 queue.append((a, b))
-            arcs[names[pair], s] = (names[a, b], fa * fb)
+            arcs[names[pair], s] = (names[a, b], out, fa * fb)
     return Transducer(0, arcs)
 
 
-GRAMMAR = compose(compose(negation(), reported_speech()), address())
+GRAMMAR = reduce(compose, (target(), insult(), threat(), negation(), reported_speech()))
 
 
-def clause_weight(symbols: list[tuple[int, float]]) -> float:
+def clause_weight(symbols: list[tuple[int, float]], grammar: Transducer = GRAMMAR) -> float:
     """Weight of a clause from its (symbol, weight) sequence.
 
-    A threat without a target in its clause is none. An insult before its target
-    is aimed as one behind it: the clause is read again with the target in front.
+    An insult or threat before its target is aimed as one behind it: the clause is
+    read with the target in front.
     """
-    aimed = any(s == TARGET for s, _ in symbols)
-    state, total = GRAMMAR.start, 0.0
-    if aimed:
-        state, _ = GRAMMAR.arcs[state, TARGET]
+    state, total = grammar.start, 0.0
+    if any(s == TARGET for s, _ in symbols):
+        state = grammar.arcs[state, TARGET][0]
     for s, weight in symbols:
-        state, factor = GRAMMAR.arcs[state, s]
-        if s == INSULT or (s == THREAT and aimed):
+        state, _, factor = grammar.arcs[state, s]
+        if s in HITS:
             total += weight * factor
     return total
 
@@ -137,7 +160,7 @@ class Lexicon:
         """``entries``: word -> weight, a word that ends in ``*`` being a beginning."""
         self.entries = entries
         self.closed = {c: (REPORT, 0.0) for c in QUOTES}
-        for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
+        for words, symbol in ((TARGETS, TARGET), (INTENTS, INTENT), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
             self.closed |= {w: (symbol, 0.0) for w in words}
         keys: dict[str, list] = {}
         for word, weight in entries.items():
@@ -290,7 +313,7 @@ def features(weights: list[float]) -> tuple[float, float, float]:
     return math.log1p(sum(weights)), math.log1p(max(weights, default=0.0)), math.log1p(len(weights))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.05, steps: int = 40) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
     """Weighted ridge logistic regression by Newton steps; the last coefficient is the intercept."""
     x = np.column_stack([x, np.ones(len(x))])
     beta = np.zeros(x.shape[1])
@@ -319,10 +342,10 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Model:
     """Learns from at most ``per_class`` training rows of each label value; held out rows are never read.
 
-    Without rows of both values the seeds and fixed weights stand.
-    The lexicon comes from two thirds of the rows and the weights from the last third, unless that
-    third has fewer than 20 toxic rows: then both come from all rows, and the weights trust the
-    lexicon more than unseen rows would let them.
+    Without rows of both values the seeds and fixed weights stand. The weights are
+    fitted by cross-fitting: each row's features come from a lexicon learned without
+    the row's fold, so that they trust the lexicon as far as unseen rows let them; the
+    lexicon that scores is learned from all rows.
     """
     rows = labelled_sample(docs, labels, "toxic", per_class)
     seen = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("toxic").count().collect()
@@ -330,14 +353,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS)
     if len({y for _, y in rows}) < 2:
         return Model({w: 1.0 for w in INSULTS}, [1.5, 1.5, 0.5, -3.0])
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(r[0]))
-    cut = len(rows) * 2 // 3
-    held = rows[cut:] if sum(y for _, y in rows[cut:]) >= 20 else rows
-    lexicon = Lexicon(learn_lexicon(rows[:cut] if held is not rows else rows))
-    x = np.array([features(lexicon.clauses(t)) for t, _ in held])
-    y = np.array([y for _, y in held], float)
+    x, y = [], []
+    for fold in range(FOLDS):
+        lexicon = Lexicon(learn_lexicon([r for k, r in enumerate(rows) if k % FOLDS != fold]))
+        own = rows[fold::FOLDS]
+        x += [features(lexicon.clauses(t)) for t, _ in own]
+        y += [label for _, label in own]
+    x, y = np.array(x), np.array(y, float)
     # The sample has other class shares than the labels: weights undo this.
     w = np.where(y == 1, share[1] / max(1, y.sum()), share[0] / max(1, (1 - y).sum()))
-    return Model(lexicon.entries, [float(b) for b in fit_logistic(x, y, w * len(w) / w.sum())])
+    return Model(learn_lexicon(rows), [float(b) for b in fit_logistic(x, y, w * len(w) / w.sum())])
 
 
 _SCHEMA = "doc_id long, score double"

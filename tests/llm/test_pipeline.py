@@ -5,6 +5,8 @@ import public_tokenizers
 import corpus_pipeline
 from factloom.llm import near_dedup, quality, registry, toxicity
 from factloom.llm.common import materialise
+from tests.llm.by_hand import attention_by_hand, toxicity_by_hand
+from tests.llm.conftest import HARD
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,10 +21,12 @@ def test_each_stage_decides_as_its_operator(spark):
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         docs = materialise(stage(spark, docs, SF), "test")
         if name == "toxicity":
-            bad = toxicity.score(source, toxicity.train(source, labels)).filter("predicted = 1")
-            want -= ids(bad)
+            model = toxicity.train(source, labels)
+            lexicon = toxicity.Lexicon(model.entries)
+            want = {i for i in want if toxicity_by_hand(model, lexicon, texts[i]) < toxicity.THRESHOLD}
         elif name == "quality":
-            want &= ids(quality.score(source, quality.train(source, labels)).filter("predicted = 1"))
+            model = quality.train(source, labels)
+            want = {i for i in want if attention_by_hand(model, quality.encode(texts[i])) >= quality.THRESHOLD}
         elif name == "exact dedup":
             best = {}
             for i in sorted(want):
@@ -59,6 +63,23 @@ def test_run_equals_its_stages(spark):
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
 
 
+def test_run_takes_hard_rows_and_empty_tables(spark, docs_of, hard, tmp_path):
+    labels = spark.createDataFrame([(4, 1, 0), (6, 1, 0), (6, 0, 1), (10, 0, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    for k, docs in enumerate((hard, docs_of([]))):
+        folder = f"{tmp_path}/{k}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.filter("doc_id IS NOT NULL" if k else "true").write.parquet(f"{folder}/labels.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, folder).columns == docs.columns
+        got = corpus_pipeline.run(spark, folder).toPandas()
+        if k:
+            assert got.empty
+        else:
+            known = {i for i, _ in HARD}
+            assert {None if i != i else int(i) for i in got.doc_id} <= known and (got.groupby("sequence_id").length.sum() <= 1024).all()
+            assert len(got[got.piece == 0]) == len(got[got.piece == 0].drop_duplicates(["doc_id", "ids_crc32"]))
+
+
 def test_every_operator_is_registered(spark):
     names = registry.queries()
     assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))

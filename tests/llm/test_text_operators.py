@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from factloom.llm import chat, fingerprint, html_extract, quality, sentencepieces, sharding, toxicity
+from tests.llm.by_hand import attention_by_hand, weight_by_hand
 from tests.llm.conftest import HARD
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -183,14 +184,44 @@ def test_grammar_reads_clauses():
     assert weight("not good. an idiot.") == 1.0
 
 
-def test_composition_equals_both_machines():
-    first, second = toxicity.negation(), toxicity.address()
-    both = toxicity.compose(first, second)
+def test_clause_weights_equal_brute_force():
     rng = np.random.default_rng(0)
-    a = b = c = 0
-    for s in rng.integers(0, 6, 500).tolist():
-        (a, fa), (b, fb), (c, fc) = first.arcs[a, s], second.arcs[b, s], both.arcs[c, s]
-        assert abs(fa * fb - fc) < 1e-12
+    for _ in range(3000):
+        symbols = [(int(s), float(rng.uniform(0.5, 2))) for s in rng.integers(0, 7, int(rng.integers(0, 9)))]
+        assert abs(toxicity.clause_weight(symbols) - weight_by_hand(symbols)) < 1e-9
+
+
+def test_composition_reads_what_is_written():
+    machines = (toxicity.target(), toxicity.insult(), toxicity.threat(), toxicity.negation(), toxicity.reported_speech())
+    rng = np.random.default_rng(0)
+    states, whole = [m.start for m in machines], toxicity.GRAMMAR.start
+    for s in rng.integers(0, 9, 2000).tolist():
+        want, now = 1.0, s
+        for k, m in enumerate(machines):
+            states[k], now, factor = m.arcs[states[k], now]
+            want *= factor
+        whole, out, factor = toxicity.GRAMMAR.arcs[whole, s]
+        assert out == now and abs(factor - want) < 1e-12
+
+
+def test_each_transducer_decides_a_label():
+    model = toxicity.Model({"idiot": 1.0}, [1.5, 1.5, 0.5, -3.0])
+    lexicon = toxicity.Lexicon(model.entries)
+    toxic = lambda t: model.score(lexicon, t) >= toxicity.THRESHOLD
+    assert toxic("Such an idiot.") and not toxic("Such a house.")  # insult
+    assert not toxic("It was called an idiot.") and toxic("You were called an idiot.")  # reported speech, then target
+    assert not toxic("Surely not an idiot.")  # negation
+    assert toxic("I kill you.") and not toxic("We kill time.")  # threat and target
+    assert model.score(lexicon, "I will kill you.") > model.score(lexicon, "I kill you.")  # intent
+    assert model.score(lexicon, "idiot idiot.") < model.score(lexicon, "idiot. idiot.")  # one clause, two clauses
+
+
+def test_labels_that_disagree_count_as_one(spark, docs_of):
+    from factloom.llm.common import labelled_sample
+
+    docs = docs_of([(1, "b"), (1, "a"), (3, "x" * 20), (4, "y")])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (3, 1), (4, 0), (None, 1)], "doc_id long, toxic int")
+    assert labelled_sample(docs, labels, "toxic", 10, chars=10) == [("a", 1), ("y", 0)]
 
 
 def _auc(score, y):
@@ -222,6 +253,26 @@ def test_classifiers_take_hard_rows_and_no_labels(spark, hard, docs_of, module):
         assert module.score(docs_of([]), model).count() == 0
 
 
+def test_forward_equals_brute_force():
+    rng = np.random.default_rng(3)
+    bags = [rng.normal(0, 1, (k, quality.N_FEATURES)).astype(np.float32) for k in (1, 4, 2, 7)]
+    model = quality.fit(bags, np.array([0.0, 1.0, 1.0, 0.0]), np.ones(4))
+    for bag, got in zip(bags, model.scores(bags)):
+        assert abs(attention_by_hand(model, bag) - got) < 1e-9
+
+
+def test_passages_equal_a_plain_count():
+    text = "One two, three! " * 50 + "END 42 ... x"
+    words = text.split()
+    got = quality.encode(text)
+    assert len(got) == -(-len(words) // quality.PASSAGE)
+    for k, row in enumerate(got):
+        own = words[k * quality.PASSAGE : (k + 1) * quality.PASSAGE]
+        assert abs(row[0] - np.log(np.mean([len(x) for x in own]))) < 1e-5
+        assert abs(row[3] - sum(c.isdigit() for x in own for c in x) / sum(map(len, own))) < 1e-6
+        assert abs(row[10] - len(set(own)) / len(own)) < 1e-6 and abs(row[15] - sum(len(x) == 1 for x in own) / len(own)) < 1e-6
+
+
 def test_attention_weights_passages():
     rng = np.random.default_rng(1)
     bags = [rng.normal(0, 1, (int(rng.integers(1, 6)), quality.N_FEATURES)).astype(np.float32) for _ in range(300)]
@@ -254,6 +305,23 @@ def test_hard_texts_round_trip_in_slices():
         assert not any(c in chat.escape(t) for t in HARD_TEXTS for c in chat.CONTROLS)
 
 
+def test_windows_of_scatter_indices(monkeypatch):
+    texts = [t * k for k, t in enumerate(HARD_TEXTS * 2, 1)] + ["x<s>\\é" * 3000]
+    roles = ["user", "assistant", "x"] * 7 + ["system"] * 2
+    for window in (1, 7, 64, 5000):
+        monkeypatch.setattr(chat, "WINDOW", window)
+        out = chat.assemble(roles[: len(texts)], pa.array(texts)).to_pylist()
+        assert out == [chat.frame(r)[0] + chat.escape(t) + chat.frame(r)[1] for r, t in zip(roles, texts)]
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = "[INST] \\ " * 200_000
+    rows = spark.createDataFrame([(1, 0, "user", long, 5, "y"), (1, 1, "assistant", "ok", 6, "z")], "conv_id long, turn long, role string, text string, n_turns int, formatted string")
+    got = chat.digests(rows).first()
+    assert got["n_turns"] == 2 and got["turns_sha256"] == hashlib.sha256(f"user\n{long}\nassistant\nok\n".encode()).hexdigest()
+    assert got["formatted_chars"] == len(chat.escape(long)) + 18 + 7
+
+
 def test_digests_equal_brute_force(spark):
     rows = [(1, 1, "assistant", "</s> two"), (1, 0, "user", "one"), (1, 1, "assistant", "</s> two"), (2, 0, None, None), (None, 0, "system", "s"), (3, None, "tool", "t\\")]
     got = {r["conv_id"]: r for r in chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -303,7 +371,16 @@ def test_neighbours_equal_brute_force(spark, docs_of):
         assert got[i]["near_next"] == fingerprint.likeness(fingerprint.fingerprint(t), fingerprint.fingerprint(after))
 
 
-def test_neighbours_of_hard_rows(hard, docs_of):
-    assert fingerprint.edited_neighbours(hard).count() == len(HARD)
+def test_neighbours_of_hard_rows(hard, docs_of, monkeypatch):
+    order = sorted(HARD, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    want = []
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        a, b, c = map(fingerprint.fingerprint, (t, edited, after))
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, fingerprint.likeness(a, b), fingerprint.likeness(a, c)))
+    for rows in (20_000, 3):
+        monkeypatch.setattr(fingerprint, "AREA_ROWS", rows)
+        assert sorted(map(tuple, fingerprint.edited_neighbours(hard).collect()), key=str) == sorted(want, key=str)
     assert fingerprint.edited_neighbours(docs_of([])).count() == 0
     assert fingerprint.edited_neighbours(docs_of([(5, "alone in here")])).first()["near_next"] == 1.0
