@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; all but the last return the columns of ``documents``. Both classifiers
 learn from the labelled rows of the whole input, whatever the earlier stages
 dropped. Rows without an id pass the near-duplicate stage, as nothing can name
-their group.
+their group. Null texts are empty: all stages take them, empty tables, repeated rows
+and columns of any name, as their operators state.
 
 Near copies share 80 % of their shingles of NEAR_SHINGLE words, the rule of op2,
 so that stage and query call the same texts near copies. Shingles of five words
@@ -52,7 +53,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither classifier; tests hold each stage against a brute-force version.
+#: SQL can express neither classifier; tests hold each stage against a plain version, packing by its contract.
 ORACLE_SQL = None
 
 
