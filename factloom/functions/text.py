@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 
 #: Ordinary Han characters, as a regular-expression class.
 HAN = "\\x{3400}-\\x{9fff}"
-_HAN_PY = "㐀-鿿"
 #: Words that the sparse tokenizer leaves out.
 SPARSE_STOP = frozenset("根据 年度 报告 年报 公司 情况 什么 哪些 为何 为什么 如何 请问 简要 分析 概述 介绍 说明 主要 相关 报告期 本年度 该公司 是否 以及 及其".split())
 #: Full-width forms and what stands for them in numbers.
@@ -44,71 +44,84 @@ def answer(c: Column) -> Column:
 
 
 def nfkc_compact(c: Column) -> Column:
-    """NFKC, lower case, white space and punctuation gone. Spark has no normalize(), so this one runs in Python."""
+    """NFKC, lower case, white space and punctuation gone."""
+    return F.regexp_replace(F.lower(nfkc(c)), r"(?U)[\s\W_]+", "")
+
+
+# --- tokenizers -------------------------------------------------------------------------------
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility normal form. Spark has no normalize(), so this one runs in Python, in batches."""
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else re.sub(r"[\s\W_]+", "", unicodedata.normalize("NFKC", t).lower()) for t in texts], dtype="object")
+        return pd.Series([None if t is None else unicodedata.normalize("NFKC", t) for t in texts], dtype="object")
 
     return F.pandas_udf(run, "string")(c)
 
 
-# --- tokenizers -------------------------------------------------------------------------------
+def _matches(c: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({pattern})"), F.lit(1))
 
-_MIXED = re.compile(rf"[A-Za-z]+(?:[-_.][A-Za-z0-9]+)*|\d+(?:\.\d+)?|[{_HAN_PY}]+")
-_ASCII = re.compile(r"[a-z0-9]+", re.I)
-_RUN = re.compile(rf"[{_HAN_PY}]+")
 
+def _grams(run: Column, n: int) -> Column:
+    """The n-grams of a string, none where it is shorter."""
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - (n - 1), F.lit(1))), lambda i: F.substring(run, i, F.lit(n)))
+    return F.when(F.length(run) >= n, cut).otherwise(F.array().cast("array<string>"))
 
-def _grams(run: str, n: int) -> list[str]:
-    return [run[i : i + n] for i in range(len(run) - n + 1)]
 
+def _from_runs(c: Column, of: Callable[[Column], Column]) -> Column:
+    return F.flatten(F.transform(_matches(c, f"[{HAN}]+"), of))
 
-def mixed_tokens(text: str) -> list[str]:
+
+def mixed_tokens(c: Column) -> Column:
     """Words and numbers in lower case; of a Han run its characters, then its bigrams."""
-    out: list[str] = []
-    for m in _MIXED.finditer(text):
-        t = m[0].lower()
-        out += list(t) + _grams(t, 2) if _RUN.fullmatch(t) else [t]
-    return out
+    pieces = _matches(c, rf"[A-Za-z]+(?:[-_.][A-Za-z0-9]+)*|\p{{Nd}}+(?:\.\p{{Nd}}+)?|[{HAN}]+")
+    return F.flatten(F.transform(pieces, lambda p: F.when(p.rlike(f"^[{HAN}]"), F.concat(_grams(p, 1), _grams(p, 2))).otherwise(F.array(F.lower(p)))))
+
+
+def _short_run(run: Column, most: int) -> Column:
+    return F.when(F.length(run) <= most, F.array(run)).otherwise(F.array().cast("array<string>"))
 
 
-def lexical_tokens(text: str) -> list[str]:
+def lexical_tokens(c: Column) -> Column:
     """Sorted set of ASCII words, Han bigrams, and Han runs of up to eight characters."""
-    text = " ".join(text.split()).lower()
-    out = set(_ASCII.findall(text))
-    for run in _RUN.findall(text):
-        out |= {run} if len(run) == 1 else set(_grams(run, 2)) | ({run} if len(run) <= 8 else set())
-    return sorted(out)
+    low = F.lower(normalise(c))
+    return F.array_sort(F.array_distinct(F.concat(_matches(low, "[a-z0-9]+"), _from_runs(low, lambda run: F.concat(_grams(run, 2), _short_run(run, 8))))))
 
 
-def sparse_tokens(text: str) -> list[str]:
+def sparse_tokens(c: Column) -> Column:
     """ASCII words, then Han bigrams and trigrams of each run, without the stop list."""
-    text = " ".join(text.split()).lower()
-    out = _ASCII.findall(text)
-    for run in _RUN.findall(text):
-        out += _grams(run, 2) + _grams(run, 3)
-    return [t for t in out if t not in SPARSE_STOP]
+    low = F.lower(normalise(c))
+    every = F.concat(_matches(low, "[a-z0-9]+"), _from_runs(low, lambda run: F.concat(_grams(run, 2), _grams(run, 3))))
+    return F.filter(every, lambda t: ~t.isin(*sorted(SPARSE_STOP)))
 
 
-def table_tokens(text: str) -> list[str]:
-    """Sorted set of words after NFKC, Han bigrams, and Han runs of up to four characters."""
-    text = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text).lower()).strip()
-    out = set(_ASCII.findall(text))
-    for run in _RUN.findall(text):
-        out |= set(_grams(run, 2)) | ({run} if len(run) <= 4 else set())
-    return sorted(out)
+def table_tokens(c: Column) -> Column:
+    """Sorted set of ASCII words after NFKC, Han bigrams, and Han runs of up to four characters."""
+    low = F.lower(normalise(nfkc(c)))
+    return F.array_sort(F.array_distinct(F.concat(_matches(low, "[a-z0-9]+"), _from_runs(low, lambda run: F.concat(_grams(run, 2), _short_run(run, 4))))))
 
 
 TOKENIZERS = {"mixed": mixed_tokens, "lexical": lexical_tokens, "sparse": sparse_tokens, "table": table_tokens}
 
 
 def tokens(c: Column, kind: str) -> Column:
-    function = TOKENIZERS[kind]
+    return TOKENIZERS[kind](c)
+
+
+def han_bigrams(c: Column) -> Column:
+    """Distinct bigrams of the Han runs of a text."""
+    return F.array_distinct(_from_runs(F.coalesce(c, F.lit("")), lambda run: _grams(run, 2)))
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([function(t or "") for t in texts], dtype="object")
 
-    return F.pandas_udf(run, "array<string>")(c)
+def plain_bigrams(c: Column, stop: tuple[str, ...]) -> Column:
+    """Distinct character bigrams without digits, stop words and all but letters and digits taken out first."""
+    bare = compact_words(c)
+    for word in stop:
+        bare = F.replace(bare, F.lit(word), F.lit(""))
+    grams = F.flatten(F.transform(F.array(bare), lambda run: _grams(run, 2)))  # bound once: a lambda would compute the text again for each gram
+    return F.filter(F.array_distinct(grams), lambda g: ~g.rlike(r"\p{Nd}"))
 
 
 def words(c: Column) -> Column:

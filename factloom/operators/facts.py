@@ -77,9 +77,9 @@ def rank(rows: DataFrame, spec: QuerySpec) -> DataFrame:
 
 
 def aggregate(rows: DataFrame, spec: QuerySpec) -> DataFrame:
-    """One row, or none where nothing matches; averages keep 16 places."""
+    """One row, or none where nothing matches; an average keeps 16 places, its operands narrowed so that Spark can."""
     own = allow_list(rows, spec.filters())
-    value = {"count": F.count(F.lit(1)).cast("decimal(38,4)"), "sum": F.sum("normalized_value"), "average": F.avg("normalized_value")}[spec.aggregate_operator]
+    value = {"count": F.count(F.lit(1)).cast("decimal(38,4)"), "sum": F.sum("normalized_value"), "average": F.sum("normalized_value").cast("decimal(30,8)") / F.count(F.lit(1)).cast("decimal(10,0)")}[spec.aggregate_operator]
     out = own.agg(value.alias("value"), F.count(F.lit(1)).alias("n_facts"), F.min("fact_id").alias("first_fact_id"))
     unit = "count" if spec.aggregate_operator == "count" else spec.normalized_unit
     return out.filter("n_facts > 0").withColumns({"aggregate_operator": F.lit(spec.aggregate_operator), "normalized_unit": F.lit(unit)})
@@ -124,11 +124,32 @@ def missing_slots(documents: DataFrame, selected: DataFrame, all_facts: DataFram
     return gaps.select(*keys, "report_year", cause.alias("cause"))
 
 
+#: Documents that a metadata value names as its witnesses; all are counted.
+WITNESSES = 20
+
+
 def metadata(rows: DataFrame, field_name: str, key: str) -> DataFrame:
-    """Values of a metadata field per entity, with the documents that say so and the status."""
-    grouped = rows.groupBy(key, field_name).agg(F.array_sort(F.collect_set("document_id")).alias("document_ids"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    return grouped.withColumn("status", F.when(n == 1, "found").otherwise("ambiguous"))
+    """Values of a metadata field per entity, with how many documents say so, the first of them, and the status.
+
+    Any number of documents may say the same: they are counted, and only the
+    ``WITNESSES`` first are gathered, chosen by a window that Spark prunes per task.
+    """
+    said = rows.select(key, field_name, "document_id").distinct()
+    counted = said.groupBy(key, field_name).agg(F.count(F.lit(1)).alias("n_documents"))
+    first = Window.partitionBy(key, field_name).orderBy("document_id")
+    named = said.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= WITNESSES)
+    named = named.groupBy(key, field_name).agg(F.array_sort(F.collect_list("document_id")).alias("document_ids"))
+    values = counted.groupBy(key).agg(F.count(F.lit(1)).alias("__values"))
+    out = counted.join(named, [key, field_name]).join(values, key)
+    return out.withColumn("status", F.when(F.col("__values") == 1, "found").otherwise("ambiguous")).drop("__values")
+
+
+def fallback_lookup(requests: DataFrame, selected: DataFrame, supplements: DataFrame) -> DataFrame:
+    """``lookup`` in the selected facts, and in the supplements for what these do not have; ``source`` says where."""
+    first = lookup(requests, selected).withColumn("source", F.lit("selected"))
+    open_ = first.filter("status = 'not_found'").select(*requests.columns)
+    second = lookup(open_, supplements).withColumn("source", F.lit("supplement"))
+    return first.filter("status <> 'not_found'").unionByName(second)
 
 
 def candidate_tables(candidates: DataFrame, keys: list[str], table_id: str) -> DataFrame:

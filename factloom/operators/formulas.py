@@ -19,37 +19,37 @@ class Formula:
     operands: tuple[tuple[str, str, int], ...]  # role, metric, years back as an offset
 
 
-def _growth(name: str, metric: str) -> Formula:
-    return Formula(f"{name}_growth_rate.v1", "growth", (("current", metric, 0), ("previous", metric, -1)))
-
-
-def _ratio(formula_id: str, numerator: str, denominator: str) -> Formula:
-    return Formula(f"{formula_id}.v1", "simple_ratio", (("numerator", numerator, 0), ("denominator", denominator, 0)))
-
-
-#: The growth formulas, then the simple ratios, then those with an operator of their own.
-GROWTH = {
-    "revenue": "营业收入", "total_assets": "总资产", "net_assets": "净资产", "parent_net_profit": "归属于上市公司股东的净利润", "sales_expense": "销售费用",
-    "operating_profit": "营业利润", "administrative_expense": "管理费用", "current_liabilities": "流动负债", "intangible_assets": "无形资产", "financial_expense": "财务费用",
-    "rd_expense": "研发费用", "net_profit": "净利润", "total_liabilities": "总负债", "cash": "货币资金", "investment_income": "投资收益",
-    "fixed_assets": "固定资产", "cash_equivalents": "现金及现金等价物",
-}
-RATIOS = {
-    "operating_cost_ratio": ("营业成本", "营业收入"), "investment_income_revenue_ratio": ("投资收益", "营业收入"), "administrative_expense_ratio": ("管理费用", "营业收入"),
-    "financial_expense_ratio": ("财务费用", "营业收入"), "operating_margin": ("营业利润", "营业收入"), "net_profit_margin": ("净利润", "营业收入"),
-    "current_ratio": ("流动资产", "流动负债"), "cash_ratio": ("货币资金", "流动负债"), "debt_asset_ratio": ("总负债", "总资产"),
-    "current_liabilities_ratio": ("流动负债", "总负债"), "noncurrent_liabilities_ratio": ("非流动负债", "总负债"), "rd_revenue_ratio": ("研发费用", "营业收入"),
-    "rd_profit_ratio": ("研发费用", "净利润"), "rd_staff_ratio": ("研发人员数", "职工总数"),
-}
+#: The catalogue, by formula id in its order: the operator, then the metrics of its operands. Growth takes a
+#: metric in the target year and the year before; a simple ratio a numerator and a denominator.
+GROWTH = (
+    ("revenue_growth_rate.v1", "营业收入"), ("total_assets_growth_rate.v1", "总资产"), ("net_assets_growth_rate.v1", "净资产"),
+    ("parent_net_profit_growth_rate.v1", "归属于上市公司股东的净利润"), ("sales_expense_growth_rate.v1", "销售费用"), ("operating_profit_growth_rate.v1", "营业利润"),
+    ("administrative_expense_growth_rate.v1", "管理费用"), ("current_liabilities_growth_rate.v1", "流动负债"), ("intangible_assets_growth_rate.v1", "无形资产"),
+    ("financial_expense_growth_rate.v1", "财务费用"), ("rd_expense_growth_rate.v1", "研发费用"), ("net_profit_growth_rate.v1", "净利润"),
+    ("total_liabilities_growth_rate.v1", "总负债"), ("cash_growth_rate.v1", "货币资金"), ("investment_income_growth_rate.v1", "投资收益"),
+    ("fixed_assets_growth_rate.v1", "固定资产"), ("cash_equivalents_growth_rate.v1", "现金及现金等价物"),
+)
+RATIOS = (
+    ("operating_cost_ratio.v1", "营业成本", "营业收入"), ("investment_income_revenue_ratio.v1", "投资收益", "营业收入"), ("administrative_expense_ratio.v1", "管理费用", "营业收入"),
+    ("financial_expense_ratio.v1", "财务费用", "营业收入"), ("operating_margin.v1", "营业利润", "营业收入"), ("net_profit_margin.v1", "净利润", "营业收入"),
+    ("current_ratio.v1", "流动资产", "流动负债"), ("cash_ratio.v1", "货币资金", "流动负债"), ("debt_asset_ratio.v1", "总负债", "总资产"),
+    ("current_liabilities_ratio.v1", "流动负债", "总负债"), ("noncurrent_liabilities_ratio.v1", "非流动负债", "总负债"), ("rd_revenue_ratio.v1", "研发费用", "营业收入"),
+    ("rd_profit_ratio.v1", "研发费用", "净利润"), ("rd_staff_ratio.v1", "研发人员数", "职工总数"),
+)
 SPECIAL = (
-    Formula("gross_margin.v1", "gross_margin", (("revenue", "营业收入", 0), ("cost", "营业成本", 0))),
-    Formula("quick_ratio.v1", "quick_ratio", (("current_assets", "流动资产", 0), ("inventory", "存货", 0), ("denominator", "流动负债", 0))),
-    Formula("three_expense_ratio.v1", "three_expense_ratio", (("sales", "销售费用", 0), ("administrative", "管理费用", 0), ("financial", "财务费用", 0), ("denominator", "营业收入", 0))),
-    Formula("rd_expense_share.v1", "rd_expense_share", (("rd", "研发费用", 0), ("sales", "销售费用", 0), ("financial", "财务费用", 0), ("administrative", "管理费用", 0))),
-    Formula("postgraduate_staff_ratio.v1", "postgraduate_staff_ratio", (("master", "硕士人数", 0), ("doctor", "博士及以上人数", 0), ("denominator", "职工总数", 0))),
+    ("gross_margin.v1", "gross_margin", (("revenue", "营业收入", 0), ("cost", "营业成本", 0))),
+    ("quick_ratio.v1", "quick_ratio", (("current_assets", "流动资产", 0), ("inventory", "存货", 0), ("denominator", "流动负债", 0))),
+    ("three_expense_ratio.v1", "three_expense_ratio", (("sales", "销售费用", 0), ("administrative", "管理费用", 0), ("financial", "财务费用", 0), ("denominator", "营业收入", 0))),
+    ("rd_expense_share.v1", "rd_expense_share", (("rd", "研发费用", 0), ("sales", "销售费用", 0), ("financial", "财务费用", 0), ("administrative", "管理费用", 0))),
+    ("postgraduate_staff_ratio.v1", "postgraduate_staff_ratio", (("master", "硕士人数", 0), ("doctor", "博士及以上人数", 0), ("denominator", "职工总数", 0))),
 )
 CATALOGUE: dict[str, Formula] = {
-    f.formula_id: f for f in (*(_growth(n, m) for n, m in GROWTH.items()), *(_ratio(n, a, b) for n, (a, b) in RATIOS.items()), *SPECIAL)
+    f.formula_id: f
+    for f in (
+        *(Formula(i, "growth", (("current", m, 0), ("previous", m, -1))) for i, m in GROWTH),
+        *(Formula(i, "simple_ratio", (("numerator", a, 0), ("denominator", b, 0))) for i, a, b in RATIOS),
+        *(Formula(*x) for x in SPECIAL),
+    )
 }
 
 #: Operator -> (numerator, denominator) from a function that gives a role's value.
@@ -65,8 +65,17 @@ OPERATORS = {
 
 
 def divide(numerator: Column, denominator: Column, places: int = 12) -> Column:
-    """Decimal division that keeps ``places`` places: operands are narrowed first, or Spark would keep six."""
-    return (numerator.cast("decimal(24,4)") / F.nullif(denominator.cast("decimal(24,4)"), F.lit(0).cast("decimal(24,4)"))).cast(f"decimal(38,{places})")
+    """Decimal division to ``places`` places: operands are narrowed first, or Spark would keep six.
+
+    Operands keep twelve decimals where they have at most 14 and 12 digits before the
+    point, ten otherwise.
+    """
+
+    def narrow(top: str, base: str) -> Column:
+        b = denominator.try_cast(base)
+        return (numerator.try_cast(top) / F.nullif(b, F.lit(0).cast(base))).cast(f"decimal(38,{places})")
+
+    return F.coalesce(narrow("decimal(26,12)", "decimal(24,12)"), narrow("decimal(26,10)", "decimal(25,10)"))
 
 
 def evaluate(requests: DataFrame, facts: DataFrame, entity: str = "stock_code") -> DataFrame:
@@ -92,7 +101,7 @@ def evaluate(requests: DataFrame, facts: DataFrame, entity: str = "stock_code")
     for name, operator in OPERATORS.items():
         a, b = operator(lambda r: F.col(f"v_{r}"))
         mine = F.col("formula_id").isin([f.formula_id for f in CATALOGUE.values() if f.operator == name])
-        top, base = (F if top is None else top).when(mine, a.cast("decimal(38,4)")), (F if base is None else base).when(mine, b.cast("decimal(38,4)"))
+        top, base = (F if top is None else top).when(mine, a.cast("decimal(38,12)")), (F if base is None else base).when(mine, b.cast("decimal(38,12)"))
     folded = folded.withColumns({"top": top, "base": base})
     code = (
         F.when(F.col("operands") == 0, "METRIC_UNRECOGNIZED").when(F.col("conflicts") > 0, "FACT_UNRESOLVED_CONFLICT")

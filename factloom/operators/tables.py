@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that a header may take, likeness of an embedded repeat, share of numbers that begins the data.
 MOST_HEADER_ROWS, EMBEDDED_LIKENESS, NUMERIC_SHARE = 5, 0.6, 0.2
-_NUMBER = re.compile(r"[-+(（]?[\d,]+(?:\.\d+)?[)）%％]?")
+_WHOLE_NUMBER = r"^[-+(（]?[\d,]+(?:\.\d+)?[)）%％]?$"
 _PERIOD_WORDS = ("年", "期", "金额", "比例", "数量", "余额", "发生额")
 _TABLE = re.compile(r"<\s*table\b.*?<\s*/\s*table\s*>", re.S | re.I)
 
@@ -74,105 +74,200 @@ def parse_rows(raw: str) -> tuple[list[list[Cell]], str]:
     return parser.rows, parser.caption_text
 
 
-def expand(rows: list[list[Cell]]) -> list[list[str]]:
-    """A rectangular matrix: each cell takes the first free place of its row, spans repeat its text."""
-    grid: dict[tuple[int, int], str] = {}
+def place(rows: list[list[Cell]]) -> list[tuple[int, int, Cell]]:
+    """(row, column, cell): each cell takes the first free place of its row."""
+    taken: set[tuple[int, int]] = set()
+    out = []
     for r, row in enumerate(rows):
         c = 0
         for cell in row:
-            while (r, c) in grid:
+            while (r, c) in taken:
                 c += 1
-            for dr in range(cell.rowspan):
-                for dc in range(cell.colspan):
-                    grid[r + dr, c + dc] = cell.text
+            taken.update((r + dr, c + dc) for dr in range(cell.rowspan) for dc in range(cell.colspan))
+            out.append((r, c, cell))
             c += cell.colspan
+    return out
+
+
+def expand(rows: list[list[Cell]]) -> list[list[str]]:
+    """A rectangular matrix: spans repeat the text of their cell, a later cell overwrites what it covers."""
+    grid: dict[tuple[int, int], str] = {}
+    for r, c, cell in place(rows):
+        grid.update({(r + dr, c + dc): cell.text for dr in range(cell.rowspan) for dc in range(cell.colspan)})
     if not grid:
         return [[] for _ in rows]
     height, width = max([len(rows) - 1, *(r for r, _ in grid)]) + 1, max(c for _, c in grid) + 1
     return [[grid.get((r, c), "") for c in range(width)] for r in range(height)]
 
 
-def _header_like(row: list[str]) -> bool:
-    values = [v for v in row if v]
-    return bool(values) and sum(bool(_NUMBER.fullmatch(v)) for v in values) * 2 < len(values)
-
-
-def header_bands(rows: list[list[Cell]], matrix: list[list[str]]) -> tuple[list[int], list[int]]:
-    """Header rows from the top, and later rows that repeat them."""
-    if not matrix:
-        return [], []
-    band, carried = [0], max((c.rowspan for c in rows[0]), default=1)
-    spread = any(c.colspan > 1 or c.rowspan > 1 or c.tag == "th" for c in rows[0])
-    for r in range(1, min(MOST_HEADER_ROWS, len(matrix))):
-        grouped = r - 1 < len(rows) and any(c.colspan > 1 for c in rows[r - 1])
-        if not (_header_like(matrix[r]) and (spread or r < carried or grouped)):
-            break
-        band.append(r)
-        spread = True
-        if r < len(rows):
-            carried = max([carried, *(r + c.rowspan for c in rows[r])])
-    known = {v for r in band for v in matrix[r] if v}
-    again = []
-    for r in range(band[-1] + 1, len(matrix)):
-        values = {v for v in matrix[r] if v}
-        if values and _header_like(matrix[r]) and len(values & known) / max(1, min(len(values), len(known))) >= EMBEDDED_LIKENESS:
-            again.append(r)
-    return band, again
-
-
-def flat_headers(matrix: list[list[str]], band: list[int]) -> list[str]:
-    out = []
-    for c in range(max(map(len, matrix), default=0)):
-        parts: list[str] = []
-        for r in band:
-            v = matrix[r][c]
-            if v and (not parts or parts[-1] != v):
-                parts.append(v)
-        out.append(" / ".join(parts) or f"第{c + 1}列")
-    return out
-
-
-def data_start(matrix: list[list[str]], band: list[int], again: list[int]) -> int:
-    width, heads = max(map(len, matrix), default=0), flat_headers(matrix, band)
-    if width <= 1:
-        return width
-    body = [row for r, row in enumerate(matrix) if r not in {*band, *again}]
-    for c in range(1, width):
-        values = [row[c] for row in body if row[c]]
-        if values and sum(bool(_NUMBER.fullmatch(v)) for v in values) / len(values) >= NUMERIC_SHARE or any(w in heads[c] for w in _PERIOD_WORDS):
-            return c
-    return 1
-
-
-TABLE_SCHEMA = "document_id string, table_index int, status string, caption string, header array<string>, matrix array<array<string>>, header_rows array<int>, embedded_headers array<int>, data_start int, source_rows int, char_start int, char_end int"
+PARSED_SCHEMA = """document_id string, table_index int, caption string, matrix array<array<string>>, spans array<struct<row int, col int, rowspan int, colspan int, tag string, text string>>,
+  source_rows int, char_start int, char_end int, line int, unit_hint string, section_path array<string>"""
+_STR, _INT = pa.string(), pa.int32()
+_ARROW = pa.schema(
+    [("document_id", _STR), ("table_index", _INT), ("caption", _STR), ("matrix", pa.list_(pa.list_(_STR))), ("spans", pa.list_(pa.struct([("row", _INT), ("col", _INT), ("rowspan", _INT), ("colspan", _INT), ("tag", _STR), ("text", _STR)]))),
+     ("source_rows", _INT), ("char_start", _INT), ("char_end", _INT), ("line", _INT), ("unit_hint", _STR), ("section_path", pa.list_(_STR))]
+)
+_HEADING = re.compile(r"^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$", re.M)
+_UNIT_HINT = re.compile(r"(?:单位|金额单位|币种)\s*[:：]\s*([^,，;；。.\s]+)")
+#: Lines above a table in which its unit may be declared.
+HINT_LINES = 3
 
 
-def extract_tables(documents: DataFrame, document_id: str, text: str) -> DataFrame:
-    """One row per table of each document; documents without tables give none. Documents are read one by one."""
+def parse_tables(documents: DataFrame, document_id: str, text: str) -> DataFrame:
+    """The tables of each document as they stand: matrix, spans, place, headings above and the unit declared just above."""
 
     def run(batches):
         for batch in batches:
             out = []
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, m in enumerate(_TABLE.finditer(body or "")):
+                body = body or ""
+                headings = [(m.start(), len(m[1]), m[2]) for m in _HEADING.finditer(body)]
+                path: list[tuple[int, str]] = []
+                seen, line, counted = 0, 1, 0
+                for k, m in enumerate(_TABLE.finditer(body)):
+                    line, counted = line + body.count("\n", counted, m.start()), m.start()
+                    while seen < len(headings) and headings[seen][0] < m.start():
+                        _, level, title = headings[seen]
+                        path, seen = [x for x in path if x[0] < level] + [(level, title)], seen + 1
                     rows, caption = parse_rows(m[0])
-                    matrix = expand(rows)
-                    filled = any(v for row in matrix for v in row)
-                    band, again = header_bands(rows, matrix) if filled else ([], [])
+                    above = body[: m.start()].rsplit("\n", HINT_LINES + 1)[-HINT_LINES - 1 :]
+                    hint = _UNIT_HINT.findall("\n".join([*above, caption]))
                     out.append({
-                        "document_id": doc, "table_index": k, "status": "parsed" if filled else "empty", "caption": caption or None, "header": flat_headers(matrix, band) if filled else [],
-                        "matrix": matrix, "header_rows": band, "embedded_headers": again, "data_start": data_start(matrix, band, again) if filled else 0, "source_rows": len(rows),
-                        "char_start": m.start(), "char_end": m.end(),
+                        "document_id": doc, "table_index": k, "caption": caption or None, "matrix": expand(rows), "spans": [{"row": r, "col": c, "rowspan": x.rowspan, "colspan": x.colspan, "tag": x.tag, "text": x.text} for r, c, x in place(rows)],
+                        "source_rows": len(rows), "char_start": m.start(), "char_end": m.end(), "line": line, "unit_hint": hint[-1] if hint else None, "section_path": [t for _, t in path],
                     })
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
-    return documents.select(documents[document_id].cast("string"), text).mapInArrow(run, TABLE_SCHEMA)
+    return documents.select(documents[document_id].cast("string"), text).mapInArrow(run, PARSED_SCHEMA)
 
 
-_STR, _INT = pa.string(), pa.int32()
-_ARROW = pa.schema(
-    [("document_id", _STR), ("table_index", _INT), ("status", _STR), ("caption", _STR), ("header", pa.list_(_STR)), ("matrix", pa.list_(pa.list_(_STR))), ("header_rows", pa.list_(_INT)), ("embedded_headers", pa.list_(_INT)), ("data_start", _INT), ("source_rows", _INT), ("char_start", _INT), ("char_end", _INT)]
-)
+def _numeric(cells: Column) -> Column:
+    return F.size(F.filter(cells, lambda v: v.rlike(_WHOLE_NUMBER)))
+
+
+def _filled(row: Column) -> Column:
+    return F.filter(row, lambda v: v != "")
+
+
+def _header_like(row: Column) -> Column:
+    """Something is written, and less than half of it are numbers."""
+    written = _filled(row)
+    return (F.size(written) > 0) & (_numeric(written) * 2 < F.size(written))
+
+
+def header_rows(tables: DataFrame) -> DataFrame:
+    """Adds ``header_rows``, the band from the top, and ``embedded_headers``, later rows that repeat it.
+
+    A row joins the band while it is header-like and something ties it to the rows
+    above: a first row with spans or header cells, a cell that reaches down into it, or a
+    wide cell right above; once a second row has joined, the next need no tie. By array
+    functions only.
+    """
+    first = F.exists("spans", lambda s: (s["row"] == 0) & ((s["rowspan"] > 1) | (s["colspan"] > 1) | (s["tag"] == "th")))
+    likes = F.transform("matrix", _header_like)
+
+    def grow(band: Column, r: Column) -> Column:
+        reached = F.exists("spans", lambda s: (s["row"] < r) & (s["row"] + s["rowspan"] > r) & F.array_contains(band, s["row"]))
+        wide = F.exists("spans", lambda s: (s["row"] == r - 1) & (s["colspan"] > 1))
+        joins = (F.size(band) == r) & F.get("__likes", r) & (F.col("__first") | (F.size(band) > 1) | reached | wide)
+        return F.when(joins, F.concat(band, F.array(r))).otherwise(band)
+
+    rows = F.slice(F.array(*[F.lit(k) for k in range(1, MOST_HEADER_ROWS)]), 1, F.greatest(F.size("matrix") - 1, F.lit(0)))
+    band = F.when(F.size("matrix") == 0, F.array().cast("array<int>")).otherwise(F.aggregate(rows, F.array(F.lit(0)), grow))
+    out = tables.withColumns({"__first": first, "__likes": likes}).withColumn("header_rows", band)
+    known = F.array_distinct(_filled(F.flatten(F.transform("header_rows", lambda r: F.get("matrix", r)))))
+
+    def repeats(row: Column, r: Column) -> Column:
+        values = F.array_distinct(_filled(row))
+        alike = F.size(F.array_intersect(values, "__known")) / F.greatest(F.lit(1), F.least(F.size(values), F.size("__known")))
+        return (r >= F.size("header_rows")) & F.get("__likes", r) & (alike >= EMBEDDED_LIKENESS)
+
+    marked = F.transform("matrix", lambda row, r: F.when(repeats(row, r), r))
+    return out.withColumn("__known", known).withColumn("embedded_headers", F.array_compact(marked)).drop("__first", "__likes", "__known")
+
+
+def flat_header(matrix: Column, band: Column) -> Column:
+    """One label a column: what its header rows say, repeats of the label above left out; 第n列 where they say nothing."""
+
+    def label(column: Column) -> Column:
+        said = _filled(F.transform(band, lambda r: F.get(F.get(matrix, r), column)))
+        new = F.filter(said, lambda v, i: (i == 0) | (v != F.get(said, i - 1)))
+        return F.when(F.size(new) > 0, F.array_join(new, " / ")).otherwise(F.format_string("第%d列", column + 1))
+
+    columns = F.sequence(F.lit(0), F.greatest(F.size(F.get(matrix, F.lit(0))) - 1, F.lit(0)))
+    return F.when(F.coalesce(F.size(F.get(matrix, F.lit(0))), F.lit(0)) > 0, F.transform(columns, label)).otherwise(F.array().cast("array<string>"))
+
+
+def data_start(matrix: Column, header: Column, outside: Column) -> Column:
+    """The first column after the first that is numeric in a fifth of its body, or whose label names a period or an amount.
+
+    ``outside``: the rows that are no body.
+    """
+    width = F.coalesce(F.size(F.get(matrix, F.lit(0))), F.lit(0))
+    body = F.filter(matrix, lambda row, r: ~F.array_contains(outside, r))
+
+    def begins(column: Column) -> Column:
+        written = _filled(F.transform(body, lambda row: F.get(row, column)))
+        numeric = (F.size(written) > 0) & (_numeric(written) >= F.size(written) * NUMERIC_SHARE)
+        return numeric | F.get(header, column).rlike("|".join(_PERIOD_WORDS))
+
+    later = F.filter(F.sequence(F.lit(1), F.greatest(width - 1, F.lit(1))), begins)
+    return F.when(width <= 1, width).otherwise(F.coalesce(F.get(later, F.lit(0)), F.lit(1)))
+
+
+def extract_tables(documents: DataFrame, document_id: str, text: str) -> DataFrame:
+    """One row per table of each document with its status, header and layout; documents without tables give none.
+
+    Documents are parsed one by one; all that follows from a matrix is told by array
+    functions.
+    """
+    rows = header_rows(parse_tables(documents, document_id, text))
+    filled = F.exists("matrix", lambda row: F.exists(row, lambda v: v != ""))
+    none = F.array()
+    rows = rows.withColumn("status", F.when(filled, "parsed").otherwise("empty"))
+    for name in ("header_rows", "embedded_headers"):
+        rows = rows.withColumn(name, F.when(filled, F.col(name)).otherwise(none.cast("array<int>")))
+    rows = rows.withColumn("header", F.when(filled, flat_header(F.col("matrix"), F.col("header_rows"))).otherwise(none.cast("array<string>")))
+    return rows.withColumn("data_start", F.when(filled, data_start(F.col("matrix"), F.col("header"), F.concat("header_rows", "embedded_headers"))).otherwise(0))
+
+
+def readiness(tables: DataFrame) -> DataFrame:
+    """Adds ``failure``: why a table cannot be used, or null."""
+    ragged = F.size(F.array_distinct(F.transform("matrix", lambda row: F.size(row)))) > 1
+    failure = F.when(F.col("status") != "parsed", F.concat(F.lit("parse_status_"), "status")).when(F.size("matrix") == 0, "empty_matrix").when(ragged, "ragged_matrix").when(F.size("matrix") < 2, "no_body_rows")
+    return tables.withColumn("failure", failure)
+
+
+def grid_mismatches(tables: DataFrame) -> DataFrame:
+    """(document_id, table_index, cells, covered, mismatches): the grid built again from the spans against the matrix.
+
+    Every place is owned by the last cell that covers it; places that no cell covers
+    must be blank. Spans are exploded to places and aggregated, so that nothing depends on
+    the size of a table.
+    """
+    keys = ["document_id", "table_index"]
+    cell = tables.select(*keys, F.posexplode("spans").alias("n", "s"))
+    down = cell.select(*keys, "n", "s", F.explode(F.expr("sequence(s.row, s.row + s.rowspan - 1)")).alias("r"))
+    spots = down.select(*keys, "n", "r", F.explode(F.expr("sequence(s.col, s.col + s.colspan - 1)")).alias("c"), "s.text")
+    owned = spots.groupBy(*keys, "r", "c").agg(F.max_by("text", "n").alias("owner"))
+    line = tables.select(*keys, F.posexplode("matrix").alias("r", "row"))
+    written = line.select(*keys, "r", F.posexplode("row").alias("c", "value"))
+    both = written.join(owned, [*keys, "r", "c"], "full_outer")
+    differs = ~F.coalesce(F.col("value"), F.lit("")).eqNullSafe(F.coalesce("owner", F.lit("")))
+    out = both.groupBy(*keys).agg(F.count("owner").alias("covered"), F.count_if(differs).alias("mismatches"))
+    return out.join(tables.select(*keys, F.size("spans").alias("cells")), keys)
+
+
+def find_unique(wanted: DataFrame, table_cells: DataFrame) -> DataFrame:
+    """Wanted (document_id, table_index, row_index, column_label, raw_value) with the one cell that fits, and how many do.
+
+    ``status``: matched, missing or ambiguous; only a unique match names its column.
+    """
+    keys = ["document_id", "table_index", "row_index", "column_label", "raw_value"]
+    n = table_cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("col_index").alias("col_index"))
+    out = wanted.join(n, keys, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    status = F.when(F.col("n") == 1, "matched").when(F.col("n") == 0, "missing").otherwise("ambiguous")
+    return out.withColumns({"col_index": F.when(F.col("n") == 1, F.col("col_index")), "status": status})
 
 
 def cells(tables: DataFrame) -> DataFrame:

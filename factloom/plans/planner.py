@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import facts as fact_ops
@@ -97,46 +97,78 @@ class Engine:
     def __init__(self, facts: DataFrame, companies: DataFrame):
         self.facts, self.companies = facts, companies
 
-    def _shape(self, rows: DataFrame, question: str, kind: str) -> DataFrame:
-        for name, type_ in (("rank", "long"), ("stock_code", "string"), ("metric", "string"), ("metric_year", "long"), ("value", "string"), ("status", "string")):
-            if name not in rows.columns:
-                rows = rows.withColumn(name, F.lit(None).cast(type_))
-        return rows.select(F.lit(question).alias("question"), F.lit(kind).alias("pattern"), F.col("rank").cast("long"), "stock_code", "metric", F.col("metric_year").cast("long"), F.col("value").cast("string"), F.coalesce("status", F.lit("found")).alias("status"))
-
     def answer(self, question: str) -> DataFrame:
-        spark = self.facts.sparkSession
-        a = analyse(question)
-        try:
-            check_boundaries(a)
-        except ValueError:
-            return self._shape(spark.range(1).withColumn("status", F.lit("blocked")).drop("id"), question, "unsupported")
-        kind = pattern(a)
-        value = F.col("normalized_value").cast("decimal(38,4)").cast("string")
-        if kind == "rank":
-            spec = fact_ops.QuerySpec("rank", a.metrics[0], a.years[0], UNIT, order_direction=a.direction, limit=a.limit)
-            rows = fact_ops.rank(self.facts, spec).select("rank", "stock_code", F.col("canonical_metric").alias("metric"), "metric_year", value.alias("value"))
-        elif kind == "aggregate":
-            spec = fact_ops.QuerySpec("aggregate", a.metrics[0], a.years[0], UNIT, aggregate_operator=a.operator)
-            rows = fact_ops.aggregate(self.facts, spec).select(F.lit(a.metrics[0]).alias("metric"), F.lit(a.years[0]).alias("metric_year"), F.col("value").cast("string").alias("value"))
-        elif kind.startswith("formula"):
-            asked = spark.createDataFrame([(c, f, y) for c in a.codes for f in a.formulas for y in (a.years or [0])], "stock_code string, formula_id string, target_year long")
-            rows = formulas.evaluate(asked, self.facts).select("stock_code", F.col("formula_id").alias("metric"), F.col("target_year").alias("metric_year"), F.col("value").cast("string"), "status")
-        elif kind.startswith("fact"):
-            asked = spark.createDataFrame([(c, m, y) for c in a.codes for m in a.metrics for y in a.years], "stock_code string, canonical_metric string, metric_year long")
-            found = self.facts.groupBy("stock_code", "canonical_metric", "metric_year").agg(F.count(F.lit(1)).alias("n"), F.first(value).alias("value"))
-            rows = asked.join(found, ["stock_code", "canonical_metric", "metric_year"], "left")
-            status = F.when(F.col("n").isNull(), "not_found").when(F.col("n") == 1, "found").otherwise("ambiguous")
-            rows = rows.select("stock_code", F.col("canonical_metric").alias("metric"), "metric_year", "value", status.alias("status"))
-        elif kind == "metadata":
-            rows = self.companies.filter(F.col("stock_code").isin(a.codes)).select("stock_code", F.lit("company").alias("metric"), F.col("company").alias("value"))
-        else:
-            rows = spark.range(1).withColumn("status", F.lit("unsupported")).drop("id")
-        return self._shape(rows, question, kind)
+        return self.answer_all([question])
 
     def answer_all(self, questions: list[str]) -> DataFrame:
+        """All questions in one plan: those of a kind form a table that meets the facts once, however many they are."""
+        spark = self.facts.sparkSession
+        ranks, sums, asked_formulas, asked_facts, codes, rest = [], [], [], [], [], []
+        kinds: dict[str, str] = {}
+        for q in dict.fromkeys(questions):
+            a = analyse(q)
+            kind = kinds[q] = pattern(a)
+            try:
+                check_boundaries(a)
+            except ValueError:
+                kinds[q] = "unsupported"
+                rest.append((q, "blocked"))
+                continue
+            if kind == "rank":
+                spec = fact_ops.QuerySpec("rank", a.metrics[0], a.years[0], UNIT, order_direction=a.direction, limit=a.limit)
+                ranks.append((q, spec.canonical_metric, spec.metric_year, -1 if spec.order_direction == "desc" else 1, spec.limit))
+            elif kind == "aggregate":
+                spec = fact_ops.QuerySpec("aggregate", a.metrics[0], a.years[0], UNIT, aggregate_operator=a.operator)
+                sums.append((q, spec.canonical_metric, spec.metric_year, spec.aggregate_operator))
+            elif kind.startswith("formula"):
+                asked_formulas += [(q, c, f, y) for c in a.codes for f in a.formulas for y in (a.years or [0])]
+            elif kind.startswith("fact"):
+                asked_facts += [(q, c, m, y) for c in a.codes for m in a.metrics for y in a.years]
+            elif kind == "metadata":
+                codes += [(q, c) for c in a.codes]
+            else:
+                rest.append((q, "unsupported"))
+        parts = []
+        value = F.col("normalized_value")
+        facts = self.facts.filter(F.col("normalized_unit") == UNIT)
+        if ranks:
+            specs = spark.createDataFrame(ranks, "question string, canonical_metric string, metric_year long, sign int, wanted int")
+            met = facts.join(specs, ["canonical_metric", "metric_year"])
+            order = Window.partitionBy("question").orderBy((value * F.col("sign")).asc(), *fact_ops.RANK_TIES)
+            top = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fact_ops.MOST_RANKED).filter(F.col("rank") <= F.col("wanted"))
+            parts.append(top.select("question", "rank", "stock_code", F.col("canonical_metric").alias("metric"), "metric_year", value.cast("decimal(38,4)").cast("string").alias("value")))
+        if sums:
+            specs = spark.createDataFrame(sums, "question string, canonical_metric string, metric_year long, operator string")
+            own = facts.join(specs, ["canonical_metric", "metric_year"]).groupBy("question", "canonical_metric", "metric_year", "operator")
+            own = own.agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
+            mean = F.col("s").cast("decimal(30,8)") / F.col("n").cast("decimal(10,0)")
+            out = F.when(F.col("operator") == "sum", F.col("s").cast("string")).when(F.col("operator") == "count", F.col("n").cast("decimal(38,4)").cast("string")).otherwise(mean.cast("string"))
+            parts.append(own.select("question", F.col("canonical_metric").alias("metric"), "metric_year", out.alias("value")))
+        if asked_formulas:
+            asked = spark.createDataFrame(asked_formulas, "question string, stock_code string, formula_id string, target_year long")
+            known = formulas.evaluate(asked.drop("question").distinct(), self.facts)
+            got = asked.join(known, ["stock_code", "formula_id", "target_year"])
+            parts.append(got.select("question", "stock_code", F.col("formula_id").alias("metric"), F.col("target_year").alias("metric_year"), F.col("value").cast("string"), "status"))
+        if asked_facts:
+            asked = spark.createDataFrame(asked_facts, "question string, stock_code string, canonical_metric string, metric_year long")
+            text = F.min(value.cast("decimal(38,4)").cast("string"))
+            found = self.facts.groupBy("stock_code", "canonical_metric", "metric_year").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) == 1, text).alias("value"))
+            status = F.when(F.col("n").isNull(), "not_found").when(F.col("n") == 1, "found").otherwise("ambiguous")
+            got = asked.join(found, ["stock_code", "canonical_metric", "metric_year"], "left")
+            parts.append(got.select("question", "stock_code", F.col("canonical_metric").alias("metric"), "metric_year", "value", status.alias("status")))
+        if codes:
+            named = spark.createDataFrame(codes, "question string, stock_code string").join(self.companies, "stock_code")
+            parts.append(named.select("question", "stock_code", F.lit("company").alias("metric"), F.col("company").alias("value")))
+        if rest or not parts:
+            parts.append(spark.createDataFrame(rest, "question string, status string"))
+        pattern_of = F.create_map(*[x for q, k in kinds.items() for x in (F.lit(q), F.lit(k))]) if kinds else F.lit(None)
         out = None
-        for q in questions:
-            rows = self.answer(q)
+        for rows in parts:
+            for name, type_ in (("rank", "long"), ("stock_code", "string"), ("metric", "string"), ("metric_year", "long"), ("value", "string"), ("status", "string")):
+                if name not in rows.columns:
+                    rows = rows.withColumn(name, F.lit(None).cast(type_))
+            kind = pattern_of[F.col("question")] if kinds else F.lit(None).cast("string")
+            rows = rows.select("question", kind.alias("pattern"), F.col("rank").cast("long"), "stock_code", "metric", F.col("metric_year").cast("long"), F.col("value").cast("string"), F.coalesce("status", F.lit("found")).alias("status"))
             out = rows if out is None else out.unionByName(rows)
         return out
 

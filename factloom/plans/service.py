@@ -1,14 +1,14 @@
-"""Fusion, votes, risk documents, stateful operators and planned questions."""
+"""Risk documents, stateful operators and planned questions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import fusion, risk
+from factloom.operators import risk
 from factloom.plans.planner import Engine
 from factloom.sources.tables import table, upsert_missing
-from factloom.sources.views import companies, facts
+from factloom.sources.views import FACTS_SQL, companies, facts
 from factloom.streaming import stateful
 
 QUERIES: dict = {}
@@ -25,76 +25,6 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-# --- fusion -----------------------------------------------------------------------------------
-
-
-def _signals(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as evidence: the part is the candidate, the ship mode of its flags the channel."""
-    rows = table(spark, sf, "lineitem")
-    return rows.select(
-        F.concat(F.lit("p"), "l_partkey").alias("candidate_id"), F.concat_ws(":", "l_returnflag", F.col("l_linenumber").cast("string")).alias("signal"), F.concat(F.lit("f"), F.pmod("l_suppkey", F.lit(2)).cast("string")).alias("fingerprint"),
-        F.concat(F.lit("q"), F.pmod("l_orderkey", F.lit(50)).cast("string")).alias("question_id"), F.col("l_returnflag").alias("facet_id"), F.col("l_linestatus").alias("route"), F.col("l_quantity").cast("long").alias("score"),
-        F.concat(F.lit("t"), F.pmod("l_suppkey", F.lit(7)).cast("string")).alias("table_id"),
-    )
-
-
-@_query("merge_candidates", """SELECT 'p' || l_partkey AS candidate_id, array_to_string(list_sort(list(DISTINCT l_returnflag || ':' || l_linenumber)), ',') AS signals, count(DISTINCT l_suppkey % 2) > 1 AS conflict,
-  'f' || min(l_suppkey % 2) AS fingerprint FROM lineitem GROUP BY l_partkey""")
-def merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.merge_candidates(_signals(spark, sf)).withColumn("signals", F.array_join("signals", ","))
-
-
-@_query("adjacency_boost", "SELECT 'p' || l_partkey AS candidate_id, count(DISTINCT l_suppkey % 7) AS n_adjacent, max(l_quantity)::BIGINT + 2000000 * count(DISTINCT l_suppkey % 7) AS score FROM lineitem GROUP BY l_partkey")
-def adjacency_boost(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _signals(spark, sf)
-    return fusion.adjacency_boost(rows.groupBy("candidate_id").agg(F.max("score").alias("score")), rows.select("candidate_id", "table_id"))
-
-
-@_query("route_reservation", """WITH s AS (SELECT 'p' || l_partkey AS candidate_id, 'q' || l_orderkey % 50 AS question_id, l_returnflag AS facet_id, l_linestatus AS route, l_quantity::BIGINT AS score FROM lineitem),
-  r AS (SELECT *, row_number() OVER (PARTITION BY question_id, facet_id, route ORDER BY score DESC, candidate_id) <= 2 AS reserved FROM s),
-  o AS (SELECT question_id, candidate_id, bool_or(reserved) AS reserved, max(score) AS score FROM r GROUP BY ALL)
-  SELECT question_id, candidate_id, reserved, score, row_number() OVER (PARTITION BY question_id ORDER BY reserved DESC, score DESC, candidate_id) AS place FROM o QUALIFY place <= 24""")
-def route_reservation(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.reserve_routes(_signals(spark, sf).select("question_id", "candidate_id", "facet_id", "route", "score"), 24, 2).drop("route")
-
-
-def _votes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
-        F.pmod("l_orderkey", F.lit(200)).alias("question_id"), F.pmod("l_partkey", F.lit(20)).alias("fragment_id"), F.pmod("l_suppkey", F.lit(3)).alias("run"), F.col("l_linenumber").alias("place")
-    )
-
-
-_VOTES_SQL = "v AS (SELECT l_orderkey % 200 AS question_id, l_partkey % 20 AS fragment_id, l_suppkey % 3 AS run, l_linenumber AS place FROM lineitem)"
-
-
-@_query("majority_vote", f"WITH {_VOTES_SQL} SELECT question_id, fragment_id, count(DISTINCT run) AS votes, round(avg(place), 6) AS mean_place FROM v GROUP BY ALL HAVING count(DISTINCT run) >= 2")
-def majority_vote(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.majority_vote(_votes(spark, sf), 3).withColumn("mean_place", F.round("mean_place", 6))
-
-
-@_query("unanimous_vote", f"WITH {_VOTES_SQL} SELECT question_id, fragment_id, min(place) FILTER (WHERE run = 0) AS first_place FROM v GROUP BY ALL HAVING count(DISTINCT run) = 3")
-def unanimous_vote(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.unanimous(_votes(spark, sf), 3)
-
-
-@_query("quorum", """WITH n AS (SELECT c_nationkey AS concern, c_mktsegment AS unit, count(DISTINCT c_custkey) AS n FROM customer GROUP BY ALL)
-  SELECT concern, unit, n, n >= 4 AS met FROM (SELECT *, row_number() OVER (PARTITION BY concern ORDER BY n DESC, unit) AS r FROM n) WHERE r = 1""")
-def quorum(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "customer").select(F.col("c_nationkey").alias("concern"), F.col("c_mktsegment").alias("unit"), F.col("c_custkey").alias("entity"))
-    return fusion.quorum(rows, 4)
-
-
-@_query("claim_gate", r"""WITH c AS (SELECT doc_id, text AS evidence, CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 60) WHEN 1 THEN substr(text, 1, 30) || ' 42' ELSE '' END AS claim, doc_id % 5 AS overlap FROM documents)
-  SELECT doc_id, CASE WHEN length(regexp_replace(claim, '\s+', '', 'g')) = 0 THEN 'empty' WHEN NOT contains(regexp_replace(evidence, '\s+', '', 'g'), regexp_replace(claim, '\s+', '', 'g')) THEN 'not_extractive'
-    WHEN overlap < 1 THEN 'irrelevant' WHEN len(regexp_extract_all(claim, '[-+]?[0-9][0-9,]*(?:\.[0-9]+)?%?')) > 0 THEN 'unauthorized_number' ELSE 'accepted' END AS verdict FROM c""")
-def claim_gate(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.pmod("doc_id", F.lit(3))
-    claim = F.when(kind == 0, F.substring("text", 1, 60)).when(kind == 1, F.concat(F.substring("text", 1, 30), F.lit(" 42"))).otherwise("")
-    rows = table(spark, sf, "documents").select("doc_id", F.col("text").alias("evidence"), claim.alias("claim"), F.pmod("doc_id", F.lit(5)).alias("overlap"))
-    rows = rows.withColumns({"numbers": fusion.numeric_fragments(F.col("claim")), "allowed": F.array().cast("array<string>")})
-    return fusion.claim_gate(rows).select("doc_id", "verdict")
-
-
 # --- risk documents -----------------------------------------------------------------------------
 
 _CATEGORIES = ("click", "purchase", "view", "login", "logout", "search", "signup", "other")
@@ -176,7 +106,24 @@ def tumbling_windows(spark: SparkSession, sf: str) -> DataFrame:
 # --- questions -----------------------------------------------------------------------------------
 
 
-@_query("plan_and_run")
+_CODE, _TEN = "'000000001'", "10000000000000000"
+
+
+def _mean_sql(top: str, base: str) -> str:
+    """top / base, decimals of four places, to twelve places rounded half up, as text."""
+    q = f"((2 * abs(({top}) * 10000)::HUGEINT * 1000000000000 + (({base}) * 10000)::HUGEINT) // (2 * (({base}) * 10000)::HUGEINT))"
+    return f"CASE WHEN ({top}) < 0 THEN '-' ELSE '' END || {q} // 1000000000000 || '.' || lpad(({q} % 1000000000000)::VARCHAR, 12, '0')"
+
+
+@_query("plan_and_run", f"""WITH {FACTS_SQL}, one AS (SELECT metric_year, max(normalized_value) FILTER (WHERE canonical_metric = '营业收入') AS revenue, max(normalized_value) FILTER (WHERE canonical_metric = '营业成本') AS cost FROM facts WHERE stock_code = {_CODE} GROUP BY 1),
+  top AS (SELECT *, row_number() OVER (ORDER BY normalized_value DESC, stock_code, document_id, fact_id) AS rank FROM facts WHERE canonical_metric = '营业收入' AND metric_year = 1997)
+  SELECT '1997年营业收入最高的3家公司' AS question, 'rank' AS pattern, rank, stock_code, canonical_metric AS metric, metric_year, normalized_value::VARCHAR AS value, 'found' AS status FROM top WHERE rank <= 3
+  UNION ALL SELECT '1997年总资产合计', 'aggregate', NULL, NULL, '总资产', 1997, sum(normalized_value)::DECIMAL(38,4)::VARCHAR, 'found' FROM facts WHERE canonical_metric = '总资产' AND metric_year = 1997
+  UNION ALL SELECT '000000001 1996年营业收入增长率', 'formula', NULL, {_CODE}, 'revenue_growth_rate.v1', 1996, CASE WHEN b.revenue IS NOT NULL AND a.revenue IS NOT NULL THEN {_mean_sql('a.revenue - b.revenue', 'b.revenue')} END,
+    CASE WHEN b.revenue IS NULL OR a.revenue IS NULL THEN 'fallback_required' ELSE 'found' END FROM (SELECT 1) z LEFT JOIN one a ON a.metric_year = 1996 LEFT JOIN one b ON b.metric_year = 1995
+  UNION ALL SELECT '000000001 1996年毛利率', 'formula', NULL, {_CODE}, 'gross_margin.v1', 1996, CASE WHEN a.revenue IS NOT NULL THEN {_mean_sql('a.revenue - a.cost', 'a.revenue')} END, CASE WHEN a.revenue IS NULL THEN 'fallback_required' ELSE 'found' END FROM (SELECT 1) z LEFT JOIN one a ON a.metric_year = 1996
+  UNION ALL SELECT '000000001 1995年营业收入是多少', 'fact', NULL, {_CODE}, '营业收入', 1995, a.revenue::VARCHAR, CASE WHEN a.revenue IS NULL THEN 'not_found' ELSE 'found' END FROM (SELECT 1) z LEFT JOIN one a ON a.metric_year = 1995
+  UNION ALL SELECT '天气如何', 'unsupported', NULL, NULL, NULL, NULL, NULL, 'unsupported'""")
 def plan_and_run(spark: SparkSession, sf: str) -> DataFrame:
     """Questions end to end: analysed, resolved, planned, executed and composed."""
     engine = Engine(facts(spark, sf), companies(spark, sf))

@@ -59,13 +59,14 @@ def _aggregate(operator: str, value: str):
     @_query(f"aggregate_{operator}", sql)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         out = ops.aggregate(facts(spark, sf), _spec(kind="aggregate", aggregate_operator=operator))
-        value = F.round(F.col("value").cast("double"), 2) if operator == "average" else _text("value")
-        return out.select("aggregate_operator", value.alias("value"), "n_facts", "first_fact_id")
+        return out.select("aggregate_operator", F.col("value").cast("string").alias("value"), "n_facts", "first_fact_id")
 
 
 _aggregate("sum", "sum(normalized_value)::DECIMAL(38,4)::VARCHAR")
 _aggregate("count", "count(*)::DECIMAL(38,4)::VARCHAR")
-_aggregate("average", "round(sum(normalized_value)::DOUBLE / count(*), 2)")
+#: Sixteen places, rounded half up, in whole numbers, as division gives doubles here.
+_AVERAGE = "(2 * (sum(normalized_value) * 10000)::HUGEINT * 1000000000000 + count(*)) // (2 * count(*))"
+_aggregate("average", f"({_AVERAGE}) // 10000000000000000 || '.' || lpad((({_AVERAGE}) % 10000000000000000)::VARCHAR, 16, '0')")
 
 
 @_query("fact_lookup_status", f"""WITH {FACTS_SQL},
@@ -101,15 +102,15 @@ def coverage_report(spark: SparkSession, sf: str) -> DataFrame:
 def metadata_lookup(spark: SparkSession, sf: str) -> DataFrame:
     rows = companies(spark, sf).withColumn("document_id", F.col("stock_code"))
     out = ops.metadata(rows, "segment", "nation")
-    return out.select("nation", "segment", F.size("document_ids").cast("long").alias("n_documents"), F.col("document_ids")[0].alias("first_document"), "status")
+    return out.select("nation", "segment", "n_documents", F.col("document_ids")[0].alias("first_document"), "status")
 
 
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Facts split by hash: selected ones, and supplements of which some repeat a selected identity."""
-    return rows.filter("fact_id < 'a'"), rows.filter("fact_id >= '7'").withColumn("fact_id", F.concat(F.lit("s"), "fact_id"))
+    return rows.filter("fact_id < 'a'"), rows.filter("fact_id >= '7' AND fact_id < 'e'").withColumn("fact_id", F.concat(F.lit("s"), "fact_id"))
 
 
-_SPLIT_SQL = "selected AS (SELECT * FROM facts WHERE fact_id < 'a'), supplements AS (SELECT 's' || fact_id AS fact_id, * EXCLUDE (fact_id) FROM facts WHERE fact_id >= '7')"
+_SPLIT_SQL = "selected AS (SELECT * FROM facts WHERE fact_id < 'a'), supplements AS (SELECT 's' || fact_id AS fact_id, * EXCLUDE (fact_id) FROM facts WHERE fact_id >= '7' AND fact_id < 'e')"
 
 
 @_query("supplement_shadow_union", f"""WITH {FACTS_SQL}, {_SPLIT_SQL}
@@ -120,6 +121,16 @@ def supplement_shadow_union(spark: SparkSession, sf: str) -> DataFrame:
     return ops.shadowed_union(*_split(facts(spark, sf))).select("fact_id", "document_id", "origin", _text("normalized_value").alias("value"))
 
 
+@_query("fallback_lookup", f"""WITH {FACTS_SQL}, {_SPLIT_SQL}, asked AS (SELECT DISTINCT document_id, canonical_metric, metric_year FROM facts),
+  one AS (SELECT document_id, canonical_metric, metric_year, count(*) AS n, min(fact_id) AS f FROM selected GROUP BY ALL), two AS (SELECT document_id, canonical_metric, metric_year, count(*) AS n, min(fact_id) AS f FROM supplements GROUP BY ALL)
+  SELECT a.document_id, a.canonical_metric, CASE WHEN coalesce(one.n, two.n, 0) = 0 THEN 'not_found' WHEN coalesce(one.n, two.n) = 1 THEN 'found' ELSE 'ambiguous' END AS status, coalesce(one.f, two.f) AS first_id,
+    CASE WHEN one.n IS NULL THEN 'supplement' ELSE 'selected' END AS source FROM asked a LEFT JOIN one USING (document_id, canonical_metric, metric_year) LEFT JOIN two USING (document_id, canonical_metric, metric_year)""")
+def fallback_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = facts(spark, sf)
+    out = ops.fallback_lookup(rows.select(*ops.IDENTITY).distinct(), *_split(rows))
+    return out.select("document_id", "canonical_metric", "status", F.get("fact_ids", F.lit(0)).alias("first_id"), "source")
+
+
 _SLOTS = [("营业收入", UNIT), ("管理费用", UNIT), ("净利润", UNIT)]
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers, text
-from factloom.operators import fusion
 from factloom.sources.tables import table
 from factloom.sources.views import FACTS_SQL, facts
 
@@ -44,14 +43,25 @@ def entity_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query("answer_normalize", r"""SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')), ' '),
-  lambda w: w NOT IN ('a', 'an', 'the')), ' ')) AS answer FROM documents WHERE lang = 'en'""")
+  lambda w: w NOT IN ('a', 'an', 'the')), ' ')) AS answer FROM documents""")
 def answer_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.md5(text.answer(F.col("text"))).alias("answer"))
+    return _docs(spark, sf).select("doc_id", F.md5(text.answer(F.col("text"))).alias("answer"))
 
 
-@_query("nfkc_compact")
+#: NFKC of the signs that the tables and the Han sample hold and that it changes; the engine takes all of Unicode.
+_NFKC = "replace(replace(translate({c}, 'ＡＢ１２（），', 'AB12(),'), 'ﬁ', 'fi'), '…', '...')"
+#: What is put before every text, so that tokenizers meet Han runs of several lengths, full-width signs and a ligature.
+_HAN_SAMPLE = ["", "营业收入增长 ", "Ａ１２公司（营业）收入 ", "净 ", "报告期 公司 主要会计数据和财务指标 v1.2-beta ", "ﬁnance 3.5 毛利率… "]
+
+
+@_query("nfkc_compact", f"SELECT doc_id, length(regexp_replace(lower({_NFKC.format(c='h')}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')) AS n FROM (SELECT doc_id, {_HAN_SAMPLE!r}[doc_id % 6 + 1] || text AS h FROM documents)")
 def nfkc_compact(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", F.length(text.nfkc_compact(F.col("text"))).alias("n"))
+    return _han(spark, sf).select("doc_id", F.length(text.nfkc_compact(F.col("h"))).cast("long").alias("n"))
+
+
+def _han(spark: SparkSession, sf: str) -> DataFrame:
+    sample = F.array(*map(F.lit, _HAN_SAMPLE))[F.pmod("doc_id", F.lit(6)).cast("int")]
+    return _docs(spark, sf).select("doc_id", F.concat(sample, "text").alias("h"))
 
 
 @_query("number_parse", """WITH p AS (SELECT event_id, regexp_extract(props, '-?[0-9]+') AS digits, value FROM events),
@@ -83,16 +93,49 @@ def sha256_ids(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", text.semantic_sha256("user_id", "event_type").alias("semantic"), text.stable_id("ev", F.col("event_id").cast("string"), F.col("event_type")).alias("stable"))
 
 
+_H = "(SELECT doc_id, " + repr(_HAN_SAMPLE) + "[doc_id % 6 + 1] || text AS h FROM documents)"
+_RUNS = "regexp_extract_all({c}, '[㐀-鿿]+')"
+_LOW = "lower(trim(regexp_replace(h, '\\s+', ' ', 'g')))"
+_LOW_NFKC = _LOW.replace("(h,", f"({_NFKC.format(c='h')},")
+
+
+def _grams_sql(run: str, n: int) -> str:
+    return f"list_transform(range(greatest(length({run}) - {n - 1}, 0)), lambda i: substr({run}, i + 1, {n}))"
+
+
+_TOKEN_SQL = {
+    "mixed": f"flatten(list_transform(regexp_extract_all(h, '[A-Za-z]+(?:[-_.][A-Za-z0-9]+)*|\\p{{Nd}}+(?:\\.\\p{{Nd}}+)?|[㐀-鿿]+'), lambda p: CASE WHEN regexp_matches(p, '^[㐀-鿿]') THEN {_grams_sql('p', 1)} || {_grams_sql('p', 2)} ELSE [lower(p)] END))",
+    "lexical": f"list_sort(list_distinct(regexp_extract_all({_LOW}, '[a-z0-9]+') || flatten(list_transform({_RUNS.format(c=_LOW)}, lambda r: {_grams_sql('r', 2)} || CASE WHEN length(r) <= 8 THEN [r] ELSE [] END))))",
+    "sparse": f"list_filter(regexp_extract_all({_LOW}, '[a-z0-9]+') || flatten(list_transform({_RUNS.format(c=_LOW)}, lambda r: {_grams_sql('r', 2)} || {_grams_sql('r', 3)})), lambda t: NOT list_contains({sorted(text.SPARSE_STOP)!r}, t))",
+    "table": f"list_sort(list_distinct(regexp_extract_all({_LOW_NFKC}, '[a-z0-9]+') || flatten(list_transform({_RUNS.format(c=_LOW_NFKC)}, lambda r: {_grams_sql('r', 2)} || CASE WHEN length(r) <= 4 THEN [r] ELSE [] END))))",
+}
+
+
 def _tokenizer(kind: str):
-    @_query(f"tokenize_{kind}")
+    @_query(f"tokenize_{kind}", f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOKEN_SQL[kind]} AS t FROM {_H})")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return _docs(spark, sf).select("doc_id", text.tokens(F.col("text"), kind).alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
+        rows = _han(spark, sf).select("doc_id", text.tokens(F.col("h"), kind).alias("t"))
+        return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
 for _kind in text.TOKENIZERS:
     _tokenizer(_kind)
 
 
+@_query("han_bigrams", f"SELECT doc_id, array_to_string(list_sort(list_distinct(flatten(list_transform({_RUNS.format(c='h')}, lambda r: {_grams_sql('r', 2)})))), ' ') AS grams FROM {_H}")
+def han_bigrams(spark: SparkSession, sf: str) -> DataFrame:
+    return _han(spark, sf).select("doc_id", F.array_join(F.array_sort(text.han_bigrams(F.col("h"))), " ").alias("grams"))
+
+
+_BARE = "replace(replace(regexp_replace(lower(h), '[^\\p{L}\\p{N}\\p{M}]+', '', 'g'), 'the', ''), '公司', '')"
+
+
+@_query("plain_bigrams", f"SELECT doc_id, len(g) AS n, md5(array_to_string(list_sort(g), ' ')) AS digest FROM (SELECT doc_id, list_filter(list_distinct({_grams_sql('b', 2)}), lambda x: NOT regexp_matches(x, '\\p{{Nd}}')) AS g FROM (SELECT doc_id, {_BARE} AS b FROM {_H}))")
+def plain_bigrams(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _han(spark, sf).select("doc_id", text.plain_bigrams(F.col("h"), ("the", "公司")).alias("g"))
+    return rows.select("doc_id", F.size("g").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("g"), " ")).alias("digest"))
+
+
 @_query("tokenize_words", "SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)")
 def tokenize_words(spark: SparkSession, sf: str) -> DataFrame:
     rows = _docs(spark, sf).select("doc_id", text.words(F.col("text")).alias("t"))
@@ -127,15 +170,3 @@ def intent_buckets(spark: SparkSession, sf: str) -> DataFrame:
 def low_info_filter(spark: SparkSession, sf: str) -> DataFrame:
     rows = _docs(spark, sf).withColumn("reason", F.coalesce(text.low_information(F.col("text")), F.lit("kept")))
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
-
-
-@_query("redact_numbers", r"""SELECT doc_id, md5(regexp_replace(text, '[-+]?[0-9][0-9,]*(?:\.[0-9]+)?%?', '[数值]', 'g')) AS redacted FROM documents""")
-def redact_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    none = F.array().cast("array<string>")
-    return _docs(spark, sf).select("doc_id", F.md5(fusion.redact_numbers(F.col("text"), none)).alias("redacted"))
-
-
-@_query("value_renderings")
-def value_renderings(spark: SparkSession, sf: str) -> DataFrame:
-    rows = facts(spark, sf).select("fact_id", fusion.renderings_column(F.col("normalized_value"), F.col("normalized_unit")).alias("r"))
-    return rows.select("fact_id", F.size("r").alias("n"), F.array_join("r", " ").alias("renderings"))

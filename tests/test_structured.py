@@ -1,9 +1,11 @@
+import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import facts as ops
-from factloom.operators import formulas, fusion, resolver, selection
+from factloom.operators import authorization, formulas, fusion, resolver, selection
 
 FACTS = "fact_id string, document_id string, stock_code string, report_year long, metric_year long, canonical_metric string, normalized_value decimal(38,4), normalized_unit string"
 
@@ -99,6 +101,80 @@ def test_alias_statuses(spark):
     assert got == {"A": ("unique", 1), "SHARED": ("ambiguous", 2), "NONE": ("missing", 0)}
 
 
-def test_renderings():
-    assert fusion.renderings(Decimal("0.2442"), "ratio") == sorted({"0.2442", "0.24", "24.42", "24.42%"})
-    assert "1.23万元" in fusion.renderings(Decimal("12345"), "元") and "12345元" in fusion.renderings(Decimal("12345"), "元")
+def test_renderings(spark):
+    def of(value, unit, places):
+        rows = spark.createDataFrame([(Decimal(value), unit)], f"v decimal(38,{places}), u string")
+        return rows.select(authorization.renderings(F.col("v"), F.col("u"), places)).first()[0]
+
+    assert of("0.2442", "ratio", 4) == sorted({"0.2442", "0.24", "24.42", "24.42%"})
+    assert {"1.23万元", "12345元", "1.2345万元", "0.00012345亿元"} <= set(of("12345", "元", 0)) and of("0", "元/股", 4) == ["0", "0元/股"]
+
+
+#: Metric -> value in the target year; the year before holds half of it and one more.
+LITERALS = {
+    "营业收入": "1000.123456789012", "总资产": "5000", "净资产": "2000.5", "归属于上市公司股东的净利润": "150", "销售费用": "60", "营业利润": "210", "管理费用": "80", "流动负债": "900", "无形资产": "70",
+    "财务费用": "-20", "研发费用": "40.25", "净利润": "160", "总负债": "3000", "货币资金": "330", "投资收益": "12", "固定资产": "1100", "现金及现金等价物": "310", "营业成本": "640", "流动资产": "1500",
+    "非流动负债": "2100", "存货": "250", "研发人员数": "30", "职工总数": "400", "硕士人数": "45", "博士及以上人数": "5",
+}
+
+
+def _by_hand(formula_id):
+    v = lambda m: Decimal(LITERALS[m])
+    for i, metric in formulas.GROWTH:
+        if i == formula_id:
+            before = v(metric) / 2 + 1
+            return (v(metric) - before) / before
+    for i, a, b in formulas.RATIOS:
+        if i == formula_id:
+            return v(a) / v(b)
+    three = v("销售费用") + v("管理费用") + v("财务费用")
+    return {
+        "gross_margin.v1": (v("营业收入") - v("营业成本")) / v("营业收入"), "quick_ratio.v1": (v("流动资产") - v("存货")) / v("流动负债"), "three_expense_ratio.v1": three / v("营业收入"),
+        "rd_expense_share.v1": v("研发费用") / (three + v("研发费用")), "postgraduate_staff_ratio.v1": (v("硕士人数") + v("博士及以上人数")) / v("职工总数"),
+    }[formula_id]
+
+
+def test_all_formulas_by_literals(spark):
+    schema = FACTS.replace("decimal(38,4)", "decimal(38,12)")
+    rows = [(f"f{k}{y}", f"d{y}", "a", y, y, m, Decimal(v) if y == 2021 else Decimal(v) / 2 + 1, "元") for k, (m, v) in enumerate(LITERALS.items()) for y in (2020, 2021)]
+    asked = spark.createDataFrame([("a", f, 2021) for f in formulas.CATALOGUE], "stock_code string, formula_id string, target_year long")
+    got = {r["formula_id"]: r for r in formulas.evaluate(asked, spark.createDataFrame(rows, schema)).collect()}
+    assert len(got) == 36
+    for formula_id, r in got.items():
+        assert r["status"] == "found" and abs(r["value"] - _by_hand(formula_id)) < Decimal("1e-11"), formula_id
+
+
+def test_reservation_skips_what_is_taken(spark):
+    """A fits two facets and is reserved for the first; the second then takes B, though C is better."""
+    rows = [(1, "A", "text", 10, ["f1", "f2"]), (1, "C", "text", 9, ["f1"]), (1, "B", "text", 8, ["f2"])]
+    table = spark.createDataFrame(rows, "question_id long, candidate_id string, route string, fusion_score long, facet_ids array<string>")
+    got = fusion.reserve_routes(table, "question_id", ["f1", "f2"], 2).orderBy("place").collect()
+    assert [(r["candidate_id"], r["reserved"]) for r in got] == [("A", True), ("B", True)]
+
+
+def test_reservation_equals_a_plain_walk(spark):
+    rng = random.Random(4)
+    facets = ["a", "b", "c"]
+    rows = [(q, f"c{k:02d}", rng.choice(["text", "table"]), rng.randrange(30), rng.sample(facets, rng.randrange(4))) for q in range(12) for k in range(60)]
+    table = spark.createDataFrame(rows, "question_id long, candidate_id string, route string, fusion_score long, facet_ids array<string>")
+    got = {}
+    for r in fusion.reserve_routes(table, "question_id", facets, 9).orderBy("question_id", "place").collect():
+        got.setdefault(r["question_id"], []).append((r["candidate_id"], r["reserved"]))
+    for q in range(12):
+        own, taken = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[3], r[2] != "table", r[1])), []
+        for f in facets:
+            for route in ("text", "table"):
+                fits = [r[1] for r in own if r[2] == route and f in r[4] and r[1] not in taken]
+                taken += fits[:1] if len(taken) < 9 else []
+        rest = [r[1] for r in own if r[1] not in taken]
+        assert got[q] == [(c, True) for c in taken] + [(c, False) for c in rest[: 9 - len(taken)]]
+
+
+def test_strict_fusion_fails(spark):
+    rows = spark.createDataFrame([(1, "c", (1, 2), [], "x", "p1"), (1, "c", (1, 2), [], "x", "p2")], "q long, candidate_id string, signal struct<rank long, weight long>, authorizations array<string>, conflict_status string, fingerprint string")
+    assert fusion.merge_candidates(rows, ["q", "candidate_id"], []).first()["provenance_error"]
+    with pytest.raises(Exception, match="differ in their provenance"):
+        fusion.merge_candidates(rows, ["q", "candidate_id"], [], strict=True).collect()
+    packet = spark.createDataFrame([(1, 1, "c", "worth 5", [])], "q long, place long, candidate_id string, safe_text string, renderings array<string>")
+    with pytest.raises(Exception, match="nothing authorizes"):
+        fusion.answer_packet(packet, "q", strict=True).collect()

@@ -9,11 +9,16 @@ from factloom.plans import planner
 from factloom.streaming import stateful
 
 
-def test_tokenizers():
-    assert text.mixed_tokens("营业收入2021年 A-1 x") == ["营", "业", "收", "入", "营业", "业收", "收入", "2021", "年", "a-1", "x"]
-    assert text.lexical_tokens("营业收入 ABC 年") == sorted({"abc", "营业", "业收", "收入", "营业收入", "年"})
-    assert text.sparse_tokens("公司营业") == ["司营", "营业", "公司营", "司营业"]
-    assert text.table_tokens("ＡＢ 收入") == ["ab", "收入"]
+@pytest.mark.parametrize(
+    "kind, given, want",
+    [
+        ("mixed", "营业收入2021年 A-1 x", ["营", "业", "收", "入", "营业", "业收", "收入", "2021", "年", "a-1", "x"]), ("lexical", "营业收入 ABC 年", sorted({"abc", "营业", "业收", "收入", "营业收入", "年"})),
+        ("sparse", "公司营业", ["司营", "营业", "公司营", "司营业"]), ("table", "ＡＢ 收入", ["ab", "收入"]), ("mixed", None, []), ("table", "", []),
+    ],
+)
+def test_tokenizers(spark, kind, given, want):
+    rows = spark.createDataFrame([(given,)], "t string")
+    assert rows.select(text.tokens(F.col("t"), kind)).first()[0] == want
 
 
 def test_normalisers_see_unicode_space(spark):
@@ -44,13 +49,24 @@ def test_units_come_from_labels_in_order(spark):
 SPANS = "<table><tr><th rowspan=2>项目</th><th colspan=2>2021年</th></tr><tr><td>金额</td><td>比例</td></tr><tr><td>收入</td><td>1,000</td><td>50%</td></tr><tr><td>成本<td>500<td></tr></table>"
 
 
-def test_spans_and_headers():
+def test_spans_and_headers(spark):
     rows, _ = tables.parse_rows(SPANS)
     matrix = tables.expand(rows)
     assert matrix == [["项目", "2021年", "2021年"], ["项目", "金额", "比例"], ["收入", "1,000", "50%"], ["成本", "500", ""]]
-    band, again = tables.header_bands(rows, matrix)
-    assert (band, again) == ([0, 1], []) and tables.flat_headers(matrix, band) == ["项目", "2021年 / 金额", "2021年 / 比例"]
-    assert tables.data_start(matrix, band, again) == 1
+    out = tables.extract_tables(spark.createDataFrame([("d", SPANS)], "document_id string, text string"), "document_id", "text").first()
+    assert (out["header_rows"], out["embedded_headers"], out["data_start"]) == ([0, 1], [], 1)
+    assert out["header"] == ["项目", "2021年 / 金额", "2021年 / 比例"]
+
+
+def test_header_bands_reset_and_places(spark):
+    page = "# A\n## B\n单位：万元\n<table><tr><td>项目</td><td>金额</td></tr><tr><td>收入</td><td>1</td></tr><tr><td>项目</td><td>金额</td></tr><tr><td>成本</td><td>2</td></tr></table>\n# C\n\n\n<table><tr><td colspan=3>x</td></tr><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>5</td></tr></table>"
+    docs = spark.createDataFrame([("d", page)], "document_id string, text string")
+    one, two = tables.extract_tables(docs, "document_id", "text").orderBy("table_index").collect()
+    assert (one["header_rows"], one["embedded_headers"], one["unit_hint"], one["section_path"], one["line"]) == ([0], [2], "万元", ["A", "B"], 4)
+    assert two["header_rows"] == [0, 1] and two["section_path"] == ["C"] and two["unit_hint"] is None
+    rows = tables.extract_tables(docs, "document_id", "text")
+    assert [tuple(r)[2:] for r in tables.grid_mismatches(rows).orderBy("table_index").collect()] == [(8, 0, 8), (7, 0, 4)]
+    assert [r["failure"] for r in tables.readiness(rows).collect()] == [None, None]
 
 
 def test_tables_and_cells(spark):
@@ -113,7 +129,7 @@ def test_upsert_stream_writes_each_key_once(spark, tmp_path):
 
 def test_redaction_and_gate(spark):
     rows = spark.createDataFrame([("收入 1,000 和 5%", ["5%"]), (None, None)], "t string, ok array<string>")
-    assert [r[0] for r in rows.select(fusion.redact_numbers(F.col("t"), F.col("ok"))).collect()] == ["收入 [数值] 和 5%", None]
+    assert [r[0] for r in rows.select(fusion.redact_numbers(F.col("t"), F.col("ok"))).collect()] == ["收入 [未经授权数值] 和 5%", None]
 
 
 def test_risk_views(spark):
