@@ -24,6 +24,11 @@ def _unit(alias: Column, place: int) -> Column:
     return rules[alias]
 
 
+def unit_rule(alias: Column, place: int) -> Column:
+    """Of a unit as written: its rule (0), the unit it stands for (1) or its multiplier as text (2), or null."""
+    return _unit(alias, place)
+
+
 def unit_of_label(label: Column) -> Column:
     """The unit that a label states in brackets or after 单位, or null."""
     text = compact(label)

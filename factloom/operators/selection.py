@@ -20,7 +20,8 @@ HIGH, MEDIUM = "0.85", "0.70"
 LEAST_SINGLE, LEAST_CONFLICT, MARGIN, SUPPORTED_MARGIN = "0.70", "0.95", "0.12", "0.05"
 SUPPORT_STEP, SUPPORT_MOST = "0.01", "0.04"
 
-DIMENSIONS = ["document_id", "metric_year", "canonical_metric", "normalized_unit"]
+#: What makes two candidates rivals.
+DIMENSIONS = ["document_id", "stock_code", "metric_year", "statement", "canonical_metric", "normalized_unit"]
 
 
 def _dec(x: str) -> Column:
@@ -115,6 +116,14 @@ def conflict_groups(facts: DataFrame, dimensions: list[str] = DIMENSIONS) -> Dat
     )
 
 
+def metric_coverage(metrics: DataFrame, candidates: DataFrame, facts: DataFrame) -> DataFrame:
+    """Per metric of the catalogue: candidates, those eligible, facts, those selected, documents with a selected fact."""
+    c = candidates.groupBy("canonical_metric").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("eligible").alias("eligible"))
+    f = facts.groupBy("canonical_metric").agg(F.count(F.lit(1)).alias("facts"), F.count_if("is_selected").alias("selected"), F.countDistinct(F.when(F.col("is_selected"), F.col("document_id"))).alias("documents"))
+    out = metrics.select("canonical_metric").distinct().join(c, "canonical_metric", "left").join(f, "canonical_metric", "left")
+    return out.fillna(0)
+
+
 def integrity(facts: DataFrame, dimensions: list[str] = DIMENSIONS) -> DataFrame:
     """One row: facts, distinct ids, and groups with more than one selected fact."""
     groups = facts.groupBy(*dimensions).agg(F.count_if("is_selected").alias("n")).agg(F.count_if(F.col("n") > 1).alias("groups_selected_twice"))

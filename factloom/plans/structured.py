@@ -217,9 +217,9 @@ def candidate_score(spark: SparkSession, sf: str) -> DataFrame:
 _SELECTED_SQL = f"""WITH {CANDIDATES_SQL}, {_AUDIT_SQL}, {_SCORE_SQL},
   ordered AS (SELECT *, row_number() OVER (PARTITION BY document_id, metric_year, normalized_value ORDER BY confidence_score DESC, candidate_id) AS r,
                 count(*) OVER (PARTITION BY document_id, metric_year, normalized_value) AS support_count FROM scored WHERE len(reasons) = 0),
-  vals AS (SELECT document_id, metric_year, canonical_metric, normalized_unit, normalized_value, support_count, candidate_id,
+  vals AS (SELECT document_id, stock_code, statement, metric_year, canonical_metric, normalized_unit, normalized_value, support_count, candidate_id,
              least(1, confidence_score + least(0.04, (support_count - 1) * 0.01))::DECIMAL(6,4) AS s,
-             md5(document_id || '|' || metric_year || '|' || canonical_metric || '|' || normalized_unit || '|' || normalized_value::VARCHAR) AS fact_id FROM ordered WHERE r = 1),
+             md5(document_id || '|' || stock_code || '|' || metric_year || '|' || statement || '|' || canonical_metric || '|' || normalized_unit || '|' || normalized_value::VARCHAR) AS fact_id FROM ordered WHERE r = 1),
   ranked AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY document_id, metric_year) AS k, lead(s) OVER w AS s2, lead(support_count) OVER w AS c2 FROM vals
              WINDOW w AS (PARTITION BY document_id, metric_year ORDER BY s DESC, support_count DESC, fact_id)),
   chosen AS (SELECT *, place = 1 AND CASE WHEN k = 1 THEN s >= 0.70 ELSE s >= 0.95 AND (s - s2 >= 0.12 OR (support_count >= 2 AND c2 = 1 AND s - s2 >= 0.05)) END AS is_selected FROM ranked),
@@ -239,7 +239,7 @@ def fact_selection(spark: SparkSession, sf: str) -> DataFrame:
 @_query("conflict_groups", _SELECTED_SQL + """ SELECT document_id, metric_year, count(*) AS distinct_value_count, sum(support_count)::BIGINT AS candidate_count,
   max(fact_id) FILTER (WHERE is_selected) AS selected_fact_id FROM final WHERE k > 1 GROUP BY document_id, metric_year""")
 def conflict_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.conflict_groups(_built(spark, sf)).drop("canonical_metric", "normalized_unit")
+    return selection.conflict_groups(_built(spark, sf)).select("document_id", "metric_year", "distinct_value_count", "candidate_count", "selected_fact_id")
 
 
 @_query("selection_integrity", _SELECTED_SQL + """ SELECT count(*) AS facts, count(DISTINCT fact_id) AS fact_ids,

@@ -102,6 +102,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("candidate_id"),
         F.concat(F.lit("P"), "l_partkey").alias("document_id"),
+        F.concat(F.lit("S"), F.pmod("l_partkey", F.lit(100))).alias("stock_code"),
+        F.when(F.col("l_linenumber") == 7, "other").otherwise("income_statement").alias("statement"),
         year.alias("metric_year"),
         (year + F.pmod("l_linenumber", F.lit(4)) - 1).cast("long").alias("report_year"),
         F.when(F.col("l_linenumber") == 7, "未知指标").otherwise("营业收入").alias("canonical_metric"),
@@ -117,7 +119,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CANDIDATES_SQL = """
 candidates AS (
-  SELECT l_orderkey || '-' || l_linenumber AS candidate_id, 'P' || l_partkey AS document_id, year(l_shipdate)::BIGINT AS metric_year,
+  SELECT l_orderkey || '-' || l_linenumber AS candidate_id, 'P' || l_partkey AS document_id, 'S' || l_partkey % 100 AS stock_code, CASE WHEN l_linenumber = 7 THEN 'other' ELSE 'income_statement' END AS statement, year(l_shipdate)::BIGINT AS metric_year,
          (year(l_shipdate) + l_linenumber % 4 - 1)::BIGINT AS report_year,
          CASE WHEN l_linenumber = 7 THEN '未知指标' ELSE '营业收入' END AS canonical_metric,
          CASE WHEN l_returnflag = 'R' THEN 'exact_alias' ELSE 'regex' END AS metric_match_type,

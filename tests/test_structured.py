@@ -68,8 +68,8 @@ def test_allow_list_ignores_empty_lists_and_rejects_unknown_fields(spark):
 
 
 def _candidates(spark, rows):
-    base = {"report_year": 2021, "metric_year": 2021, "canonical_metric": "营业收入", "metric_match_type": "exact_alias", "metric_source": "row_label", "year_confidence": "high", "context_is_financial": True, "unit_source": "raw_value", "normalized_unit": "元"}
-    schema = "candidate_id string, document_id string, normalized_value decimal(38,12), report_year long, metric_year long, canonical_metric string, metric_match_type string, metric_source string, year_confidence string, context_is_financial boolean, unit_source string, normalized_unit string"
+    base = {"stock_code": "s", "statement": "income_statement", "report_year": 2021, "metric_year": 2021, "canonical_metric": "营业收入", "metric_match_type": "exact_alias", "metric_source": "row_label", "year_confidence": "high", "context_is_financial": True, "unit_source": "raw_value", "normalized_unit": "元"}
+    schema = "candidate_id string, document_id string, stock_code string, statement string, normalized_value decimal(38,12), report_year long, metric_year long, canonical_metric string, metric_match_type string, metric_source string, year_confidence string, context_is_financial boolean, unit_source string, normalized_unit string"
     names = [f.split()[0] for f in schema.split(", ")]
     full = [{**base, "candidate_id": f"c{k}", **r} for k, r in enumerate(rows)]
     return spark.createDataFrame([tuple(Decimal(r[n]) if n == "normalized_value" and r[n] is not None else r[n] for n in names) for r in full], schema)
