@@ -12,11 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.fusion import table_quota
+from factloom.operators.skew import small, spread_join
+
 #: BM25 and reciprocal rank fusion.
 K1, B = 1.2, 0.75
 RRF_K = 60
-#: Vectors that one broadcast of queries may hold; more are answered in several passes.
-QUERY_BLOCK = 4096
+#: Queries and vectors of a block.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 65_536
 #: Queries of a block of gram recall, and items that a task counts at a time.
 RECALL_BLOCK, RECALL_ROWS = 1024, 256
 
@@ -32,32 +35,177 @@ def postings(units: DataFrame, key: str, tokens: Column) -> DataFrame:
     return units.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(units: DataFrame, queries: DataFrame, key: str, query_key: str, unit_tokens: Column, query_tokens: Column) -> DataFrame:
-    """BM25 scores of all (query, unit) pairs that share a token; a query's repeated tokens count again."""
-    post = postings(units, key, unit_tokens)
-    lengths = units.select(key, F.size(unit_tokens).alias("length"))
-    whole = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))  # one row
-    asked = postings(queries, query_key, query_tokens).withColumnRenamed("tf", "qtf")
-    wanted = asked.select("token").distinct()
-    post = post.join(wanted, "token", "left_semi")
+#: Weights of the fields of a unit.
+FIELDS = {"body": 1.0, "heading": 1.25, "adjacency": 0.55}
+
+
+def _entries(tokens: Column, weight: float) -> Column:
+    return F.transform(tokens, lambda x: F.struct(x.alias("token"), F.lit(float(weight)).alias("f")))
+
+
+def _asked(queries: DataFrame, query_key: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
+    """(query, token, how often it asks) and the distinct tokens, broadcast if few."""
+    asked = postings(queries, query_key, tokens).withColumnRenamed("tf", "qtf")
+    return asked, small(asked.select("token").distinct())
+
+
+def _met(asked: DataFrame, weighted: DataFrame, df: DataFrame, query_key: str, key: str) -> DataFrame:
+    """Sum of weight x query frequency by query and unit; a token of very many units is split over tasks."""
+    rows = spread_join(weighted, asked, "token", key, df.select("token", F.col("df").alias("n")))
+    return rows.groupBy(query_key, key).agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
+
+
+def bm25(units: DataFrame, queries: DataFrame, key: str, query_key: str, fields: dict[str, tuple[Column, float]], query_tokens: Column) -> DataFrame:
+    """BM25 scores of all (query, unit) pairs that share a token; a query's repeated tokens count again.
+
+    ``fields``: name -> (tokens, weight). A token's frequency in a unit and the unit's
+    length are sums over the fields, each times its weight. Every unit is read once: it
+    keeps its length beside its tokens, and only asked tokens leave a task. Postings are
+    weighted before they meet the queries, so that each weight is computed once.
+    """
+    asked, wanted = _asked(queries, query_key, query_tokens)
+    length = sum((F.size(t) * w for t, w in fields.values()), F.lit(0.0))
+    whole = units.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("average"))  # one row
+    entries = F.concat(*[_entries(t, w) for t, w in fields.values()])
+    rows = units.select(key, length.alias("length"), F.explode(entries).alias("e")).select(key, "length", "e.token", "e.f")
+    post = rows.join(wanted, "token", "left_semi").groupBy(key, "token", "length").agg(F.sum("f").alias("tf"))
     df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rows = asked.join(df, "token").join(post, "token").join(lengths, key).crossJoin(F.broadcast(whole))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = K1 * (1.0 - B + B * F.col("length") / F.when(F.col("average") > 0, F.col("average")).otherwise(1.0))
-    score = F.sum(F.col("qtf") * idf * F.col("tf") * (K1 + 1.0) / (F.col("tf") + norm))
-    return rows.groupBy(query_key, key).agg(score.alias("score"))
+    rated = post.join(small(df), "token").crossJoin(F.broadcast(whole))
+    weighted = rated.select(key, "token", (idf * F.col("tf") * (K1 + 1.0) / (F.col("tf") + norm)).alias("w"))
+    return _met(asked, weighted, df, query_key, key)
 
 
 def lexical_idf(units: DataFrame, queries: DataFrame, key: str, query_key: str, unit_tokens: Column, query_tokens: Column) -> DataFrame:
     """Sum of idf x query frequency over the distinct tokens that unit and query share."""
-    sets = units.select(key, F.explode(F.array_distinct(unit_tokens)).alias("token"))
-    n = units.agg(F.count(F.lit(1)).alias("n"))
-    asked = postings(queries, query_key, query_tokens).withColumnRenamed("tf", "qtf")
-    sets = sets.join(asked.select("token").distinct(), "token", "left_semi")
+    asked, wanted = _asked(queries, query_key, query_tokens)
+    sets = units.select(key, F.explode(F.array_distinct(unit_tokens)).alias("token")).join(wanted, "token", "left_semi")
+    n = units.agg(F.count(F.lit(1)).alias("n"))  # one row
     df = sets.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rows = asked.join(df, "token").join(sets, "token").crossJoin(F.broadcast(n))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return rows.groupBy(query_key, key).agg(F.sum(idf * F.col("qtf")).alias("score"))
+    weighted = sets.join(small(df), "token").crossJoin(F.broadcast(n)).select(key, "token", idf.alias("w"))
+    return _met(asked, weighted, df, query_key, key)
+
+
+def hybrid(units: DataFrame, queries: DataFrame, k: int, formula_only: Column | None = None, mode: str = "hybrid") -> DataFrame:
+    """Per question the k best units of its document: question_id, unit_id, ordinal, rank, score and both scores.
+
+    units: document_id, unit_id, ordinal, vector and token arrays body, heading,
+    adjacency; queries: question_id, document_id, vector, tokens. Dense scores are
+    cosines, sparse ones BM25 over the document's own units; hybrid adds up 1 / (60 +
+    rank) of both rankings. Units that are nothing but formulas keep their place in the
+    rankings but are no results. Everything is keyed by document, so that no unit meets a
+    question of another one.
+    """
+    if mode not in ("dense", "sparse", "hybrid") or not 1 <= k <= 100:
+        raise ValueError("mode is dense, sparse or hybrid, k 1 to 100")
+    length = sum((F.size(name) * w for name, w in FIELDS.items()), F.lit(0.0))
+    own = units.withColumn("length", length)
+    stats = own.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
+    entries = F.concat(*[_entries(F.col(name), w) for name, w in FIELDS.items()])
+    asked = queries.select("document_id", "question_id", F.explode("tokens").alias("token")).groupBy("document_id", "question_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
+    post = own.select("document_id", "unit_id", "length", F.explode(entries).alias("e")).select("document_id", "unit_id", "length", "e.token", "e.f")
+    post = post.join(asked.select("document_id", "token").distinct(), ["document_id", "token"], "left_semi").groupBy("document_id", "unit_id", "token", "length").agg(F.sum("f").alias("tf"))
+    df = post.groupBy("document_id", "token").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = K1 * (1.0 - B + B * F.col("length") / F.when(F.col("average") > 0, F.col("average")).otherwise(1.0))
+    weighted = post.join(df, ["document_id", "token"]).join(stats, "document_id").select("document_id", "unit_id", "token", (idf * F.col("tf") * (K1 + 1.0) / (F.col("tf") + norm)).alias("w"))
+    sparse = asked.join(weighted, ["document_id", "token"]).groupBy("question_id", "unit_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("s"))
+    shown = own.select("document_id", "unit_id", "ordinal", "vector", (formula_only if formula_only is not None else F.lit(False)).alias("__formula"))
+    pairs = queries.select("document_id", "question_id", F.col("vector").alias("q")).join(shown, "document_id").join(sparse, ["question_id", "unit_id"], "left")
+    pairs = pairs.select("question_id", "unit_id", "ordinal", "__formula", F.round(cosine(F.col("vector"), F.col("q")), 8).alias("dense_score"), F.round(F.coalesce("s", F.lit(0.0)), 8).alias("sparse_score"))
+    place = lambda score: F.row_number().over(Window.partitionBy("question_id").orderBy(F.col(score).desc(), "ordinal"))
+    pairs = pairs.withColumns({"__d": place("dense_score"), "__s": place("sparse_score")})
+    score = {"dense": F.col("dense_score"), "sparse": F.col("sparse_score"), "hybrid": F.round(1.0 / (RRF_K + F.col("__d")) + 1.0 / (RRF_K + F.col("__s")), 12)}[mode]
+    best = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "ordinal")
+    out = pairs.withColumn("score", score).filter(~F.coalesce("__formula", F.lit(False))).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return out.select("question_id", "unit_id", "ordinal", F.col("rank").cast("long"), "score", "dense_score", "sparse_score")
+
+
+def with_table_quota(texts: DataFrame, tables: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
+    """k results of two ranked lists in turn: up to two table rows, text for the rest, text first; score 1 - place / 10^6."""
+    quota = table_quota(k)
+    first = texts.filter(F.col("rank") <= k - quota).select(query_key, key, "rank", F.lit(0).alias("channel"))
+    both = first.unionByName(tables.filter(F.col("rank") <= quota).select(query_key, key, "rank", F.lit(1).alias("channel")))
+    place = F.row_number().over(Window.partitionBy(query_key).orderBy("rank", "channel")) - 1
+    out = both.withColumn("place", place.cast("long")).filter(F.col("place") < k)
+    return out.select(query_key, key, "channel", "place", F.round(1 - F.col("place") / 1e6, 8).alias("score"))
+
+
+def table_search(fragments: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """Per question the k best fragments of its document: question_id, fragment_id, score, rank.
+
+    fragments: document_id, table_index, table_id, fragment_id, kind (table_row or
+    mixed_narrative), line (row, or first line), tokens (a set), labels (texts that count
+    a tenth each where the question holds them); questions: question_id, document_id,
+    tokens (a set), text. The score is the mean over the question's tokens of ln((n + 1) /
+    (df + 1)) + 1 for those that the fragment has.
+    """
+    n = fragments.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+    asked = questions.select("question_id", "document_id", F.size("tokens").alias("asked"), "text", F.explode("tokens").alias("token"))
+    post = fragments.select("document_id", "fragment_id", F.explode("tokens").alias("token"))
+    df = post.groupBy("document_id", "token").agg(F.count(F.lit(1)).alias("df"))
+    met = asked.join(df, ["document_id", "token"]).join(n, "document_id").join(post, ["document_id", "token"])
+    weight = F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0
+    sums = met.groupBy("question_id", "document_id", "fragment_id", "asked", "text").agg(F.sum(weight).alias("w"))
+    rows = sums.join(fragments.drop("tokens"), ["document_id", "fragment_id"])
+    named = F.size(F.filter("labels", lambda x: (F.length(x) >= 2) & F.contains(F.col("text"), x)))
+    score = F.round(F.col("w") / F.col("asked") + 0.1 * named + F.when(F.col("kind") == "mixed_narrative", 0.01).otherwise(0.0), 8)
+    order = Window.partitionBy("question_id").orderBy(score.desc(), "document_id", "table_index", "table_id", F.when(F.col("kind") == "table_row", 0).otherwise(1), "line", "fragment_id")
+    out = rows.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return out.select("question_id", "fragment_id", "score", F.col("rank").cast("long"))
+
+
+#: Weights of a heading and of the whole phrase in a lexical score; what a fragment must reach, and how many.
+HEADING_WEIGHT, PHRASE_WEIGHT, LEAST_LEXICAL, MOST_FRAGMENTS = 0.65, 0.30, 0.08, 3
+
+
+def lexical_score(asked: Column, content: Column, heading: Column, phrase: Column, text: Column) -> Column:
+    """Share of the asked grams in the content, and in the heading at 0.65, and 0.30 if the text holds the whole phrase."""
+    share = lambda grams: F.when(F.size(asked) == 0, 0.0).otherwise(F.size(F.array_intersect(asked, grams)) / F.size(asked))
+    return share(content) + HEADING_WEIGHT * share(heading) + F.when((phrase != "") & F.contains(text, phrase), PHRASE_WEIGHT).otherwise(0.0)
+
+
+def fragment_search(fragments: DataFrame, questions: DataFrame, k: int = MOST_FRAGMENTS, least: float = LEAST_LEXICAL) -> DataFrame:
+    """Per question the k best fragments of its document by lexical score, those below ``least`` left out.
+
+    fragments: document_id, fragment_id, text, grams, heading_grams; questions:
+    question_id, document_id, phrase, grams.
+    """
+    q = questions.select("question_id", "document_id", "phrase", F.col("grams").alias("asked"))
+    pairs = fragments.join(q, "document_id").withColumn("score", F.round(lexical_score(F.col("asked"), F.col("grams"), F.col("heading_grams"), F.col("phrase"), F.col("text")), 6))
+    return top(pairs.filter(F.col("score") >= least), ["question_id"], "score", "fragment_id", k).select("question_id", "fragment_id", "score", "rank")
+
+
+def rank_sentences(sentences: DataFrame) -> DataFrame:
+    """Per question its sentences by score, without those that another better one holds or is part of.
+
+    sentences: question_id, position (of the evidence), text, key (its compact form),
+    asked and grams (sets of bigrams), signal. The score is recall + 0.30 precision + 0.10
+    signal, less 0.00015 for each character beyond 240. The walk goes over the sentences of
+    one question's evidence, which retrieval has bounded.
+    """
+    both = F.size(F.array_intersect("asked", "grams"))
+    recall, precision = both / F.greatest(F.lit(1), F.size("asked")), both / F.greatest(F.lit(1), F.size("grams"))
+    score = F.round(recall + 0.30 * precision + 0.10 * F.col("signal") - 0.00015 * F.greatest(F.lit(0), F.length("text") - 240), 9)
+    own = sentences.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct((-score).alias("minus"), "position", "text", "key"))).alias("s"))
+
+    def keep(seen: Column, x: Column) -> Column:
+        return F.when(F.exists(seen, lambda y: F.contains(y["key"], x["key"]) | F.contains(x["key"], y["key"])), seen).otherwise(F.concat(seen, F.array(x)))
+
+    kept = own.select("question_id", F.aggregate("s", F.expr("filter(s, x -> false)"), keep).alias("k"))
+    return kept.select("question_id", F.posexplode("k").alias("at", "x")).select("question_id", (F.col("at") + 1).cast("long").alias("rank"), "x.position", "x.text", (-F.col("x.minus")).alias("score"))
+
+
+def neighbour_lines(hits: DataFrame, lines: DataFrame, factor: float = 0.42) -> DataFrame:
+    """Hit lines with their score, and the lines right above and below under the same heading with a part of it; the best counts.
+
+    lines: document_id, line, heading; hits: document_id, line, heading, score.
+    """
+    near = hits.select("document_id", F.explode(F.array(F.col("line") - 1, F.col("line") + 1)).alias("line"), "heading", (F.col("score") * factor).alias("score"))
+    near = near.join(lines.select("document_id", "line", "heading"), ["document_id", "line", "heading"], "left_semi")
+    return hits.select("document_id", "line", "score").unionByName(near.select("document_id", "line", "score")).groupBy("document_id", "line").agg(F.max("score").alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -69,50 +217,81 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int, block: int = QUERY_BLOCK, rows: int = VECTOR_BLOCK) -> DataFrame:
     """(query, key, score, rank): the k most similar vectors of each query by cosine, ties by key.
 
-    Queries are collected in blocks of at most ``block`` vectors; each task turns
-    its vectors into one matrix, multiplies and keeps k per query, so that only
-    k x queries x tasks rows are shuffled.
+    Queries and vectors are dealt into blocks of about ``block`` and ``rows``; each pair of
+    blocks is one product of matrices in one task, which keeps k per query. The driver
+    sees counts only. Vectors travel once for each block of queries.
     """
     spark = vectors.sparkSession
-    out = None
-    asked = queries.select(query_key, vector).filter(F.col(vector).isNotNull())
-    n = asked.count()
-    parts = max(1, math.ceil(n / block))
-    for i in range(parts):
-        own = asked if parts == 1 else asked.filter(F.pmod(F.xxhash64(query_key), F.lit(parts)) == i)
-        rows = own.collect()
-        if not rows:
-            continue
-        ids = [r[0] for r in rows]
-        q = np.array([r[1] for r in rows], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, q))
-        found = vectors.select(F.col(key).cast("long"), vector).filter(F.col(vector).isNotNull()).mapInArrow(_nearest(shared, k), "q long, key long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "q long, key long, score double")
-    return top(out, ["q"], "score", "key", k).select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "rank")
-
+    q = queries.select(F.col(query_key).cast("long").alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL")
+    d = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lefts = max(1, math.ceil(q.count() / block))
+    rights = max(1, math.ceil(d.count() / rows), math.ceil(parts / lefts))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = q.select(mine(lefts).alias("i"), every(rights).alias("j"), F.lit(0).alias("side"), "id", "v")
+    right = d.select(every(lefts).alias("i"), mine(rights).alias("j"), F.lit(1).alias("side"), "id", "v")
+    dealt = left.unionByName(right).repartition(parts, "i", "j").sortWithinPartitions("i", "j", "side", "id")
+    found = dealt.mapInArrow(_nearest(k), "q long, key long, score double")
+    return top(found, ["q"], "score", "key", k).select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "rank")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = values.reshape(len(column), -1)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+
+def _best(keys: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, ties by key: cut off by partition first, and sorted only then."""
+    if score.shape[1] > 4 * k:
+        least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+        width = int((score >= least).sum(axis=1).max())  # ties with the k-th stay
+        near = np.argpartition(-score, min(width, score.shape[1] - 1), axis=1)[:, :width]
+        near.sort(axis=1)
+        keys, score = np.take_along_axis(keys, near, 1), np.take_along_axis(score, near, 1)
+    order = np.lexsort((keys, -score), axis=1)[:, :k]
+    return np.take_along_axis(keys, order, 1), np.take_along_axis(score, order, 1)
+
+
+def _nearest(k: int):
+    """Rows come sorted by block and side: first a block's queries, then its vectors in any number of batches."""
 
-def _nearest(shared, k: int):
     def run(batches):
-        ids, q = shared.value
-        ids = np.asarray(ids, np.int64)
+        now, ids, q, keys, score = None, [], [], None, None
+
+        def result():
+            if keys is not None and keys.shape[1]:
+                n = keys.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.concatenate(ids), n)), pa.array(keys.ravel()), pa.array(score.ravel())], names=["q", "key", "score"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            v = np.array(batch.column(1).to_pylist(), np.float64)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            # Rounded, so that equal vectors get equal scores in batches of any size.
-            s = np.round(q @ v.T, 12)
-            order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, order.shape[1])), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["q", "key", "score"]
-            )
+            block = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)], axis=1)
+            cuts = np.flatnonzero(np.any(np.diff(block, axis=0) != 0, axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)]):
+                if a == b:
+                    continue
+                if now is None or tuple(block[a, :2]) != now:
+                    yield from result()
+                    now, ids, q, keys, score = tuple(block[a, :2]), [], [], None, None
+                part = batch.slice(a, b - a)
+                own, v = part.column(3).to_numpy(zero_copy_only=False), _matrix(part.column(4))
+                if block[a, 2] == 0:
+                    ids.append(own)
+                    q.append(v)
+                elif ids:
+                    if len(q) > 1:
+                        q, ids = [np.concatenate(q)], [np.concatenate(ids)]
+                    # Rounded, so that equal vectors get equal scores in batches of any size.
+                    s = np.round(q[0] @ v.T, 12)
+                    both = np.broadcast_to(own, s.shape)
+                    if keys is not None:
+                        both, s = np.hstack([keys, both]), np.hstack([score, s])
+                    keys, score = _best(both, s, k)
+        yield from result()
 
     return run
 
@@ -206,3 +385,28 @@ def metrics(ranked: DataFrame, gold: DataFrame, query_key: str, key: str, cuts:
         *[F.round(F.count_if(F.col("best") <= c) / F.count(F.lit(1)), 6).alias(f"recall_at_{c}") for c in cuts],
         F.round(F.avg(F.coalesce(1.0 / F.col("best"), F.lit(0.0))), 6).alias("mrr"),
     )
+
+
+def evidence_metrics(ranked: DataFrame, gold: DataFrame, case: str, key: str, cuts: tuple[int, ...] = (5, 15)) -> DataFrame:
+    """One row: cases with gold, gold evidence found, mean reciprocal rank, and the shares of cases and facets covered at each cut.
+
+    ranked: case, key, rank; gold: case, key, an array facet_ids. Recall counts pieces of
+    gold evidence, coverage cases with one at least, and facets of a case with one found.
+    """
+    g = gold.join(ranked.groupBy(case, key).agg(F.min("rank").alias("rank")), [case, key], "left").select(case, key, "facet_ids", "rank")
+    found = lambda c: F.coalesce(F.col("rank") <= c, F.lit(False))
+    facets = g.select(case, F.explode("facet_ids").alias("f"), "rank").groupBy(case, "f").agg(F.min("rank").alias("rank"))
+    f = facets.agg(F.count(F.lit(1)).alias("facets"), *[F.count_if(found(c)).alias(f"facets_{c}") for c in cuts])
+    cases = g.groupBy(case).agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("gold"), *[F.count_if(found(c)).alias(f"hits_{c}") for c in cuts])
+    one = cases.agg(
+        F.count(F.lit(1)).alias("cases"), F.sum("gold").alias("gold"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 8).alias("mrr"),
+        *[F.round(F.sum(f"hits_{c}") / F.sum("gold"), 8).alias(f"recall_at_{c}") for c in cuts], *[F.round(F.count_if(found(c)) / F.count(F.lit(1)), 8).alias(f"case_coverage_at_{c}") for c in cuts],
+    )
+    share = [F.round(F.coalesce(F.col(f"facets_{c}") / F.nullif(F.col("facets"), F.lit(0)), F.lit(0.0)), 8).alias(f"facet_coverage_at_{c}") for c in cuts]
+    return one.crossJoin(f.select(*share))  # one row each
+
+
+def query_recall(candidates: DataFrame, case: str) -> DataFrame:
+    """Per case the share of its question's tokens that its candidates hold together; columns asked and tokens are sets."""
+    own = candidates.groupBy(case).agg(F.first("asked").alias("asked"), F.collect_set("tokens").alias("t"))
+    return own.select(case, F.when(F.size("asked") == 0, 0.0).otherwise(F.size(F.array_intersect("asked", F.flatten("t"))) / F.size("asked")).alias("recall"))

@@ -39,7 +39,7 @@ def _rounded(rows: DataFrame) -> DataFrame:
 
 def _bm25(spark: SparkSession, sf: str) -> DataFrame:
     w = F.col("words")
-    return ops.top(_rounded(ops.bm25(_units(spark, sf), _asked(spark, sf), "doc_id", "item_id", w, w)), ["item_id"], "score", "doc_id", 10)
+    return ops.top(_rounded(ops.bm25(_units(spark, sf), _asked(spark, sf), "doc_id", "item_id", {"body": (w, 1.0)}, w)), ["item_id"], "score", "doc_id", 10)
 
 
 def _lexical(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,15 +74,16 @@ _GRAM_SQL = """list_distinct(list_transform(range({n} - 1), lambda i: substr({t}
 
 
 @_query("ngram_recall_search", f"""WITH t AS (SELECT item_id AS id, {_GRAM_SQL.format(n='length(text)', t='text')} AS g FROM benchmark), p AS (SELECT a.id AS item_id, b.id AS other_id,
-    round(len(list_intersect(a.g, b.g))::DOUBLE / len(a.g), 6) AS score FROM t a JOIN t b ON a.id <> b.id WHERE a.id % 10 = 0)
+    round(len(list_intersect(a.g, b.g))::DOUBLE / len(a.g), 6) AS score FROM t a JOIN t b ON a.id <> b.id WHERE a.id % 50 = 0)
   SELECT item_id, other_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, other_id) AS rank FROM p QUALIFY rank <= 3""")
 def ngram_recall_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The query set of the oracle, every tenth item, against all items; the operator takes any set."""
+    """The items whose id is divisible by 50 against all items; the operator takes any set."""
     grams = table(spark, sf, "benchmark").select("item_id", text.char_grams(F.col("text")).alias("g"))
     others = grams.select(F.col("item_id").alias("other_id"), "g")
-    return ops.gram_recall_top(others, grams.filter("item_id % 10 = 0"), "other_id", "item_id", "g", 3)
+    return ops.gram_recall_top(others, grams.filter("item_id % 50 = 0"), "other_id", "item_id", "g", 3)
 
 
+#: Queries of k nearest neighbours, and of gram recall below, are stated query sets.
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
@@ -98,7 +99,7 @@ def knn_join(spark: SparkSession, sf: str) -> DataFrame:
 @_query("dense_topk", f"""SELECT b.vec_id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY score DESC, vec_id LIMIT 10""")
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings")
-    query = F.broadcast(rows.filter("vec_id = 0").select(F.col("embedding").alias("q")))  # one vector
+    query = F.broadcast(rows.filter("vec_id = 0").select(F.col("embedding").alias("q")).limit(1))  # one vector
     scored = rows.crossJoin(query).select("vec_id", F.round(ops.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
     return scored.orderBy(F.col("score").desc(), "vec_id").limit(10)
 
@@ -107,7 +108,7 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
   SELECT label, vec_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM p QUALIFY rank <= 3""")
 def dense_scoped_topk(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings")
-    query = F.broadcast(rows.filter("vec_id = 0").select(F.col("embedding").alias("q")))  # one vector
+    query = F.broadcast(rows.filter("vec_id = 0").select(F.col("embedding").alias("q")).limit(1))  # one vector
     scored = rows.crossJoin(query).select("label", "vec_id", F.round(ops.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
     return ops.top(scored, ["label"], "score", "vec_id", 3)
 
