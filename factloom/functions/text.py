@@ -223,3 +223,110 @@ def entity_aliases(name: str | None) -> list[str]:
     if len(capitals) >= 2:
         out.append("".join(capitals))
     return list(dict.fromkeys(x for x in out if x))
+
+
+# --- triples, facts as text, tokens -------------------------------------------------------------
+
+
+def fact_text(subject: Column, predicate: Column, object_: Column, context: Column | None = None) -> Column:
+    """``fact: s ||| p ||| o``, with a context on a second line where there is one."""
+    line = F.concat(F.lit("fact: "), F.concat_ws(" ||| ", *[F.coalesce(x, F.lit("")) for x in (subject, predicate, object_)]))
+    if context is None:
+        return line
+    own = F.trim(F.coalesce(context, F.lit("")))
+    return F.when(own == "", line).otherwise(F.concat(line, F.lit("\ncontext: "), own))
+
+
+def parse_fact_text(c: Column) -> Column:
+    """struct<subject, predicate, object> of the first line of a fact text, or null."""
+    first = F.trim(F.regexp_extract(c, r"^([^\n\r]*)", 1))
+    parts = F.transform(F.split(F.regexp_extract(first, r"(?i)^fact:(.*)$", 1), r"\|\|\|", -1), lambda p: F.trim(p))
+    good = first.rlike(r"(?i)^fact:") & (F.size(parts) == 3)
+    return F.when(good, F.struct(parts[0].alias("subject"), parts[1].alias("predicate"), parts[2].alias("object")))
+
+
+def valid_triples(triples: Column) -> Column:
+    """Of an array of arrays those with three parts, each once, in their order."""
+    return F.array_distinct(F.filter(triples, lambda t: F.size(t) == 3))
+
+
+def json_field(c: Column, name: str) -> Column:
+    """A field of the first JSON object that a text holds, whatever stands around it; null where there is none."""
+    return F.get_json_object(F.regexp_extract(c, r"(?s)(\{.*\})", 1), f"$.{name}")
+
+
+def repaired_json(c: Column) -> Column:
+    """A JSON text that was cut off, closed again: the open string, a dangling comma or key, then all open brackets.
+
+    Text that parses stays as it is. Brackets inside strings do not count.
+    """
+    bare = F.regexp_replace(c, r'\\\\.', "")
+    quotes = F.length(F.regexp_replace(bare, r'[^"]', ""))
+    closed = F.when(quotes % 2 == 1, F.concat(c, F.lit('"'))).otherwise(c)
+    trimmed = F.regexp_replace(F.regexp_replace(closed, r'\s+$', ""), r'(,\s*"(?:[^"\\]|\\.)*"\s*:?|,|:)$', "")
+    shape = F.regexp_replace(F.regexp_replace(trimmed, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    # What is left of a text's brackets once all closed pairs are gone stands open.
+    left = F.aggregate(F.split(shape, ""), F.lit(""), lambda open_, b: F.when(b.isin("]", "}"), F.substring(open_, F.lit(1), F.length(open_) - 1)).otherwise(F.concat(open_, b)))
+    ends = F.translate(F.reverse(left), "[{", "]}")
+    return F.when(F.try_parse_json(c).isNotNull(), c).otherwise(F.concat(trimmed, ends))
+
+
+def token_count(c: Column) -> Column:
+    """White-space tokens; the reference counts with a model's own vocabulary, which is not at hand."""
+    return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda t: t != ""))
+
+
+def truncate_tokens(c: Column, most: int) -> Column:
+    """The first ``most`` white-space tokens, joined by single spaces; a text that is short enough stays as it is."""
+    t = F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda x: x != "")
+    return F.when(F.size(t) <= most, c).otherwise(F.array_join(F.slice(t, 1, most), " "))
+
+
+# --- questions ----------------------------------------------------------------------------------
+
+#: How a question names a unit, in the order in which the rules apply.
+REQUESTED_UNITS = (
+    (r"单位\s*[：:为]?\s*亿元|多少亿元|以亿元", "unit_conversion_required", "亿元"), (r"单位\s*[：:为]?\s*万元|多少万元|以万元", "unit_conversion_required", "万元"), (r"单位\s*[：:为]?\s*(?:人民币)?元|多少元|以元", "ok", "元"),
+    (r"单位\s*[：:为]?\s*股|多少股|股本[^，。；？?]{0,8}(?:股|股份)$", "ok", "股"), (r"%|百分比|百分点|单位\s*[：:为]?\s*比率", "ok", "ratio"),
+)
+#: Fixed value: how a question names the report of a year.
+REPORT_YEAR = r"((?:19|20)\d{2})\s*年?\s*(?:年度报告|年报)"
+
+
+def requested_unit(question: Column) -> Column:
+    """struct<status, unit> that a question asks for."""
+    status, unit = None, None
+    for pattern, s, u in REQUESTED_UNITS:
+        hit = question.rlike(pattern)
+        status, unit = (F if status is None else status).when(hit, s), (F if unit is None else unit).when(hit, u)
+    return F.struct(status.otherwise("unspecified").alias("status"), unit.alias("unit"))
+
+
+def question_years(question: Column, report_year: Column) -> Column:
+    """struct<status, metric_year, year_resolution>: which year a question about one report asks for.
+
+    Years that name a report must be this one; another year is the metric's, and there may be one at most.
+    """
+    reports = F.array_distinct(F.transform(F.regexp_extract_all(question, F.lit(REPORT_YEAR), F.lit(1)), lambda y: y.cast("int")))
+    rest = F.regexp_replace(question, REPORT_YEAR, " ")
+    asked = F.array_distinct(F.transform(F.regexp_extract_all(rest, F.lit(r"(?<!\d)((?:19|20)\d{2})(?!\d)"), F.lit(1)), lambda y: y.cast("int")))
+    status = (
+        F.when(F.size(reports) > 1, "report_year_ambiguous").when((F.size(reports) == 1) & (F.get(reports, F.lit(0)) != report_year), "report_year_mismatch").when(F.size(asked) > 1, "metric_year_ambiguous").otherwise("ok")
+    )
+    fine, none = status == "ok", F.size(asked) == 0
+    return F.struct(status.alias("status"), F.when(fine, F.coalesce(F.get(asked, F.lit(0)), report_year.cast("int"))).alias("metric_year"), F.when(fine, F.when(none, "default_report_year").otherwise("explicit_metric_year")).alias("year_resolution"))
+
+
+#: Labels that count, points of a label found, of each shared bigram and of each shared number of three signs and more.
+MOST_LABELS, LABEL_POINTS, BIGRAM_POINTS, NUMBER_POINTS = 8, 25.0, 0.7, 5.0
+
+
+def label_relevance(c: Column, labels: Column) -> Column:
+    """How much a text has to do with labels: struct<label, confidence, about>, ``about`` being reason and evidence as one text."""
+    few = F.slice(labels, 1, MOST_LABELS)
+    named = F.aggregate(few, F.lit(0.0), lambda total, x: total + F.when((x["label"] != "") & F.contains(c, x["label"]), LABEL_POINTS * x["confidence"]).otherwise(0.0))
+    asked = F.array_join(F.transform(few, lambda x: F.concat_ws(" ", x["label"], x["about"])), " ")
+    grams = F.size(F.filter(han_bigrams(asked), lambda g: F.contains(c, g)))
+    numbers = F.array_distinct(_matches(asked, r"\d[\d,.]*%?"))
+    shared = F.size(F.filter(numbers, lambda n: (F.length(n) >= 3) & F.contains(c, n)))
+    return F.when(F.coalesce(c, F.lit("")) == "", -1.0).otherwise(named + BIGRAM_POINTS * grams + NUMBER_POINTS * shared)

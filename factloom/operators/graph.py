@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.chunking import fuzzy_match
 from factloom.operators.retrieval import knn
 
 DAMPING = 0.5
@@ -28,9 +29,13 @@ def passage_edges(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("chunk_id", "entity").agg(F.max("confidence").alias("weight"))
 
 
-def synonymy_edges(vectors: DataFrame, key: str, vector: str, least: float = SYNONYMY, most: int = NEIGHBOURS) -> DataFrame:
-    """Pairs of vectors with a cosine of at least ``least`` among each one's nearest ``most``."""
-    near = knn(vectors, vectors.select(F.col(key).alias("src"), vector), key, "src", vector, most)
+def synonymy_edges(vectors: DataFrame, key: str, vector: str, least: float = SYNONYMY, most: int = NEIGHBOURS, name: str | None = None) -> DataFrame:
+    """Pairs of vectors with a cosine of at least ``least`` among each one's nearest ``most``.
+
+    With ``name``, only entities whose name has more than two ASCII letters and digits ask for synonyms.
+    """
+    asking = vectors.filter(F.length(F.regexp_replace(name, "[^A-Za-z0-9]", "")) > 2) if name else vectors
+    near = knn(vectors, asking.select(F.col(key).alias("src"), vector), key, "src", vector, most)
     return near.filter((F.col("src") != F.col(key)) & (F.col("score") >= least)).select("src", F.col(key).alias("dst"), F.col("score").alias("weight"))
 
 
@@ -96,6 +101,93 @@ def pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, round
     return score
 
 
+def best_facts(triples: DataFrame) -> DataFrame:
+    """One row per fact (subject, predicate, object in lower case): its largest confidence and its first text."""
+    keys = [F.lower(c).alias(c) for c in ("subject", "predicate", "object")]
+    return triples.groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.min_by("text", "ordinal").alias("text"))
+
+
+def chunk_entities(triples: DataFrame) -> DataFrame:
+    """(chunk_id, entity): the distinct subjects and objects of each chunk's triples of three parts."""
+    ends = triples.filter("subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL").select("chunk_id", F.explode(F.array("subject", "object")).alias("entity"))
+    return ends.distinct()
+
+
+def score_facts(facts: DataFrame, queries: DataFrame, vector: str, k: int) -> DataFrame:
+    """Per query the k best facts: query_id, fact_id, score (cosine, min-max normalised over all facts), rank.
+
+    Best and worst come from products of blocks: the worst fact is the best for the turned query.
+    """
+    best = knn(facts, queries, "fact_id", "query_id", vector, k)
+    turned = queries.select("query_id", F.transform(vector, lambda x: -x.cast("double")).alias(vector))
+    low = knn(facts.select("fact_id", F.transform(vector, lambda x: x.cast("double")).alias(vector)), turned, "fact_id", "query_id", vector, 1).select("query_id", (-F.col("score")).alias("low"))
+    high = best.filter("rank = 1").select("query_id", F.col("score").alias("high"))
+    span = F.col("high") - F.col("low")
+    score = F.when(span == 0, 1.0).otherwise((F.col("score") - F.col("low")) / F.nullif(span, F.lit(0.0)))
+    return best.join(low, "query_id").join(high, "query_id").select("query_id", "fact_id", score.alias("score"), "rank")
+
+
+def dense_passages(passages: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """As ``score_facts`` for passages, where ties go to the larger key: the reverse of an ascending sort."""
+    turned = passages.select((-F.col(key)).alias("fact_id"), vector)
+    return score_facts(turned, queries, vector, k).select("query_id", (-F.col("fact_id")).alias(key), "score", "rank")
+
+
+def link_entities(mentions: DataFrame, entities: DataFrame, cutoff: float = 0.9, neighbours: DataFrame | None = None, least: float = SYNONYMY) -> DataFrame:
+    """(mention, entity_id, tier): by equal normal form, else by the most alike known name, and by near vectors.
+
+    mentions: mention, norm; entities: entity_id, norm; neighbours, where vectors are at
+    hand: mention, entity_id, score. Mentions with an equal form take no other tier. An
+    entity that two tiers find counts for the first.
+    """
+    exact = mentions.join(entities, "norm").select("mention", "entity_id", F.lit(1).alias("tier"))
+    open_ = mentions.join(entities.select("norm").distinct(), "norm", "left_anti")
+    near = fuzzy_match(open_.select(F.col("norm").alias("name")), entities.select(F.col("norm").alias("name")), cutoff)
+    alike = open_.join(near, open_["norm"] == near["name"]).select("mention", F.col("match").alias("norm")).join(entities, "norm").select("mention", "entity_id", F.lit(2).alias("tier"))
+    out = exact.unionByName(alike)
+    if neighbours is not None:
+        by_vector = neighbours.filter(F.col("score") >= least).join(open_.select("mention"), "mention", "left_semi")
+        out = out.unionByName(by_vector.select("mention", "entity_id", F.lit(3).alias("tier")))
+    return out.groupBy("mention", "entity_id").agg(F.min("tier").alias("tier"))
+
+
+def one_hop_passages(edges: DataFrame, mentions: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+    """(kind, item): passages that name a seed, and neighbour entities, the ``most`` first passages by id."""
+    s = seeds.select("node")
+    found = mentions.join(s, mentions["entity"] == s["node"], "left_semi").select(F.col("chunk_id").alias("item")).distinct().orderBy("item").limit(most)
+    near = one_hop(edges, seeds).join(s, F.col("neighbour") == s["node"], "left_anti").select(F.col("neighbour").alias("item"))
+    return found.select(F.lit("passage").alias("kind"), F.col("item").cast("string")).unionByName(near.select(F.lit("entity").alias("kind"), F.col("item").cast("string")))
+
+
+def retrieve(edges: DataFrame, facts: DataFrame, passages: DataFrame, mentions: DataFrame, k: int, link_k: int = 5, passage_weight: float = 0.05, damping: float = DAMPING, rounds: int = 20) -> DataFrame:
+    """Graph retrieval for one query: (chunk_id, score, rank) of its k best passages.
+
+    facts: subject, object, score, confidence (the query's best facts); passages: chunk_id,
+    score (dense, between 0 and 1); mentions: chunk_id, entity; edges: between entities and
+    between passages and entities. Phrase weights of the best ``link_k`` entities and a small
+    share of each passage's own score are the reset distribution of a personalised PageRank
+    over the whole graph; passages are ranked by what they hold in the end.
+    """
+    named = facts.select(F.explode(F.array("subject", "object")).alias("phrase"), "score", "confidence")
+    phrases = phrase_weights(named, mentions.withColumnRenamed("entity", "phrase"), link_k).filter("weight > 0")
+    reset = phrases.select(F.col("phrase").alias("node"), F.col("weight").alias("mass")).unionByName(passages.select(F.col("chunk_id").alias("node"), (F.col("score") * passage_weight).alias("mass")))
+    ranked = pagerank(edges, reset, damping, rounds).join(passages.select(F.col("chunk_id").alias("node")), "node", "left_semi")
+    best = ranked.select(F.col("node").alias("chunk_id"), F.round("score", 9).alias("score")).orderBy(F.col("score").desc(), "chunk_id").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "chunk_id")).cast("long"))  # k rows
+
+
+def keep_fallback(judged: DataFrame, group: str, least: int) -> DataFrame:
+    """Rows that a judge keeps; a row that it failed on stays, and where fewer than ``least`` are left the first ``least`` of the input stay.
+
+    judged: group, position, verdict (keep, drop, unparseable, error).
+    """
+    kept = F.col("verdict").isin("keep", "error")
+    n = judged.groupBy(group).agg(F.count_if(kept).alias("__kept"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("position"))
+    rows = judged.withColumn("__place", place).join(n, group)
+    return rows.filter(F.when(F.col("__kept") < least, F.col("__place") <= least).otherwise(kept)).drop("__place", "__kept")
+
+
 def delete_cascade(pairs: DataFrame, gone: DataFrame, chunk: str, item: str) -> DataFrame:
     """Items that only the deleted chunks used; pairs: (chunk, item)."""
     deleted = pairs.join(gone.select(chunk), chunk, "left_semi").select(item).distinct()
