@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import re
 
 import pandas as pd
@@ -17,10 +18,11 @@ _SENTENCE = re.compile(r"[^。！？!?；;.\n]*[。！？!?；;.\n]+|[^。！？
 
 
 def lines(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, content, start): the lines of each document with their character offsets."""
-    parts = documents.select(key, F.split(text, "\n").alias("parts"))
-    starts = F.aggregate("parts", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
-    return parts.select(key, starts.alias("starts"), F.posexplode("parts").alias("i", "content")).select(key, (F.col("i") + 1).alias("line"), "content", F.get("starts", F.col("i")).alias("start"))
+    """(key, line, content, start): the lines of each document with their character offsets, by a running sum over its lines."""
+    rows = documents.select(key, F.posexplode(F.split(text, "\n")).alias("i", "content"))
+    before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0)).cast("int")
+    return rows.select(key, (F.col("i") + 1).alias("line"), "content", start.alias("start"))
 
 
 def line_of_offset(marks: DataFrame, line_rows: DataFrame, key: str) -> DataFrame:
@@ -45,10 +47,32 @@ def heading_paths(line_rows: DataFrame, key: str, level: Column, title: Column)
     return rows.withColumn("heading_path", path).drop("__level", "__title", *[f"__h{k}" for k in range(1, 7)])
 
 
-def overlaps(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Pairs of ranges of one document that overlap; the equi-key keeps this a hash or merge join."""
-    b = b.select(F.col(key).alias("__k"), *[F.col(c).alias(f"other_{c}") for c in b.columns if c != key])
-    return a.join(b, (F.col(key) == F.col("__k")) & (F.col("start") <= F.col("other_end")) & (F.col("end") >= F.col("other_start"))).drop("__k")
+def overlaps(a: DataFrame, b: DataFrame, key: str, width: int = 3600) -> DataFrame:
+    """Pairs of ranges of one document that overlap.
+
+    Ranges are dealt into bins of ``width``, one row for each bin that they touch, and joined by
+    document and bin, so that a document with very many ranges is spread over tasks and
+    ranges far apart never meet. A pair counts in the first bin that both touch.
+    """
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest("end", "start") / width)))
+    left = a.withColumn("__bin", bins)
+    right = b.withColumn("__bin", bins).select(F.col(key).alias("__k"), F.col("__bin").alias("__b"), *[F.col(c).alias(f"other_{c}") for c in b.columns if c != key])
+    both = left.join(right, (F.col(key) == F.col("__k")) & (F.col("__bin") == F.col("__b"))).filter((F.col("start") <= F.col("other_end")) & (F.col("end") >= F.col("other_start")))
+    return both.filter(F.col("__bin") == F.floor(F.greatest("start", "other_start") / width)).drop("__k", "__b", "__bin")
+
+
+def matches_gold(candidates: DataFrame, gold: DataFrame, key: str) -> DataFrame:
+    """(candidate_id, gold_id): by overlapping lines, by id, or because one text holds the other; all within a document.
+
+    candidates: key, candidate_id, start, end, text; gold: key, gold_id, start, end, text.
+    The three ways are three joins: by bins of lines, by id, and by document for texts,
+    where only gold of a document meets its candidates.
+    """
+    lines_ = overlaps(candidates.select(key, "candidate_id", "start", "end"), gold.select(key, "gold_id", "start", "end"), key, 64).select("candidate_id", F.col("other_gold_id").alias("gold_id"))
+    ids = candidates.join(gold.select(key, F.col("gold_id").alias("candidate_id")), [key, "candidate_id"]).select("candidate_id", F.col("candidate_id").alias("gold_id"))
+    texts = candidates.select(key, "candidate_id", "text").join(gold.select(key, "gold_id", F.col("text").alias("g")), key)
+    held = texts.filter((F.col("text") != "") & (F.col("g") != "") & (F.contains("text", "g") | F.contains("g", "text"))).select("candidate_id", "gold_id")
+    return lines_.unionByName(ids).unionByName(held).distinct()
 
 
 def nearby(blocks: DataFrame, tables: DataFrame, keys: list[str], gap: int = LINE_GAP, most: int = MOST_LINKS) -> DataFrame:
@@ -215,3 +239,107 @@ def fuzzy_match(names: DataFrame, known: DataFrame, cutoff: float = 0.85) -> Dat
     pairs = a.join(b, "gram").filter(long_enough & (F.get(F.array_intersect("rare", "match_rare"), F.lit(0)) == F.col("gram")))
     scored = pairs.select("name", "match", score("name", "match").alias("ratio")).filter(F.col("ratio") >= cutoff)
     return scored.groupBy("name").agg(F.max_by(F.struct("match", "ratio"), F.struct("ratio", "match")).alias("m")).select("name", "m.match", "m.ratio")
+
+
+# --- text around tables -------------------------------------------------------------------------
+
+ATOM_SCHEMA = "document_id string, atom_index int, atom_id string, content string, char_start int, char_end int, byte_start int, byte_end int, line_start int, line_end int, heading_path array<string>, content_sha256 string"
+_ATOM_ARROW = pa.schema(
+    [("document_id", pa.string()), ("atom_index", pa.int32()), ("atom_id", pa.string()), ("content", pa.string()), *[(n, pa.int32()) for n in ("char_start", "char_end", "byte_start", "byte_end", "line_start", "line_end")], ("heading_path", pa.list_(pa.string())), ("content_sha256", pa.string())]
+)
+_TABLE_SPAN = re.compile(r"<\s*table\b.*?<\s*/\s*table\s*>", re.S | re.I)
+_PARAGRAPH = re.compile(r"\S[^\n]*(?:\n[^\S\n]*\S[^\n]*)*")
+
+
+def atoms(text: str) -> list[dict]:
+    """The paragraphs of a text outside its tables and headings, with character, byte and line ranges.
+
+    A paragraph is a run of lines that are not blank; a heading line ends one and is none. A table ends one too.
+    """
+    out: list[dict] = []
+    path: list[tuple[int, str]] = []
+    at, byte, line = 0, 0, 1
+
+    def advance(to: int) -> tuple[int, int]:
+        nonlocal at, byte, line
+        byte += len(text[at:to].encode("utf-8", "surrogatepass"))
+        line += text.count("\n", at, to)
+        at = to
+        return byte, line
+
+    spans = [*[(m.start(), m.end()) for m in _TABLE_SPAN.finditer(text)], (len(text), len(text))]
+    begin = 0
+    for table_start, table_end in spans:
+        for m in _PARAGRAPH.finditer(text, begin, table_start):
+            start = m.start()
+            for part in re.split(r"(?<=\n)", m[0]):
+                stop = start + len(part)
+                if (h := _HEADING.match(part.rstrip("\n"))) is not None:
+                    path = [x for x in path if x[0] < len(h[1])] + [(len(h[1]), h[2])]
+                elif out and out[-1]["char_end"] == start and out[-1]["open"]:
+                    out[-1]["char_end"] = stop
+                    start = stop
+                    continue
+                else:
+                    out.append({"char_start": start, "char_end": stop, "open": True, "heading_path": [t for _, t in path]})
+                    start = stop
+                    continue
+                if out:
+                    out[-1]["open"] = False
+                start = stop
+            if out:
+                out[-1]["open"] = False
+        begin = table_end
+    for x in out:
+        content = text[x["char_start"] : x["char_end"]].rstrip()
+        x["char_end"] = x["char_start"] + len(content)
+        x["content"] = content
+        x["byte_start"], x["line_start"] = advance(x["char_start"])
+        x["byte_end"], x["line_end"] = advance(x["char_end"])
+        del x["open"]
+    return out
+
+
+def text_atoms(documents: DataFrame, document_id: str, text: str) -> DataFrame:
+    """The atoms of each document with ids from their document, place and content. Documents are read one by one."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k, x in enumerate(atoms(body or "")):
+                    digest = hashlib.sha256(x["content"].encode("utf-8", "surrogatepass")).hexdigest()
+                    name = hashlib.sha256(f"{doc}|{x['char_start']}|{digest}".encode()).hexdigest()[:20]
+                    out.append({**x, "document_id": doc, "atom_index": k, "atom_id": f"atom_{name}", "content_sha256": digest})
+            yield pa.RecordBatch.from_pylist(out, schema=_ATOM_ARROW)
+
+    return documents.select(documents[document_id].cast("string"), text).mapInArrow(run, ATOM_SCHEMA)
+
+
+def text_blocks(atom_rows: DataFrame, most: int) -> DataFrame:
+    """Atoms cut into blocks of at most ``most`` characters: document_id, atom_id, block, content."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length("content"), F.lit(1)), F.lit(most))
+    cut = atom_rows.select("document_id", "atom_id", "content", F.posexplode(starts).alias("block", "at"))
+    return cut.select("document_id", "atom_id", "block", F.substring("content", F.col("at"), F.lit(most)).alias("content"))
+
+
+def project_atoms(units: DataFrame, atom_rows: DataFrame) -> DataFrame:
+    """Units (unit_id, document_id, array atom_ids) with their atoms' contents in order; ``missing`` counts ids that the document does not have."""
+    parts = units.select("unit_id", "document_id", F.posexplode("atom_ids").alias("at", "atom_id"))
+    met = parts.join(atom_rows.select("atom_id", "document_id", "content"), ["atom_id", "document_id"], "left")
+    own = met.groupBy("unit_id", "document_id").agg(F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("at", "content")))).alias("a"), F.count_if(F.col("content").isNull()).alias("missing"))
+    return own.select("unit_id", "document_id", F.transform("a", lambda x: x["content"]).alias("contents"), "missing")
+
+
+def align_chunks(chunks: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """Chunks with their only place in the source, white space aside: ``aligned`` with start and end, ``missing`` or ``ambiguous``.
+
+    chunks: key, chunk_id, content; documents: key, text. Places are in the text without white space.
+    """
+    bare = lambda c: F.regexp_replace(F.col(c), r"(?U)\s+", "")
+    both = chunks.select(key, "chunk_id", bare("content").alias("c")).join(documents.select(key, bare("text").alias("t")), key, "left")
+    first = F.expr("locate(c, coalesce(t, ''))")
+    second = F.expr("locate(c, coalesce(t, ''), locate(c, coalesce(t, '')) + 1)")
+    status = F.when((F.col("c") == "") | (first == 0), "missing").when(second > 0, "ambiguous").otherwise("aligned")
+    start = F.when(status == "aligned", first - 1)
+    return both.select(key, "chunk_id", status.alias("status"), start.alias("start"), (start + F.length("c")).alias("end"))

@@ -73,7 +73,11 @@ def risk_validation(spark: SparkSession, sf: str) -> DataFrame:
 # --- state --------------------------------------------------------------------------------------
 
 
-@_query("rate_limit_state")
+@_query("rate_limit_state", """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  w AS (SELECT key, event_id, n, true AS accepted, NULL::DOUBLE AS before, t AS last FROM e WHERE n = 1 UNION ALL
+    SELECT e.key, e.event_id, e.n, before IS NULL OR before <= t - 86400, CASE WHEN before IS NULL OR before <= t - 86400 THEN last ELSE before END, CASE WHEN before IS NULL OR before <= t - 86400 THEN t ELSE last END
+    FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1)
+  SELECT key, event_id, accepted FROM w""")
 def rate_limit_state(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at")).withColumn("at", F.col("at") / 1e6)
     return stateful.rate_limit(rows, 2, 86_400).select("key", "event_id", "accepted")

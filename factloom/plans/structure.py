@@ -59,9 +59,12 @@ def header_bands(spark: SparkSession, sf: str) -> DataFrame:
     return _extracted(spark, sf).select("document_id", F.array_join(F.transform("header_rows", lambda x: x.cast("string")), ",").alias("header_rows"), "data_start")
 
 
-@_query("table_edges")
+@_query("table_edges", """WITH r AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS k, o_orderkey::VARCHAR AS a, o_orderstatus AS b, o_totalprice::DECIMAL(18,2)::VARCHAR AS c FROM orders
+    UNION ALL SELECT DISTINCT o_custkey, 1, 'Key', 'Status', 'Price' FROM orders)
+  SELECT 'C' || o_custkey AS document_id, 0 AS table_index, count(*) * 3 AS n, md5(string_agg('(row' || k || '; Key; ' || a || ')|(row' || k || '; Detail; ' || b || ')|(row' || k || '; Detail; ' || c || ')', '|' ORDER BY k)) AS digest FROM r GROUP BY o_custkey""")
 def table_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.edge_list(tables.cells(_extracted(spark, sf)))
+    rows = tables.edge_list(tables.cells(_extracted(spark, sf)))
+    return rows.select("document_id", "table_index", F.size("edges").cast("long").alias("n"), F.md5(F.array_join("edges", "|")).alias("digest"))
 
 
 @_query("row_evidence", """SELECT 'C' || o_custkey AS document_id, o_orderkey || ': Detail=' || o_orderstatus || '; Detail=' || o_totalprice::DECIMAL(18,2)::VARCHAR AS display_text FROM orders
@@ -82,7 +85,12 @@ def _markdown():
     return F.regexp_replace("text", r"(?m)^([^\n]{1,60}\.)$", "## $1").alias("text")
 
 
-@_query("heading_outline")
+_MARKED = r"regexp_replace(text, '(?m)^([^\n]{1,60}\.)$', '## \1', 'g')"
+_MARKED_LINES = f"l AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) AS line, unnest(string_split(t, chr(10))) AS content FROM (SELECT doc_id, {_MARKED} AS t FROM documents))"
+_IS_HEADING = r"regexp_matches(content, '^#{1,6}\s+\S')"
+
+
+@_query("heading_outline", f"""WITH {_MARKED_LINES} SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE line >= first) AS below_heading FROM l LEFT JOIN (SELECT doc_id, min(line) AS first FROM l WHERE regexp_matches(content, '^#{{1,6}}\\s') GROUP BY 1) USING (doc_id) GROUP BY doc_id""")
 def heading_outline(spark: SparkSession, sf: str) -> DataFrame:
     rows = chunking.lines(table(spark, sf, "documents").select("doc_id", _markdown()), "doc_id", "text")
     level = F.nullif(F.length(F.regexp_extract("content", r"^(#{1,6})\s", 1)), F.lit(0))
@@ -90,14 +98,20 @@ def heading_outline(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.size("heading_path") > 0).alias("below_heading"))
 
 
-@_query("markdown_chunks")
+def _kept(rows: DataFrame, most: int) -> DataFrame:
+    """Per document how many characters its chunks hold, white space aside, and whether all are short enough."""
+    bare = F.length(F.regexp_replace("content", r"(?U)\s+", ""))
+    return rows.groupBy("document_id").agg(F.sum(bare).alias("kept"), (F.max("n_chars") <= most).alias("within"))
+
+
+@_query("markdown_chunks", f"""WITH {_MARKED_LINES} SELECT doc_id::VARCHAR AS document_id, sum(length(regexp_replace(content, '\\s+', '', 'g')))::BIGINT AS kept, true AS within FROM l WHERE NOT {_IS_HEADING} GROUP BY 1 HAVING kept > 0""")
 def markdown_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.markdown_chunks(table(spark, sf, "documents").select("doc_id", _markdown()), "doc_id", "text").select("document_id", "chunk_index", "n_chars")
+    return _kept(chunking.markdown_chunks(table(spark, sf, "documents").select("doc_id", _markdown()), "doc_id", "text"), 1200)
 
 
-@_query("retrieval_units")
+@_query("retrieval_units", f"""WITH {_MARKED_LINES} SELECT doc_id::VARCHAR AS document_id, sum(length(regexp_replace(content, '\\s+', '', 'g')))::BIGINT AS kept, true AS within FROM l WHERE NOT {_IS_HEADING} GROUP BY 1 HAVING kept > 0""")
 def retrieval_units(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.retrieval_units(table(spark, sf, "documents").select("doc_id", _markdown()), "doc_id", "text").select("document_id", "chunk_index", "n_chars")
+    return _kept(chunking.retrieval_units(table(spark, sf, "documents").select("doc_id", _markdown()), "doc_id", "text"), 1800)
 
 
 @_query("token_windows", """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
@@ -125,9 +139,6 @@ def line_asof_offset(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.line_of_offset(marks, chunking.lines(docs, "doc_id", "text"), "doc_id")
 
 
-_RANGE = "epoch(ts)::BIGINT // 60"
-
-
 @_query("interval_overlap_join", """WITH e AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT + 3600 AS t FROM events)
   SELECT a.event_id, b.event_id AS other_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.s <= b.t AND a.t >= b.s WHERE a.event_id < b.event_id""")
 def interval_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,3 +176,77 @@ def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
     length = F.length("name")
     forms = F.array(F.col("name"), F.substring(F.col("name"), F.lit(2), length), F.substring(F.col("name"), F.lit(1), length - 1))
     return chunking.fuzzy_match(known.select(F.explode(forms).alias("name")), known, 0.9)
+
+
+# --- tables and text side by side -----------------------------------------------------------------
+
+
+@_query("grid_reconstruction", "SELECT 'C' || o_custkey AS document_id, 3 * (count(*) + 2) AS covered, 0 AS mismatches, 3 * (count(*) + 2) - 2 AS cells FROM orders GROUP BY o_custkey")
+def grid_reconstruction(spark: SparkSession, sf: str) -> DataFrame:
+    """One cell spans two columns, one two rows: two places more than cells."""
+    return tables.grid_mismatches(_extracted(spark, sf)).select("document_id", "covered", "mismatches", F.col("cells").cast("long").alias("cells"))
+
+
+@_query("table_readiness", "SELECT 'C' || o_custkey AS document_id, NULL::VARCHAR AS failure FROM orders GROUP BY o_custkey UNION ALL SELECT 'none', 'parse_status_empty'")
+def table_readiness(spark: SparkSession, sf: str) -> DataFrame:
+    empty = spark.createDataFrame([("none", "<table><tr><td></td></tr></table>")], "document_id string, text string")
+    both = _html_tables(spark, sf).unionByName(empty)
+    return tables.readiness(tables.extract_tables(both, "document_id", "text")).select("document_id", "failure")
+
+
+@_query("unique_cells", """WITH k AS (SELECT o_custkey, o_orderstatus AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS r FROM orders)
+  SELECT 'C' || o_custkey AS document_id, r::INTEGER AS row_index, 'matched' AS status, 1 AS col_index FROM k UNION ALL SELECT 'C' || o_custkey, 1, 'missing', NULL FROM orders GROUP BY o_custkey""")
+def unique_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order's status is looked for in its row; in the second header row it is not."""
+    cells = tables.cells(_extracted(spark, sf))
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) + 1
+    wanted = table(spark, sf, "orders").select(F.concat(F.lit("C"), "o_custkey").alias("document_id"), at.alias("row_index"), F.col("o_orderstatus").alias("raw_value"))
+    wanted = wanted.unionByName(wanted.select("document_id").distinct().select("document_id", F.lit(1).alias("row_index"), F.lit("F").alias("raw_value")))
+    asked = wanted.withColumns({"table_index": F.lit(0), "column_label": F.lit("Detail")})
+    return tables.find_unique(asked, cells).select("document_id", "row_index", "status", "col_index")
+
+
+@_query("text_atoms", r"""WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\r\f\v]*\n'), lambda x: rtrim(ltrim(x, chr(10)), ' ' || chr(10) || chr(9) || chr(13))), lambda x: regexp_matches(x, '\S'))) AS content FROM documents WHERE NOT regexp_matches(text, '(?m)^#'))
+  SELECT doc_id::VARCHAR AS document_id, count(*) AS atoms, sum(length(regexp_replace(content, '\s+', '', 'g')))::BIGINT AS chars, true AS exact FROM p GROUP BY 1""")
+def text_atoms(spark: SparkSession, sf: str) -> DataFrame:
+    """Paragraphs of documents without headings; ``exact`` holds character and byte ranges against the text."""
+    docs = table(spark, sf, "documents").filter("NOT text RLIKE '(?m)^#'").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    rows = chunking.text_atoms(docs, "document_id", "text").join(docs, "document_id")
+    cut = F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("content")
+    raw = F.expr("substring(encode(text, 'UTF-8'), byte_start + 1, byte_end - byte_start) = encode(content, 'UTF-8')")
+    return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("atoms"), F.sum(F.length(F.regexp_replace("content", r"(?U)\s+", ""))).alias("chars"), F.every(cut & raw).alias("exact"))
+
+
+@_query("text_blocks", """WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS c FROM documents WHERE length(trim(string_split(text, chr(10))[1])) > 0) SELECT doc_id, greatest(1, ceil(length(c) / 100.0))::BIGINT AS blocks, md5(c) AS digest FROM d""")
+def text_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    first = F.split("text", "\n")[0]
+    rows = table(spark, sf, "documents").select("doc_id", F.lit("a").alias("atom_id"), first.alias("content")).filter(F.length(F.trim("content")) > 0)
+    out = chunking.text_blocks(rows.withColumnRenamed("doc_id", "document_id"), 100)
+    own = out.groupBy("document_id").agg(F.count(F.lit(1)).alias("blocks"), F.array_sort(F.collect_list(F.struct("block", "content"))).alias("b"))
+    return own.select(F.col("document_id").alias("doc_id"), "blocks", F.md5(F.array_join(F.transform("b", lambda x: x["content"]), "")).alias("digest"))
+
+
+@_query("atom_projection", """WITH u AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS a, l_suppkey % 3 AS d, l_extendedprice AS x FROM lineitem) SELECT l_orderkey, l_linenumber, x, CASE WHEN a % 3 = d THEN 'text ' || a ELSE '' END || CASE WHEN (a + 1) % 3 = d THEN 'text ' || (a + 1) ELSE '' END AS contents, 2 - (a % 3 = d)::INT - ((a + 1) % 3 = d)::INT AS missing FROM u""")
+def atom_projection(spark: SparkSession, sf: str) -> DataFrame:
+    known = spark.range(60).select(F.concat(F.lit("a"), "id").alias("atom_id"), F.pmod("id", F.lit(3)).alias("document_id"), F.concat(F.lit("text "), "id").alias("content"))
+    a = F.pmod("l_partkey", F.lit(50))
+    units = table(spark, sf, "lineitem").select(F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("unit_id"), F.pmod("l_suppkey", F.lit(3)).alias("document_id"), F.array(F.concat(F.lit("a"), a), F.concat(F.lit("a"), a + 1)).alias("atom_ids"))
+    out = chunking.project_atoms(units, known)
+    return out.select("unit_id.l_orderkey", "unit_id.l_linenumber", F.col("unit_id.l_extendedprice").alias("x"), F.array_join("contents", "").alias("contents"), "missing")
+
+
+@_query("chunk_alignment", r"""WITH d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t, regexp_replace(substr(text, 5, 40), '\s+', '', 'g') AS c FROM documents)
+  SELECT doc_id, CASE WHEN c = '' OR instr(t, c) = 0 THEN 'missing' WHEN instr(substr(t, instr(t, c) + 1), c) > 0 THEN 'ambiguous' ELSE 'aligned' END AS status FROM d""")
+def chunk_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    chunks = docs.select("doc_id", F.lit("c").alias("chunk_id"), F.substring("text", 5, 40).alias("content"))
+    return chunking.align_chunks(chunks, docs, "doc_id").select("doc_id", "status")
+
+
+@_query("gold_matches", """WITH e AS (SELECT event_id, user_id, epoch(ts)::BIGINT // 600 AS s, props AS text FROM events), g AS (SELECT * FROM e WHERE event_id % 5 = 0)
+  SELECT e.event_id AS candidate_id, g.event_id AS gold_id FROM e JOIN g ON e.user_id = g.user_id WHERE abs(e.s - g.s) <= 3 OR e.event_id = g.event_id OR contains(e.text, g.text) OR contains(g.text, e.text)""")
+def gold_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges of four lines overlap where their starts are at most three apart."""
+    rows = table(spark, sf, "events").select("user_id", F.col("event_id").alias("candidate_id"), F.floor(F.unix_timestamp("ts") / 600).alias("start"), F.col("props").alias("text")).withColumn("end", F.col("start") + 3)
+    gold = rows.filter("candidate_id % 5 = 0").withColumnRenamed("candidate_id", "gold_id")
+    return chunking.matches_gold(rows, gold, "user_id")

@@ -71,9 +71,18 @@ def rate_limit_stream(events: DataFrame, limit: int = LIMITS[0][0], seconds: flo
 
 
 def breaker(events: DataFrame, failures: int = BREAKER_FAILURES, seconds: int = BREAKER_SECONDS) -> DataFrame:
-    """Failures with the number in the last ``seconds``, and whether they open the breaker; columns key, event_id, at."""
-    last = Window.partitionBy("key").orderBy("at").rangeBetween(-seconds, 0)
-    return events.withColumn("recent", F.count(F.lit(1)).over(last)).withColumn("open", F.col("recent") >= failures)
+    """Failures with the number in the last ``seconds``, and whether they open the breaker; columns key, event_id, at.
+
+    Time is dealt into buckets of ``seconds``: each bucket also gets the rows of the bucket
+    before as guests, which are all that a window of its rows can reach. So a key with very
+    many failures is spread over tasks, and every row is copied once.
+    """
+    bucket = F.floor(F.col("at") / seconds)
+    places = F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("b"), F.lit(False).alias("own"))))
+    rows = events.withColumn("__p", places)
+    last = Window.partitionBy("key", "__p.b").orderBy("at").rangeBetween(-seconds, 0)
+    counted = rows.withColumn("recent", F.count(F.lit(1)).over(last)).filter("__p.own").drop("__p")
+    return counted.withColumn("open", F.col("recent") >= failures)
 
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
