@@ -237,21 +237,34 @@ def learn_lexicon(rows: list[tuple[str, int]], most: int = 256) -> dict[str, flo
     explain the same rows the longest is taken.
     """
     rows = _distinct(rows)
-    toxic = [_beginnings(t) for t, y in rows if y == 1]
+    toxic = [t for t, y in rows if y == 1]
     n1, n0 = max(1, len(toxic)), max(1, len(rows) - len(toxic))
     least = max(3, math.ceil(0.004 * n1))
-    hit: dict[str, set[int]] = {}
-    for i, t in enumerate(toxic):
-        for b in t:
-            hit.setdefault(b, set()).add(i)
-    hit = {b: s for b, s in hit.items() if len(s) >= least}
-    miss: dict[str, set[int]] = {b: set() for b in hit}
-    for i, t in enumerate(t for t, y in rows if y == 0):
-        for b in _beginnings(t) & hit.keys():
-            miss[b].add(i)
-    counts = {b: len(s) for b, s in hit.items()}
-    odds = {b: (counts[b] / n1) / ((len(miss[b]) + 1) / n0) for b in hit}
-    usable = {b for b in hit if odds[b] >= LEAST_ODDS}
+    # Counted by hash first, in a table of fixed size: what may be frequent enough is then kept with its rows.
+    slots = np.zeros(1 << 22, np.int32)
+    for t in toxic:
+        np.add.at(slots, np.array([hash(b) for b in _beginnings(t)], np.int64) & (len(slots) - 1), 1)
+    counts: dict[str, int] = {}
+    for t in toxic:
+        for b in _beginnings(t):
+            if slots[hash(b) & (len(slots) - 1)] >= least:
+                counts[b] = counts.get(b, 0) + 1
+    counts = {b: n for b, n in counts.items() if n >= least}
+    clean = [t for t, y in rows if y == 0]
+    missed = dict.fromkeys(counts, 0)
+    for t in clean:
+        for b in _beginnings(t) & counts.keys():
+            missed[b] += 1
+    odds = {b: (n / n1) / ((missed[b] + 1) / n0) for b, n in counts.items()}
+    odds = {b: x for b, x in odds.items() if x >= LEAST_ODDS}
+    usable = set(odds)
+    # The rows themselves are noted only for what is telling enough.
+    hit: dict[str, set[int]] = {b: set() for b in usable}
+    miss: dict[str, set[int]] = {b: set() for b in usable}
+    for texts, seen in ((toxic, hit), (clean, miss)):
+        for i, t in enumerate(texts):
+            for b in _beginnings(t) & usable:
+                seen[b].add(i)
     chosen: list[str] = []
     left, covered, wrong = set(usable), set(), set()
     while left and len(chosen) < most:
