@@ -76,18 +76,22 @@ def partitions(spark: SparkSession) -> int:
 HOT_ROWS = 1000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, sizes: DataFrame, how: str = "inner", total: int | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, sizes: DataFrame, how: str = "inner", total: int | None = None, most: int | None = None) -> DataFrame:
     """``left`` joined to ``right`` on ``key``, with the keys that many left rows share split over several tasks.
 
     ``sizes`` has the number ``n`` of left rows of each key, for frequent keys at
-    least, and ``total`` their sum where it is known. A key is split by the hash of column ``salt`` where it has more rows than a
+    least; ``total`` and ``most`` are their sum and maximum, where these are known. A
+    key is split by the hash of column ``salt`` where it has more rows than a
     task's fair share; there are at most as many such keys as partitions, which
     bounds the table that is broadcast. The right rows of a split key are copied to
-    each of its parts.
+    each of its parts. Where no key is that frequent, the join is a plain one.
     """
     parts = partitions(left.sparkSession)
-    total = sizes.agg(F.sum("n")).first()[0] or 0 if total is None else total
-    share = max(HOT_ROWS, total // parts)
+    if total is None:
+        total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    share = max(HOT_ROWS, (total or 0) // parts)
+    if (most or 0) <= share:
+        return left.join(right, key, how)
     hot = F.broadcast(sizes.filter(F.col("n") > share).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / share).cast("int").alias("__parts")))
     dealt = left.join(hot, left[key] == F.col("__hot"), "left")
     parts_of = F.coalesce("__parts", F.when(F.col(key).isNull(), parts), F.lit(1))  # null keys match nothing and may stand anywhere

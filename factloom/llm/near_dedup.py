@@ -42,7 +42,7 @@ K = BANDS * ROWS
 BITS = 2
 SLACK = 5.5
 #: Rounds with one comparison per member before the complete one, at most.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 #: Rows of a block of the complete round, on either side.
 LEFT_BLOCK, RIGHT_BLOCK = 256, 512
 #: Bytes of bitmaps that a block may take before it is halved.
