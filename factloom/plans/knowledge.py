@@ -198,8 +198,14 @@ _cases_query(
     [("营业收入是多少", "ok/2021/default_report_year"), ("2021年年报中2020年的收入", "ok/2020/explicit_metric_year"), ("2019年度报告的收入", "report_year_mismatch"), ("2020年年报与2021年年报", "report_year_ambiguous"), ("2019年和2020年收入", "metric_year_ambiguous"), ("2021年的收入", "ok/2021/explicit_metric_year")],
     lambda c: F.concat_ws("/", text.question_years(c, F.lit(2021))["status"], text.question_years(c, F.lit(2021))["metric_year"].cast("string"), text.question_years(c, F.lit(2021))["year_resolution"]),
 )
-_LABELS = F.array(F.struct(F.lit("毛利率").alias("label"), F.lit(0.8).alias("confidence"), F.lit("毛利率上升 12.5%").alias("about")), F.struct(F.lit("风险").alias("label"), F.lit(0.5).alias("confidence"), F.lit("汇率风险").alias("about")))
+
+
+def _labels():
+    label = lambda name, sure, about: F.struct(F.lit(name).alias("label"), F.lit(sure).alias("confidence"), F.lit(about).alias("about"))
+    return F.array(label("毛利率", 0.8, "毛利率上升 12.5%"), label("风险", 0.5, "汇率风险"))
+
+
 _cases_query(
     # 25 x confidence for each label found, 0.7 for each of 毛利 利率 率上 上升 风险 汇率 率风 found, 5 for 12.5%.
-    "label_relevance", [("", "-1.0"), ("毛利率上升", "22.8"), ("汇率风险与12.5%", "19.6"), ("无关", "0.0")], lambda c: F.round(text.label_relevance(c, _LABELS), 6).cast("string")
+    "label_relevance", [("", "-1.0"), ("毛利率上升", "22.8"), ("汇率风险与12.5%", "19.6"), ("无关", "0.0")], lambda c: F.round(text.label_relevance(c, _labels()), 6).cast("string")
 )

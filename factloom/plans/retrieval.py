@@ -171,7 +171,7 @@ def bucket_summary(spark: SparkSession, sf: str) -> DataFrame:
 @_query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     rows = evaluation.demo_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
-    return evaluation.bootstrap(rows, "doc_id", "score", 1000)
+    return evaluation.bootstrap(rows, "doc_id", "score")
 
 
 @_query("min_max_normalize", "SELECT doc_id, round(coalesce((n_chars - min(n_chars) OVER (PARTITION BY lang))::DOUBLE / nullif(max(n_chars) OVER (PARTITION BY lang) - min(n_chars) OVER (PARTITION BY lang), 0), 1), 9) AS score FROM documents")
