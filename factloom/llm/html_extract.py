@@ -1,15 +1,17 @@
 """Main-content extraction by minimum-cut labelling.
 
-A page is cut into blocks at block-level tags. A linear classifier of a block's
-own statistics (words, links, sentence ends, kind of element) gives it a cost for
-being called content and a cost for being called boilerplate; these become the
-capacities of its edges to the two terminals. Elements whose tag, role or class
-speaks for content or for boilerplate are nodes too, held by their terminal.
-Smoothness edges tie each block to the nearest such element above it, to the block
-that follows and to the next block of its parent element, stronger the closer they
-stand in the DOM. A maximum flow from source to sink gives the labelling of least
-total cost; the blocks of the source side are the main text. So a short line of an
-article stays and a long advert goes, whatever the classifier says of it alone.
+A page is cut into blocks at block-level tags. A linear classifier of a block
+(words, links, sentence ends, kind of element, and what the tags and class words above
+it say of boilerplate) gives it a cost for being called content and a cost for being
+called boilerplate; these become the capacities of its edges to the two terminals.
+Much text weighs more than one word of a class. Elements that speak for content are
+nodes held by the source, with an edge to each of their blocks that is weaker than
+a short line's own cost; only the first block is tied firmly. Smoothness edges tie each
+block to the block that follows and to the next block of its parent element, stronger
+the closer they stand in the DOM. A maximum flow from source to sink gives the labelling
+of least total cost; the blocks of the source side are the main text, and where both
+labels cost the same a block is boilerplate. So a lone word of an article stays because
+its neighbours do, whatever the classifier says of it alone.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -46,15 +48,20 @@ CONTENT_WORDS = frozenset("article content entry post story main body text prose
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising banner promo promoted promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar side aside widget related recommended popular trending comment comments reply replies discussion disqus share sharing social follow cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login toolbar pagination pager tags tagcloud copyright legal disclaimer search masthead skip hidden feedback rating".split()
 )
-#: Capacity of a block's edge to the element above it that speaks: by tag, role or attribute, and by class words, milder.
-BY_TAG, BY_CLASS = 4.0, 2.5
+#: Of these, what readers write: it reads like an article, so that only the word tells it.
+READER_WORDS = frozenset("comment comments reply replies discussion disqus".split())
+#: Classifier weights of an element above that speaks for boilerplate: by tag, role, attribute or reader's word, and by other class words.
+BY_TAG, BY_CLASS = 4.0, 2.2
+#: Capacity of a block's edge to the element above it that speaks for content: the first block's, the others', and what is
+#: added to these where all of its blocks are short lines (in proportion where some are): then short lines tell nothing.
+FIRST, TIE, LINES = 2.0, 0.4, 1.0
 #: Classifier weights of a block's own statistics in favour of content, and the bound of their sum: bias, log words, share
 #: of characters in links, sentence ends, and the element that holds it.
-BIAS, LOG_WORDS, LINKED, SENTENCE, BOUND = -1.2, 0.6, -2.5, 0.3, 2.0
+BIAS, LOG_WORDS, LINKED, SENTENCE, BOUND = -1.5, 0.6, -2.5, 0.3, 4.0
 HOLDERS = {"p": 0.6, "h1": 1.5, "h2": 0.6, "h3": 0.6, "blockquote": 0.6, "pre": 0.6}
 #: Smoothness: neighbours in page order, each step apart in the tree dividing it, and neighbours below one parent; between
 #: blocks that stand under different speaking elements so much of it is left.
-NEXT, SIBLING, BORDER = 0.4, 0.8, 0.25
+NEXT, SIBLING, BORDER = 0.4, 1.0, 0.25
 
 _SPLIT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -64,12 +71,33 @@ _LAYOUT = re.compile(r"(?<![a-z])(?:with|without|has|have|no)[-_]+[\w-]+")
 _SIDE = re.compile(r"(?<![a-z])(?:sidebar|aside|nav|header|footer)[-_]+(?:left|right|top|bottom|open|closed|enabled|disabled|fixed|sticky|layout)(?![a-z])")
 
 
-@dataclass
+class Place:
+    """A block-level element: the one above it, and how deep it stands."""
+
+    __slots__ = ("above", "depth")
+
+    def __init__(self, above: Place | None):
+        self.above, self.depth = above, above.depth + 1 if above else 0
+
+
+def steps(a: Place, b: Place) -> int:
+    """Edges of the tree between two elements. Of blocks that follow each other, all elements on the way end or begin between them."""
+    n = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.above
+        else:
+            b = b.above
+        n += 1
+    return n
+
+
+@dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[int, ...]  # element numbers from the root down
-    holder: str  # tag of the innermost block element
-    spoken: tuple[int, float] | None  # nearest element that speaks: its number, and its edge's capacity, negative for boilerplate
+    place: Place  # the innermost block element
+    holder: str  # its tag
+    spoken: tuple[int, float] | None  # nearest element that speaks: its number, and how much, negative for boilerplate
     linked: float  # share of characters inside links
 
 
@@ -95,7 +123,7 @@ def _speaks(tag: str, attributes: str, above: tuple[int, float] | None) -> float
                 value = _LAYOUT.sub(" ", value)
                 words = set(_WORDS.findall(_SIDE.sub(" ", value) if tag in CONTENT_TAGS else value))
                 if words & BOILERPLATE_WORDS and tag not in ("html", "body"):  # the whole page is no boilerplate of itself
-                    says.append(-BY_CLASS)
+                    says.append(-BY_TAG if words & READER_WORDS else -BY_CLASS)
                 elif words & CONTENT_WORDS:
                     says.append(BY_CLASS)
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
@@ -107,8 +135,10 @@ def _speaks(tag: str, attributes: str, above: tuple[int, float] | None) -> float
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; raw elements and comments hold none."""
     out: list[Block] = []
-    # (tag, element number, nearest element that speaks, whether inside a link)
-    stack: list[tuple[str, int, tuple[int, float] | None, bool]] = [("", 0, None, False)]
+    root = Place(None)
+    # (tag, innermost block element, its tag, nearest element that speaks, whether inside a link)
+    stack: list[tuple[str, Place, str, tuple[int, float] | None, bool]] = [("", root, "", None, False)]
+    open_: Counter[str] = Counter()  # tags on the stack, so that none is looked for in vain
     parts: list[str] = []
     linked, number, at, raw = 0, 0, 0, ""
 
@@ -117,11 +147,16 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                holder = [e for e in stack if e[0] in BLOCK_TAGS or not e[0]]
-                out.append(Block(text, tuple(e[1] for e in holder), holder[-1][0], stack[-1][2], min(1.0, linked / len(text))))
+                _, place, holder, spoken, _ = stack[-1]
+                out.append(Block(text, place, holder, spoken, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
+    def cut(k: int):
+        for e in stack[k:]:
+            open_[e[0]] -= 1
+        del stack[k:]
+
     for m in _SPLIT.finditer(page):
         if raw:  # nothing counts but the end tag of the raw element
             if m[1] and m[2].lower() == raw:
@@ -130,7 +165,7 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
-            if stack[-1][3]:
+            if stack[-1][4]:
                 linked += len(piece)
         at = m.end()
         if not m[2]:
@@ -146,29 +181,33 @@ def blocks(page: str) -> list[Block]:
             if tag in VOID_TAGS:
                 continue
             shut = CLOSES.get(tag) or (("p",) if tag in BLOCK_TAGS else ())
-            if shut:
+            if any(open_[x] > 0 for x in shut):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in shut:
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k][0] in SCOPES:
                         break
             number += 1
-            top = stack[-1]
-            says = _speaks(tag, m[3], top[2])
-            stack.append((tag, number, (number, says) if says else top[2], top[3] or tag == "a"))
+            _, place, holder, spoken, link = stack[-1]
+            says = _speaks(tag, m[3], spoken)
+            if tag in BLOCK_TAGS:
+                place, holder = Place(place), tag
+            stack.append((tag, place, holder, (number, says) if says else spoken, link or tag == "a"))
+            open_[tag] += 1
         else:
             if tag in BLOCK_TAGS:
                 close_block()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if open_[tag] > 0:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == tag:
+                        cut(k)
+                        break
     if not raw and at < len(page):
         rest = page[at:]
         # A tag that the page breaks off is markup, a lone sign is text.
-        cut = re.search(r"<[a-zA-Z/!?]", rest)
-        parts.append(rest[: cut.start()] if cut else rest)
+        broken = re.search(r"<[a-zA-Z/!?]", rest)
+        parts.append(rest[: broken.start()] if broken else rest)
     close_block()
     return out
 
@@ -186,12 +225,8 @@ def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
     last_of: dict[int, int] = {}
     for i, block in enumerate(found):
         if i:
-            a, b = found[i - 1].path, block.path
-            same = 0
-            while same < min(len(a), len(b)) and a[same] == b[same]:
-                same += 1
-            edges[i - 1, i] = NEXT / (1 + len(a) + len(b) - 2 * same)
-        parent = block.path[-2] if len(block.path) > 1 else 0
+            edges[i - 1, i] = NEXT / (1 + steps(found[i - 1].place, block.place))
+        parent = id(block.place.above)
         if parent in last_of:
             j = last_of[parent]
             edges[j, i] = edges.get((j, i), 0.0) + SIBLING / (1 + math.log1p(i - j - 1))
@@ -200,21 +235,21 @@ def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
 
 
 def graph(found: list[Block]) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
-    """Capacities from the source, to the sink, and between nodes: the blocks, then the elements that speak."""
+    """Capacities from the source, to the sink, and between nodes: the blocks, then the elements that speak for content."""
     pairs, edges = [costs(b) for b in found], smoothness(found)
     source, sink = [a for a, _ in pairs], [b for _, b in pairs]
-    nodes: dict[tuple[int, float], int] = {}
-    ties: list[float] = []
+    under: dict[tuple[int, float], list[int]] = {}
     for i, block in enumerate(found):
-        if block.spoken:
-            node = nodes.setdefault(block.spoken, len(found) + len(nodes))
-            if node == len(found) + len(ties):
-                ties.append(0.0)
-            ties[node - len(found)] += abs(block.spoken[1])
-            edges.append((i, node, abs(block.spoken[1])))
-    for (_, says), tie in zip(nodes, ties):  # more than all its edges: the element stays with its terminal
-        source.append(tie + 1 if says > 0 else 0.0)
-        sink.append(tie + 1 if says < 0 else 0.0)
+        if block.spoken and block.spoken[1] > 0:
+            under.setdefault(block.spoken, []).append(i)
+        elif block.spoken:
+            sink[i] -= block.spoken[1]
+    for own in under.values():
+        node = len(source)
+        tie = TIE + LINES * sum(source[i] < sink[i] for i in own) / len(own)
+        edges += [(i, node, tie) for i in own[1:]] + [(own[0], node, FIRST)]
+        source.append(FIRST + tie * len(own) + 1)  # more than all its edges: the element stays with its terminal
+        sink.append(0.0)
     return source, sink, edges
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from html import unescape
 from html.parser import HTMLParser
 
@@ -109,3 +110,52 @@ def test_class_words_are_mild():
 def test_clashing_columns(spark):
     rows = spark.range(3).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("<article><p>Some text.</p></article>").alias("html"), F.lit(1).alias("text"), F.lit("x").alias("n_chars"))
     assert [(r["text"], r["n_chars"]) for r in h.main_text(rows).collect()] == [("Some text.", 10)] * 3
+
+
+def test_smoothness_alone_decides_pages(spark):
+    """Without edges between neighbours, the ties to elements left in place, pages lose lines of their article."""
+    wrong = changed = 0
+    for (page,) in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect():
+        found = h.blocks(page)
+        source, sink, edges = h.graph(found)
+        near = {(i, j) for i, j, _ in h.smoothness(found)}
+        without = h.min_cut(source, sink, [e for e in edges if e[:2] not in near])
+        changed += sum(a != b for a, b in zip(h.min_cut(source, sink, edges)[: len(found)], without))
+        wrong += " ".join(b.text for b, keep in zip(found, without) if keep) != _article(page)
+    assert wrong > 10 and changed > 10
+
+
+def _nearest(page):
+    """The text by the nearest element that speaks, and by nothing else."""
+    return " ".join(b.text for b in h.blocks(page) if b.spoken and b.spoken[1] > 0)
+
+
+PROSE = "The river rises in the hills above the town and meets the sea below the old harbour wall. "
+
+
+def test_labels_are_not_those_of_the_nearest_element_that_speaks():
+    long = (PROSE * 9).strip()
+    # Much text weighs more than a class word that layouts use for anything.
+    assert h.extract(f"<body><div class=widget><p>{long}</p></div><div class=widget><a href=/x>More</a></div></body>") == long != _nearest(f"<div class=widget><p>{long}</p></div>")
+    # Where nothing speaks, statistics and neighbours find the text, and leave the links out.
+    page = f"<body><div><a href=/1>Home</a></div><div><p>{long}</p><p>Indeed</p><p>{long}</p></div><div><a href=/2>About</a></div></body>"
+    assert h.extract(page) == f"{long} Indeed {long}" and _nearest(page) == ""
+    # Links inside an article are no part of it because it stands around them.
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Elsewhere {i}</a></li>" for i in range(6)) + "</ul>"
+    page = f"<article><p>{long}</p><p>{long}</p>{links}</article>"
+    assert h.extract(page) == f"{long} {long}" != _nearest(page)
+    # What readers write reads like an article; there the word counts more.
+    assert h.extract(f"<article><p>{long}</p></article><div class=comments><p>{long}</p></div>") == long
+
+
+def test_articles_of_short_lines_stay_whole():
+    for lines in (["So"], ["a", "b"], ["x"] * 200, ["one two", "three"] * 50 + [PROSE.strip()] * 3):
+        assert h.extract("<nav><a href=/>x</a></nav><article><h1>Of</h1>" + "".join(f"<p>{x}</p>" for x in lines) + "</article><footer>All rights</footer>") == " ".join(["Of", *lines])
+
+
+def test_deep_and_long_pages_stay_cheap():
+    began = time.process_time()
+    assert h.extract("<div>a b c " * 100_000) == ""
+    assert h.extract("<article>" + "<p>x" * 50_000) == " ".join(["x"] * 50_000)
+    assert h.extract("<div></x><b>" * 50_000) == ""
+    assert time.process_time() - began < 30
