@@ -110,24 +110,29 @@ def held_out(doc_id):
 TRAIN_CHARS = 64_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int = TRAIN_CHARS) -> list:
-    """At most ``per_class`` training rows of each label value, as (text, label), in a fixed order.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int = TRAIN_CHARS) -> DataFrame:
+    """At most ``per_class`` training rows of each label value: doc_id, y, text, one row an id.
 
-    Rows and ``chars`` bound what a classifier learns from and what the driver
-    holds. Held out rows, null ids, null labels, null texts and longer texts are
-    left out. An id with both labels counts as 1; of rows that repeat an id the
-    smallest text stands. Rows are taken in the order of a hash of the id, so that
-    the sample does not depend on partitions.
+    Rows and ``chars`` bound what a classifier learns from. Held out rows, null ids, null
+    labels, null texts and longer texts are left out before rows are counted. An id with both
+    labels counts as 1; of rows that repeat an id the smallest text stands. Rows are taken
+    in the order of a hash of the id, so that the sample does not depend on partitions.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") <= chars)
+    usable = usable.join(texts.select("doc_id"), "doc_id", "left_semi")
     chosen = None
     for value in (0, 1):
         part = usable.filter(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     # The sample has at most 2 * per_class rows of 12 bytes, whatever the input's size.
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.filter(F.length("text") <= chars).groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int = TRAIN_CHARS) -> list:
+    """``labelled_rows`` on the driver, as (text, label) in a fixed order; ``per_class`` and ``chars`` bound what it holds."""
+    rows = labelled_rows(docs, labels, label, per_class, chars).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [(r["text"], r["y"]) for r in rows]
 

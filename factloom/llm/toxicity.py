@@ -30,13 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import held_out, labelled_sample, small_batches
+from factloom.llm.common import drop, held_out, labelled_rows, materialise, partitions, small_batches
 
 THRESHOLD = 0.3
 #: Training rows of each label value that the lexicon and the weights are learned from, at most.
 TRAIN_PER_CLASS = 2000
-#: Folds of the cross-fitting.
+#: Folds of the cross-fitting, and the ridges that they choose among.
 FOLDS = 3
+RIDGES = (0.1, 1.0, 10.0)
 
 #: Seed words of the lexical transducer, in English, German, French and Spanish.
 INSULTS = ("idiot", "moron", "imbecile", "stupid", "dumb", "fool", "jerk", "loser", "scum", "trash", "vermin", "filth", "worthless", "pathetic", "disgusting", "clown", "coward", "dummkopf", "abschaum", "salaud", "ordure", "imbécil", "basura")
@@ -215,56 +216,41 @@ def _beginnings(text: str) -> set[str]:
     return out
 
 
-def _distinct(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """Rows without copies and near copies, whose rare words would look like evidence."""
+def _marks(text: str) -> list[int]:
+    """The least hashes of the text's passages of five words: near copies share one."""
+    w = text.split()
+    return sorted({xxhash.xxh64_intdigest(" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))})[:4]
+
+
+def _distinct(rows: list[tuple[int, int, list[int]]]) -> set[int]:
+    """Numbers of rows (number, label, marks) without copies and near copies, whose rare words would look like evidence."""
     seen: set[tuple[int, int]] = set()
-    out = []
-    for text, y in rows:
-        w = text.split()
-        marks = sorted({xxhash.xxh64_intdigest(" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))})[:4]
+    out = set()
+    for number, y, marks in rows:
         keys = {(y, m) for m in marks}
         if not keys & seen:
-            out.append((text, y))
+            out.add(number)
         seen |= keys
     return out
 
 
-def learn_lexicon(rows: list[tuple[str, int]], most: int = 256) -> dict[str, float]:
+def _least(n1: int) -> int:
+    """Toxic rows that a word or beginning must stand in."""
+    return max(3, math.ceil(0.004 * n1))
+
+
+def choose(counts: dict[str, int], hit: dict[str, set[int]], miss: dict[str, set[int]], n1: int, n0: int, most: int = 256) -> dict[str, float]:
     """Words and beginnings that mark toxic rows, with log-odds weights; seeds always belong to it.
 
-    First those that explain rows which nothing else explains (a greedy cover),
-    then all others that are as telling and frequent. Of nested beginnings that
-    explain the same rows the longest is taken.
+    ``counts``: toxic rows of each telling beginning; ``hit``, ``miss``: its toxic and clean
+    rows, of ``n1`` and ``n0``. First come those that explain rows which nothing else
+    explains (a greedy cover), then all others that are as telling and frequent. Of
+    nested beginnings that explain the same rows the longest is taken.
     """
-    rows = _distinct(rows)
-    toxic = [t for t, y in rows if y == 1]
-    n1, n0 = max(1, len(toxic)), max(1, len(rows) - len(toxic))
-    least = max(3, math.ceil(0.004 * n1))
-    # Counted by hash first, in a table of fixed size: what may be frequent enough is then kept with its rows.
-    slots = np.zeros(1 << 22, np.int32)
-    for t in toxic:
-        np.add.at(slots, np.array([hash(b) for b in _beginnings(t)], np.int64) & (len(slots) - 1), 1)
-    counts: dict[str, int] = {}
-    for t in toxic:
-        for b in _beginnings(t):
-            if slots[hash(b) & (len(slots) - 1)] >= least:
-                counts[b] = counts.get(b, 0) + 1
-    counts = {b: n for b, n in counts.items() if n >= least}
-    clean = [t for t, y in rows if y == 0]
-    missed = dict.fromkeys(counts, 0)
-    for t in clean:
-        for b in _beginnings(t) & counts.keys():
-            missed[b] += 1
-    odds = {b: (n / n1) / ((missed[b] + 1) / n0) for b, n in counts.items()}
-    odds = {b: x for b, x in odds.items() if x >= LEAST_ODDS}
+    n1, n0 = max(1, n1), max(1, n0)
+    least = _least(n1)
+    odds = {b: (n / n1) / ((len(miss[b]) + 1) / n0) for b, n in counts.items()}
     usable = set(odds)
-    # The rows themselves are noted only for what is telling enough.
-    hit: dict[str, set[int]] = {b: set() for b in usable}
-    miss: dict[str, set[int]] = {b: set() for b in usable}
-    for texts, seen in ((toxic, hit), (clean, miss)):
-        for i, t in enumerate(texts):
-            for b in _beginnings(t) & usable:
-                seen[b].add(i)
     chosen: list[str] = []
     left, covered, wrong = set(usable), set(), set()
     while left and len(chosen) < most:
@@ -352,30 +338,122 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _sample_marks(batches):
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        hashes = pa.array([xxhash.xxh64_intdigest(t) for t in texts], pa.uint64()).cast(pa.decimal128(20, 0))
+        marks = pa.array([[f"{m:x}" for m in _marks(t)] for t in texts], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hashes, marks], names=["doc_id", "y", "h", "marks"])
+
+
+def _entries(wanted: set[str] | None = None):
+    """(beginning, number, y, uses) of each sample row, of ``wanted`` beginnings only if these are given."""
+
+    def run(batches):
+        for batch in batches:
+            for number, y, uses, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                found = _beginnings(text)
+                found = sorted(found if wanted is None else found & wanted)
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array(np.full(n, v, np.int32)) for v in (number, y, uses))], names=["b", "number", "y", "uses"])
+
+    return run
+
+
+_ENTRIES = "b string, number int, y int, uses int"
+
+
+def _learn(sample: DataFrame, rows: list[tuple[int, int, list[int]]]) -> list[dict[str, float]]:
+    """The lexicons of the sample without each fold, and of all of it.
+
+    ``sample``: number, y, text; ``rows``: number, label, marks. Executors count the beginnings
+    once for all lexicons and say in which rows the telling ones stand; the driver sees
+    counts and row numbers of these.
+    """
+    spark = sample.sparkSession
+    chosen = [_distinct([r for r in rows if r[0] % FOLDS != fold]) for fold in range(FOLDS)] + [_distinct(rows)]
+    uses = spark.createDataFrame([(n, sum((n in c) << k for k, c in enumerate(chosen))) for n, *_ in rows], "number int, uses int")
+    used = sample.join(F.broadcast(uses.filter("uses > 0")), "number").select("number", "y", "uses", "text")  # a row per sample row
+    label = dict((n, y) for n, y, _ in rows)
+    sizes = [(sum(label[n] for n in c), sum(1 - label[n] for n in c)) for c in chosen]
+    bit = lambda k, y: F.count_if((F.col("y") == y) & F.col("uses").bitwiseAND(F.lit(1 << k)).cast("boolean"))
+    counts = used.mapInArrow(_entries(), _ENTRIES).groupBy("b").agg(*[bit(k, y).alias(f"n{y}_{k}") for k in range(len(chosen)) for y in (0, 1)])
+    tells = [(F.col(f"n1_{k}") >= _least(max(1, n1))) & (F.col(f"n1_{k}") / max(1, n1) / ((F.col(f"n0_{k}") + 1) / max(1, n0)) >= LEAST_ODDS) for k, (n1, n0) in enumerate(sizes)]
+    found = counts.select("b", *[F.when(t, F.col(f"n1_{k}")).alias(f"k{k}") for k, t in enumerate(tells)]).filter(reduce(lambda a, b: a | b, tells)).collect()
+    wanted = {r["b"] for r in found}
+    if not wanted:
+        return [{w: 0.5 for w in INSULTS} for _ in chosen]
+    where = used.mapInArrow(_entries(wanted), _ENTRIES).groupBy("b").agg(F.collect_list("number").alias("rows")).collect()
+    rows_of = {r["b"]: r["rows"] for r in where}
+    out = []
+    for k, own in enumerate(chosen):
+        own_counts = {r["b"]: r[f"k{k}"] for r in found if r[f"k{k}"] is not None}
+        hit = {b: {n for n in rows_of[b] if n in own and label[n]} for b in own_counts}
+        miss = {b: {n for n in rows_of[b] if n in own and not label[n]} for b in own_counts}
+        out.append(choose(own_counts, hit, miss, *sizes[k]))
+    return out
+
+
+def _cross_features(lexicons: list[dict[str, float]]):
+    def run(batches):
+        machines = [Lexicon(x) for x in lexicons]
+        for batch in batches:
+            numbers, ys, texts = (batch.column(c).to_pylist() for c in range(3))
+            x = [features(machines[n % FOLDS].clauses(t)) for n, t in zip(numbers, texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(map(float, v)) for v in x], pa.list_(pa.float64()))], names=["number", "y", "x"])
+
+    return run
+
+
+def pick_ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, fold: np.ndarray) -> float:
+    """The ridge of least log loss on rows that the fit has not seen, fold by fold; of equal ones the largest."""
+
+    def loss(ridge: float) -> float:
+        total = 0.0
+        for k in range(FOLDS):
+            own = fold == k
+            if own.all() or not own.any():
+                continue
+            beta = fit_logistic(x[~own], y[~own], w[~own], ridge)
+            z = np.clip(np.column_stack([x[own], np.ones(own.sum())]) @ beta, -30, 30)
+            total += float((w[own] * np.logaddexp(0, np.where(y[own] == 1, -z, z))).sum())
+        return total
+
+    return min(RIDGES, key=lambda r: (round(loss(r), 9), -r))
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Model:
     """Learns from at most ``per_class`` training rows of each label value; held out rows are never read.
 
     Without rows of both values the seeds and fixed weights stand. The weights are
     fitted by cross-fitting: each row's features come from a lexicon learned without
     the row's fold, so that they trust the lexicon as far as unseen rows let them; the
-    lexicon that scores is learned from all rows.
+    lexicon that scores is learned from all rows. The ridge is chosen by the same folds.
+    Texts stay on executors; the driver sees four marks a row, and what tells of toxicity.
     """
-    rows = labelled_sample(docs, labels, "toxic", per_class)
+    spark = docs.sparkSession
+    small_batches(spark)
+    sample = materialise(labelled_rows(docs, labels, "toxic", per_class).select(F.col("doc_id").cast("long"), "y", "text"), "op7-sample")
     seen = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("toxic").count().collect()
     share = {r["toxic"]: r["count"] for r in seen}
-    if len({y for _, y in rows}) < 2:
+    marked = sample.mapInArrow(_sample_marks, "doc_id long, y int, h decimal(20,0), marks array<string>").collect()
+    if len({r["y"] for r in marked}) < 2:
         return Model({w: 1.0 for w in INSULTS}, [1.5, 1.5, 0.5, -3.0])
-    rows.sort(key=lambda r: xxhash.xxh64_intdigest(r[0]))
-    x, y = [], []
-    for fold in range(FOLDS):
-        lexicon = Lexicon(learn_lexicon([r for k, r in enumerate(rows) if k % FOLDS != fold]))
-        own = rows[fold::FOLDS]
-        x += [features(lexicon.clauses(t)) for t, _ in own]
-        y += [label for _, label in own]
-    x, y = np.array(x), np.array(y, float)
+    marked.sort(key=lambda r: (r["h"], r["doc_id"]))
+    numbers = spark.createDataFrame([(r["doc_id"], k) for k, r in enumerate(marked)], "doc_id long, number int")
+    numbered = sample.join(F.broadcast(numbers), "doc_id").select("number", "y", "text").repartition(partitions(spark), "number")  # a row per sample row
+    numbered = materialise(numbered, "op7-numbered")
+    lexicons = _learn(numbered, [(k, r["y"], r["marks"]) for k, r in enumerate(marked)])
+    rows = numbered.mapInArrow(_cross_features(lexicons[:FOLDS]), "number int, y int, x array<double>").collect()
+    rows.sort(key=lambda r: r["number"])
+    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
     # The sample has other class shares than the labels: weights undo this.
     w = np.where(y == 1, share[1] / max(1, y.sum()), share[0] / max(1, (1 - y).sum()))
-    return Model(learn_lexicon(rows), [float(b) for b in fit_logistic(x, y, w * len(w) / w.sum())])
+    w = w * len(w) / w.sum()
+    ridge = pick_ridge(x, y, w, np.array([r["number"] % FOLDS for r in rows]))
+    drop(sample)
+    drop(numbered)
+    return Model(lexicons[-1], [float(b) for b in fit_logistic(x, y, w, ridge)])
 
 
 _SCHEMA = "doc_id long, score double"

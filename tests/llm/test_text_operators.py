@@ -7,6 +7,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -384,3 +385,37 @@ def test_neighbours_of_hard_rows(hard, docs_of, monkeypatch):
         assert sorted(map(tuple, fingerprint.edited_neighbours(hard).collect()), key=str) == sorted(want, key=str)
     assert fingerprint.edited_neighbours(docs_of([])).count() == 0
     assert fingerprint.edited_neighbours(docs_of([(5, "alone in here")])).first()["near_next"] == 1.0
+
+
+def test_held_out_labels_change_nothing(spark):
+    """Neither lexicon nor weights nor ridge move when every held out label is turned round."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    from factloom.llm.common import held_out
+
+    turned = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert turned.join(labels, ["doc_id", "toxic"], "left_anti").count() > 50
+    a, b = toxicity.train(docs, labels), toxicity.train(docs, turned)
+    assert a.entries == b.entries and a.beta == b.beta
+
+
+def test_ridge_is_the_one_of_least_loss_on_unseen_folds():
+    rng = np.random.default_rng(1)
+    x, fold = rng.normal(0, 1, (90, 3)), np.arange(90) % toxicity.FOLDS
+    y = (x[:, 0] + rng.normal(0, 2, 90) > 0).astype(float)
+    losses = {}
+    for ridge in toxicity.RIDGES:
+        p = np.empty(90)
+        for k in range(toxicity.FOLDS):
+            beta = toxicity.fit_logistic(x[fold != k], y[fold != k], np.ones((fold != k).sum()), ridge)
+            p[fold == k] = 1 / (1 + np.exp(-(np.column_stack([x[fold == k], np.ones((fold == k).sum())]) @ beta)))
+        losses[ridge] = -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+    assert toxicity.pick_ridge(x, y, np.ones(90), fold) == min(losses, key=losses.get)
+
+
+def test_sample_is_filled_before_it_is_limited(spark, docs_of):
+    from factloom.llm.common import labelled_sample
+
+    rows = [(i, "x" * (100 if i % 2 else 5)) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, toxic int")
+    assert len(labelled_sample(docs_of(rows), labels, "toxic", 20, chars=10)) == 20
