@@ -1,4 +1,4 @@
-"""Retrieval: BM25, lexical IDF, n-gram recall, dense cosine, k nearest neighbours, fusion, metrics.
+"""Retrieval: hybrid search in documents, n-gram recall, dense cosine, k nearest neighbours, fusion, metrics.
 
 Queries are a table; every operator answers all of them in one job.
 """
@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.fusion import table_quota
-from factloom.operators.skew import small, spread_join
+from factloom.operators.impact import K1, B
 
-#: BM25 and reciprocal rank fusion.
-K1, B = 1.2, 0.75
+#: Fixed value: reciprocal rank fusion.
 RRF_K = 60
 #: Queries and vectors of a block.
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 65_536
@@ -30,11 +29,6 @@ def top(rows: DataFrame, partition: list[str], score: str, tie: str, k: int) ->
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def postings(units: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, token, tf) of every unit."""
-    return units.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
-
-
 #: Weights of the fields of a unit.
 FIELDS = {"body": 1.0, "heading": 1.25, "adjacency": 0.55}
 
@@ -43,51 +37,6 @@ def _entries(tokens: Column, weight: float) -> Column:
     return F.transform(tokens, lambda x: F.struct(x.alias("token"), F.lit(float(weight)).alias("f")))
 
 
-def _asked(queries: DataFrame, query_key: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
-    """(query, token, how often it asks) and the distinct tokens, broadcast if few."""
-    asked = postings(queries, query_key, tokens).withColumnRenamed("tf", "qtf")
-    return asked, small(asked.select("token").distinct())
-
-
-def _met(asked: DataFrame, weighted: DataFrame, df: DataFrame, query_key: str, key: str) -> DataFrame:
-    """Sum of weight x query frequency by query and unit; a token of very many units is split over tasks."""
-    rows = spread_join(weighted, asked, "token", key, df.select("token", F.col("df").alias("n")))
-    return rows.groupBy(query_key, key).agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
-
-
-def bm25(units: DataFrame, queries: DataFrame, key: str, query_key: str, fields: dict[str, tuple[Column, float]], query_tokens: Column) -> DataFrame:
-    """BM25 scores of all (query, unit) pairs that share a token; a query's repeated tokens count again.
-
-    ``fields``: name -> (tokens, weight). A token's frequency in a unit and the unit's
-    length are sums over the fields, each times its weight. Every unit is read once: it
-    keeps its length beside its tokens, and only asked tokens leave a task. Postings are
-    weighted before they meet the queries, so that each weight is computed once.
-    """
-    asked, wanted = _asked(queries, query_key, query_tokens)
-    length = sum((F.size(t) * w for t, w in fields.values()), F.lit(0.0))
-    whole = units.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("average"))  # one row
-    entries = F.concat(*[_entries(t, w) for t, w in fields.values()])
-    rows = units.select(key, length.alias("length"), F.explode(entries).alias("e")).select(key, "length", "e.token", "e.f")
-    post = rows.join(wanted, "token", "left_semi").groupBy(key, "token", "length").agg(F.sum("f").alias("tf"))
-    df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = K1 * (1.0 - B + B * F.col("length") / F.when(F.col("average") > 0, F.col("average")).otherwise(1.0))
-    rated = post.join(small(df), "token").crossJoin(F.broadcast(whole))
-    weighted = rated.select(key, "token", (idf * F.col("tf") * (K1 + 1.0) / (F.col("tf") + norm)).alias("w"))
-    return _met(asked, weighted, df, query_key, key)
-
-
-def lexical_idf(units: DataFrame, queries: DataFrame, key: str, query_key: str, unit_tokens: Column, query_tokens: Column) -> DataFrame:
-    """Sum of idf x query frequency over the distinct tokens that unit and query share."""
-    asked, wanted = _asked(queries, query_key, query_tokens)
-    sets = units.select(key, F.explode(F.array_distinct(unit_tokens)).alias("token")).join(wanted, "token", "left_semi")
-    n = units.agg(F.count(F.lit(1)).alias("n"))  # one row
-    df = sets.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = sets.join(small(df), "token").crossJoin(F.broadcast(n)).select(key, "token", idf.alias("w"))
-    return _met(asked, weighted, df, query_key, key)
-
-
 def hybrid(units: DataFrame, queries: DataFrame, k: int, formula_only: Column | None = None, mode: str = "hybrid") -> DataFrame:
     """Per question the k best units of its document: question_id, unit_id, ordinal, rank, score and both scores.
 

@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that a task takes, however small its fair share is, before the key is split.
 HOT_ROWS = 10_000
-#: Rows of a table that may be broadcast after they have been counted.
-BROADCAST_ROWS = 200_000
+#: Rows of a table that may be broadcast after they have been counted, and bytes of all their texts.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``rows`` marked for broadcast if there are at most ``most`` of them, else as they are. Only that many are counted."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+def fits(rows: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table may be broadcast: by its rows and by the bytes of its texts. Only one row more than allowed is read."""
+    texts = [F.coalesce(F.octet_length(c).cast("long"), F.lit(0)) for c, kind in rows.dtypes if kind in ("string", "binary")]
+    n, size = rows.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0))).first()
+    return n <= most and size + 16 * n <= most_bytes
+
+
+def small(rows: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` marked for broadcast if they ``fit``, else as they are."""
+    return F.broadcast(rows) if fits(rows, most, most_bytes) else rows
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, sizes: DataFrame, how: str = "inner") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text
+from factloom.operators import impact
 from factloom.operators import retrieval as ops
 from factloom.plans.register import registry
 from factloom.sources.tables import table
@@ -53,8 +54,9 @@ def _fields_sql(scope: str) -> str:
 @query("bm25_fields", f"WITH {_fields_sql('')} SELECT question_id, unit_id, round(s, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY round(s, 6) DESC, unit_id) AS rank FROM sparse QUALIFY rank <= 10")
 def bm25_fields(spark: SparkSession, sf: str) -> DataFrame:
     """All units, whatever their document, by body, heading and adjacency."""
-    scores = ops.bm25(_units(spark, sf), _asked(spark, sf), "unit_id", "question_id", {n: (F.col(n), w) for n, w in ops.FIELDS.items()}, F.col("tokens"))
-    return ops.top(scores.withColumn("score", F.round("score", 6)), ["question_id"], "score", "unit_id", 10)
+    asked = impact.asked_tokens(_asked(spark, sf), "question_id", F.col("tokens"))
+    post = impact.Postings(_units(spark, sf), "unit_id", {n: (F.col(n), w) for n, w in ops.FIELDS.items()}, asked.select("token").distinct())
+    return impact.search(post.bm25(), asked, "unit_id", "question_id", post.n, 10)
 
 
 _HYBRID_SQL = f"""WITH {_fields_sql('document')}, p AS (SELECT q.question_id, u.unit_id, round(list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]), 8) AS dense_score, coalesce(s, 0) AS sparse_score

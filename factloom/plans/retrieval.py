@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import evaluation
+from factloom.operators import evaluation, impact
 from factloom.operators import retrieval as ops
+from factloom.sources.shared import keep
 from factloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -32,19 +33,11 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", text.words(F.col("text")).alias("words"))
 
 
-def _rounded(rows: DataFrame) -> DataFrame:
-    """Scores are rounded before they are ordered: sums of doubles depend on their order in the last bits."""
-    return rows.withColumn("score", F.round("score", 6))
-
-
-def _bm25(spark: SparkSession, sf: str) -> DataFrame:
-    w = F.col("words")
-    return ops.top(_rounded(ops.bm25(_units(spark, sf), _asked(spark, sf), "doc_id", "item_id", {"body": (w, 1.0)}, w)), ["item_id"], "score", "doc_id", 10)
-
-
-def _lexical(spark: SparkSession, sf: str) -> DataFrame:
-    w = F.col("words")
-    return ops.top(_rounded(ops.lexical_idf(_units(spark, sf), _asked(spark, sf), "doc_id", "item_id", w, w)), ["item_id"], "score", "doc_id", 10)
+def _channels(spark: SparkSession, sf: str, schemes: tuple[str, ...] = ("bm25", "idf")) -> list[DataFrame]:
+    """The ten best documents of each benchmark item by each scheme, from one table of postings."""
+    asked = impact.asked_tokens(_asked(spark, sf), "item_id", F.col("words"))
+    post = impact.Postings(_units(spark, sf), "doc_id", {"body": (F.col("words"), 1.0)}, asked.select("token").distinct())
+    return [impact.search(getattr(post, scheme)(), asked, "doc_id", "item_id", post.n, 10) for scheme in schemes]
 
 
 _BASE_SQL = r"""u AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
@@ -62,12 +55,12 @@ _LEX_SQL = """lx AS (SELECT item_id, doc_id, round(sum(qtf * ln(1.0 + (n - df +
 
 @_query("bm25_search", f"WITH {_BM25_SQL} SELECT item_id, doc_id, score, rank FROM bm_top")
 def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _bm25(spark, sf).select("item_id", "doc_id", "score", "rank")
+    return _channels(spark, sf, ("bm25",))[0]
 
 
 @_query("lexical_idf_search", f"WITH {_BASE_SQL}, {_LEX_SQL} SELECT item_id, doc_id, score, rank FROM lx_top")
 def lexical_idf_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _lexical(spark, sf).select("item_id", "doc_id", "score", "rank")
+    return _channels(spark, sf, ("idf",))[0]
 
 
 _GRAM_SQL = """list_distinct(list_transform(range({n} - 1), lambda i: substr({t}, i + 1, 2)) || list_transform(range({n} - 2), lambda i: substr({t}, i + 1, 3)) || list_transform(range({n} - 3), lambda i: substr({t}, i + 1, 4)))"""
@@ -119,19 +112,20 @@ _BOTH_SQL = f"WITH {_BM25_SQL}, {_LEX_SQL}, both_ AS (SELECT item_id, doc_id, ra
 @_query("rrf_fusion_float", _BOTH_SQL + """, f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min((channel, rank)) AS first FROM both_ GROUP BY ALL)
   SELECT item_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first, doc_id) AS rank FROM f""")
 def rrf_fusion_float(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.rrf([_bm25(spark, sf), _lexical(spark, sf)], "item_id", "doc_id").withColumn("score", F.round("score", 9))
+    return ops.rrf(_channels(spark, sf), "item_id", "doc_id").withColumn("score", F.round("score", 9))
 
 
 @_query("rrf_fusion_integer", _BOTH_SQL + " SELECT item_id, doc_id, sum(CASE channel WHEN 0 THEN 3 ELSE 2 END * (1000000000 // (60 + rank)))::BIGINT AS score FROM both_ GROUP BY ALL")
 def rrf_fusion_integer(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.integer_rrf([(_bm25(spark, sf), 3), (_lexical(spark, sf), 2)], "item_id", "doc_id")
+    first, second = _channels(spark, sf)
+    return ops.integer_rrf([(first, 3), (second, 2)], "item_id", "doc_id")
 
 
 @_query("interleave_channels", _BOTH_SQL + """, one AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY channel) AS r FROM both_),
   p AS (SELECT item_id, doc_id, channel, row_number() OVER (PARTITION BY item_id ORDER BY rank, channel) AS place FROM one WHERE r = 1)
   SELECT item_id, doc_id, channel, place, round(1 - place / 1000000.0, 6)::DOUBLE AS score FROM p""")
 def interleave_channels(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.interleave(_bm25(spark, sf), _lexical(spark, sf), "item_id", "doc_id")
+    return ops.interleave(*_channels(spark, sf), "item_id", "doc_id")
 
 
 @_query("retrieval_metrics", f"""WITH {_BM25_SQL}, gold AS (SELECT item_id, item_id % 7 AS doc_id FROM benchmark UNION ALL SELECT item_id, doc_id FROM bm_top WHERE rank = item_id % 12),
@@ -139,12 +133,46 @@ def interleave_channels(spark: SparkSession, sf: str) -> DataFrame:
   SELECT count(*) AS queries, round(count(*) FILTER (WHERE best <= 5)::DOUBLE / count(*), 6) AS recall_at_5, round(count(*) FILTER (WHERE best <= 15)::DOUBLE / count(*), 6) AS recall_at_15,
     round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr FROM best""")
 def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = _bm25(spark, sf)
+    ranked = keep(_channels(spark, sf, ("bm25",))[0], "ranked")  # read for the gold rows and again for the metrics
     gold = table(spark, sf, "benchmark").select("item_id", F.pmod("item_id", F.lit(7)).cast("long").alias("doc_id"))
     gold = gold.unionByName(ranked.filter("rank = item_id % 12").select("item_id", "doc_id"))
     return ops.metrics(ranked, gold, "item_id", "doc_id")
 
 
+_SENTENCES_SQL = r"""l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
+  s AS (SELECT doc_id * 100000 + line AS sentence_id, doc_id, line, t, CASE WHEN line > 0 THEN first_value(t) OVER (PARTITION BY doc_id ORDER BY line) ELSE '' END AS heading FROM l),
+  u AS (SELECT *, regexp_extract_all(lower(heading || ' ' || t), '[a-z0-9]+') AS w, regexp_extract_all(lower(heading), '[a-z0-9]+') AS hw, regexp_extract_all(lower(t), '[a-z0-9]+') AS tw FROM s),
+  q AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+  asked AS (SELECT item_id, token, count(*) AS qtf FROM (SELECT item_id, unnest(w) AS token FROM q) GROUP BY ALL),
+  post AS (SELECT sentence_id, token, count(*) AS tf FROM (SELECT sentence_id, unnest(w) AS token FROM u) WHERE token IN (SELECT token FROM asked) GROUP BY ALL),
+  df AS (SELECT token, count(*) AS df FROM post GROUP BY token), whole AS (SELECT count(*) AS n, avg(len(w)) AS average FROM u),
+  bm AS (SELECT item_id, sentence_id, sum(qtf * ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / average))) AS score
+    FROM asked JOIN df USING (token) JOIN post USING (token) JOIN u USING (sentence_id), whole GROUP BY ALL),
+  k AS (SELECT item_id, list_distinct(w) AS qs, array_to_string(w, '') AS key FROM q),
+  b AS (SELECT item_id, u.sentence_id, doc_id, line, heading, score, qs, key, array_to_string(tw, '') AS tk, array_to_string(hw, '') AS hk,
+    len(list_intersect(qs, tw))::DOUBLE / len(qs) + 0.65 * len(list_intersect(qs, hw)) / len(qs) AS share FROM bm JOIN u USING (sentence_id) JOIN k USING (item_id)),
+  x AS (SELECT item_id, sentence_id, doc_id, line, heading, round(score + CASE WHEN contains(tk, key) THEN 2 ELSE 0 END + CASE WHEN contains(hk, key) THEN 1.25 ELSE 0 END
+    + 0.35 * (share + CASE WHEN contains(tk, key) THEN 0.3 ELSE 0 END), 8) AS score FROM b),
+  best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, line) AS rank FROM x QUALIFY rank <= 8),
+  near AS (SELECT b.item_id, s.sentence_id, s.doc_id, s.line, round(first(b.score ORDER BY b.rank) * 0.42, 8) AS score FROM best b JOIN s ON s.doc_id = b.doc_id AND s.heading = b.heading AND abs(s.line - b.line) = 1
+    WHERE b.rank <= 4 AND NOT EXISTS (SELECT 1 FROM best z WHERE z.item_id = b.item_id AND z.sentence_id = s.sentence_id) GROUP BY ALL)"""
+
+
+@_query("sentence_search", f"""WITH {_SENTENCES_SQL} SELECT item_id, sentence_id, 'hit' AS kind, round(score, 6) AS score, rank FROM best
+  UNION ALL SELECT item_id, sentence_id, 'neighbour', round(score, 6), row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, line) AS rank FROM near QUALIFY rank <= 4""")
+def sentence_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark item against every line of every document; a document's first line is the heading of the others."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "t"), F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("first"))
+    heading = F.when(F.col("line") > 0, F.col("first")).otherwise("")
+    w = lambda c: text.words(c)
+    sentences = lines.select((F.col("doc_id") * 100_000 + F.col("line")).alias("sentence_id"), F.col("doc_id").alias("document_id"), "line", heading.alias("heading"), w(F.concat_ws(" ", heading, "t")).alias("tokens"), w(heading).alias("hw"), w(F.col("t")).alias("tw"))
+    sentences = sentences.withColumns({"heading_key": F.array_join("hw", ""), "text_key": F.array_join("tw", "")})
+    asked = _asked(spark, sf).select(F.col("item_id").alias("question_id"), F.col("words").alias("tokens"), F.array_distinct("words").alias("qs"), F.array_join("words", "").alias("key"))
+    lexical = lambda: ops.lexical_score(F.col("qs"), F.array_distinct("tw"), F.array_distinct("hw"), F.col("key"), F.col("text_key"))
+    out = impact.sentence_search(sentences, asked, 8, 4, lexical, 1 + ops.HEADING_WEIGHT + ops.PHRASE_WEIGHT)
+    return out.select(F.col("question_id").alias("item_id"), "sentence_id", "kind", F.round("score", 6).alias("score"), "rank")
+
+
 @_query("percentile_linear", "SELECT lang, quantile_cont(n_chars, 0.5)::DOUBLE AS p50, round(quantile_cont(n_chars, 0.95)::DOUBLE, 6) AS p95 FROM documents GROUP BY lang")
 def percentile_linear(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").groupBy("lang")
