@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.chunking import fuzzy_match
 from factloom.operators.retrieval import knn
+from factloom.operators.skew import spread_join
+from factloom.sources.shared import forget, keep
 
 DAMPING = 0.5
 #: Likeness and number of neighbours of a synonymy edge.
@@ -59,46 +60,68 @@ def one_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return out.unionByName(back).groupBy("neighbour").agg(F.sum("weight").alias("weight"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared checkpoint folder."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="factloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip(chr(47))}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def transitions(edges: DataFrame) -> DataFrame:
+    """(src, dst, p) of the undirected weighted graph: p is the edge's share of what leaves src. Written once."""
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    out = both.groupBy("src").agg(F.sum("weight").alias("total"))
+    return keep(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "transitions")
 
 
-def pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, rounds: int = 20, cut_every: int = 5) -> DataFrame:
-    """Personalised PageRank on the undirected weighted graph: (node, score), scores adding up to 1.
+def pagerank_many(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, rounds: int = 20, tolerance: float = 1e-9) -> DataFrame:
+    """Personalised PageRank of many queries at once: query_id, node, score, the scores of a query adding up to 1.
 
-    Each round is one join and one aggregate; null and negative reset values count
-    as 0. After ``rounds`` steps the error is below damping ** rounds.
+    reset: query_id, node, mass; null, NaN and negative masses count as 0, and a query
+    without mass has no rows, nor have nodes that a query's walk does not reach. Each
+    round moves the scores of all queries in one join by node and one aggregate, whose
+    result is written; hubs of the graph are split over tasks. A query whose scores change by less than
+    ``tolerance`` in sum is done and takes no part in later rounds. What sits on nodes
+    without edges goes back to the query's reset distribution.
     """
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    out = both.groupBy("src").agg(F.sum("weight").alias("total"))
-    steps = _cut(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
-    mass = F.when(F.col("mass") > 0, F.col("mass")).otherwise(0.0)
-    given = reset.groupBy("node").agg(F.sum(F.coalesce(F.nanvl(mass, F.lit(0.0)), F.lit(0.0))).alias("mass"))
-    total = given.agg(F.sum("mass").alias("all"))
-    nodes = steps.select(F.col("src").alias("node")).distinct().join(given, "node", "full_outer").crossJoin(F.broadcast(total))
-    base = _cut(nodes.select("node", F.coalesce(F.col("mass") / F.nullif(F.col("all"), F.lit(0.0)), F.lit(0.0)).alias("r")))
-    score = base.select("node", F.col("r").alias("score"))
+    steps = transitions(edges)
+    degree = steps.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    totals = tuple(degree.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first())
+    from_node = steps.withColumnRenamed("src", "node")
+    mass = F.when(F.col("mass") > 0, F.nanvl(F.col("mass").cast("double"), F.lit(0.0))).otherwise(0.0)
+    given = reset.groupBy("query_id", "node").agg(F.sum(mass).alias("mass")).filter("mass > 0")
+    total = given.groupBy("query_id").agg(F.sum("mass").alias("all"))
+    base = keep(given.join(total, "query_id").select("query_id", "node", (F.col("mass") / F.col("all")).alias("r")), "reset")
+    score, spent, done = base.select("query_id", "node", "r", F.col("r").alias("score")), [steps, base], []
+    zero = F.lit(0.0)
     for i in range(rounds):
-        moved = steps.join(score, steps["src"] == score["node"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("p")).alias("in"))
-        # What sits on nodes without edges goes back to the reset distribution.
-        kept = score.join(steps.select("src").distinct(), F.col("node") == F.col("src"), "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("kept"))
-        score = (
-            base.join(moved, base["node"] == moved["dst"], "left").crossJoin(F.broadcast(kept))
-            .select("node", ((1 - damping) * F.col("r") + damping * (F.coalesce("in", F.lit(0.0)) + (1 - F.col("kept")) * F.col("r"))).alias("score"))
-        )
-        if (i + 1) % cut_every == 0 or i + 1 == rounds:
-            score = _cut(score)
-    return score
+        moved = spread_join(from_node, score.select("query_id", "node", "score"), "node", "dst", degree, "inner", totals)
+        # The old score and the reset mass travel as rows beside what moves, so that one aggregate holds all three.
+        moved = moved.groupBy("query_id", F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("p")).alias("in")).select("*", zero.alias("r"), zero.alias("old"))
+        rows = moved.unionByName(score.select("query_id", "node", zero.alias("in"), "r", F.col("score").alias("old")))
+        rows = keep(rows.groupBy("query_id", "node").agg(*[F.sum(c).alias(c) for c in ("in", "r", "old")]), "round")
+        spent.append(rows)
+        lost = rows.groupBy("query_id").agg((1.0 - F.sum("in")).alias("lost"))
+        new = (1 - damping) * F.col("r") + damping * (F.col("in") + F.col("lost") * F.col("r"))
+        score = rows.join(lost, "query_id").select("query_id", "node", "r", new.alias("score"), "old")
+        if tolerance > 0 and i + 1 < rounds:
+            change = keep(score.groupBy("query_id").agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("change")), "changes")
+            spent.append(change)
+            over = F.col("change") < tolerance
+            ended, live = change.agg(F.count_if(over), F.count_if(~over)).first()
+            if ended:
+                done.append(keep(score.join(change.filter(over).select("query_id"), "query_id", "left_semi").select("query_id", "node", "score"), "ranked"))
+            score = score.join(change.filter(~over).select("query_id"), "query_id", "left_semi")
+            if not live:
+                break
+    done.append(keep(score.select("query_id", "node", "score"), "ranked"))
+    forget(*spent)
+    return reduce(DataFrame.unionByName, done)
+
+
+def pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, rounds: int = 20) -> DataFrame:
+    """Personalised PageRank on the undirected weighted graph: (node, score), scores adding up to 1.
+
+    One query of ``pagerank_many``, with the nodes that it does not reach. After
+    ``rounds`` steps the error is below damping ** rounds.
+    """
+    one = reset.select(F.lit(0).cast("long").alias("query_id"), "node", "mass")
+    ranked = pagerank_many(edges, one, damping, rounds, 0.0).select("node", "score")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(reset.select("node")).distinct()
+    return ends.join(ranked, "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def best_facts(triples: DataFrame) -> DataFrame:
@@ -159,21 +182,31 @@ def one_hop_passages(edges: DataFrame, mentions: DataFrame, seeds: DataFrame, mo
     return found.select(F.lit("passage").alias("kind"), F.col("item").cast("string")).unionByName(near.select(F.lit("entity").alias("kind"), F.col("item").cast("string")))
 
 
-def retrieve(edges: DataFrame, facts: DataFrame, passages: DataFrame, mentions: DataFrame, k: int, link_k: int = 5, passage_weight: float = 0.05, damping: float = DAMPING, rounds: int = 20) -> DataFrame:
-    """Graph retrieval for one query: (chunk_id, score, rank) of its k best passages.
+def retrieve(edges: DataFrame, facts: DataFrame, passages: DataFrame, mentions: DataFrame, k: int, link_k: int = 5, passage_weight: float = 0.05, damping: float = DAMPING, rounds: int = 20, tolerance: float = 1e-9) -> DataFrame:
+    """Graph retrieval for all queries at once: (query_id, chunk_id, score, rank) of each one's k best passages.
 
-    facts: subject, object, score, confidence (the query's best facts); passages: chunk_id,
-    score (dense, between 0 and 1); mentions: chunk_id, entity; edges: between entities and
-    between passages and entities. Phrase weights of the best ``link_k`` entities and a small
-    share of each passage's own score are the reset distribution of a personalised PageRank
-    over the whole graph; passages are ranked by what they hold in the end.
+    facts: query_id, subject, object, score, confidence (a query's best facts); passages:
+    query_id, chunk_id, score (its own, between 0 and 1); mentions: chunk_id, entity; edges:
+    between entities, and between passages and entities; passages are nodes by their
+    chunk_id. Phrase weights of the best ``link_k`` entities and a small share of each
+    passage's own score are the reset distribution of a personalised PageRank over the
+    whole graph; a query's passages are ranked by what they hold in the end, those not
+    reached last. A query without a fact gets its passages by their own scores.
     """
-    named = facts.select(F.explode(F.array("subject", "object")).alias("phrase"), "score", "confidence")
-    phrases = phrase_weights(named, mentions.withColumnRenamed("entity", "phrase"), link_k).filter("weight > 0")
-    reset = phrases.select(F.col("phrase").alias("node"), F.col("weight").alias("mass")).unionByName(passages.select(F.col("chunk_id").alias("node"), (F.col("score") * passage_weight).alias("mass")))
-    ranked = pagerank(edges, reset, damping, rounds).join(passages.select(F.col("chunk_id").alias("node")), "node", "left_semi")
-    best = ranked.select(F.col("node").alias("chunk_id"), F.round("score", 9).alias("score")).orderBy(F.col("score").desc(), "chunk_id").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "chunk_id")).cast("long"))  # k rows
+    named = facts.select("query_id", F.explode(F.array("subject", "object")).alias("phrase"), "score", "confidence")
+    n = mentions.groupBy(F.col("entity").alias("phrase")).agg(F.countDistinct("chunk_id").alias("n"))
+    weight = named.join(n, "phrase").groupBy("query_id", "phrase").agg(F.avg(F.col("score") * F.col("confidence") / F.col("n")).alias("mass"))
+    best = Window.partitionBy("query_id").orderBy(F.round("mass", 12).desc(), "phrase")
+    phrases = weight.filter("mass > 0").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= link_k)
+    linked = keep(phrases.select("query_id", F.col("phrase").alias("node"), "mass"), "phrases")
+    asking = linked.select("query_id").distinct()
+    own = passages.select("query_id", F.col("chunk_id").alias("node"), (F.col("score") * passage_weight).alias("mass")).join(asking, "query_id", "left_semi")
+    ranked = pagerank_many(edges, linked.unionByName(own), damping, rounds, tolerance).withColumnRenamed("node", "chunk_id").withColumnRenamed("score", "walked")
+    rows = passages.join(ranked, ["query_id", "chunk_id"], "left").join(asking.withColumn("__linked", F.lit(True)), "query_id", "left")
+    score = F.round(F.when(F.col("__linked"), F.coalesce("walked", F.lit(0.0))).otherwise(F.col("score")), 9)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
+    out = rows.select("query_id", "chunk_id", score.alias("score")).withColumn("rank", F.row_number().over(order).cast("long"))
+    return out.filter(F.col("rank") <= k)
 
 
 def keep_fallback(judged: DataFrame, group: str, least: int) -> DataFrame:

@@ -23,16 +23,19 @@ def small(rows: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCA
     return F.broadcast(rows) if fits(rows, most, most_bytes) else rows
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, sizes: DataFrame, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, sizes: DataFrame, how: str = "inner", totals: tuple[int, int] | None = None) -> DataFrame:
     """``left`` joined to ``right`` on ``key``; keys with more left rows than a task's fair share are split over several tasks.
 
-    ``sizes`` has the number ``n`` of left rows of each key. There are at most as many
-    frequent keys as partitions, which bounds the table that is broadcast. The right
-    rows of a split key are copied to each of its parts.
+    ``sizes`` has the number ``n`` of left rows of each key; ``totals`` their sum and maximum,
+    where these are known. There are at most as many frequent keys as partitions,
+    which bounds the table that is broadcast. The right rows of a split key are copied to
+    each of its parts. Where no key is that frequent, the join is a plain one.
     """
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    total, most = totals or sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     share = max(HOT_ROWS, total // parts)
+    if most <= share:
+        return left.join(right, key, how)
     hot = F.broadcast(sizes.filter(F.col("n") > share).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / share).cast("int").alias("__parts")))
     dealt = left.join(hot, left[key] == F.col("__hot"), "left").withColumn("__salt", F.pmod(F.xxhash64(salt), F.coalesce("__parts", F.lit(1))).cast("int"))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import evaluation, impact
+from factloom.operators import ann, evaluation, impact
 from factloom.operators import retrieval as ops
-from factloom.sources.shared import keep
+from factloom.sources.lifecycle import SearchIndex
+from factloom.sources.shared import keep, shared_dir
 from factloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -89,6 +92,16 @@ def knn_join(spark: SparkSession, sf: str) -> DataFrame:
     return near.withColumn("score", F.round("score", 6))
 
 
+@_query("indexed_knn", f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p QUALIFY rank <= 5""")
+def indexed_knn(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``knn_join``, by an index of cells: those that are near first, then those that may hold more."""
+    rows = table(spark, sf, "embeddings")
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    near = ann.search(ann.build(rows, "vec_id", "embedding"), asked, "query_id", "embedding", 5, exact=True)
+    return near.withColumn("score", F.round("score", 6))
+
+
 @_query("dense_topk", f"""SELECT b.vec_id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY score DESC, vec_id LIMIT 10""")
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings")
@@ -210,3 +223,21 @@ def min_max_normalize(spark: SparkSession, sf: str) -> DataFrame:
 @_query("label_idf", "WITH g AS (SELECT source AS label, count(DISTINCT lang) AS df FROM documents GROUP BY 1), n AS (SELECT count(DISTINCT lang) AS n FROM documents) SELECT label, df, round(ln((1.0 + n) / (1.0 + df)) + 1, 9) AS idf FROM g, n")
 def label_idf(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.smoothed_idf(table(spark, sf, "documents"), "source", "lang").select(F.col("source").alias("label"), "df", F.round("idf", 9).alias("idf"))
+
+
+_ALIVE_SQL = r"""u AS (SELECT doc_id, regexp_extract_all(lower(CASE WHEN doc_id % 6 = 0 THEN reverse(text) ELSE text END), '[a-z0-9]+') AS w FROM documents WHERE doc_id % 10 <> 3 OR doc_id % 6 = 0)"""
+
+
+@_query("index_life_cycle", f"""WITH {_BM25_SQL.replace("u AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)", _ALIVE_SQL)}
+  SELECT item_id, doc_id, score, rank FROM bm_top""")
+def index_life_cycle(spark: SparkSession, sf: str) -> DataFrame:
+    """Search of all benchmark items in an index built from even documents, to which odd ones are added, from which some are deleted, and in which others are replaced."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    words = text.words(F.col("text"))
+    index = SearchIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.build(docs.filter("doc_id % 2 = 0"), "doc_id", words)
+    index.add(docs.filter("doc_id % 2 = 1"), "doc_id", words)
+    index.delete(docs.filter("doc_id % 10 = 3"), "doc_id")
+    index.add(docs.filter("doc_id % 6 = 0"), "doc_id", text.words(F.reverse("text")))
+    index.compact()
+    return index.search(_asked(spark, sf), "item_id", F.col("words"), 10).withColumnRenamed("key", "doc_id")

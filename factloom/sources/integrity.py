@@ -1,19 +1,18 @@
 """Sinks and sources that hold what they promise: canonical files, hashed shards, a versioned store, traces, caches.
 
-A table is written beside its place and moved there by one rename, or named by one small
-pointer file, so that a reader sees the old or the new state, never half of one. Paths may
-lie in any file system that Hadoop knows.
+A table is written beside its place. It gets there by two renames, of the old table to a
+name of its own and of the new one to the place; what reads through ``settled`` finds the
+old table where a crash came between the two, and the next write puts it right. A pointer file is
+replaced by one rename. Paths may lie in any file system that Hadoop knows.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
-import re
+import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import canonical_json
@@ -30,13 +29,39 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+#: What a table is called while the one that takes its place is put there.
+_OLD = ".old-"
+
+
+def _siblings(spark: SparkSession, path: str) -> list:
+    fs, where = _fs(spark, path.rstrip("/"))
+    folder = where.getParent()
+    found = fs.listStatus(folder) if fs.exists(folder) else []
+    return sorted((s.getPath() for s in found if s.getPath().getName().startswith(f"{where.getName()}{_OLD}")), key=lambda p: p.getName())
+
+
+def settled(spark: SparkSession, path: str) -> str:
+    """Where the table of a path is: there, or, if a write broke off between its two renames, under its old name."""
+    if exists(spark, path):
+        return path
+    old = _siblings(spark, path)
+    return old[-1].toString() if old else path
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
-    """Puts ``source`` in the place of ``target``."""
-    fs, old = _fs(spark, source)
-    _, new = _fs(spark, target)
-    if fs.exists(new):
-        fs.delete(new, True)
-    if not fs.rename(old, new):
+    """Puts the table ``source`` in the place of ``target``; the old one is deleted once the new one is there."""
+    fs, new = _fs(spark, source)
+    _, place = _fs(spark, target.rstrip("/"))
+    if fs.exists(place):
+        # The name sorts by time, so that of several the last is the one that was in force.
+        _rename(fs, place, _fs(spark, f"{target.rstrip('/')}{_OLD}{time.time_ns():020d}")[1])
+    _rename(fs, new, place)
+    for old in _siblings(spark, target):
+        fs.delete(old, True)
+
+
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
         raise OSError(f"cannot move {source} to {target}")
 
 
@@ -49,6 +74,19 @@ def write_text(spark: SparkSession, path: str, content: str, replace: bool = Tru
         out.close()
 
 
+def replace_text(spark: SparkSession, path: str, content: str) -> None:
+    """Writes a small file beside its place and renames it there, over an older one, in one step."""
+    beside = f"{path}-{uuid.uuid4().hex}"
+    write_text(spark, beside, content)
+    context = spark.sparkContext
+    fs_ = context._jvm.org.apache.hadoop.fs
+    _, source = _fs(spark, beside)
+    _, target = _fs(spark, path)
+    how = context._gateway.new_array(fs_.Options.Rename, 1)
+    how[0] = fs_.Options.Rename.OVERWRITE
+    fs_.FileContext.getFileContext(source.toUri(), context._jsc.hadoopConfiguration()).rename(source, target, how)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
@@ -87,21 +125,31 @@ def write_canonical_jsonl(df: DataFrame, path: str, order: list[str]) -> tuple[i
 
 
 def hash_of(spark: SparkSession, path: str) -> str:
-    """SHA-256 over the SHA-256 of a folder's parts, in the order of their names; one row per part reaches the driver."""
-    parts = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", F.sha2("content", 256).alias("h")).orderBy("path").collect()
-    return hashlib.sha256("".join(r["h"] for r in parts).encode()).hexdigest()
+    """SHA-256 of a folder of lines: of their number and of sums of their hashes, which tasks add up on their own."""
+    lines = spark.read.text(path).select(F.sha2("value", 256).alias("h"))
+    part = lambda i: F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return lines.agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *[part(i) for i in range(4)]), 256)).first()[0]
 
 
 def read_canonical_jsonl(spark: SparkSession, path: str, schema: str, digest: str | None = None) -> DataFrame:
+    path = settled(spark, path)
     if digest is not None and hash_of(spark, path) != digest:
         raise ValueError(f"{path} is not what its hash says")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_numbered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(source_path, line, row) of JSON lines, blank ones left out, each with its line number; a file is read whole."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
-    return lines.filter(F.trim("value") != "").select("source_path", (F.col("at") + 1).alias("line"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row"))
+    """(source_path, line, row) of JSON lines, blank ones left out, each with its line number.
+
+    Files are read in splits; a line's number is its place in the split and the lines of the
+    splits before it.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    own = F.row_number().over(Window.partitionBy("source_path", "block").orderBy("at"))
+    before = F.sum("n").over(Window.partitionBy("source_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    counts = lines.groupBy("source_path", "block").agg(F.count(F.lit(1)).alias("n")).select("source_path", "block", F.coalesce(before, F.lit(0)).alias("before"))  # a row per split
+    numbered = lines.withColumn("own", own).join(counts, ["source_path", "block"])
+    return numbered.filter(F.trim("value") != "").select("source_path", (F.col("own") + F.col("before")).cast("long").alias("line"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row"))
 
 
 # --- shards -------------------------------------------------------------------------------------
@@ -119,16 +167,21 @@ def shard_hashes(df: DataFrame, key: str) -> DataFrame:
 
 
 def write_shards(df: DataFrame, path: str, key: str, order: list[str]) -> None:
-    """One folder per document, its rows in order, and a manifest with the hash of each; a shard is written by one task."""
+    """One folder per document, its rows in order, and a manifest with the hash of each.
+
+    Tasks take ranges of (document, order), so that a large document is written by several, in files that follow each other.
+    """
     spark = df.sparkSession
     beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    df.repartition(key).sortWithinPartitions(key, *order).write.partitionBy(key).parquet(f"{beside}/shards")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order).write.partitionBy(key).parquet(f"{beside}/shards")
     shard_hashes(df, key).write.parquet(f"{beside}/manifest")
     move(spark, beside, path)
 
 
 def read_shards(spark: SparkSession, path: str, key: str, wanted: list[str], check: bool = True) -> DataFrame:
     """The shards of the named documents, and of no other: folders are pruned. An unknown or changed shard is an error."""
+    path = settled(spark, path)
     rows = spark.read.parquet(f"{path}/shards").withColumn(key, F.col(key).cast("string")).filter(F.col(key).isin(wanted))
     if check:
         known = spark.read.parquet(f"{path}/manifest").withColumn(key, F.col(key).cast("string")).filter(F.col(key).isin(wanted)).select(key, "digest")
@@ -161,7 +214,7 @@ def write_store(spark: SparkSession, path: str, tables: dict[str, DataFrame], ch
         fs, where = _fs(spark, f"{path}/{version}")
         fs.delete(where, True)
         raise ValueError(f"the store breaks its rules: {broken}")
-    write_text(spark, f"{path}/CURRENT", version)
+    replace_text(spark, f"{path}/CURRENT", version)
     return version
 
 
@@ -183,29 +236,34 @@ def read_store(spark: SparkSession, path: str, name: str) -> DataFrame:
 # --- traces -------------------------------------------------------------------------------------
 
 
-def trace_hash(trace: dict) -> str:
-    return hashlib.sha256((json.dumps(trace, sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False) + "\n").encode()).hexdigest()
+def canonical_trace(trace: Column) -> Column:
+    """JSON text with sorted keys and without spaces; text that is no JSON is an error."""
+    return F.to_json(F.parse_json(trace))
+
 
+def append_traces(traces: DataFrame, path: str) -> DataFrame:
+    """Adds the traces (column trace, JSON text) that the table at ``path`` lacks, and gives (trace, trace_hash) of all given.
 
-def persist_trace(spark: SparkSession, trace: dict, folder: str) -> str:
-    """Writes a trace under its own hash; the same trace again changes nothing, other content under that name is an error."""
-    digest = trace_hash(trace)
-    path = f"{folder.rstrip('/')}/{digest}.json"
+    A trace is named by the SHA-256 of its canonical text; written again, in whatever order of
+    keys, it changes nothing.
+    """
+    spark = traces.sparkSession
+    text = canonical_trace(F.col("trace"))
+    named = traces.select("trace", F.sha2(text, 256).alias("trace_hash"), text.alias("canonical"))
+    new = named.select("trace_hash", F.col("canonical").alias("trace")).dropDuplicates(["trace_hash"])
     if exists(spark, path):
-        if json.loads(read_text(spark, path)) != trace:
-            raise ValueError(f"another trace lies under {digest}")
-    else:
-        write_text(spark, path, json.dumps(trace, sort_keys=True, ensure_ascii=False), replace=False)
-    return digest
+        new = new.join(spark.read.parquet(path).select("trace_hash"), "trace_hash", "left_anti")
+    new.write.mode("append").parquet(path)
+    return named.select("trace", "trace_hash")
 
 
-def read_trace(spark: SparkSession, digest: str, folder: str) -> dict:
-    if not re.fullmatch("[0-9a-f]{64}", digest):
-        raise ValueError("a trace is named by a SHA-256")
-    trace = json.loads(read_text(spark, f"{folder.rstrip('/')}/{digest}.json"))
-    if trace_hash(trace) != digest:
-        raise ValueError("the trace is not what its name says")
-    return trace
+def read_traces(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(trace_hash, trace), those of ``wanted`` (trace_hash) or all, each once; a row that is not what its name says stops the job."""
+    rows = spark.read.parquet(path).dropDuplicates(["trace_hash", "trace"])
+    if wanted is not None:
+        rows = rows.join(wanted.select("trace_hash").distinct(), "trace_hash", "left_semi")
+    whole = F.sha2(canonical_trace(F.col("trace")), 256) == F.col("trace_hash")
+    return rows.select("trace_hash", F.when(whole, F.col("trace")).otherwise(F.raise_error(F.concat(F.lit("not what its name says: "), "trace_hash"))).alias("trace"))
 
 
 # --- caches and stores of vectors -----------------------------------------------------------------
@@ -227,7 +285,8 @@ def through_cache(requests: DataFrame, path: str, key: str, compute: Callable[[D
         asked = asked.join(spark.read.parquet(path).select(key), key, "left_anti")
     if not asked.isEmpty():
         compute(asked).write.mode("append").parquet(path)
-    return requests.select(key).join(spark.read.parquet(path), key, "left")
+    # Two runs at once may both have appended a key: one answer each counts.
+    return requests.select(key).join(spark.read.parquet(path).dropDuplicates([key]), key, "left")
 
 
 def reusable(chunks: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -268,4 +327,5 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    path = settled(spark, path)
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")

@@ -1,4 +1,4 @@
-"""Sources and sinks: Parquet tables, strict JSON lines, CSV with BOM, text ids, nested JSON, sharded writes."""
+"""Sources and sinks: Parquet tables, strict JSON lines, CSV with BOM, text ids, nested JSON, upserts."""
 
 from __future__ import annotations
 
@@ -48,18 +48,6 @@ def require_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("__n", n).filter(F.assert_true(F.col("__n") == 1, F.lit(f"duplicate key {keys}")).isNull()).drop("__n")
 
 
-def write_canonical_jsonl(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """JSON lines in the order of ``keys`` with alphabetical fields; an empty table is refused."""
-    if rows.isEmpty():
-        raise ValueError("nothing to write")
-    rows.select(*sorted(rows.columns)).orderBy(*keys).write.option("ignoreNullFields", False).json(path)
-
-
-def write_shards(rows: DataFrame, path: str, shard: str, order: list[str]) -> None:
-    """One folder per shard value, rows in order; readers prune by the folder. Large shards spread over files."""
-    rows.repartition(shard, F.pmod(F.xxhash64(*order), F.lit(8))).sortWithinPartitions(shard, *order).write.partitionBy(shard).parquet(path)
-
-
 def upsert_missing(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``new`` whose key the store lacks, once each: what an append has to write."""
     return new.dropDuplicates([key]).join(store.select(key), key, "left_anti")

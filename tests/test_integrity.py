@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,15 +54,59 @@ def test_store_keeps_its_rules(spark, tmp_path):
 
 
 def test_traces(spark, tmp_path):
-    folder = str(tmp_path)
-    digest = integrity.persist_trace(spark, {"b": 1, "a": "é"}, folder)
-    assert integrity.persist_trace(spark, {"a": "é", "b": 1}, folder) == digest and integrity.read_trace(spark, digest, folder) == {"a": "é", "b": 1}
-    (tmp_path / f"{digest}.json").write_text("{}")
-    (tmp_path / f".{digest}.json.crc").unlink(missing_ok=True)
-    with pytest.raises(ValueError, match="name says"):
-        integrity.read_trace(spark, digest, folder)
-    with pytest.raises(ValueError, match="another trace"):
-        integrity.persist_trace(spark, {"a": "é", "b": 1}, folder)
+    path = str(tmp_path / "traces")
+    given = spark.createDataFrame([('{"b": 1, "a": "é", "n": {"y": [1, 2], "x": null}}',), ('{"n":{"x":null,"y":[1,2]},"a":"é","b":1}',), ('{"b": 2}',)], "trace string")
+    names = [r["trace_hash"] for r in integrity.append_traces(given, path).collect()]
+    assert names[0] == names[1] != names[2] and integrity.read_traces(spark, path).count() == 2
+    assert hashlib.sha256('{"a":"é","b":1,"n":{"x":null,"y":[1,2]}}'.encode()).hexdigest() == names[0]
+    integrity.append_traces(given, path)
+    assert integrity.read_traces(spark, path).count() == 2
+    wanted = spark.createDataFrame([(names[2],), ("0" * 64,)], "trace_hash string")
+    assert [r["trace"] for r in integrity.read_traces(spark, path, wanted).collect()] == ['{"b":2}']
+    spark.createDataFrame([(names[2], '{"b":3}')], "trace_hash string, trace string").write.mode("append").parquet(path)
+    with pytest.raises(Exception, match="name says"):
+        integrity.read_traces(spark, path).collect()
+
+
+def test_a_write_that_breaks_off_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("h",), ("g",)], "hash_id string")
+    one = spark.createDataFrame([(1.0,)], "w double")
+    path = str(tmp_path / "graph")
+    integrity.write_graph(rows, one, path)
+    rename, calls = integrity._rename, []
+
+    def broken(fs, source, target):
+        calls.append(target)
+        if len(calls) == 2:
+            raise OSError("killed")
+        rename(fs, source, target)
+
+    monkeypatch.setattr(integrity, "_rename", broken)
+    with pytest.raises(OSError, match="killed"):
+        integrity.write_graph(rows.limit(1), one, path)
+    assert not integrity.exists(spark, path) and [df.count() for df in integrity.read_graph(spark, path)] == [2, 1]
+    monkeypatch.setattr(integrity, "_rename", rename)
+    integrity.write_graph(rows.limit(1), one, path)
+    assert [df.count() for df in integrity.read_graph(spark, path)] == [1, 1] and integrity.settled(spark, path) == path
+    assert not list(tmp_path.glob("graph.old-*"))
+
+
+def test_pointer_is_replaced_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "CURRENT")
+    for content in ("one", "two"):
+        integrity.replace_text(spark, path, content)
+        assert integrity.read_text(spark, path) == content and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["CURRENT"]
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("".join(f'{{"a": {i}}}\n' if i % 3 else "\n" for i in range(1, 4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = integrity.read_numbered_jsonl(spark, str(tmp_path / "x.jsonl"), "a long").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["line"], r["row"]["a"]) for r in rows) == [(i, i) for i in range(1, 4000) if i % 3]
 
 
 def test_cache_computes_once(spark, tmp_path):
