@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import partitions, small_batches
+from factloom.llm.common import materialise, partitions, small_batches
 
 WINDOW = 7
 LEAST_BLOCK = 3
@@ -29,7 +29,7 @@ GATE_FROM, GATE_RUN = 8, 4
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 #: Rows of a range of ids.
-AREA_ROWS = 20_000
+AREA_ROWS = 1_000_000
 
 _CHARS = np.frombuffer(ALPHABET.encode(), np.uint8)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -193,32 +193,47 @@ _ARROW = pa.schema(
 )
 
 
+_EDGED = pa.schema([*_ARROW, ("area", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
+
+
+def _compared(doc_id, text: str, mark: str, following: str, following_mark: str) -> tuple:
+    """A document's result, given the text that follows it."""
+    take = len(text) // 4
+    edited = text[: len(text) - take] + following[:take]
+    edited_mark = fingerprint(edited)
+    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+    return (doc_id, len(text), sha, mark, edited_mark, likeness(mark, edited_mark), likeness(mark, following_mark))
+
+
 def _pairs(batches):
-    """Rows come sorted within their range; each but a range's last is compared with the one that follows."""
-    before = None
+    """Rows come sorted; each but the last is compared with the one that follows. The first and the last row are handed on as edges."""
+    from pyspark import TaskContext
+
+    area, before = TaskContext.get().partitionId(), None
+
+    def edge(kind, row):
+        return (row[0], *[None] * 6, area, kind, row[1])
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _EDGED)], schema=_EDGED)
+
     for batch in batches:
         out = []
-        for area, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-            text = text or ""
-            own = fingerprint(text)
-            if before is not None and before[0] == area:
-                _, first_id, first, mark = before
-                take = len(first) // 4
-                edited = first[: len(first) - take] + text[:take]
-                edited_mark = fingerprint(edited)
-                sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((first_id, len(first), sha, mark, edited_mark, likeness(mark, edited_mark), likeness(mark, own)))
-            before = (area, doc_id, text, own)
+        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            row = (doc_id, text, fingerprint(text))
+            out.append((*_compared(*before, *row[1:]), area, None, None) if before else edge("first", row))
+            before = row
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _ARROW)], schema=_ARROW)
+            yield table(out)
+    if before:
+        yield table([edge("last", before)])
 
 
-def _area_udf(bounds: list[int]):
-    @F.pandas_udf("int")
-    def run(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.asarray(bounds, np.int64), keys.to_numpy(np.int64), side="right")).astype("int32")
-
-    return run
+def _edge_pairs(batches):
+    for batch in batches:
+        rows = [_compared(i, text, fingerprint(text), following, fingerprint(following)) for i, text, following in zip(*(c.to_pylist() for c in batch.columns))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
 def edited_neighbours(docs: DataFrame) -> DataFrame:
@@ -227,29 +242,25 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     The edited text has the last quarter of the code points replaced by the first
     as many of the next document in ascending order of ids, the first document
     following the last. Null ids come first; rows that repeat an id follow in the
-    order of their texts, null texts being empty. A table of one row is its own
-    neighbour; an empty table gives an empty result.
+    order of the SHA-256 of their texts, null texts being empty. A table of one row is its
+    own neighbour; an empty table gives an empty result.
 
-    Rows are dealt in ranges of ids, of about AREA_ROWS rows where the table is large:
-    the driver holds one bound for each. Each range also gets the first row of the
-    next one, so that no row waits for another task: at most one extra row for
-    each range. Rows that repeat one id, or have none, stay in one range.
+    Rows are dealt into as many sorted ranges as there are partitions, or one for AREA_ROWS rows,
+    equal rows too, and each range is read as a stream. What it lacks is the row after its last one: the
+    first and last rows of all ranges, two each, meet in a join by range.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    least = -(1 << 63)
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    rows = docs.select(F.col("doc_id").cast("long"), text, F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("key"))
-    n = max(partitions(spark), math.ceil(rows.count() / AREA_ROWS))
-    cuts = rows.filter("doc_id IS NOT NULL").approxQuantile("key", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    bounds = sorted({int(x) for x in cuts or []})
-    rows = rows.withColumn("area", _area_udf(bounds)("key"))
-    # The tables of firsts have a row for each range, no more.
-    firsts = rows.groupBy("area").agg(F.min("key").alias("key"))
-    first_rows = rows.join(F.broadcast(firsts), ["area", "key"]).groupBy("area", "doc_id", "key").agg(F.min("text").alias("text"))
-    order = Window.orderBy("area")
-    everything = Window.orderBy("area").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    guests = first_rows.withColumn("area", F.coalesce(F.lag("area").over(order), F.max("area").over(everything)))
-    both = rows.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1)))
-    dealt = both.repartition(n, "area").sortWithinPartitions("area", "guest", "key", "text")
-    return dealt.select("area", "doc_id", "text").mapInArrow(_pairs, _SCHEMA)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.sha2(text, 256).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "tie", "row"]
+    ranges = max(partitions(spark), math.ceil(docs.count() / AREA_ROWS))
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    found = materialise(dealt.select("doc_id", "text").mapInArrow(_pairs, f"{_SCHEMA}, area int, edge string, text string"), "op10-ranges")
+    firsts = found.filter("edge = 'first'").select(F.col("area").alias("next"), F.col("text").alias("following"))
+    lasts = found.filter("edge = 'last'").select("area", "doc_id", "text")
+    # A row per range: numbers alone, no texts.
+    by, every = Window.orderBy("area"), Window.orderBy("area").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = lasts.select("area").withColumn("next", F.coalesce(F.lead("area").over(by), F.min("area").over(every)))
+    edges = lasts.join(after, "area").join(firsts, "next").select("doc_id", "text", "following")
+    return found.filter("edge IS NULL").select(*_ARROW.names).unionByName(edges.mapInArrow(_edge_pairs, _SCHEMA))
