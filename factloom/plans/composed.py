@@ -6,46 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import answers, fragments, tables
-from factloom.plans.facts_built import _values
 from factloom.plans.register import registry
 from factloom.plans.structure import _extracted
 from factloom.sources.tables import table
 
 QUERIES, ORACLES, query = registry()
 
-#: Questions and by hand their facets, kind and query.
-_FACETS = [
-    ("2021年营业收入增长的原因是什么？", "question:2021年营业收入增长的原因是什么？|clause:2021年营业收入增长|metric:年营业收入增长|metric_year:年营业收入增长 2021|causal:年营业收入增长 原因 影响因素|comparison:年营业收入增长 本期 上期 同比 变动"),
-    ("请分析公司面临的风险", "question:请分析公司面临的风险|clause:公司面临的风险|metric:面临的风险|topic:面临的风险 风险 不利因素 应对措施"), ("毛利率", "question:毛利率"),
-    ("收入如何，利润如何", "question:收入如何，利润如何|clause:收入|clause:利润|metric:收入如何，利润"),
-]
-
-
-def _cases(name: str, cases: list[tuple], result) -> None:
-    wanted = _values([(k, w) for k, (_, w) in enumerate(cases)], "k, result")
-
-    @query(name, f"SELECT o_orderkey, result FROM orders JOIN {wanted} ON c.k = o_orderkey % {len(cases)}")
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        given = spark.createDataFrame([(k, g) for k, (g, _) in enumerate(cases)], "k long, given string")
-        rows = table(spark, sf, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(len(cases))).alias("k"))
-        return rows.join(F.broadcast(given.withColumn("result", result(F.col("given")))), "k").select("o_orderkey", "result")  # a few rows
-
-
-_cases("question_facets", _FACETS, lambda c: F.array_join(F.transform(answers.facets(c), lambda x: F.concat(x["kind"], F.lit(":"), x["query"])), "|"))
-_CHOSEN = [
-    ('{"selected_ids": ["b", "a"]}', "shadow_valid:b,a"), ("I choose a", "fallback_free_text_or_schema:a,b,c"), ('{"selected_ids": ["a"], "why": "x"}', "fallback_free_text_or_schema:a,b,c"), ('{"selected_ids": ["a", "a"]}', "fallback_invalid_cardinality:a,b,c"),
-    ('{"selected_ids": ["z"]}', "fallback_unknown_id:a,b,c"), ('{"selected_ids": []}', "shadow_valid:"), ('{"selected_ids": [1]}', "fallback_invalid_cardinality:a,b,c"), ('{"selected_ids": "a"}', "fallback_invalid_cardinality:a,b,c"), ("late", "fallback_timeout:a,b,c"),
-]
-
-
-def _chosen(c):
-    out = answers.shadow_selection(F.array(*map(F.lit, "abc")), c, c == "late", 3)
-    return F.concat(out["status"], F.lit(":"), F.array_join(out["selected"], ","))
-
-
-_cases("shadow_selection", _CHOSEN, _chosen)
-
-
 @query("frozen_rerank", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 4 * 3 + l_partkey % 3 AS concern_score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey % 4 DESC, l_partkey % 3 DESC, l_linenumber, l_partkey, l_extendedprice) AS rank
   FROM lineitem WHERE l_returnflag <> 'R' AND l_quantity >= 10""")
 def frozen_rerank(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,14 +98,3 @@ def hydrated_fragments(spark: SparkSession, sf: str) -> DataFrame:
     foreign = asked.withColumn("document_id", F.lit("elsewhere"))
     unknown = spark.createDataFrame([("frag_none", "C1")], "fragment_id string, document_id string")
     return fragments.hydrate(asked.unionByName(foreign).unionByName(unknown), rows).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
-
-
-_VARIANTS = {"full": (), "flat": ("legacy_flattened_a0",), "single": ("no_multilevel_headers",), "rows": ("no_hierarchical_rows", "no_unit_period_scope")}
-_VARIANT_WANTED = {"full": "base value own multi rows meaning", "flat": "flat", "single": "base value own single rows meaning", "rows": "base value own multi"}
-
-
-@query("variant_texts", "SELECT l_returnflag, " + ", ".join(f"'{w}' AS {k}" for k, w in _VARIANT_WANTED.items()) + ", count(*) AS n FROM lineitem GROUP BY l_returnflag")
-def variant_texts(spark: SparkSession, sf: str) -> DataFrame:
-    words = {"base_search_text": "base", "value_search_text": "value", "own_row_header_text": "own", "single_header_text": "single", "multilevel_header_text": "multi", "hierarchical_row_text": "rows", "semantic_search_text": "meaning", "legacy_flat_text": "flat", "search_text": "none"}
-    rows = table(spark, sf, "lineitem").select("l_returnflag", *[F.lit(v).alias(k) for k, v in words.items()])
-    return rows.groupBy("l_returnflag", *[fragments.variant_text(frozenset(a)).alias(k) for k, a in _VARIANTS.items()]).agg(F.count(F.lit(1)).alias("n"))

@@ -171,17 +171,3 @@ def line_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     rows = _lines(spark, sf).select("document_id", "line", F.substring("content", 1, 1).alias("heading"), F.length("content").alias("n"))
     hits = rows.filter("n % 7 = 0 AND n > 0").select("document_id", "line", "heading", F.lit(1.0).alias("score"))
     return ops.neighbour_lines(hits, rows)
-
-
-_SAID = ["alpha beta", "alpha beta gamma", "beta gamma", "delta", "alpha", "gamma delta epsilon"]
-#: Worked out by hand for the question alpha beta: recall, precision, signal 1 / (10 + place), and what holds or is held by a better one.
-_KEPT = [("alpha beta", 1), ("beta gamma", 2), ("delta", 3)]
-
-
-@query("rank_sentences", "SELECT l_orderkey AS question_id, v.text, v.rank FROM (SELECT DISTINCT l_orderkey FROM lineitem), (VALUES " + ", ".join(f"('{t}', {r}::BIGINT)" for t, r in _KEPT) + ") v(text, rank)")
-def rank_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    """Six sentences answer every order."""
-    said = spark.createDataFrame([(k + 1, t) for k, t in enumerate(_SAID)], "position long, text string")
-    orders = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("question_id")).distinct()
-    rows = orders.join(F.broadcast(said)).withColumns({"key": text.compact_words(F.col("text")), "asked": F.array(F.lit("alpha"), F.lit("beta")), "grams": F.split("text", " "), "signal": 1.0 / (10.0 + F.col("position"))})  # six rows
-    return ops.rank_sentences(rows).select("question_id", "text", "rank")

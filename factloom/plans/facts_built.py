@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import selection, supplements, years
+from factloom.operators import selection, supplements
 from factloom.plans.register import registry
 from factloom.plans.structured import _SELECTED_SQL, _built
 from factloom.sources.tables import table
@@ -13,57 +13,6 @@ from factloom.sources.views import candidates
 
 QUERIES, ORACLES, query = registry()
 
-#: (metric, source, label across from it, report year) and by hand: year, how, error.
-YEAR_CASES = [
-    ("营业收入", "row_label", "2020年", 2021, 2020, "explicit_year", None), ("营业收入", "row_label", "本期", 2021, 2021, "relative_current", None), ("营业收入", "column_label", "上年度", 2021, 2020, "relative_previous", None),
-    ("营业收入", "row_label", "", 2021, None, None, "missing_period_label"), ("营业收入", "row_label", "同比增减", 2021, None, None, "comparison_or_change_column"), ("营业收入", "row_label", "第一季度", 2021, None, None, "partial_period_or_quarter"),
-    ("营业收入", "row_label", "2021年1-6月", 2021, None, None, "partial_period_or_quarter"), ("营业收入", "row_label", "年初至处置日", 2021, None, None, "partial_duration_date"), ("营业收入", "row_label", "2021年12月31日", 2021, None, None, "partial_duration_date"),
-    ("总资产", "row_label", "2021年12月31日", 2021, 2021, "explicit_year_end_date", None), ("总资产", "row_label", "2021年1月1日", 2021, 2020, "explicit_opening_date", None), ("总资产", "row_label", "2021年6月30日", 2021, None, None, "non_standard_balance_date"),
-    ("总资产", "row_label", "2021年初", 2021, 2020, "explicit_opening_period", None), ("总资产", "row_label", "期初", 2021, 2020, "relative_previous", None), ("总资产", "row_label", "2020年和2021年", 2021, None, None, "ambiguous_multiple_years"),
-    ("营业收入", "row_label", "2030年", 2021, 2030, "explicit_year", "future_metric_year"), ("营业收入", "row_label", "2018年", 2021, 2018, "explicit_year", "metric_year_outside_three_year_window"), ("营业收入", "row_label", "金额", 2021, None, None, "unresolved_metric_year"),
-    ("营业收入", "row_label", "2019", None, None, None, "invalid_report_year"), ("股本", "row_label", "年末余额", 2020, 2020, "relative_current", None),
-]
-
-
-def _sql(value) -> str:
-    return "NULL" if value is None else str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows) + f") c({names})"
-
-
-def _year_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Every line of an order bears one of the cases."""
-    cases = spark.createDataFrame([(k, m, s, lab if s == "column_label" else "x", lab if s == "row_label" else "x", y) for k, (m, s, lab, y, *_) in enumerate(YEAR_CASES)], "k long, metric string, source string, row_label string, column_label string, report_year long")
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(len(YEAR_CASES))).alias("k"))
-    return lines.join(F.broadcast(cases), "k")  # twenty rows
-
-
-_CASES_SQL = _values([(k, r[3], *r[4:]) for k, r in enumerate(YEAR_CASES)], "k, report_year, metric_year, how, error")
-_LINES_SQL = f"lineitem JOIN {_CASES_SQL} ON c.k = (l_orderkey + l_linenumber) % {len(YEAR_CASES)}"
-
-
-@query("metric_year_rules", f"SELECT c.k, metric_year, how AS year_resolution, CASE WHEN how IS NOT NULL THEN CASE WHEN how LIKE 'explicit%' THEN 'high' ELSE 'medium' END END AS year_confidence, error, count(*) AS n FROM {_LINES_SQL} GROUP BY ALL")
-def metric_year_rules(spark: SparkSession, sf: str) -> DataFrame:
-    found = years.resolve_year(F.col("metric"), F.col("source"), F.col("row_label"), F.col("column_label"), F.col("report_year"))
-    rows = _year_rows(spark, sf).withColumn("y", found)
-    return rows.groupBy("k", "y.metric_year", "y.year_resolution", "y.year_confidence", "y.error").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("candidate_years", f"SELECT CASE WHEN error IS NULL THEN metric_year END AS metric_year, count(*) AS n FROM {_LINES_SQL} GROUP BY 1")
-def candidate_years(spark: SparkSession, sf: str) -> DataFrame:
-    found = years.candidate_year(F.col("metric"), F.col("source"), F.col("row_label"), F.col("column_label"), F.col("report_year"))
-    return _year_rows(spark, sf).groupBy(found.alias("metric_year")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("supplement_years", f"""SELECT c.k, CASE WHEN error = 'future_metric_year' THEN 'metric_year_outside_three_year_window' WHEN error IS NOT NULL THEN error WHEN metric_year <> 2020 THEN 'metric_year_mismatch' END AS error, count(*) AS n FROM {_LINES_SQL} GROUP BY ALL""")
-def supplement_years(spark: SparkSession, sf: str) -> DataFrame:
-    """All cells are asked for 2020."""
-    found = years.supplement_year(F.col("metric"), F.col("source"), F.col("row_label"), F.col("column_label"), F.col("report_year"), F.lit(2020))
-    return _year_rows(spark, sf).withColumn("y", found).groupBy("k", "y.error").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("implausible_values", """SELECT l_orderkey, l_linenumber, CASE l_orderkey % 4 WHEN 0 THEN CASE WHEN l_quantity * 1000000000000000 > 10000000000000000 THEN 'implausible_magnitude' END WHEN 1 THEN CASE WHEN l_quantity > 10 THEN 'implausible_ratio_magnitude' END
   WHEN 2 THEN CASE WHEN l_quantity * 5000 > 100000 THEN 'implausible_per_share_magnitude' END ELSE CASE WHEN 25 - l_quantity < 0 THEN 'negative_nonnegative_metric' END END AS reason FROM lineitem""")
 def implausible_values(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text
 from factloom.operators import evaluation, graph
-from factloom.plans.facts_built import _values
 from factloom.plans.register import registry
 from factloom.sources.tables import table
 
@@ -155,57 +154,3 @@ def same_rows(spark: SparkSession, sf: str) -> DataFrame:
     gold = oracle.filter("k % 5 <> 0").withColumn("v", F.when(F.col("k") % 11 == 0, "X").otherwise(F.col("v")))
     answers = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.lit("").alias("v")).distinct()
     return evaluation.same_rows(oracle, gold, answers, "k", "v")
-
-
-# --- texts by cases worked out by hand ----------------------------------------------------------
-
-
-def _cases_query(name: str, cases: list[tuple], result):
-    """Every order bears one of the cases: (given, what must come out)."""
-    wanted = _values([(k, w) for k, (_, w) in enumerate(cases)], "k, result")
-
-    @query(name, f"SELECT o_orderkey, result FROM orders JOIN {wanted} ON c.k = o_orderkey % {len(cases)}")
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        given = spark.createDataFrame([(k, g) for k, (g, _) in enumerate(cases)], "k long, given string")
-        rows = table(spark, sf, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(len(cases))).alias("k"))
-        return rows.join(F.broadcast(given), "k").select("o_orderkey", result(F.col("given")).alias("result"))  # a few rows
-
-
-_parsed = lambda c: text.parse_fact_text(c)
-_cases_query(
-    "fact_texts",
-    [("fact: a ||| b ||| c", "a/b/c"), ("FACT:x||| y |||z\ncontext: more", "x/y/z"), ("fact: a ||| b", None), ("a ||| b ||| c", None), ("", None), ("fact: ||| b ||| c", "/b/c")],
-    lambda c: F.when(_parsed(c).isNotNull(), F.concat_ws("/", _parsed(c)["subject"], _parsed(c)["predicate"], _parsed(c)["object"])),
-)
-_cases_query("fact_round_trip", [("who", "fact: who ||| is ||| who"), ("", "fact:  ||| is ||| ")], lambda c: text.fact_text(c, F.lit("is"), c))
-_cases_query(
-    "json_fields", [('{"a": "x", "b": 2}', "x"), ('Sure! {"a": [1, 2]} done', "[1,2]"), ("no json", None), ('{"b": 1}', None), ('```json\n{"a": true}\n```', "true")], lambda c: text.json_field(c, "a")
-)
-_cases_query(
-    "repaired_json",
-    [('{"a": [1, 2', '{"a": [1, 2]}'), ('{"a": "x', '{"a": "x"}'), ('{"a": 1, "b"', '{"a": 1}'), ('{"a": 1,', '{"a": 1}'), ('{"a": {"b": ["[', '{"a": {"b": ["["]}}'), ('{"ok": 1}', '{"ok": 1}'), ('[{"t": ["s", "p", "o"]}, {"t": ["s"', '[{"t": ["s", "p", "o"]}, {"t": ["s"]}]')],
-    text.repaired_json,
-)
-_cases_query("truncated_tokens", [("one two  three four", "one two three"), (" a b ", " a b "), ("", ""), ("x y z", "x y z")], lambda c: text.truncate_tokens(c, 3))
-_cases_query("token_counts", [("one two  three", "3"), ("", "0"), ("　x　", "1")], lambda c: text.token_count(c).cast("string"))
-_cases_query(
-    "requested_units",
-    [("营业收入是多少亿元", "unit_conversion_required/亿元"), ("单位：万元", "unit_conversion_required/万元"), ("利润多少元", "ok/元"), ("股本多少股", "ok/股"), ("毛利率为百分之几，用%表示", "ok/ratio"), ("收入是多少", "unspecified")],
-    lambda c: F.concat_ws("/", text.requested_unit(c)["status"], text.requested_unit(c)["unit"]),
-)
-_cases_query(
-    "question_years",
-    [("营业收入是多少", "ok/2021/default_report_year"), ("2021年年报中2020年的收入", "ok/2020/explicit_metric_year"), ("2019年度报告的收入", "report_year_mismatch"), ("2020年年报与2021年年报", "report_year_ambiguous"), ("2019年和2020年收入", "metric_year_ambiguous"), ("2021年的收入", "ok/2021/explicit_metric_year")],
-    lambda c: F.concat_ws("/", text.question_years(c, F.lit(2021))["status"], text.question_years(c, F.lit(2021))["metric_year"].cast("string"), text.question_years(c, F.lit(2021))["year_resolution"]),
-)
-
-
-def _labels():
-    label = lambda name, sure, about: F.struct(F.lit(name).alias("label"), F.lit(sure).alias("confidence"), F.lit(about).alias("about"))
-    return F.array(label("毛利率", 0.8, "毛利率上升 12.5%"), label("风险", 0.5, "汇率风险"))
-
-
-_cases_query(
-    # 25 x confidence for each label found, 0.7 for each of 毛利 利率 率上 上升 风险 汇率 率风 found, 5 for 12.5%.
-    "label_relevance", [("", "-1.0"), ("毛利率上升", "22.8"), ("汇率风险与12.5%", "19.6"), ("无关", "0.0")], lambda c: F.round(text.label_relevance(c, _labels()), 6).cast("string")
-)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import ann
 from factloom.operators import retrieval as ops
-from factloom.sources import integrity, ranges
+from factloom.sources import ranges
 from factloom.sources.lifecycle import SearchIndex
 
 
