@@ -61,17 +61,36 @@ def overlaps(a: DataFrame, b: DataFrame, key: str, width: int = 3600) -> DataFra
     return both.filter(F.col("__bin") == F.floor(F.greatest("start", "other_start") / width)).drop("__k", "__b", "__bin")
 
 
+#: First characters of a text by which texts that hold it are found.
+HEAD_CHARS = 12
+
+
+def _holds(outer: DataFrame, inner: DataFrame, key: str) -> DataFrame:
+    """(outer, inner) ids of texts of one document of which the first holds the second; both: key, id, text.
+
+    A text is found by its first characters, a shorter one by all of it: an outer text has a row for
+    each of its distinct pieces of the lengths that occur, at most HEAD_CHARS of them.
+    """
+    size = F.least(F.length("text"), F.lit(HEAD_CHARS))
+    asked = inner.filter("text <> ''").select(key, F.col("id").alias("inner"), F.col("text").alias("__in"), size.alias("__size"), F.substring("text", F.lit(1), size).alias("__head"))
+    sizes = asked.groupBy(key).agg(F.collect_set("__size").alias("__sizes"))  # HEAD_CHARS sizes at most
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring("text", i, n))
+    whole = outer.filter("text <> ''").join(sizes, key).select(key, F.col("id").alias("outer"), "text", F.explode("__sizes").alias("__size")).filter(F.length("text") >= F.col("__size"))
+    cut = whole.select(key, "outer", "text", "__size", F.explode(F.array_distinct(pieces(F.col("__size")))).alias("__head"))
+    return cut.join(asked, [key, "__size", "__head"]).filter(F.contains("text", "__in")).select("outer", "inner")
+
+
 def matches_gold(candidates: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     """(candidate_id, gold_id): by overlapping lines, by id, or because one text holds the other; all within a document.
 
     candidates: key, candidate_id, start, end, text; gold: key, gold_id, start, end, text.
-    The three ways are three joins: by bins of lines, by id, and by document for texts,
-    where only gold of a document meets its candidates.
+    The three ways are three joins: by bins of lines, by id, and for texts by the document and
+    the first characters of the text that is held, which the other must have somewhere.
     """
     lines_ = overlaps(candidates.select(key, "candidate_id", "start", "end"), gold.select(key, "gold_id", "start", "end"), key, 64).select("candidate_id", F.col("other_gold_id").alias("gold_id"))
     ids = candidates.join(gold.select(key, F.col("gold_id").alias("candidate_id")), [key, "candidate_id"]).select("candidate_id", F.col("candidate_id").alias("gold_id"))
-    texts = candidates.select(key, "candidate_id", "text").join(gold.select(key, "gold_id", F.col("text").alias("g")), key)
-    held = texts.filter((F.col("text") != "") & (F.col("g") != "") & (F.contains("text", "g") | F.contains("g", "text"))).select("candidate_id", "gold_id")
+    c, g = candidates.select(key, F.col("candidate_id").alias("id"), "text"), gold.select(key, F.col("gold_id").alias("id"), "text")
+    held = _holds(c, g, key).select(F.col("outer").alias("candidate_id"), F.col("inner").alias("gold_id")).unionByName(_holds(g, c, key).select(F.col("inner").alias("candidate_id"), F.col("outer").alias("gold_id")))
     return lines_.unionByName(ids).unionByName(held).distinct()
 
 

@@ -76,10 +76,22 @@ def rank(rows: DataFrame, spec: QuerySpec) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def exact_mean(total: Column, n: Column) -> Column:
+    """total / n of a decimal with twelve places, correct to nineteen.
+
+    Spark narrows a quotient of wide decimals. So eight places come first, and what they leave
+    of the total, which is small, is divided on its own.
+    """
+    n = n.cast("decimal(10,0)")
+    first = (total.cast("decimal(30,8)") / n).cast("decimal(26,8)")
+    rest = total.cast("decimal(34,12)") - (first * n).cast("decimal(30,8)")
+    return first + rest.cast("decimal(24,12)") / n
+
+
 def aggregate(rows: DataFrame, spec: QuerySpec) -> DataFrame:
-    """One row, or none where nothing matches; an average keeps 16 places, its operands narrowed so that Spark can."""
+    """One row, or none where nothing matches; an average keeps sixteen places."""
     own = allow_list(rows, spec.filters())
-    value = {"count": F.count(F.lit(1)).cast("decimal(38,4)"), "sum": F.sum("normalized_value"), "average": F.sum("normalized_value").cast("decimal(30,8)") / F.count(F.lit(1)).cast("decimal(10,0)")}[spec.aggregate_operator]
+    value = {"count": F.count(F.lit(1)).cast("decimal(38,4)"), "sum": F.sum("normalized_value"), "average": exact_mean(F.sum("normalized_value"), F.count(F.lit(1))).cast("decimal(38,16)")}[spec.aggregate_operator]
     out = own.agg(value.alias("value"), F.count(F.lit(1)).alias("n_facts"), F.min("fact_id").alias("first_fact_id"))
     unit = "count" if spec.aggregate_operator == "count" else spec.normalized_unit
     return out.filter("n_facts > 0").withColumns({"aggregate_operator": F.lit(spec.aggregate_operator), "normalized_unit": F.lit(unit)})
@@ -124,20 +136,22 @@ def missing_slots(documents: DataFrame, selected: DataFrame, all_facts: DataFram
     return gaps.select(*keys, "report_year", cause.alias("cause"))
 
 
-#: Documents that a metadata value names as its witnesses; all are counted.
-WITNESSES = 20
+def metadata_witnesses(rows: DataFrame, field_name: str, key: str) -> DataFrame:
+    """(entity, value, document_id): every document that says a value, a row each, whatever their number."""
+    return rows.select(key, field_name, "document_id").distinct()
 
 
-def metadata(rows: DataFrame, field_name: str, key: str) -> DataFrame:
+def metadata(rows: DataFrame, field_name: str, key: str, witnesses: int = 20) -> DataFrame:
     """Values of a metadata field per entity, with how many documents say so, the first of them, and the status.
 
-    Any number of documents may say the same: they are counted, and only the
-    ``WITNESSES`` first are gathered, chosen by a window that Spark prunes per task.
+    Any number of documents may say the same: all are counted, ``witnesses`` of them are
+    gathered here, chosen by a window that Spark prunes per task; ``metadata_witnesses`` has
+    all of them, a row each.
     """
-    said = rows.select(key, field_name, "document_id").distinct()
+    said = metadata_witnesses(rows, field_name, key)
     counted = said.groupBy(key, field_name).agg(F.count(F.lit(1)).alias("n_documents"))
     first = Window.partitionBy(key, field_name).orderBy("document_id")
-    named = said.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= WITNESSES)
+    named = said.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= witnesses)
     named = named.groupBy(key, field_name).agg(F.array_sort(F.collect_list("document_id")).alias("document_ids"))
     values = counted.groupBy(key).agg(F.count(F.lit(1)).alias("__values"))
     out = counted.join(named, [key, field_name]).join(values, key)

@@ -156,7 +156,7 @@ def _answer(k: int, slack: float):
     return run
 
 
-def search(weights: DataFrame, asked: DataFrame, key: str, query_key: str, units: int, k: int, slack: float = 0.0, digits: int = 6, shard_units: int = SHARD_UNITS) -> DataFrame:
+def search(weights: DataFrame, asked: DataFrame, key: str, query_key: str, units: int, k: int, slack: float = 0.0, digits: int = 6, shard_units: int = SHARD_UNITS, query_block: int | None = None) -> DataFrame:
     """(query, key, score, rank): per query the k units of most weight, ties by key; exact.
 
     ``weights``: (key, token, w), ``asked``: (query, token, qtf); keys are whole numbers.
@@ -167,7 +167,7 @@ def search(weights: DataFrame, asked: DataFrame, key: str, query_key: str, units
     """
     lists, shards = index(weights, units, shard_units)
     queries = asked.groupBy(F.col(query_key).cast("long").alias("q")).agg(F.array_sort(F.collect_list(F.struct("token", "qtf"))).alias("asked"))
-    blocks = max(1, math.ceil(asked.select(query_key).distinct().count() / QUERY_BLOCK))
+    blocks = max(1, math.ceil(asked.select(query_key).distinct().count() / (query_block or QUERY_BLOCK)))
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     left = lists.select("*", every(blocks, "part")) if blocks > 1 else lists.withColumn("part", F.lit(0))
     right = queries.select("q", "asked", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("part"), every(shards, "shard"))

@@ -47,20 +47,22 @@ def forbidden_fields(schema: T.DataType, names: frozenset[str], path: str = "")
     return []
 
 
+def _without(column: Column, kind: T.DataType, raw: tuple[str, ...]) -> Column | None:
+    """A column without fields of these names at any depth of structs and arrays; None where nothing is left."""
+    if isinstance(kind, T.StructType):
+        left = [(f.name, x) for f in kind.fields if f.name not in raw and (x := _without(column[f.name], f.dataType, raw)) is not None]
+        return F.when(column.isNotNull(), F.struct(*[x.alias(n) for n, x in left])) if left else None
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        if _without(F.lit(None), kind.elementType, raw) is None:
+            return None
+        return F.transform(column, lambda x: _without(x, kind.elementType, raw))
+    return column
+
+
 def portable(rows: DataFrame, raw: tuple[str, ...]) -> DataFrame:
-    """Without raw contents: columns of these names go, and fields of these names inside structs."""
-    out = []
-    for field in rows.schema.fields:
-        if field.name in raw:
-            continue
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.StructType):
-            inner = [n for n in field.dataType.names if n in raw]
-            if len(inner) == len(field.dataType.names):
-                continue
-            column = column.dropFields(*inner) if inner else column
-        out.append(column.alias(field.name))
-    return rows.select(*out)
+    """Without raw contents: columns and fields of these names go, at any depth."""
+    out = [(f.name, _without(F.col(f"`{f.name}`"), f.dataType, raw)) for f in rows.schema.fields if f.name not in raw]
+    return rows.select(*[c.alias(n) for n, c in out if c is not None])
 
 
 def catalog(rows: DataFrame, search: Column, needle: str | None = None, year: int | None = None) -> DataFrame:
@@ -76,10 +78,12 @@ def channel(rows: DataFrame, group: str, matches: Column) -> DataFrame:
     return rows.withColumns({"__any": any_, "__m": matches}).filter((F.col("__any") == 0) | F.col("__m")).drop("__any", "__m")
 
 
-def in_plan_order(results: DataFrame, plan: list[str], key: str) -> DataFrame:
-    """Results with their place in a plan; ids of the plan without a result and results outside it are kept apart by ``state``."""
-    spark = results.sparkSession
-    order = spark.createDataFrame(list(enumerate(plan)), f"place long, {key} string")
+def in_plan_order(results: DataFrame, plan: list[str] | DataFrame, key: str) -> DataFrame:
+    """Results with their place in a plan; ids of the plan without a result and results outside it are kept apart by ``state``.
+
+    ``plan``: ids in order, or a table of place and ``key``.
+    """
+    order = results.sparkSession.createDataFrame(list(enumerate(plan)), f"place long, {key} string") if isinstance(plan, list) else plan.select("place", key)
     out = order.join(results, key, "full_outer")
     present = F.lit(True) if not [c for c in results.columns if c != key] else F.coalesce(*[F.col(c).isNotNull() for c in results.columns if c != key])
     return out.withColumn("state", F.when(F.col("place").isNull(), "unplanned").when(present, "found").otherwise("missing"))

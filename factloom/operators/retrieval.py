@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.fusion import table_quota
-from factloom.operators.impact import K1, B
+from factloom.operators.impact import K1, B, search
 
 #: Fixed value: reciprocal rank fusion.
 RRF_K = 60
 #: Queries and vectors of a block.
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 65_536
-#: Queries of a block of gram recall, and items that a task counts at a time.
-RECALL_BLOCK, RECALL_ROWS = 1024, 256
+#: Queries of gram recall that meet a shard of items at a time.
+RECALL_BLOCK = 1024
 
 
 def top(rows: DataFrame, partition: list[str], score: str, tie: str, k: int) -> DataFrame:
@@ -248,52 +248,20 @@ def _nearest(k: int):
 def gram_recall_top(items: DataFrame, queries: DataFrame, key: str, query_key: str, grams: str, k: int, block: int = RECALL_BLOCK) -> DataFrame:
     """(query, key, score, rank): for each query the k items, itself aside, that have most of its distinct grams.
 
-    Queries are collected in blocks of at most about ``block``; each task counts
-    shared grams by the block's postings, a few items at a time, and keeps k per
-    query. Items without a shared gram score 0 and fill what is left of the k.
+    The items' grams are postings of weight 1, a query's weigh one over their number; the walk
+    over shards finds the best k + 1, one of which may be the query itself. Items without a
+    shared gram score 0 and fill what is left of the k, the smallest keys first.
     """
-    spark = items.sparkSession
-    out = None
-    asked = queries.select(F.col(query_key).cast("long"), grams).dropna()
-    parts = max(1, math.ceil(asked.count() / block))
-    for i in range(parts):
-        rows = (asked if parts == 1 else asked.filter(F.pmod(F.xxhash64(query_key), F.lit(parts)) == i)).collect()
-        if not rows:
-            continue
-        post: dict[str, list[int]] = {}
-        for at, (_, own) in enumerate(rows):
-            for g in own:
-                post.setdefault(g, []).append(at)
-        ids, sizes = np.array([r[0] for r in rows], np.int64), np.array([len(r[1]) for r in rows], np.float64)
-        shared = spark.sparkContext.broadcast((ids, sizes, {g: np.array(v, np.int32) for g, v in post.items()}))
-        found = items.select(F.col(key).cast("long"), grams).dropna().mapInArrow(_most_recalled(shared, k), "q long, key long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "q long, key long, score double")
-    return top(out.withColumn("score", F.round("score", 6)), ["q"], "score", "key", k).select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "rank")
-
-
-def _most_recalled(shared, k: int):
-    def run(batches):
-        ids, sizes, post = shared.value
-        keys, score = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
-        for batch in batches:
-            for start in range(0, batch.num_rows, RECALL_ROWS):
-                part = batch.slice(start, RECALL_ROWS)
-                new = part.column(0).to_numpy(zero_copy_only=False)
-                counts = np.zeros((len(ids), len(new)))
-                for j, own in enumerate(part.column(1).to_pylist()):
-                    hits = [post[g] for g in own if g in post]
-                    if hits:
-                        counts[:, j] = np.bincount(np.concatenate(hits), minlength=len(ids))
-                s = np.where(ids[:, None] == new, -1.0, counts / np.maximum(sizes, 1)[:, None])
-                keys, score = np.hstack([keys, np.broadcast_to(new, s.shape)]), np.hstack([score, s])
-                order = np.lexsort((keys, -np.round(score, 6)), axis=1)[:, :k]
-                keys, score = np.take_along_axis(keys, order, 1), np.take_along_axis(score, order, 1)
-        others = score >= 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], keys.shape)[others]), pa.array(keys[others]), pa.array(score[others])], names=["q", "key", "score"])
-
-    return run
+    asked = queries.select(F.col(query_key).cast("long").alias("q"), F.col(grams).alias("g")).dropna()
+    own = asked.select("q", (1.0 / F.greatest(F.size("g"), F.lit(1))).alias("qtf"), F.explode("g").alias("token"))
+    rows = items.select(F.col(key).cast("long").alias("key"), F.col(grams).alias("g")).dropna()
+    posts = rows.select("key", F.explode("g").alias("token")).join(own.select("token").distinct(), "token", "left_semi").withColumn("w", F.lit(1.0))
+    found = search(posts, own, "key", "q", rows.count(), k + 1, query_block=block).select("q", "key", "score").filter("q <> key")
+    # Of the items without a shared gram only the smallest can be needed: k, and as many as may be taken already.
+    least = [r["key"] for r in rows.select("key").distinct().orderBy("key").limit(2 * k + 2).collect()]
+    every = F.explode(F.array(*map(F.lit, least)).cast("array<bigint>")).alias("key")
+    fill = asked.select("q", every).filter("q <> key").join(found, ["q", "key"], "left_anti").select("q", "key", F.lit(0.0).alias("score"))
+    return top(found.unionByName(fill), ["q"], "score", "key", k).select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "rank")
 
 
 def rrf(channels: list[DataFrame], query_key: str, key: str, k: int = RRF_K) -> DataFrame:

@@ -141,7 +141,7 @@ class Engine:
             specs = spark.createDataFrame(sums, "question string, canonical_metric string, metric_year long, operator string")
             own = facts.join(specs, ["canonical_metric", "metric_year"]).groupBy("question", "canonical_metric", "metric_year", "operator")
             own = own.agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-            mean = F.col("s").cast("decimal(30,8)") / F.col("n").cast("decimal(10,0)")
+            mean = fact_ops.exact_mean(F.col("s"), F.col("n")).cast("decimal(38,16)")
             out = F.when(F.col("operator") == "sum", F.col("s").cast("string")).when(F.col("operator") == "count", F.col("n").cast("decimal(38,4)").cast("string")).otherwise(mean.cast("string"))
             parts.append(own.select("question", F.col("canonical_metric").alias("metric"), "metric_year", out.alias("value")))
         if asked_formulas:

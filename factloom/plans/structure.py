@@ -206,15 +206,20 @@ def unique_cells(spark: SparkSession, sf: str) -> DataFrame:
     return tables.find_unique(asked, cells).select("document_id", "row_index", "status", "col_index")
 
 
-@_query("text_atoms", r"""WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\r\f\v]*\n'), lambda x: rtrim(ltrim(x, chr(10)), ' ' || chr(10) || chr(9) || chr(13))), lambda x: regexp_matches(x, '\S'))) AS content FROM documents WHERE NOT regexp_matches(text, '(?m)^#'))
-  SELECT doc_id::VARCHAR AS document_id, count(*) AS atoms, sum(length(regexp_replace(content, '\s+', '', 'g')))::BIGINT AS chars, true AS exact FROM p GROUP BY 1""")
+_TITLED = "'# T' || doc_id || chr(10) || coalesce(text, '') || chr(10) || '## End' || chr(10) || 'last words of ' || doc_id"
+
+
+@_query("text_atoms", rf"""WITH b AS (SELECT doc_id, regexp_replace({_TITLED}, '(?m)^#{{1,6}}[ \t]+\S[^\n]*$', chr(10), 'g') AS t FROM documents),
+  p AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(t, '\n[ \t\r\f\v]*\n'), lambda x: rtrim(ltrim(x, chr(10)), ' ' || chr(10) || chr(9) || chr(13))), lambda x: regexp_matches(x, '\S'))) AS content FROM b)
+  SELECT doc_id::VARCHAR AS document_id, count(*) AS atoms, sum(length(regexp_replace(content, '\s+', '', 'g')))::BIGINT AS chars, 1 AS at_end, true AS exact FROM p GROUP BY 1""")
 def text_atoms(spark: SparkSession, sf: str) -> DataFrame:
-    """Paragraphs of documents without headings; ``exact`` holds character and byte ranges against the text."""
-    docs = table(spark, sf, "documents").filter("NOT text RLIKE '(?m)^#'").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    """Paragraphs of all documents under a title, and of a section at their end; ``exact`` holds character and byte ranges against the text."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.expr(_TITLED).alias("text"))
     rows = chunking.text_atoms(docs, "document_id", "text").join(docs, "document_id")
     cut = F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("content")
     raw = F.expr("substring(encode(text, 'UTF-8'), byte_start + 1, byte_end - byte_start) = encode(content, 'UTF-8')")
-    return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("atoms"), F.sum(F.length(F.regexp_replace("content", r"(?U)\s+", ""))).alias("chars"), F.every(cut & raw).alias("exact"))
+    last = F.element_at("heading_path", -1) == "End"
+    return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("atoms"), F.sum(F.length(F.regexp_replace("content", r"(?U)\s+", ""))).alias("chars"), F.count_if(last).cast("int").alias("at_end"), F.every(cut & raw).alias("exact"))
 
 
 @_query("text_blocks", """WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS c FROM documents WHERE length(trim(string_split(text, chr(10))[1])) > 0) SELECT doc_id, greatest(1, ceil(length(c) / 100.0))::BIGINT AS blocks, md5(c) AS digest FROM d""")

@@ -178,3 +178,18 @@ def test_strict_fusion_fails(spark):
     packet = spark.createDataFrame([(1, 1, "c", "worth 5", [])], "q long, place long, candidate_id string, safe_text string, renderings array<string>")
     with pytest.raises(Exception, match="nothing authorizes"):
         fusion.answer_packet(packet, "q", strict=True).collect()
+
+
+def test_an_average_keeps_all_places_of_its_operands(spark):
+    from decimal import ROUND_HALF_UP, Decimal, localcontext
+
+    from factloom.operators.facts import exact_mean
+
+    groups = {0: ["0.000000000001", "0.000000000002"], 1: ["99999999999999999.999999999999"] * 3 + ["0.000000000001"], 2: ["-7.123456789012", "3.000000000001", "1.5"], 3: ["1", "1", "0"]}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g int, v string").withColumn("v", F.col("v").cast("decimal(38,12)"))
+    got = {r["g"]: r["m"] for r in rows.groupBy("g").agg(exact_mean(F.sum("v"), F.count(F.lit(1))).alias("m")).collect()}
+    for g, vs in groups.items():
+        with localcontext() as c:
+            c.prec = 60
+            want = (sum(map(Decimal, vs)) / len(vs)).quantize(Decimal("1e-18"), ROUND_HALF_UP)
+        assert abs(got[g] - want) <= Decimal("1e-18")
