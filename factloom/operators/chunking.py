@@ -191,14 +191,17 @@ def markdown_chunks(documents: DataFrame, document_id: str, text: str, least: in
 
 
 def retrieval_units(documents: DataFrame, document_id: str, text: str, target: int = 900, most: int = 1800) -> DataFrame:
-    """Units of about ``target`` characters that never cross a heading; a longer paragraph is cut at ``most``."""
+    """Units of about ``target`` characters that never cross a heading or a table; a longer paragraph is cut at ``most``.
+
+    What stands in a table is no part of any unit.
+    """
 
     def run(batches):
         for batch in batches:
             out = []
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 k = 0
-                for path, content in sections(body or ""):
+                for path, content in ((path, part) for path, whole in sections(body or "") for part in _TABLE_SPAN.split(whole)):
                     unit = ""
                     for piece in pack(content, most):
                         if unit and len(unit) + 2 + len(piece) > target:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.labels import triple_confidence
+from factloom.functions.text import entity
 from factloom.operators.chunking import fuzzy_match
 from factloom.operators.retrieval import knn
 from factloom.operators.skew import spread_join
@@ -209,6 +211,33 @@ def retrieve(edges: DataFrame, facts: DataFrame, passages: DataFrame, mentions:
     return out.filter(F.col("rank") <= k)
 
 
+#: Words that name nobody.
+PRONOUNS = ("he", "she", "it", "they", "we", "you", "i", "this", "that", "these", "those")
+
+
+def merge_extractions(chunks: DataFrame, entities: DataFrame, triples: DataFrame) -> DataFrame:
+    """Per chunk what was extracted from it: chunk_id, content, entities, triples, confidences, failed.
+
+    chunks: chunk_id, content; entities: chunk_id, entities (an array, null where extraction failed);
+    triples: chunk_id, triples (an array of arrays, null where it failed), cut_short. Entities
+    are the distinct normal forms of named ones and of both ends of whole triples, sorted, without
+    pronouns; triples keep their order, in normal form, each with its confidence; those without
+    three parts go. A chunk of which either failed or is missing has nothing, and says so.
+    """
+    rows = chunks.select("chunk_id", "content").join(entities.select("chunk_id", "entities"), "chunk_id", "left").join(triples.select("chunk_id", "triples", "cut_short"), "chunk_id", "left")
+    failed = F.col("entities").isNull() | F.col("triples").isNull()
+    rows = rows.select(
+        "chunk_id", "content", failed.alias("failed"), F.coalesce("cut_short", F.lit(False)).alias("cut"), F.when(failed, F.array().cast("array<string>")).otherwise(F.col("entities")).alias("named"),
+        F.when(failed, F.array().cast("array<array<string>>")).otherwise(F.filter("triples", lambda t: F.size(t) == 3)).alias("whole"),
+    )
+    ends = F.flatten(F.transform("whole", lambda t: F.array(t[0], t[2])))
+    forms = F.array_sort(F.array_distinct(F.transform(F.concat("named", ends), entity)))
+    sure = F.transform("whole", lambda t: F.round(triple_confidence(t[0], t[1], t[2], F.col("content"), F.col("named"), F.col("cut")), 6))
+    return rows.select(
+        "chunk_id", "content", F.filter(forms, lambda e: (e != "") & ~e.isin(*PRONOUNS)).alias("entities"), F.transform("whole", lambda t: F.transform(t, entity)).alias("triples"), sure.alias("confidences"), "failed",
+    )
+
+
 def keep_fallback(judged: DataFrame, group: str, least: int) -> DataFrame:
     """Rows that a judge keeps; a row that it failed on stays, and where fewer than ``least`` are left the first ``least`` of the input stay.
 

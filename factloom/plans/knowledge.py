@@ -40,6 +40,29 @@ def distinct_triples(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("chunk_id", F.size(text.valid_triples(F.transform("t", lambda x: x["t"]))).cast("long").alias("n"))
 
 
+_EXTRACTED_SQL = """e AS (SELECT l_orderkey AS chunk_id, 'They said S' || min(l_suppkey) || ' sells P' || min(l_partkey) AS content, list('S' || l_suppkey ORDER BY l_linenumber, l_suppkey, l_partkey) || ['They'] AS named, l_orderkey % 13 = 0 AS bad,
+  list(CASE WHEN l_linenumber % 5 = 4 THEN ['S' || l_suppkey, 'P' || l_partkey] ELSE ['S' || l_suppkey, 'sells', 'P' || l_partkey] END ORDER BY l_linenumber, l_suppkey, l_partkey) AS t FROM lineitem GROUP BY l_orderkey)"""
+
+
+@query("merged_extractions", f"""WITH {_EXTRACTED_SQL}, w AS (SELECT *, list_filter(t, lambda x: len(x) = 3) AS w FROM e),
+  c AS (SELECT chunk_id, list_transform(w, lambda x: round(greatest(0.05, least(1.0, 1.0::DOUBLE * CASE WHEN contains(lower(content), lower(x[1])) THEN 1.0 ELSE 0.9 END * 1.05 * CASE WHEN contains(lower(content), lower(x[3])) THEN 1.0 ELSE 0.9 END * CASE WHEN chunk_id % 4 = 0 THEN 0.85 ELSE 1.0 END)), 6)) AS sure FROM w)
+  SELECT chunk_id, bad AS failed, CASE WHEN bad THEN '' ELSE array_to_string(list_sort(list_distinct(list_filter(list_transform(named || flatten(list_transform(w, lambda x: [x[1], x[3]])), lambda x: lower(x)), lambda x: x <> 'they'))), ',') END AS entities,
+    CASE WHEN bad THEN '' ELSE array_to_string(list_transform(w, lambda x: lower(array_to_string(x, '/'))), ',') END AS triples, CASE WHEN bad THEN 0 ELSE round(coalesce(list_sum(sure), 0), 6) END AS confidence FROM w JOIN c USING (chunk_id)""")
+def merged_extractions(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as chunks: suppliers are named, who sells what is stated; some triples have two parts, some extractions failed."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("k"), F.concat(F.lit("S"), "l_suppkey").alias("s"), F.concat(F.lit("P"), "l_partkey").alias("p"), "l_suppkey", "l_partkey")
+    triple = F.when(F.col("k.l_linenumber") % 5 == 4, F.array("s", "p")).otherwise(F.array("s", F.lit("sells"), "p"))
+    own = lines.groupBy(F.col("l_orderkey").alias("chunk_id")).agg(
+        F.concat(F.lit("They said S"), F.min("l_suppkey"), F.lit(" sells P"), F.min("l_partkey")).alias("content"), F.array_sort(F.collect_list(F.struct("k", "s", triple.alias("t")))).alias("x")
+    )
+    bad = F.col("chunk_id") % 13 == 0
+    entities = own.select("chunk_id", F.when(~bad, F.concat(F.transform("x", lambda x: x["s"]), F.array(F.lit("They")))).alias("entities"))
+    triples = own.filter(~bad).select("chunk_id", F.transform("x", lambda x: x["t"]).alias("triples"), (F.col("chunk_id") % 4 == 0).alias("cut_short"))
+    out = graph.merge_extractions(own.select("chunk_id", "content"), entities, triples)
+    total = F.round(F.aggregate("confidences", F.lit(0.0), lambda a, x: a + x), 6)
+    return out.select("chunk_id", "failed", F.array_join("entities", ",").alias("entities"), F.array_join(F.transform("triples", lambda t: F.array_join(t, "/")), ",").alias("triples"), total.alias("confidence"))
+
+
 _COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12)"
 _SCORED_SQL = f"""d AS (SELECT a.vec_id AS query_id, b.vec_id AS fact_id, {_COS} AS d FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), r AS (SELECT *, min(d) OVER (PARTITION BY query_id) AS low, max(d) OVER (PARTITION BY query_id) AS high FROM d)"""
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import records
+from factloom.operators.resolver import corpus_scope
 from factloom.plans.register import registry
 from factloom.sources import integrity
 from factloom.sources.tables import table
@@ -87,3 +88,18 @@ def portable_rows(spark: SparkSession, sf: str) -> DataFrame:
     if records.forbidden_fields(nested.schema, frozenset({"gold", "answer"})):
         raise ValueError("a record names its annotation")
     return records.portable(nested, ("raw",)).select("fact_id", "r.stock_code", "r.own.company")
+
+
+@query("corpus_scopes", """WITH d AS (SELECT DISTINCT o_custkey, year(o_orderdate)::BIGINT AS y FROM orders), r AS (SELECT n_nationkey AS request_id, CASE n_nationkey % 4 WHEN 0 THEN [] WHEN 1 THEN [1995 + n_nationkey % 3] WHEN 2 THEN [1996, 1997, 1996] ELSE [2050] END::BIGINT[] AS ys, CASE WHEN n_nationkey % 5 = 0 THEN ['lookup'] ELSE ['rank', 'lookup'] END AS intents FROM nation),
+  m AS (SELECT request_id, ys, intents, o_custkey, y FROM r LEFT JOIN d ON len(ys) = 0 OR list_contains(ys, y))
+  SELECT request_id::BIGINT AS request_id, count(y) AS documents, count(DISTINCT o_custkey) AS companies, coalesce(array_to_string(list_sort(list(DISTINCT y) FILTER (WHERE y IS NOT NULL)), ','), '') AS report_years,
+    array_to_string(list_filter([CASE WHEN len(any_value(ys)) > 0 AND count(y) = 0 THEN 'RESOLVER_MISSING' END, CASE WHEN NOT list_contains(any_value(intents), 'rank') THEN 'COMPOSITION_UNSUPPORTED' END], lambda x: x IS NOT NULL), ',') AS findings FROM m GROUP BY request_id""")
+def corpus_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """A request of each nation for all years, for some or for one without a report; a report is a customer's year."""
+    k = F.col("n_nationkey")
+    years = F.when(k % 4 == 0, F.array().cast("array<bigint>")).when(k % 4 == 1, F.array((1995 + k % 3).cast("long"))).when(k % 4 == 2, F.array(*[F.lit(y).cast("long") for y in (1996, 1997, 1996)])).otherwise(F.array(F.lit(2050).cast("long")))
+    requests = table(spark, sf, "nation").select(k.cast("long").alias("request_id"), years.alias("report_years"), F.when(k % 5 == 0, F.array(F.lit("lookup"))).otherwise(F.array(F.lit("rank"), F.lit("lookup"))).alias("intents"))
+    year = F.year("o_orderdate").cast("long")
+    documents = table(spark, sf, "orders").select(F.concat_ws("_", "o_custkey", year).alias("document_id"), F.col("o_custkey").alias("stock_code"), year.alias("report_year")).distinct()
+    out = corpus_scope(requests, documents)
+    return out.select("request_id", "documents", "companies", F.array_join(F.col("report_years").cast("array<string>"), ",").alias("report_years"), F.array_join("findings", ",").alias("findings"))

@@ -155,3 +155,12 @@ def test_planner_answers(spark):
     top = engine.compose("1997年营业收入最高的3家公司")
     assert top["status"] == "found" and len(top["lines"]) == 3
     assert engine.compose("天气如何")["status"] == "unsupported" and engine.compose("1997年营业收入最高的9家公司")["status"] == "blocked"
+
+
+def test_units_do_not_cross_tables(spark):
+    from factloom.operators import chunking
+
+    body = "# H\n\nbefore\n\n<table><tr><td>inside</td></tr></table>\n\nafter\n\n## K\n\nlast"
+    rows = spark.createDataFrame([("d", body)], "k string, t string")
+    units = chunking.retrieval_units(rows, "k", "t").orderBy("chunk_index").collect()
+    assert [(u["content"].strip(), list(u["heading_path"])) for u in units] == [("before", ["H"]), ("after", ["H"]), ("last", ["H", "K"])]
