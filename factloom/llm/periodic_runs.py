@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_right, insort
 from collections.abc import Callable
 from fractions import Fraction
 
