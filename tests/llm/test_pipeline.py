@@ -82,6 +82,6 @@ def test_run_takes_hard_rows_and_empty_tables(spark, docs_of, hard, tmp_path):
 
 def test_every_operator_is_registered(spark):
     names = registry.queries()
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14))
     assert set(registry.oracle_sql()) <= set(names)
     assert public_tokenizers.path("byte_bpe_50k.json") and zlib.crc32(b"1")
