@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that each hold QUERIES (name -> function) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ("structured", "texts", "retrieval", "structure", "graphs", "service", "labels", "fusion", "facts_built", "evidence", "knowledge", "composed", "streams", "passages", "fed", "recorded", "judged")
+MODULES: tuple[str, ...] = ("structured", "texts", "retrieval", "structure", "graphs", "service", "labels", "fusion", "facts_built", "evidence", "knowledge", "composed", "streams", "passages", "fed", "recorded", "judged", "units")
 
 
 def _collect(attribute: str) -> dict:
