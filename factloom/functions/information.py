@@ -34,7 +34,7 @@ HEADING_SUBJECT = "公司|董事会|股东大会|报告期"
 SENTENCE_END, BOX_OR_COLON = "[。！？；;]", "[：:√✓✔☑□☐]"
 FACT_VERB = "为|是|达到|达成|增长|下降|增加|减少|实现|完成|获得|拥有|持有|发生|未发生|存在|不存在|包括|构成|占比|同比|环比|续聘|聘任|解聘|出具|发表|支付|收到|投入|生产|销售|签订|终止|转让|处置|设立|成立|导致|带来|影响|面临"
 FACT_PHRASE = "标准无保留意见|无保留意见|保留意见|否定意见|无法表示意见|未发现重大缺陷|无重大诉讼|无重大仲裁|不构成重大影响"
-LABELLED_NUMBER = rf"{LETTER}{{2,}}.{{0,18}}\d|\d.{{0,12}}{LETTER}{{2,}}"
+LABELLED_NUMBER = rf"{LETTER}{{2}}.{{0,18}}\d|\d.{{0,12}}{LETTER}{{2}}"
 BOILERPLATE = (
     "(?:董事会|监事会).{0,35}(?:保证|承诺).{0,30}(?:真实|准确|完整)", "不存在虚假记载、?误导性陈述或重大遗漏", "(?:全体董事|全体监事).{0,25}(?:异议|保证)", "公司严格按照.{0,40}(?:公司法|证券法).{0,45}(?:规范运作|治理)",
     "(?:不断|持续)(?:建立健全|健全|完善).{0,25}(?:治理结构|内控制度|内部控制制度)", "依法依规.{0,20}履行信息披露义务", "(?:股东大会|董事会|监事会).{0,35}(?:各司其职|规范运作|依法运作)", "按照.{0,30}审计准则.{0,30}(?:执行|开展|实施)(?:了)?审计工作",
@@ -71,7 +71,7 @@ def _whole(c: Column, pattern: str) -> Column:
 
 
 def _signs(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(SIGN))
+    return F.length(F.regexp_replace(c, f"[^{SIGN[1:-1]}]+", ""))
 
 
 def _key(c: Column) -> Column:
@@ -116,8 +116,14 @@ def _points(terms: Column, key: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda total, t: total + F.when(F.contains(key, t), F.length(t)).otherwise(0))
 
 
+def _labelled(c: Column) -> Column:
+    """A number near letters. That a text has a digit is looked at first, as the pattern is dear on long texts without one."""
+    return c.rlike(r"\d") & c.rlike(LABELLED_NUMBER)
+
+
 def _fact(c: Column) -> Column:
-    return c.rlike(FACT_PHRASE) | c.rlike(LABELLED_NUMBER) | ((_signs(c) >= FACT_SIGNS) & c.rlike(FACT_VERB))
+    """Phrases and verbs are Han, so that texts without such characters are read once for all of them."""
+    return _labelled(c) | (c.rlike(f"[{_HAN}]") & (c.rlike(FACT_PHRASE) | ((_signs(c) >= FACT_SIGNS) & c.rlike(FACT_VERB))))
 
 
 def _rows_of_cells(folded: Column) -> Column:
@@ -150,7 +156,7 @@ def _heading(raw: Column, plain: Column, fact: Column, signs: Column) -> Column:
     short, ended = signs <= HEADING_SIGNS, plain.rlike(SENTENCE_END)
     asks = F.contains(plain, F.lit("是否")) & (signs <= ASKED_SIGNS) & ~plain.rlike(BOX_OR_COLON) & ~ended
     marked = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "").rlike(r"^#{1,6}\s+[^\n]+\z")
-    closes = short & ~ended & plain.rlike(HEADING_END) & ~plain.rlike(HEADING_SUBJECT) & ~plain.rlike(LABELLED_NUMBER)
+    closes = short & ~ended & plain.rlike(HEADING_END) & ~plain.rlike(HEADING_SUBJECT) & ~_labelled(plain)
     return (
         F.when(_whole(plain, DOCUMENT_TITLE) | asks, True).when(marked, ~_fact(F.regexp_replace(plain, r"^#{1,6}\s+", ""))).when(closes, True)
         .when(fact | ended, False).otherwise(short & (plain.rlike(HEADING_START) | plain.rlike(HEADING_END) | plain.rlike(TOPIC)))
@@ -166,7 +172,7 @@ def _redirect(plain: Column, groups: Column, terms: Column) -> Column:
         return (rest != "") & ~_whole(rest, REDIRECT_SUBJECT) & about & _fact(rest) & (_signs(rest) >= RESIDUAL_SIGNS)
 
     clauses = F.transform(F.split(plain, "[。！？；;,，]"), lambda x: F.trim(F.regexp_replace(F.trim(x), f"(?:{REDIRECT}).*$", "")))
-    return plain.rlike(REDIRECT) & ~F.exists(clauses, tells)
+    return plain.rlike(f"[{_HAN}]") & plain.rlike(REDIRECT) & ~F.exists(clauses, tells)
 
 
 def _ticked_negative(plain: Column) -> Column:
@@ -202,7 +208,7 @@ def classified(rows: DataFrame, text: str, question: str, path: str, scoped: Col
     negative, about = _ticked_negative(plain) | _whole(key, NEGATIVE), F.col("concern_score") > 0
     reason = (
         F.when(plain == "", "empty").when(negative & (known | about), "scoped_checkbox_negative").when(_redirect(plain, groups, terms), "redirect_only").when(_unit_only(plain, cells), "unit_only")
-        .when(_table_header(plain, F.col("__rows"), cells), "table_header").when(_heading(F.col("__raw"), plain, fact, signs), "heading_or_document_title").when(plain.rlike("|".join(BOILERPLATE)), "audit_or_governance_boilerplate")
+        .when(_table_header(plain, F.col("__rows"), cells), "table_header").when(_heading(F.col("__raw"), plain, fact, signs), "heading_or_document_title").when(plain.rlike(f"[{_HAN}]") & plain.rlike("|".join(BOILERPLATE)), "audit_or_governance_boilerplate")
         .when(fact, "explicit_fact").when((signs < SHORT_SIGNS) & ~about, "short_without_question_concern").when(negative, "unscoped_negative").otherwise("substantive")
     )
     out = rows.withColumn("reason", reason).withColumn("usable", F.col("reason").isin("scoped_checkbox_negative", "explicit_fact", "substantive"))
