@@ -26,12 +26,12 @@ _LINES_SQL = "l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(1
     UNION ALL SELECT o.doc_id, o.r, o.name, o.start, o.stop, CASE WHEN o.start >= w.reach THEN o.stop ELSE w.reach END, o.start >= w.reach FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.r = w.r + 1)
   SELECT doc_id, start, stop, name FROM walk WHERE kept""")
 def metric_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """Phrases and long words of the benchmark items, found in all documents."""
+    """Phrases and long words of the benchmark items, found in all documents; each is searched for behind its last find."""
     w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
     items = table(spark, sf, "benchmark").select(w.alias("w"))
     phrase = lambda i, n: F.when(F.size("w") >= i + n - 1, F.array_join(F.slice("w", i, n), " "))
     names = items.select(F.explode(F.concat(F.array(phrase(1, 2), phrase(3, 3)), F.filter("w", lambda x: F.length(x) >= 7))).alias("name")).filter("name IS NOT NULL")
-    return mentions.find_mentions(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", names)
+    return mentions.find_mentions(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", names, apart=True)
 
 
 #: Two concerns in terms of the documents' words: what mentions them, whose sections are theirs, what tells of an event, what only looks like it.
