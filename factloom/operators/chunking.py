@@ -346,11 +346,17 @@ def text_blocks(atom_rows: DataFrame, most: int) -> DataFrame:
 
 
 def project_atoms(units: DataFrame, atom_rows: DataFrame) -> DataFrame:
-    """Units (unit_id, document_id, array atom_ids) with their atoms' contents in order; ``missing`` counts ids that the document does not have."""
-    parts = units.select("unit_id", "document_id", F.posexplode("atom_ids").alias("at", "atom_id"))
+    """Units (unit_id, document_id, array atom_ids) with their atoms' contents in order; ``missing`` counts ids that the document does not have.
+
+    One row per unit, whether or not its id is there twice: contents are put together once for each
+    list of a document, and units take those of their list.
+    """
+    lists = units.select("document_id", "atom_ids").distinct()
+    parts = lists.select("document_id", "atom_ids", F.posexplode("atom_ids").alias("at", "atom_id"))
     met = parts.join(atom_rows.select("atom_id", "document_id", "content"), ["atom_id", "document_id"], "left")
-    own = met.groupBy("unit_id", "document_id").agg(F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("at", "content")))).alias("a"), F.count_if(F.col("content").isNull()).alias("missing"))
-    return own.select("unit_id", "document_id", F.transform("a", lambda x: x["content"]).alias("contents"), "missing")
+    own = met.groupBy("document_id", "atom_ids").agg(F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("at", "content")))).alias("a"), F.count_if(F.col("content").isNull()).alias("missing"))
+    own = own.select(F.col("document_id").alias("__d"), F.col("atom_ids").alias("__a"), F.transform("a", lambda x: x["content"]).alias("contents"), "missing")
+    return units.join(own, F.col("document_id").eqNullSafe(F.col("__d")) & (F.col("atom_ids") == F.col("__a"))).select("unit_id", "document_id", "contents", "missing")
 
 
 def align_chunks(chunks: DataFrame, documents: DataFrame, key: str) -> DataFrame:
