@@ -139,10 +139,15 @@ def line_asof_offset(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.line_of_offset(marks, chunking.lines(docs, "doc_id", "text"), "doc_id")
 
 
+def _seconds():
+    """An event's whole seconds, rounded half to even, as a cast of seconds to a whole number is in SQL."""
+    return F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
+
+
 @_query("interval_overlap_join", """WITH e AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT + 3600 AS t FROM events)
   SELECT a.event_id, b.event_id AS other_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.s <= b.t AND a.t >= b.s WHERE a.event_id < b.event_id""")
 def interval_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("start"), (F.unix_timestamp("ts") + 3600).alias("end"))
+    rows = table(spark, sf, "events").select("event_id", "user_id", _seconds().alias("start"), (_seconds() + 3600).alias("end"))
     out = chunking.overlaps(rows, rows, "user_id").filter("event_id < other_event_id")
     return out.select("event_id", F.col("other_event_id").alias("other_id"))
 
@@ -252,6 +257,6 @@ def chunk_alignment(spark: SparkSession, sf: str) -> DataFrame:
   SELECT e.event_id AS candidate_id, g.event_id AS gold_id FROM e JOIN g ON e.user_id = g.user_id WHERE abs(e.s - g.s) <= 3 OR e.event_id = g.event_id OR contains(e.text, g.text) OR contains(g.text, e.text)""")
 def gold_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Ranges of four lines overlap where their starts are at most three apart."""
-    rows = table(spark, sf, "events").select("user_id", F.col("event_id").alias("candidate_id"), F.floor(F.unix_timestamp("ts") / 600).alias("start"), F.col("props").alias("text")).withColumn("end", F.col("start") + 3)
+    rows = table(spark, sf, "events").select("user_id", F.col("event_id").alias("candidate_id"), F.floor(_seconds() / 600).alias("start"), F.col("props").alias("text")).withColumn("end", F.col("start") + 3)
     gold = rows.filter("candidate_id % 5 = 0").withColumnRenamed("candidate_id", "gold_id")
     return chunking.matches_gold(rows, gold, "user_id")
