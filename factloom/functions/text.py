@@ -65,9 +65,8 @@ def _matches(c: Column, pattern: str) -> Column:
 
 
 def _grams(run: Column, n: int) -> Column:
-    """The n-grams of a string, none where it is shorter."""
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - (n - 1), F.lit(1))), lambda i: F.substring(run, i, F.lit(n)))
-    return F.when(F.length(run) >= n, cut).otherwise(F.array().cast("array<string>"))
+    """The n-grams of a string, none where it is shorter. The string is walked once; substring() would count to each place from its start."""
+    return F.coalesce(F.regexp_extract_all(run, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)), F.array().cast("array<string>"))
 
 
 def _from_runs(c: Column, of: Callable[[Column], Column]) -> Column:
@@ -120,8 +119,7 @@ def plain_bigrams(c: Column, stop: tuple[str, ...]) -> Column:
     bare = compact_words(c)
     for word in stop:
         bare = F.replace(bare, F.lit(word), F.lit(""))
-    grams = F.flatten(F.transform(F.array(bare), lambda run: _grams(run, 2)))  # bound once: a lambda would compute the text again for each gram
-    return F.filter(F.array_distinct(grams), lambda g: ~g.rlike(r"\p{Nd}"))
+    return F.filter(F.array_distinct(_grams(bare, 2)), lambda g: ~g.rlike(r"\p{Nd}"))
 
 
 def words(c: Column) -> Column:
@@ -131,13 +129,7 @@ def words(c: Column) -> Column:
 
 def char_grams(c: Column, widths: tuple[int, ...] = (2, 3, 4)) -> Column:
     """Distinct character n-grams of a string, by built-in functions only."""
-
-    def of(n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
-        return F.when(F.length(c) >= n, grams).otherwise(F.array().cast("array<string>"))
-
-    parts = [of(n) for n in widths]
-    return F.array_distinct(F.concat(*parts))
+    return F.array_distinct(F.concat(*[_grams(c, n) for n in widths]))
 
 
 def gram_recall(query: Column, text: Column) -> Column:
