@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import held_out, labelled_sample, small_batches
+from factloom.llm.common import held_out, labelled_rows, small_batches
 
 THRESHOLD = 0.7
 #: Training rows of each label value, at most.
@@ -177,17 +177,31 @@ def fit(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 7
     return model
 
 
+def _encoder(batches):
+    for batch in batches:
+        bags = [encode(t).tobytes() for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], names=["doc_id", "y", "bag"])
+
+
+def encoded_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The features of the training rows and their labels, by id. Texts are encoded on executors; the driver sees a row of numbers a passage."""
+    small_batches(docs.sparkSession)
+    rows = labelled_rows(docs, labels, "quality", per_class).select(F.col("doc_id").cast("long"), F.col("y"), "text")
+    table = rows.mapInArrow(_encoder, "doc_id long, y int, bag binary").toArrow()
+    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+    bags = table.column("bag")
+    return [np.frombuffer(bags[int(i)].as_py(), np.float32).reshape(-1, N_FEATURES) for i in order], table.column("y").to_numpy()[order].astype(float)
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Model:
     """Learns from at most ``per_class`` training rows of each label value; held out rows are never read.
 
     Without rows of both values every document gets the share of label 1, or 1
     where there are no labels.
     """
-    rows = labelled_sample(docs, labels, "quality", per_class)
+    bags, y = encoded_sample(docs, labels, per_class)
     seen = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("quality").count().collect()
     share = {r["quality"]: r["count"] for r in seen}
-    bags = [encode(t) for t, _ in rows]
-    y = np.array([q for _, q in rows], float)
     if len(set(y.tolist())) < 2:
         zero = {"W": np.zeros((N_FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "V": np.zeros((HIDDEN, GATE)), "v": np.zeros(GATE), "U": np.zeros((HIDDEN, GATE)), "u": np.zeros(GATE), "a": np.zeros(GATE), "o": np.zeros(HIDDEN), "c": np.array([-30.0 if set(y.tolist()) == {0.0} else 30.0])}
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), zero)
