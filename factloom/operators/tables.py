@@ -6,10 +6,13 @@ import re
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.shared import keep
+
 #: Rows that a header may take, likeness of an embedded repeat, share of numbers that begins the data.
 MOST_HEADER_ROWS, EMBEDDED_LIKENESS, NUMERIC_SHARE = 5, 0.6, 0.2
 _WHOLE_NUMBER = r"^[-+(（]?[\d,]+(?:\.\d+)?[)）%％]?$"
@@ -67,7 +70,50 @@ class _Rows(HTMLParser):
             self.open.text += data
 
 
+#: Markup that needs no parser: tags of tables and inline tags, plain attributes, no character references or comments.
+_PLAIN = re.compile(r"""<(/?[a-zA-Z]+[1-6]?)((?:\s+[a-zA-Z]+(?:=(?:"[^"<>&]*"|'[^'<>&]*'|[^\s"'=<>`&/]+))?)*\s*)>([^<]*)""")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z]+)(?:=(?:"([^"]*)"|'([^']*)'|(\S+)))?""")
+_PLAIN_TAGS = frozenset("table thead tbody tfoot tr td th caption colgroup col br p b i u em strong span div sup sub font a".split())
+_PLAIN_TAGS = _PLAIN_TAGS | {"/" + x for x in _PLAIN_TAGS}
+
+
+def _plain_rows(raw: str) -> tuple[list[list[Cell]], str] | None:
+    """As ``parse_rows``, tag by tag without a parser; None where the markup is not that plain."""
+    if "&" in raw or "\0" in raw:
+        return None
+    found = _PLAIN.findall(raw)
+    if sum([len(a) + len(b) + len(c) for a, b, c in found]) + 2 * len(found) != len(raw):
+        return None
+    reader = _Rows()
+    rows = reader.rows
+    for tag, attributes, text in found:
+        if tag not in _PLAIN_TAGS or (attributes and tag[0] == "/"):
+            return None
+        if tag == "/td" or tag == "/th":
+            if reader.open is not None:
+                reader._close()
+        elif (tag == "td" or tag == "th") and not attributes and rows:
+            if reader.open is not None:
+                reader._close()
+            reader.open = Cell(text if reader.caption is None else "", tag, 1, 1)
+            rows[-1].append(reader.open)
+            if reader.caption is None:
+                continue
+        elif tag[0] == "/":
+            reader.handle_endtag(tag[1:])
+        else:
+            reader.handle_starttag(tag, [(k.lower(), a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)])
+        if text:
+            reader.handle_data(text)
+    if reader.caption is not None:  # a parser reads on
+        return None
+    return rows, reader.caption_text
+
+
 def parse_rows(raw: str) -> tuple[list[list[Cell]], str]:
+    plain = _plain_rows(raw)
+    if plain is not None:
+        return plain
     parser = _Rows()
     parser.feed(raw)
     parser.close()
@@ -83,17 +129,21 @@ def place(rows: list[list[Cell]]) -> list[tuple[int, int, Cell]]:
         for cell in row:
             while (r, c) in taken:
                 c += 1
-            taken.update((r + dr, c + dc) for dr in range(cell.rowspan) for dc in range(cell.colspan))
+            if cell.rowspan > 1:  # what it takes of its own row lies behind
+                taken.update((r + dr, c + dc) for dr in range(1, cell.rowspan) for dc in range(cell.colspan))
             out.append((r, c, cell))
             c += cell.colspan
     return out
 
 
-def expand(rows: list[list[Cell]]) -> list[list[str]]:
+def expand(rows: list[list[Cell]], placed: list[tuple[int, int, Cell]] | None = None) -> list[list[str]]:
     """A rectangular matrix: spans repeat the text of their cell, a later cell overwrites what it covers."""
     grid: dict[tuple[int, int], str] = {}
-    for r, c, cell in place(rows):
-        grid.update({(r + dr, c + dc): cell.text for dr in range(cell.rowspan) for dc in range(cell.colspan)})
+    for r, c, cell in place(rows) if placed is None else placed:
+        if cell.rowspan == cell.colspan == 1:
+            grid[r, c] = cell.text
+        else:
+            grid.update({(r + dr, c + dc): cell.text for dr in range(cell.rowspan) for dc in range(cell.colspan)})
     if not grid:
         return [[] for _ in rows]
     height, width = max([len(rows) - 1, *(r for r, _ in grid)]) + 1, max(c for _, c in grid) + 1
@@ -111,6 +161,24 @@ _HEADING = re.compile(r"^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$", re.M)
 _UNIT_HINT = re.compile(r"(?:单位|金额单位|币种)\s*[:：]\s*([^,，;；。.\s]+)")
 #: Lines above a table in which its unit may be declared.
 HINT_LINES = 3
+#: Tables of an Arrow batch.
+BATCH_TABLES = 512
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as Arrow columns, cells laid out flat."""
+    columns = [list(c) for c in zip(*rows)] or [[] for _ in _ARROW]
+    cells = [x for placed in columns[4] for x in placed]
+    ends = np.cumsum([0, *map(len, columns[4])], dtype=np.int32)
+    kind = _ARROW.field("spans").type.value_type
+    parts = ([r for r, _, _ in cells], [c for _, c, _ in cells], [x.rowspan for *_, x in cells], [x.colspan for *_, x in cells], [x.tag for *_, x in cells], [x.text for *_, x in cells])
+    spans = pa.ListArray.from_arrays(pa.array(ends, _INT), pa.StructArray.from_arrays([pa.array(p, f.type) for p, f in zip(parts, kind)], fields=list(kind)))
+    lines = [row for matrix in columns[3] for row in matrix]
+    texts = pa.array([v for row in lines for v in row], _STR)
+    inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lines)], dtype=np.int32), _INT), texts)
+    matrix = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, columns[3])], dtype=np.int32), _INT), inner)
+    made = {"spans": spans, "matrix": matrix}
+    return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.array(c, f.type) for f, c in zip(_ARROW, columns)], schema=_ARROW)
 
 
 def parse_tables(documents: DataFrame, document_id: str, text: str) -> DataFrame:
@@ -132,11 +200,12 @@ def parse_tables(documents: DataFrame, document_id: str, text: str) -> DataFrame
                     rows, caption = parse_rows(m[0])
                     above = body[: m.start()].rsplit("\n", HINT_LINES + 1)[-HINT_LINES - 1 :]
                     hint = _UNIT_HINT.findall("\n".join([*above, caption]))
-                    out.append({
-                        "document_id": doc, "table_index": k, "caption": caption or None, "matrix": expand(rows), "spans": [{"row": r, "col": c, "rowspan": x.rowspan, "colspan": x.colspan, "tag": x.tag, "text": x.text} for r, c, x in place(rows)],
-                        "source_rows": len(rows), "char_start": m.start(), "char_end": m.end(), "line": line, "unit_hint": hint[-1] if hint else None, "section_path": [t for _, t in path],
-                    })
-            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+                    placed = place(rows)
+                    out.append((doc, k, caption or None, expand(rows, placed), placed, len(rows), m.start(), m.end(), line, hint[-1] if hint else None, [t for _, t in path]))
+                    if len(out) == BATCH_TABLES:
+                        yield _batch(out)
+                        out = []
+            yield _batch(out)
 
     return documents.select(documents[document_id].cast("string"), text).mapInArrow(run, PARSED_SCHEMA)
 
@@ -246,6 +315,7 @@ def grid_mismatches(tables: DataFrame) -> DataFrame:
     the size of a table.
     """
     keys = ["document_id", "table_index"]
+    tables = keep(tables.select(*keys, "matrix", "spans"), "grids")  # read three times, parsed once
     cell = tables.select(*keys, F.posexplode("spans").alias("n", "s"))
     down = cell.select(*keys, "n", "s", F.explode(F.expr("sequence(s.row, s.row + s.rowspan - 1)")).alias("r"))
     spots = down.select(*keys, "n", "r", F.explode(F.expr("sequence(s.col, s.col + s.colspan - 1)")).alias("c"), "s.text")
