@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import compact, normalise
+from factloom.functions.text import compact, let, normalise
 
 #: Texts that stand for no value.
 NULL_MARKERS = ("", "-", "--", "---", "—", "–", "－", "不适用", "不适用。", "无", "N/A", "n/a", "NA", "na", "null", "None")
@@ -31,28 +31,44 @@ def unit_rule(alias: Column, place: int) -> Column:
 
 def unit_of_label(label: Column) -> Column:
     """The unit that a label states in brackets or after 单位, or null."""
-    text = compact(label)
+    return let(compact(label), _unit_in)
+
+
+def _unit_in(text: Column) -> Column:
     inside = F.regexp_extract(text, r"\(([^()]{1,40})\)", 1)
     hinted = F.regexp_extract(text, r"(?:单位|金额单位|币种)[:：]?([^,，;；。.]+)", 1)
-    found = [F.when(_unit(x, 0).isNotNull(), x) for x in (F.regexp_replace(inside, "^(单位|金额单位|币种)[:：]?", ""), hinted, text)]
+    found = [let(x, lambda x: F.when(_unit(x, 0).isNotNull(), x)) for x in (F.regexp_replace(inside, "^(单位|金额单位|币种)[:：]?", ""), hinted)] + [F.when(_unit(text, 0).isNotNull(), text)]
     return F.coalesce(*found)
 
 
 def parse(raw: Column) -> Column:
     """struct<status, value, raw_unit, error>: parsed, missing or unparseable."""
-    text = compact(raw)
-    bracketed = text.rlike(r"^\(.*\)$")
-    inner = F.when(bracketed, F.regexp_replace(text, r"^\((.*)\)$", "$1")).otherwise(text)
+    missing = normalise(raw).isin(*NULL_MARKERS) | raw.isNull()
     pattern = rf"^(?:人民币)?({_NUMBER})([\x{{4e00}}-\x{{9fff}}A-Za-z%/]+)?$"
-    matched = inner.rlike(pattern)
-    unit = F.nullif(F.regexp_extract(inner, pattern, 2), F.lit(""))
-    digits = F.when(matched, F.regexp_replace(F.regexp_extract(inner, pattern, 1), ",", ""))
-    number = digits.try_cast("decimal(38,12)")
-    number = F.when(bracketed & (number > 0), -number).otherwise(number)
-    missing, unknown = normalise(raw).isin(*NULL_MARKERS) | raw.isNull(), unit.isNotNull() & _unit(unit, 0).isNull()
-    status = F.when(missing, "missing").when(~matched | unknown | number.isNull(), "unparseable").otherwise("parsed")
-    error = F.when(missing, "null_marker").when(~matched, "not_numeric").when(unknown, "unknown_unit_suffix").when(number.isNull(), "invalid_decimal")
-    return F.struct(status.alias("status"), F.when(status == "parsed", number).alias("value"), F.when(~missing, unit).alias("raw_unit"), error.alias("error"))
+
+    def told(x: Column) -> Column:
+        """From what the text says: whether it is missing, whether it is a number, its unit and its value."""
+        unknown = x["unit"].isNotNull() & _unit(x["unit"], 0).isNull()
+        status = F.when(x["missing"], "missing").when(~x["matched"] | unknown | x["number"].isNull(), "unparseable").otherwise("parsed")
+        error = F.when(x["missing"], "null_marker").when(~x["matched"], "not_numeric").when(unknown, "unknown_unit_suffix").when(x["number"].isNull(), "invalid_decimal")
+        return F.struct(status.alias("status"), F.when(status == "parsed", x["number"]).alias("value"), F.when(~x["missing"], x["unit"]).alias("raw_unit"), error.alias("error"))
+
+    def read(x: Column) -> Column:
+        matched = x["inner"].rlike(pattern)
+        number = F.when(matched, F.regexp_replace(F.regexp_extract(x["inner"], pattern, 1), ",", "")).try_cast("decimal(38,12)")
+        unit = F.nullif(F.regexp_extract(x["inner"], pattern, 2), F.lit(""))
+        return let(F.struct(x["bracketed"].alias("bracketed"), matched.alias("matched"), unit.alias("unit"), number.alias("number"), missing.alias("missing")), signed)
+
+    def signed(x: Column) -> Column:
+        number = F.when(x["bracketed"] & (x["number"] > 0), -x["number"]).otherwise(x["number"])
+        return let(F.struct(x["missing"].alias("missing"), x["matched"].alias("matched"), x["unit"].alias("unit"), number.alias("number")), told)
+
+    def opened(text: Column) -> Column:
+        bracketed = text.rlike(r"^\(.*\)$")
+        inner = F.when(bracketed, F.regexp_replace(text, r"^\((.*)\)$", "$1")).otherwise(text)
+        return let(F.struct(bracketed.alias("bracketed"), inner.alias("inner")), read)
+
+    return let(compact(raw), opened)
 
 
 def normalise_number(raw: Column, row_label: Column, column_label: Column, hint: Column) -> Column:

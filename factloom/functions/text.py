@@ -18,6 +18,14 @@ SPARSE_STOP = frozenset("根据 年度 报告 年报 公司 情况 什么 哪些
 FULL_WIDTH, HALF_WIDTH = "（），．。＋－—０１２３４５６７８９％：", "(),..+--0123456789%:"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often ``use`` names it.
+
+    Spark repeats an expression in each branch of a condition that names it.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalise(c: Column) -> Column:
     """Runs of Unicode white space become one space; no white space at the ends."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))

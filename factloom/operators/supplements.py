@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.numbers import parse, unit_of_label, unit_rule
+from factloom.functions.text import let
 from factloom.operators.selection import implausible
 from factloom.operators.years import STATEMENTS, supplement_year
 
@@ -44,10 +45,13 @@ def metric_source(aliases: Column, row_label: Column, column_label: Column) -> C
 def unit_evidence(raw_unit: Column, row_label: Column, column_label: Column, hint: Column) -> Column:
     """struct<alias, source, units>: what all sources say; a unit stands only if they name one normalised unit."""
     found = F.array(*[F.struct(a.alias("alias"), F.lit(s).alias("source")) for a, s in zip((raw_unit, unit_of_label(row_label), unit_of_label(column_label), unit_of_label(hint)), UNIT_SOURCES)])
-    said = F.filter(found, lambda x: unit_rule(x["alias"], 1).isNotNull())
-    units = F.array_sort(F.array_distinct(F.transform(said, lambda x: unit_rule(x["alias"], 1))))
-    one = F.when(F.size(units) == 1, F.get(said, F.lit(0)))
-    return F.struct(one["alias"].alias("alias"), one["source"].alias("source"), units.alias("units"))
+
+    def agreed(said: Column) -> Column:
+        units = F.array_sort(F.array_distinct(F.transform(said, lambda x: unit_rule(x["alias"], 1))))
+        one = F.when(F.size(units) == 1, F.get(said, F.lit(0)))
+        return F.struct(one["alias"].alias("alias"), one["source"].alias("source"), units.alias("units"))
+
+    return let(F.filter(found, lambda x: unit_rule(x["alias"], 1).isNotNull()), agreed)
 
 
 def confidence(exact: Column, source: Column, year_confidence: Column, unit_source: Column, section: Column, context: Column, lookback: Column) -> Column:

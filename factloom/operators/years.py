@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import normalise
+from factloom.functions.text import let, normalise
 
 #: Metrics of a whole year and metrics of a day, and their statements.
 DURATION_METRICS = ("营业收入", "归属于上市公司股东的净利润", "扣除非经常性损益后的净利润", "经营活动产生的现金流量净额", "基本每股收益", "稀释每股收益", "加权平均净资产收益率")
@@ -35,9 +35,12 @@ def resolve_year(metric: Column, source: Column, row_label: Column, column_label
     day metrics moved by opening dates), then a word for the previous or the current
     year; last the three-year window. An error keeps the year that it is about.
     """
-    label = normalise(F.when(source == "row_label", column_label).otherwise(row_label))
+    across = normalise(F.when(source == "row_label", column_label).otherwise(row_label))
+    return let(across, lambda label: let(F.array_distinct(F.transform(F.regexp_extract_all(label, F.lit(YEAR), F.lit(1)), lambda y: y.cast("long"))), lambda years: _resolved(metric, label, years, report_year)))
+
+
+def _resolved(metric: Column, label: Column, years: Column, report_year: Column) -> Column:
     lasting, instant = metric.isin(*DURATION_METRICS), metric.isin(*INSTANT_METRICS)
-    years = F.array_distinct(F.transform(F.regexp_extract_all(label, F.lit(YEAR), F.lit(1)), lambda y: y.cast("long")))
     written = F.get(years, F.lit(0))
     dated, opening = instant & label.rlike(MONTH_OR_DAY), label.rlike(OPENING_DATE)
     useless = (
@@ -49,6 +52,10 @@ def resolve_year(metric: Column, source: Column, row_label: Column, column_label
         F.when(written.isNotNull() & dated, F.when(opening, "explicit_opening_date").otherwise("explicit_year_end_date")).when(written.isNotNull() & instant & label.rlike("年初|期初"), "explicit_opening_period")
         .when(written.isNotNull(), "explicit_year").when(label.rlike(PREVIOUS), "relative_previous").otherwise("relative_current")
     )
+    return let(F.struct(useless.alias("useless"), how.alias("how")), lambda x: _dated(label, x["useless"], x["how"], written, report_year))
+
+
+def _dated(label: Column, useless: Column, how: Column, written: Column, report_year: Column) -> Column:
     year = F.when(how.isin("explicit_opening_date", "explicit_opening_period"), written - 1).when(how.startswith("explicit"), written).when(how == "relative_previous", report_year - 1).otherwise(report_year)
     late = F.when(year > report_year, "future_metric_year").when(year < report_year - WINDOW_YEARS, "metric_year_outside_three_year_window")
     fine = useless.isNull()
@@ -60,12 +67,14 @@ def resolve_year(metric: Column, source: Column, row_label: Column, column_label
 
 def candidate_year(metric: Column, source: Column, row_label: Column, column_label: Column, report_year: Column) -> Column:
     """The same rules where a doubtful year is no year: the year, or null with any error."""
-    found = resolve_year(metric, source, row_label, column_label, report_year)
-    return F.when(found["error"].isNull(), found["metric_year"])
+    return let(resolve_year(metric, source, row_label, column_label, report_year), lambda found: F.when(found["error"].isNull(), found["metric_year"]))
 
 
 def supplement_year(metric: Column, source: Column, row_label: Column, column_label: Column, report_year: Column, wanted: Column) -> Column:
     """The same rules for a wanted year: both ends of the window are one error, another year is a mismatch."""
-    found = resolve_year(metric, source, row_label, column_label, report_year)
-    error = F.when(found["error"] == "future_metric_year", "metric_year_outside_three_year_window").otherwise(found["error"])
-    return F.struct(found["metric_year"].alias("metric_year"), found["year_confidence"].alias("year_confidence"), F.coalesce(error, F.when(found["metric_year"] != wanted, "metric_year_mismatch")).alias("error"))
+
+    def judged(found: Column) -> Column:
+        error = F.when(found["error"] == "future_metric_year", "metric_year_outside_three_year_window").otherwise(found["error"])
+        return F.struct(found["metric_year"].alias("metric_year"), found["year_confidence"].alias("year_confidence"), F.coalesce(error, F.when(found["metric_year"] != wanted, "metric_year_mismatch")).alias("error"))
+
+    return let(resolve_year(metric, source, row_label, column_label, report_year), judged)
