@@ -48,9 +48,15 @@ class Postings:
         fields = {name: (F.coalesce(t, F.array().cast("array<string>")), w) for name, (t, w) in fields.items()}
         length = sum((F.size(t) * w for t, w in fields.values()), F.lit(0.0))
         one = lambda t, w: F.transform(t, lambda x: F.struct(x.alias("token"), F.lit(float(w)).alias("f")))
-        itself = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(0.0).alias("f")))
-        rows = units.select(F.col(key).alias("key"), length.alias("length"), F.explode(F.concat(itself, *[one(t, w) for t, w in fields.values()])).alias("e"))
-        rows = rows.select("key", "length", "e.token", "e.f")
+        none = F.lit(None).cast("string")
+        if len(fields) == 1:  # one weight for all, so that no pair is made of each token
+            (tokens, own), = fields.values()
+            rows = units.select(F.col(key).alias("key"), length.alias("length"), F.explode(F.concat(F.array(none), tokens)).alias("token"))
+            rows = rows.withColumn("f", F.when(F.col("token").isNull(), 0.0).otherwise(float(own)))
+        else:
+            itself = F.array(F.struct(none.alias("token"), F.lit(0.0).alias("f")))
+            rows = units.select(F.col(key).alias("key"), length.alias("length"), F.explode(F.concat(itself, *[one(t, w) for t, w in fields.values()])).alias("e"))
+            rows = rows.select("key", "length", "e.token", "e.f")
         if wanted is not None:
             mark = small(wanted.select("token").withColumn("__wanted", F.lit(True)))
             rows = rows.join(mark, "token", "left").filter(F.col("__wanted") | F.col("token").isNull()).drop("__wanted")
@@ -108,7 +114,8 @@ def walk(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]], n: int,
                 break
         t = max(range(len(lists)), key=tops.__getitem__)
         units, weights, _, factor = lists[t]
-        stop = min(at[t] + block, ends[t])
+        # What has to be read anyway is read in steps that grow with it: as many of them as there are doublings, not blocks.
+        stop = min(at[t] + max(block, read // len(lists)), ends[t])
         total[units[at[t] : stop]] += weights[at[t] : stop] * factor  # a unit stands once in a list
         read += stop - at[t]
         at[t] = stop
@@ -124,6 +131,11 @@ def walk(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]], n: int,
         hit = hit[total[hit] + bound * (1 + 1e-12) >= least - slack - 1e-9]
     # The whole scores of what is left, token by token in one order, so that equal units get equal sums.
     score = np.zeros(len(hit))
+    if len(hit) * 8 > n:  # so many that adding up all units is cheaper than looking each up
+        total.fill(0.0)
+        for units, weights, _, factor in lists:
+            total[units] += weights * factor
+        score, lists = total[hit], []
     for units, weights, order, factor in lists:
         place = np.searchsorted(units, hit, sorter=order)
         place = order[np.minimum(place, len(units) - 1)]
@@ -185,7 +197,7 @@ WHOLE_TEXT, WHOLE_HEADING, LEXICAL_SHARE = 2.0, 1.25, 0.35
 LEADERS, NEIGHBOUR_SHARE = 4, 0.42
 
 
-def sentence_search(sentences: DataFrame, questions: DataFrame, k: int, neighbours: int, lexical: Callable[[], Column], most_lexical: float) -> DataFrame:
+def sentence_search(sentences: DataFrame, questions: DataFrame, k: int, neighbours: int, lexical: Callable[[], Column], most_lexical: float, read: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Per question its k best sentences and lines beside the best four: question_id, sentence_id, kind, score, rank.
 
     sentences: sentence_id (a whole number), document_id, line, heading, tokens (of heading and
@@ -193,14 +205,21 @@ def sentence_search(sentences: DataFrame, questions: DataFrame, k: int, neighbou
     question_id, tokens, key and what ``lexical`` reads. The score is BM25, plus what the
     question earns by standing in text or heading as a whole, plus a share of a lexical
     score of at most ``most_lexical``. These extras are bounded, so that only sentences
-    within that bound of the k-th best BM25 score are looked at. A neighbour has the same
-    heading and is no hit itself.
+    within that bound of the k-th best BM25 score are looked at; ``read`` adds to these what
+    need not be there for all (heading_key, text_key, what ``lexical`` reads). A neighbour has
+    the same heading and is no hit itself.
     """
     asked = asked_tokens(questions, "question_id", F.col("tokens"))
     post = Postings(sentences, "sentence_id", {"tokens": (F.col("tokens"), 1.0)}, asked.select("token").distinct())
     slack = WHOLE_TEXT + WHOLE_HEADING + LEXICAL_SHARE * most_lexical
     near = search(post.bm25(), asked, "sentence_id", "question_id", post.n, k, slack, digits=12)
-    rows = near.join(sentences.drop("tokens"), "sentence_id").join(questions.drop("tokens"), "question_id")
+    # A shard's k-th best is no better than that of all shards, which leaves far fewer sentences to be read again.
+    near = keep(near, "near")
+    best = near.withColumn("__r", F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("score").desc()))).filter(F.col("__r") <= k)
+    least = best.groupBy("question_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+    near = near.join(least, "question_id").filter((F.col("n") < k) | (F.col("score") >= F.col("least") - slack - 1e-9)).select("question_id", "sentence_id", "score")
+    near = keep(near, "near")
+    rows = read(sentences.drop("tokens").join(small(near), "sentence_id")).join(questions.drop("tokens"), "question_id")
     whole = lambda c, points: F.when((F.col("key") != "") & F.contains(F.col(c), F.col("key")), points).otherwise(0.0)
     score = F.round(F.col("score") + whole("text_key", WHOLE_TEXT) + whole("heading_key", WHOLE_HEADING) + LEXICAL_SHARE * lexical(), 8)
     order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "document_id", "line", "sentence_id")
@@ -208,7 +227,7 @@ def sentence_search(sentences: DataFrame, questions: DataFrame, k: int, neighbou
     best = keep(ranked.filter(F.col("rank") <= k), "sentences")
     beside = best.filter(F.col("rank") <= LEADERS).select("question_id", "document_id", "heading", F.col("rank").alias("leader"), "score", F.posexplode(F.array(F.col("line") - 1, F.col("line") + 1)).alias("side", "line"))
     there = sentences.select("document_id", "heading", "line", "sentence_id")
-    beside = beside.join(there, ["document_id", "heading", "line"]).join(best.select("question_id", "sentence_id"), ["question_id", "sentence_id"], "left_anti")
+    beside = there.join(small(beside), ["document_id", "heading", "line"]).join(best.select("question_id", "sentence_id"), ["question_id", "sentence_id"], "left_anti")
     # A line beside two leaders counts for the better one, which comes first.
     first = beside.groupBy("question_id", "sentence_id", "document_id", "line").agg(F.min_by("score", F.struct("leader", "side")).alias("score"))
     first = first.withColumn("score", F.round(F.col("score") * NEIGHBOUR_SHARE, 8)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= neighbours)

@@ -175,14 +175,20 @@ _SENTENCES_SQL = r"""l AS (SELECT doc_id, unnest(string_split(coalesce(text, '')
   UNION ALL SELECT item_id, sentence_id, 'neighbour', round(score, 6), row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, line) AS rank FROM near QUALIFY rank <= 4""")
 def sentence_search(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark item against every line of every document; a document's first line is the heading of the others."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "t"), F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("first"))
-    heading = F.when(F.col("line") > 0, F.col("first")).otherwise("")
-    w = lambda c: text.words(c)
-    sentences = lines.select((F.col("doc_id") * 100_000 + F.col("line")).alias("sentence_id"), F.col("doc_id").alias("document_id"), "line", heading.alias("heading"), w(F.concat_ws(" ", heading, "t")).alias("tokens"), w(heading).alias("hw"), w(F.col("t")).alias("tw"))
-    sentences = sentences.withColumns({"heading_key": F.array_join("hw", ""), "text_key": F.array_join("tw", "")})
+    w, whole = text.words, F.coalesce("text", F.lit(""))
+    first = table(spark, sf, "documents").select("doc_id", whole.alias("text"), F.substring_index(whole, "\n", 1).alias("first")).withColumn("fw", w(F.col("first")))
+    lines = first.select("doc_id", "first", "fw", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    below = lambda c, none: F.when(F.col("line") > 0, F.col(c)).otherwise(none)
+    tokens = F.concat(below("fw", F.array().cast("array<string>")), w(F.col("t")))  # a document's heading is read once
+    sentences = lines.select((F.col("doc_id") * 100_000 + F.col("line")).alias("sentence_id"), F.col("doc_id").alias("document_id"), "line", below("first", "").alias("heading"), "t", tokens.alias("tokens"))
+
+    def read(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"hw": w(F.col("heading")), "tw": w(F.col("t"))})
+        return rows.withColumns({"heading_key": F.array_join("hw", ""), "text_key": F.array_join("tw", "")})
+
     asked = _asked(spark, sf).select(F.col("item_id").alias("question_id"), F.col("words").alias("tokens"), F.array_distinct("words").alias("qs"), F.array_join("words", "").alias("key"))
     lexical = lambda: ops.lexical_score(F.col("qs"), F.array_distinct("tw"), F.array_distinct("hw"), F.col("key"), F.col("text_key"))
-    out = impact.sentence_search(sentences, asked, 8, 4, lexical, 1 + ops.HEADING_WEIGHT + ops.PHRASE_WEIGHT)
+    out = impact.sentence_search(sentences, asked, 8, 4, lexical, 1 + ops.HEADING_WEIGHT + ops.PHRASE_WEIGHT, read)
     return out.select(F.col("question_id").alias("item_id"), "sentence_id", "kind", F.round("score", 6).alias("score"), "rank")
 
 
