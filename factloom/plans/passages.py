@@ -109,7 +109,7 @@ def claim_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Line items of each part as its chain, in segments of eight."""
     order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("document_id"), (F.row_number().over(order) - 1).cast("long").alias("place"), F.concat("l_orderkey", F.lit("-"), "l_linenumber", F.lit("="), F.col("l_quantity").cast("long")).alias("payload"))
-    return claims.chain(rows, "document_id", "place", F.col("payload"), 8).select("document_id", "place", "link")
+    return claims.chain(rows, "document_id", "place", F.col("payload"), 8, []).select("document_id", "place", "link")
 
 
 _MASK = "(1 << (l_suppkey % 6)::INTEGER) | (1 << (l_quantity::BIGINT % 6)::INTEGER) | (CASE WHEN l_returnflag = 'R' THEN 64 ELSE 0 END)"
