@@ -7,8 +7,8 @@ each range) a filter on the document leaves only the ranges that can hold it, an
 range that is read is checked against its hash. Files are read through
 ``pyarrow.fs``, so that they may lie in any store that it reaches.
 
-``merge_validate`` deals rows of several sources into the same ranges of keys and walks
-each range once, in order, with one row of each source in memory.
+``merge_validate`` deals rows of several sources into the same ranges of keys, makes one
+row of each key, and walks each range once, in order, for what lies behind each key.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
@@ -189,75 +190,63 @@ def merge_validate(sources: dict[str, DataFrame], lead: str) -> DataFrame:
     lack a key (missing), have one that it lacks (foreign), or another digest under it
     (changed); in any source a key may repeat (repeated) or stand behind a larger one that
     follows it by key (reordered). Null keys are left out. Keys are dealt into ranges that
-    all sources share, and each range is walked once, from its largest key down, with the
-    rows of one key in memory.
+    all sources share, by one shuffle; a range becomes one row a key, and is walked once, from
+    its largest key down, for the least ordinal behind each key. What later ranges hold is
+    one number a range and source, and is compared afterwards.
     """
     names = sorted(sources)
     rows = None
     for i, name in enumerate(names):
         own = sources[name].select(F.col("key").cast("string").alias("key"), F.lit(i).alias("source"), F.col("ordinal").cast("long").alias("ordinal"), F.col("digest").cast("string").alias("digest"))
         rows = own if rows is None else rows.unionByName(own)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # What repeats is summed up first, so that a key has a row per source at most.
-    once = rows.filter("key IS NOT NULL").groupBy("key", "source").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"), F.min("digest").alias("digest"), F.max("digest").alias("other"))
-    dealt = keep(once.repartitionByRange(parts, "key").withColumn("range", F.spark_partition_id()), "merged")
-    lows: dict[int, list[tuple[int, int]]] = {}
-    for r in dealt.groupBy("range", "source").agg(F.min("low").alias("low")).collect():  # a row per range and source
-        lows.setdefault(r["source"], []).append((r["range"], r["low"]))
-    walked = dealt.repartition(parts, "range").sortWithinPartitions("range", F.col("key").desc(), "source")
-    columns = walked.select("range", "key", "source", "n", "low", "high", "digest", "other")
-    return columns.mapInArrow(_walk_sources(names, names.index(lead), lows), "key string, source string, kind string")
-
-
-def _walk_sources(names: list[str], lead: int, lows: dict[int, list[tuple[int, int]]]):
-    def behind(number: int, source: int) -> int | None:
-        """The least ordinal of the source in later ranges."""
-        return min((low for at, low in lows.get(source, []) if at > number), default=None)
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbers = range(len(names))
+
+    def summed(i: int) -> list[Column]:
+        mine = lambda c: F.when(F.col("source") == i, F.col(c))
+        return [F.count(mine("source")).alias(f"n{i}"), F.min(mine("ordinal")).alias(f"low{i}"), F.max(mine("ordinal")).alias(f"high{i}"), F.min(mine("digest")).alias(f"digest{i}"), F.max(mine("digest")).alias(f"other{i}")]
+
+    once = rows.filter("key IS NOT NULL").repartitionByRange(parts, "key").groupBy("key").agg(*[c for i in numbers for c in summed(i)])
+    there = lambda i: F.col(f"n{i}") > 0
+    said = lambda i: F.struct(f"digest{i}", f"other{i}")
+    first = names.index(lead)
+    kinds = []
+    for i in numbers:
+        kinds.append(F.when(F.col(f"n{i}") > 1, F.struct(F.lit(names[i]).alias("source"), F.lit("repeated").alias("kind"))))
+        if i != first:
+            kind = F.when(there(first) & ~there(i), "missing").when(there(i) & ~there(first), "foreign").when(there(i) & ~said(i).eqNullSafe(said(first)), "changed")
+            kinds.append(F.when(kind.isNotNull(), F.struct(F.lit(names[i]).alias("source"), kind.alias("kind"))))
+    found = once.select("key", F.array_compact(F.array(*kinds)).alias("found"), *[c for i in numbers for c in (f"low{i}", f"high{i}")], F.spark_partition_id().alias("range"))
+    ends = [c for i in numbers for c in (f"high{i}", f"late{i}", f"low{i}")]
+    schema = "key string, found array<struct<source:string,kind:string>>, range int, " + ", ".join(f"{c} {'boolean' if c[:4] == 'late' else 'long'}" for c in ends)
+    walked = keep(found.sortWithinPartitions(F.col("key").desc()).mapInArrow(_walk_sources(len(names)), schema), "merged")
+    lows = walked.groupBy("range").agg(*[F.min(f"low{i}").alias(f"low{i}") for i in numbers]).orderBy(F.col("range").desc()).collect()  # a row per range
+    after, bounds = [None] * len(names), []
+    for r in lows:
+        bounds.append((r["range"], *after))
+        after = [min((x for x in (r[f"low{i}"], after[i]) if x is not None), default=None) for i in numbers]
+    bounds = spark.createDataFrame(bounds, "range int, " + ", ".join(f"after{i} long" for i in numbers))
+    reordered = [F.when(F.col(f"late{i}") | (F.col(f"high{i}") > F.col(f"after{i}")), F.struct(F.lit(names[i]).alias("source"), F.lit("reordered").alias("kind"))) for i in numbers]
+    every = walked.join(F.broadcast(bounds), "range").select("key", F.explode(F.concat("found", F.array_compact(F.array(*reordered)))).alias("x"))
+    return every.select("key", "x.source", "x.kind")
+
+
+def _walk_sources(n: int):
+    """(key, found, range) and per source its highest ordinal, whether that is behind a later key of the batch's range, and its least."""
+    most = np.iinfo(np.int64).max
 
     def run(batches):
-        now, here, least = None, {}, {}
-        out: list[tuple[str, str, str]] = []
-
-        def settle():
-            number, key = now
-            own = here.get(lead)
-            for i, name in enumerate(names):
-                row = here.get(i)
-                if i != lead and (row is None) != (own is None):
-                    out.append((key, name, "missing" if row is None else "foreign"))
-                elif i != lead and row is not None and row[3:] != own[3:]:
-                    out.append((key, name, "changed"))
-                if row is None:
-                    continue
-                n, low, high = row[:3]
-                if n > 1:
-                    out.append((key, name, "repeated"))
-                bound = least[i] if i in least else behind(number, i)
-                if bound is not None and high > bound:
-                    out.append((key, name, "reordered"))
-                least[i] = low if bound is None else min(bound, low)
-
-        def table():
-            columns = list(zip(*out)) or [(), (), ()]
-            found = pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["key", "source", "kind"])
-            out.clear()
-            return found
-
+        least = [most] * n
         for batch in batches:
-            for number, key, source, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (number, key) != now:
-                    if here:
-                        settle()
-                    if now is None or number != now[0]:
-                        least.clear()
-                    now = (number, key)
-                    here.clear()
-                here[source] = row
-            if out:
-                yield table()
-        if here:
-            settle()
-        if out:
-            yield table()
+            columns = [batch.column("key"), batch.column("found"), batch.column("range")]
+            for i in range(n):
+                low, high = (batch.column(f"{c}{i}") for c in ("low", "high"))
+                lows = np.append(least[i], low.fill_null(most).to_numpy(zero_copy_only=False))
+                before = np.minimum.accumulate(lows)
+                late = high.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False) > before[:-1]
+                least[i] = before[-1]
+                columns += [high, pa.array(late), low]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "found", "range", *[f"{c}{i}" for i in range(n) for c in ("high", "late", "low")]])
 
     return run
