@@ -27,8 +27,8 @@ from factloom.sources.shared import keep
 
 #: BM25.
 K1, B = 1.2, 0.75
-#: Units of a shard, queries that meet a shard at a time, and postings of a block.
-SHARD_UNITS, QUERY_BLOCK, BLOCK = 20_000, 4096, 128
+#: Units and postings of a shard (whichever is reached first), queries that meet a shard at a time, and postings of a block.
+SHARD_UNITS, SHARD_POSTINGS, QUERY_BLOCK, BLOCK = 20_000, 1_000_000, 4096, 128
 
 
 def asked_tokens(queries: DataFrame, query_key: str, tokens: Column) -> DataFrame:
@@ -89,7 +89,7 @@ class Postings:
 
 def index(weights: DataFrame, units: int, shard_units: int = SHARD_UNITS) -> tuple[DataFrame, int]:
     """(shard, token, keys, ws): each shard's postings by falling weight, ties by key; and the number of shards."""
-    shards = max(1, math.ceil(units / shard_units))
+    shards = max(1, math.ceil(units / shard_units), math.ceil(weights.count() / SHARD_POSTINGS))
     entry = F.struct((-F.col("w")).alias("minus"), F.col("key").cast("long").alias("key"))
     rows = weights.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "token").agg(F.array_sort(F.collect_list(entry)).alias("p"))
     return rows.select("shard", "token", F.col("p.key").alias("keys"), F.transform("p.minus", lambda x: -x).alias("ws")), shards
