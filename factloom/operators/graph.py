@@ -15,7 +15,7 @@ from factloom.functions.text import entity
 from factloom.operators.chunking import fuzzy_match
 from factloom.operators.retrieval import SCORE_DIGITS, knn
 from factloom.operators.skew import spread_join
-from factloom.sources.shared import forget, keep
+from factloom.sources.shared import forget, keep, keep_buckets
 
 DAMPING = 0.5
 #: Likeness and number of neighbours of a synonymy edge.
@@ -68,10 +68,12 @@ def one_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def transitions(edges: DataFrame) -> DataFrame:
-    """(src, dst, p) of the undirected weighted graph: p is the edge's share of what leaves src. Written once."""
+    """(src, dst, p) of the undirected weighted graph: p is the edge's share of what leaves src. Written once, in buckets of src, so that no round moves edges."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    out = both.groupBy("src").agg(F.sum("weight").alias("total"))
-    return keep(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "transitions")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summed = both.repartition(parts, "src").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    total = F.sum("weight").over(Window.partitionBy("src"))
+    return keep_buckets(summed.select("src", "dst", (F.col("weight") / total).alias("p")), "transitions", "src")
 
 
 def pagerank_many(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, rounds: int = 20, tolerance: float = 1e-9) -> DataFrame:

@@ -29,10 +29,23 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def keep_buckets(df: DataFrame, label: str, key: str) -> DataFrame:
+    """As ``keep``, dealt by ``key`` into as many buckets as a shuffle has partitions: joins by the key move only their other side."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path, parts = f"{shared_dir(spark)}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._factloom_path, out._factloom_table = path, name
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables that ``keep`` wrote and that nothing reads any more."""
+    """Deletes tables that ``keep`` or ``keep_buckets`` wrote and that nothing reads any more."""
     for df in tables:
-        path = getattr(df, "_factloom_path", None)
+        path, name = getattr(df, "_factloom_path", None), getattr(df, "_factloom_table", None)
+        if name:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path:
             context = df.sparkSession.sparkContext
             where = context._jvm.org.apache.hadoop.fs.Path(path)
