@@ -85,4 +85,4 @@ def normalise_number(raw: Column, row_label: Column, column_label: Column, hint:
 def plain(value: Column) -> Column:
     """A decimal without trailing zeros and without an exponent; whole numbers keep theirs."""
     text = value.cast("string")
-    return F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")).otherwise(text)
+    return F.when(text.contains("."), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)

@@ -43,7 +43,7 @@ def renderings(value: Column, unit: Column, places: int) -> Column:
         scaled = exact * F.lit(factor).cast(f"decimal({len(factor) - 1},{len(factor) - 2})")
         for text in (_kept(scaled, places), two(scaled)):
             parts.append(F.when(counted, F.concat(text, F.lit(word), unit)))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*parts))))
+    return F.sort_array(F.array_except(F.array(*parts), F.array(F.lit(None).cast("string"))))
 
 
 def authorization_set(rows: DataFrame, places: int = 4) -> DataFrame:
@@ -61,7 +61,7 @@ def authorization_set(rows: DataFrame, places: int = 4) -> DataFrame:
     return once.withColumn("allowed_renderings", renderings(F.col("normalized_value"), F.col("normalized_unit"), places))
 
 
-def items(facts: DataFrame, backend: str, kind: str, source_id: Column, row: Column) -> DataFrame:
+def items(facts: DataFrame, backend: str | Column, kind: str | Column, source_id: Column, row: Column) -> DataFrame:
     """Rows of facts as items of an authorization set, each citing its fact; formula operands and ranked rows are facts too."""
     return facts.select(
         F.lit(backend).alias("backend"), source_id.alias("source_id"), row.cast("int").alias("row"), F.col("stock_code").alias("entity_key"), F.col("stock_code").alias("company"), "document_id",
@@ -80,12 +80,17 @@ def matching_authorizations(claims: DataFrame, authorizations: DataFrame) -> Dat
 
     claims: claim_id, token, entity_key, company, document_id, measure, measure_year.
     Scope is the entity, company and document, the measure and its year, and one of
-    the allowed renderings. A hash join on all of them; nothing is compared in pairs.
+    the allowed renderings. ``authorizations`` is a set, which has each id once. A join
+    on what a claim speaks of; the renderings stay an array, so that no row is made of
+    each way to write a value.
     """
     scope = ["entity_key", "company", "document_id", "measure", "measure_year"]
-    granted = authorizations.select("authorization_id", *scope, F.explode("allowed_renderings").alias("r")).select("authorization_id", *scope, normal_rendering(F.col("r")).alias("rendering")).distinct()
+    granted = authorizations.select("authorization_id", *scope, "allowed_renderings")
     asked = claims.select("claim_id", "token", *scope, normal_rendering(F.col("token")).alias("rendering"))
-    return asked.join(granted, [*scope, "rendering"], "left").select("claim_id", "token", "authorization_id")
+    # Most renderings are normal as they are written; only where none of them fits are they made so.
+    fits = F.array_contains("allowed_renderings", F.col("rendering")) | F.array_contains(F.transform("allowed_renderings", normal_rendering), F.col("rendering"))
+    same = [asked[c] == granted[c] for c in scope]
+    return asked.join(granted, [*same, fits], "left").select("claim_id", "token", "authorization_id")
 
 
 def financial_tokens(text: Column, stock_code: Column) -> Column:

@@ -200,13 +200,20 @@ def value_renderings(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("fact_id", F.size("r").cast("long").alias("n"), F.array_join("r", " ").alias("renderings"))
 
 
+def _authorized_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return facts(spark, sf).filter("canonical_metric IN ('营业收入', '营业成本', '总资产')")
+
+
 def _authorizations(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of revenue looked up; the same and the cost as operands of a margin; the assets as ranked rows."""
-    rows, zero = facts(spark, sf), F.lit(0)
-    direct = authorization.items(rows.filter("canonical_metric = '营业收入' AND fact_id < 'c'"), "fact", "canonical_fact", F.col("fact_id"), zero)
-    operands = authorization.items(rows.filter("canonical_metric IN ('营业收入', '营业成本')"), "formula", "canonical_fact", F.concat(F.lit("gross_margin:"), "document_id"), F.when(F.col("canonical_metric") == "营业收入", 1).otherwise(2))
-    ranked = authorization.items(rows.filter("canonical_metric = '总资产'"), "sql", "sql_result", F.lit("rank"), zero)
-    return authorization.authorization_set(direct.unionByName(operands).unionByName(ranked))
+    metric, revenue = F.col("canonical_metric"), F.col("canonical_metric") == "营业收入"
+    item = lambda backend, kind, source, row: F.struct(F.lit(backend).alias("backend"), F.lit(kind).alias("kind"), source.alias("source_id"), row.alias("row"))
+    direct = F.when(revenue & (F.col("fact_id") < "c"), item("fact", "canonical_fact", F.col("fact_id"), F.lit(0)))
+    operand = F.when(metric.isin("营业收入", "营业成本"), item("formula", "canonical_fact", F.concat(F.lit("gross_margin:"), "document_id"), F.when(revenue, 1).otherwise(2)))
+    ranked = F.when(metric == "总资产", item("sql", "sql_result", F.lit("rank"), F.lit(0)))
+    # A fact is read once for all of its items.
+    rows = _authorized_facts(spark, sf).withColumn("i", F.explode(F.array(direct, operand, ranked))).filter("i IS NOT NULL")
+    return authorization.authorization_set(authorization.items(rows, *[F.col(f"i.{c}") for c in ("backend", "kind", "source_id", "row")]))
 
 
 _AUTH_SQL = f"""{FACTS_SQL}, a AS (SELECT CASE WHEN canonical_metric = '营业收入' AND fact_id < 'c' THEN 'fact' WHEN canonical_metric = '总资产' THEN 'sql' ELSE 'formula' END AS backend, stock_code AS entity_key, document_id,
@@ -223,7 +230,7 @@ def numeric_authorizations(spark: SparkSession, sf: str) -> DataFrame:
   FROM a""")
 def claim_authorizations(spark: SparkSession, sf: str) -> DataFrame:
     """Claims write a value in 万 with thousands marks left out; every third year's claims name another year, and those of ranked rows another company."""
-    rows = facts(spark, sf).filter("canonical_metric IN ('营业收入', '营业成本', '总资产')")
+    rows = _authorized_facts(spark, sf)
     token = F.concat(F.round(F.col("normalized_value").cast("decimal(28,12)") * F.lit("0.0001").cast("decimal(5,4)"), 2).cast("decimal(38,2)").cast("string"), F.lit("万元"))
     claims = rows.select(
         F.concat_ws("/", "document_id", "canonical_metric").alias("claim_id"), token.alias("token"), F.col("stock_code").alias("entity_key"),
