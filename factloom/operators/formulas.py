@@ -1,7 +1,7 @@
 """The formula catalogue: operands are year-shifted fact lookups, results carry a status.
 
-All formulas of a request table run in one plan: requests are exploded to their
-operands, joined with the facts once, and folded back per request.
+All formulas of a request table run in one plan: the facts of an entity that formulas
+name, one per metric and year, are one row, in which each request looks up its operands.
 """
 
 from __future__ import annotations
@@ -86,23 +86,25 @@ def evaluate(requests: DataFrame, facts: DataFrame, entity: str = "stock_code")
     FORMULA_OPERAND_MISSING; ``unsupported`` for an unknown formula. A negative
     base keeps its sign in a growth rate.
     """
-    operand = lambda f: F.array(*[F.struct(F.lit(r).alias("role"), F.lit(m).alias("canonical_metric"), F.lit(o).alias("shift")) for r, m, o in f.operands])
+    operand = lambda f: F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(o).alias("shift")) for _, m, o in f.operands])
     known = F.create_map(*[x for k, f in CATALOGUE.items() for x in (F.lit(k), operand(f))])
-    rows = requests.select(entity, "formula_id", "target_year", F.explode_outer(known[F.col("formula_id")]).alias("o"))
-    rows = rows.select(entity, "formula_id", "target_year", "o.role", "o.canonical_metric", (F.col("target_year") + F.col("o.shift")).alias("metric_year"))
-    found = facts.groupBy(entity, "canonical_metric", "metric_year").agg(F.count(F.lit(1)).alias("n"), F.first("normalized_value").alias("operand_value"))
-    joined = rows.join(found, [entity, "canonical_metric", "metric_year"], "left")
-    roles = sorted({r for f in CATALOGUE.values() for r, _, _ in f.operands})
-    folded = joined.groupBy(entity, "formula_id", "target_year").agg(
-        *[F.max(F.when(F.col("role") == r, F.col("operand_value"))).alias(f"v_{r}") for r in roles],
-        F.count_if(F.col("role").isNotNull() & F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("conflicts"), F.count("role").alias("operands"),
-    )
+    key = lambda metric, year: F.concat_ws("|", metric, year.cast("string"))
+    used = facts.filter(F.col("canonical_metric").isin(sorted({m for f in CATALOGUE.values() for _, m, _ in f.operands})) & F.col("metric_year").isNotNull())
+    found = used.groupBy(entity, "canonical_metric", "metric_year").agg(F.count(F.lit(1)).alias("n"), F.first("normalized_value").alias("v"))
+    entry = F.struct(key(F.col("canonical_metric"), F.col("metric_year")), F.struct("n", "v"))
+    held = found.groupBy(entity).agg(F.map_from_entries(F.collect_list(entry)).alias("held"))
+    asked = requests.select(entity, "formula_id", "target_year").repartition(entity).dropDuplicates([entity, "formula_id", "target_year"])
+    rows = asked.join(held, entity, "left").withColumn("o", F.coalesce(known[F.col("formula_id")], F.array().cast("array<struct<metric:string,shift:int>>")))
+    rows = rows.select(entity, "formula_id", "target_year", F.transform("o", lambda o: F.try_element_at("held", key(o["metric"], F.col("target_year") + o["shift"]))).alias("got"))
+    roles = {f.operator: [r for r, _, _ in f.operands] for f in CATALOGUE.values()}
     top, base = None, None
     for name, operator in OPERATORS.items():
-        a, b = operator(lambda r: F.col(f"v_{r}"))
+        a, b = operator(lambda r: F.get("got", F.lit(roles[name].index(r)))["v"])
         mine = F.col("formula_id").isin([f.formula_id for f in CATALOGUE.values() if f.operator == name])
         top, base = (F if top is None else top).when(mine, a.cast("decimal(38,12)")), (F if base is None else base).when(mine, b.cast("decimal(38,12)"))
-    folded = folded.withColumns({"top": top, "base": base})
+    folded = rows.withColumns({
+        "top": top, "base": base, "operands": F.size("got"), "missing": F.size(F.filter("got", lambda x: x.isNull())), "conflicts": F.size(F.filter("got", lambda x: x["n"] > 1)),
+    })
     code = (
         F.when(F.col("operands") == 0, "METRIC_UNRECOGNIZED").when(F.col("conflicts") > 0, "FACT_UNRESOLVED_CONFLICT")
         .when(F.col("missing") > 0, "FORMULA_OPERAND_MISSING").when(F.col("base") == 0, "FORMULA_ZERO_DENOMINATOR")
