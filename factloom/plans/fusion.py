@@ -33,12 +33,12 @@ def _signals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.merge_candidates(_signals(spark, sf), ["question_id", "candidate_id"], ["route", "table_id"]).withColumn("score", fusion.rrf_score(F.col("signals")))
+    return fusion.merge_candidates(_signals(spark, sf), ["question_id", "candidate_id"], ["route", "table_id"], within="question_id").withColumn("score", fusion.rrf_score(F.col("signals")))
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
+def _scored(spark: SparkSession, sf: str, **more) -> DataFrame:
     beside = F.create_map(*[x for k, v in _BESIDE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return fusion.adjacency(_merged(spark, sf).withColumn("adjacent_table_ids", beside[F.col("candidate_id")]), "question_id")
+    return fusion.adjacency(_merged(spark, sf).withColumns({"adjacent_table_ids": beside[F.col("candidate_id")], **more}), "question_id")
 
 
 _SIGNALS_SQL = """g AS (SELECT l_orderkey AS question_id, 'c' || l_partkey % 5 AS candidate_id, CASE WHEN l_partkey % 5 < 2 THEN 'table' ELSE 'text' END AS route, CASE WHEN l_partkey % 5 < 2 THEN 't' || l_partkey % 5 END AS table_id,
@@ -83,7 +83,7 @@ def _reservation_sql(most: int) -> str:
 
 @query("route_reservation", f"WITH {_SIGNALS_SQL}, {_BESIDE_SQL}, {_reservation_sql(3)} SELECT question_id, candidate_id, reserved, place FROM walked WHERE place <= 3")
 def route_reservation(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _scored(spark, sf).withColumn("facet_ids", F.transform("signals", lambda s: s["facet_id"]))
+    rows = _scored(spark, sf, facet_ids=F.array_distinct("signals.facet_id"))  # before the windows, which then carry no signals
     return fusion.reserve_routes(rows, "question_id", FACETS, 3).select("question_id", "candidate_id", "reserved", "place")
 
 
