@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import nfkc, normalise
+from factloom.functions.text import let, nfkc, normalise
 
 # --- Fixed values: the patterns and words by which passages are told apart ----------------------------------------------
 
@@ -55,6 +55,8 @@ TERM_STOP = "股份 有限 年度 报告 年报 公司 本年 情况 事项 介
 #: Points of a shared concern and of a shared character in text; signs of a heading, of a question in a heading, of a fact, of a fact beside a redirect, of a short text; lengths of terms.
 CONCERN_POINTS, TEXT_POINTS = 100, 3
 HEADING_SIGNS, ASKED_SIGNS, FACT_SIGNS, RESIDUAL_SIGNS, SHORT_SIGNS, TERM_SIGNS = 45, 60, 5, 6, 12, (2, 4)
+#: Characters of a long text in which signs are looked for first.
+HEAD = 512
 
 # --- rules ---------------------------------------------------------------------------------------------------------------
 
@@ -71,7 +73,9 @@ def _whole(c: Column, pattern: str) -> Column:
 
 
 def _signs(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, f"[^{SIGN[1:-1]}]+", ""))
+    """How many signs a text has; of more than any rule asks for, only that there are more, which the beginning of a long text tells."""
+    counted = lambda x: F.length(F.regexp_replace(x, f"[^{SIGN[1:-1]}]+", ""))
+    return F.when((F.length(c) > HEAD) & (counted(F.left(c, F.lit(HEAD))) > ASKED_SIGNS), ASKED_SIGNS + 1).otherwise(counted(c))
 
 
 def _key(c: Column) -> Column:
@@ -82,7 +86,7 @@ def _key(c: Column) -> Column:
 def concerns(key: Column) -> Column:
     """array<struct<name, words>>: the concerns that a text (its letters and digits only) speaks of."""
     known = F.array(*[F.struct(F.lit(name).alias("name"), _strings(words).alias("words")) for name, words in CONCERNS.items()])
-    return F.filter(known, lambda g: F.exists(g["words"], lambda w: F.contains(key, w)))
+    return let(key, lambda k: F.filter(known, lambda g: F.exists(g["words"], lambda w: F.contains(k, w))))
 
 
 def question_terms(plain: Column) -> Column:
@@ -148,7 +152,7 @@ def _table_header(plain: Column, rows: Column, cells: Column) -> Column:
     words_only = F.forall(F.flatten(F.slice(filled, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int"))), lambda x: _whole(x, HEADER_CELL))
     loose = F.filter(cells, lambda x: ~_whole(x, SEPARATOR))
     words = F.filter(F.split(plain, r"[\s、,/]+"), lambda w: w != "")
-    all_words = (F.size(words) >= 2) & F.forall(words, lambda w: _whole(w, HEADER_CELL))
+    all_words = plain.rlike(rf"^[\s、,/]*(?:{HEADER_CELL})(?:[\s、,/]|$)") & (F.size(words) >= 2) & F.forall(words, lambda w: _whole(w, HEADER_CELL))
     return F.when(at > 0, (at == F.size(filled)) & words_only).when(F.size(loose) >= 2, F.forall(loose, lambda x: _whole(x, HEADER_CELL))).otherwise(all_words)
 
 
@@ -167,9 +171,8 @@ def _redirect(plain: Column, groups: Column, terms: Column) -> Column:
     """It points elsewhere, and nothing beside the pointers is a fact about what the question asks."""
 
     def tells(rest: Column) -> Column:
-        key = _key(rest)
-        about = (F.size(_shared(groups, key)) > 0) | F.exists(terms, lambda t: F.contains(key, t))
-        return (rest != "") & ~_whole(rest, REDIRECT_SUBJECT) & about & _fact(rest) & (_signs(rest) >= RESIDUAL_SIGNS)
+        about = let(_key(rest), lambda key: (F.size(_shared(groups, key)) > 0) | F.exists(terms, lambda t: F.contains(key, t)))
+        return (rest != "") & ~_whole(rest, REDIRECT_SUBJECT) & (_signs(rest) >= RESIDUAL_SIGNS) & _fact(rest) & about
 
     clauses = F.transform(F.split(plain, "[。！？；;,，]"), lambda x: F.trim(F.regexp_replace(F.trim(x), f"(?:{REDIRECT}).*$", "")))
     return plain.rlike(f"[{_HAN}]") & plain.rlike(REDIRECT) & ~F.exists(clauses, tells)
@@ -179,7 +182,7 @@ def _ticked_negative(plain: Column) -> Column:
     """Two boxes, of which the one of what does not apply is ticked."""
     boxes, labels = (F.regexp_extract_all(plain, F.lit(CHECKBOX), F.lit(k)) for k in (1, 2))
     pairs = F.array_sort(F.zip_with(boxes, labels, lambda box, label: F.concat(F.when(box.rlike(TICKED), "1").otherwise("0"), label)))
-    return pairs == F.array(F.lit("0适用"), F.lit("1不适用"))
+    return F.contains(plain, F.lit("适用")) & (pairs == F.array(F.lit("0适用"), F.lit("1不适用")))
 
 
 def classified(rows: DataFrame, text: str, question: str, path: str, scoped: Column | None = None) -> DataFrame:
