@@ -88,8 +88,7 @@ _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 def knn_join(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings")
     asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    near = ops.knn(rows, asked, "vec_id", "query_id", "embedding", 5)
-    return near.withColumn("score", F.round("score", 6))
+    return ops.knn(rows, asked, "vec_id", "query_id", "embedding", 5, digits=6)
 
 
 @_query("indexed_knn", f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)
