@@ -43,8 +43,8 @@ def synonymy_edges(vectors: DataFrame, key: str, vector: str, least: float = SYN
     Cosines count as rounded to ``digits``, ties by key. With ``name``, only entities whose name has more than two ASCII letters and digits ask for synonyms.
     """
     asking = vectors.filter(F.length(F.regexp_replace(name, "[^A-Za-z0-9]", "")) > 2) if name else vectors
-    near = knn(vectors, asking.select(F.col(key).alias("src"), vector), key, "src", vector, most, digits=digits)
-    return near.filter((F.col("src") != F.col(key)) & (F.col("score") >= least)).select("src", F.col(key).alias("dst"), F.col("score").alias("weight"))
+    near = knn(vectors, asking.select(F.col(key).alias("src"), vector), key, "src", vector, most, digits=digits, least=least)
+    return near.filter(F.col("src") != F.col(key)).select("src", F.col(key).alias("dst"), F.col("score").alias("weight"))
 
 
 def overwrite_weights(facts: DataFrame, synonyms: DataFrame) -> DataFrame:
